@@ -213,7 +213,7 @@ def apply_mix(df: DataFrame, mix: Mix = Mix()) -> DataFrame:
     its target. Documents without words are in no block and go. Rows that share a ``doc_id`` share
     their takings.
     """
-    rates = mixed(df, mix).groupBy("doc_id").agg((F.sum("taken") / F.sum("size")).alias("_rate"))
+    rates = mixed(df, mix).groupBy("doc_id").agg(F.try_divide(F.sum("taken"), F.sum("size")).alias("_rate"))
     luck = F.pmod(F.xxhash64(F.lit(mix.seed + 1), rates["doc_id"]), F.lit(1_000_000)) / 1_000_000
     rates = rates.select(F.col("doc_id").alias("_id"), F.floor(F.coalesce("_rate", F.lit(0.0)) + luck).cast("int").alias("_copies")).where("_copies > 0")
     met = df.join(rates, df["doc_id"].eqNullSafe(rates["_id"]))
