@@ -9,9 +9,10 @@ the Jaccard similarity; candidates that could reach the bound are verified on th
 
 A bucket of g classes gives no g * g pairs. First each member meets the bucket's centre, the class
 that shares most buckets. Links found are joined into components. Then, only in buckets that still
-hold more than one component, members of different components are compared by likelihood, in blocks
-of bounded size, and only those that may be linked leave the block. So every candidate pair is
-either verified, or ruled out by the likelihood, or inside one component already.
+hold more than one component, members of different components are compared by the likelihood of
+finer sketches (more registers, of which the first are the ones of the bands), in blocks of bounded
+size, each pair in the first bucket that it shares; only those that may be linked leave the block.
+So every candidate pair is verified, or ruled out by the likelihood, or inside one component.
 
 Cases: a null or empty text, or one without words, has no shingle and is linked with nothing; it is
 kept. With fewer words than a shingle has, the whole sequence is the one shingle. Repeated rows are
@@ -34,7 +35,7 @@ from .shared import staged, tune
 
 @dataclass(frozen=True)
 class Sketching:
-    """Shingles of ``words`` words; links of ``percent`` or more; ``bands`` of ``rows`` registers; base, rate and limit of the registers; ``slack``: likelihood estimates this far below the bound are verified too; ``block``: members compared at once."""
+    """Shingles of ``words`` words; links of ``percent`` or more; ``bands`` of ``rows`` registers; base, rate and limit of the registers; ``slack``: likelihood estimates this far below the bound are verified too; ``fine`` registers and ``fine_slack`` of the second comparison; ``block``: members compared at once."""
 
     words: int = 5
     percent: int = 80
@@ -43,7 +44,9 @@ class Sketching:
     base: float = 1.001
     rate: float = 20.0
     limit: int = 65534
-    slack: float = 0.15
+    slack: float = 0.1
+    fine: int = 560
+    fine_slack: float = 0.05
     block: int = 512
     seed: int = 7
 
@@ -58,7 +61,7 @@ class Sketcher:
     def __init__(self, how: Sketching):
         self.how = how
         rng = np.random.default_rng(how.seed)
-        self.factor = rng.integers(0, 2**31, how.registers, dtype=np.uint32) * np.uint32(2) + np.uint32(1)
+        self.factor = rng.integers(0, 2**31, max(how.registers, how.fine), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.known: dict[bytes, int] = {}
 
     def shingles(self, text: str | None) -> np.ndarray:
@@ -88,17 +91,17 @@ class Sketcher:
             total ^= total >> np.uint64(32)
         return np.unique(total)
 
-    def least(self, hashes: np.ndarray) -> np.ndarray:
-        """The smallest 32-bit hash of each register."""
+    def least(self, hashes: np.ndarray, n: int) -> np.ndarray:
+        """The smallest 32-bit hash of each of the first n registers."""
         low, high = (hashes & np.uint64(0xFFFFFFFF)).astype(np.uint32), (hashes >> np.uint64(32)).astype(np.uint32)
-        out = np.full(self.how.registers, 0xFFFFFFFF, np.uint32)
-        for at in range(0, len(low), 512):
-            mixed = low[at : at + 512, None] * self.factor + high[at : at + 512, None]
+        out = np.full(n, 0xFFFFFFFF, np.uint32)
+        for at in range(0, len(low), 256):
+            mixed = low[at : at + 256, None] * self.factor[:n] + high[at : at + 256, None]
             np.minimum(out, mixed.min(axis=0), out=out)
         return out
 
-    def registers(self, hashes: np.ndarray) -> np.ndarray:
-        share = (self.least(hashes).astype(np.float64) + 0.5) / 2.0**32
+    def registers(self, hashes: np.ndarray, n: int | None = None) -> np.ndarray:
+        share = (self.least(hashes, n or self.how.registers).astype(np.float64) + 0.5) / 2.0**32
         smallest = -np.log1p(-share) / self.how.rate
         return np.clip(np.floor(1 - np.log(smallest) / np.log(self.how.base)), 0, self.how.limit + 1).astype(np.uint16)
 
@@ -139,37 +142,42 @@ def sketches(df: DataFrame, how: Sketching, key: str = "doc_id", text: str = "te
     return df.select(F.col(key).alias("_key"), text).mapInArrow(sketch, f"_key {kind}, cid bigint, n_shingles bigint, registers binary")
 
 
-def likelihood(equal: np.ndarray, larger: np.ndarray, smaller: np.ndarray, a: np.ndarray, b: np.ndarray, base: float) -> np.ndarray:
-    """Joint maximum-likelihood Jaccard similarity of pairs, from register comparisons and set sizes."""
-    u, v = a / (a + b), b / (a + b)
-    most = np.minimum(u / v, v / u)
-    share = lambda x: -np.log1p(-np.clip(x, 1e-12, 1) * (base - 1) / base) / np.log(base)
-    best, at = np.full(len(u), -np.inf), np.zeros(len(u))
-    for step in np.linspace(0, 1, 101):
-        j = most * step
-        up, down = share(u - v * j), share(v - u * j)
-        value = larger * np.log(up) + smaller * np.log(down) + equal * np.log(np.clip(1 - up - down, 1e-12, 1))
-        won = value > best
-        best[won], at[won] = value[won], j[won]
-    return at
-
-
-def may_link(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray, how: Sketching) -> np.ndarray:
-    """Whether pairs of registers (rows) may reach the bound."""
-    bound = how.percent / 100
-    sized = np.minimum(a, b) >= bound * np.maximum(a, b) - 1e-9
+def log_likelihood(j: np.ndarray, equal: np.ndarray, larger: np.ndarray, smaller: np.ndarray, u: np.ndarray, base: float) -> np.ndarray:
+    """Joint log-likelihood of a Jaccard similarity; u: the first set's share of both sizes."""
+    v = 1 - u
+    share = lambda x: -np.log1p(-np.clip(x, 1e-9, 1) * (base - 1) / base) / np.log(base)
+    up, down = share(u - v * j), share(v - u * j)
+    return larger * np.log(up) + smaller * np.log(down) + equal * np.log(np.clip(1 - up - down, 1e-12, 1))
+
+
+def estimate(one: np.ndarray, two: np.ndarray, a: float, b: float, base: float) -> float:
+    """Maximum-likelihood similarity of two sketches of sets of a and b members."""
+    u = a / (a + b)
+    j = np.linspace(0, min(a, b) / max(a, b), 2001)
+    value = log_likelihood(j, np.sum(one == two), np.sum(one > two), np.sum(one < two), np.full(len(j), u), base)
+    return float(j[np.argmax(value)])
+
+
+def may_link(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray, how: Sketching, slack: float) -> np.ndarray:
+    """Whether the estimates of pairs of sketches (rows) lie at most ``slack`` below the bound.
+
+    The likelihood has one peak, so the estimate is above a point if the likelihood rises there.
+    """
+    bound, n = how.percent / 100, one.shape[1]
     equal = (one == two).sum(axis=1)
-    larger = (one > two).sum(axis=1)
-    rough = sized & (equal >= (bound - 2 * how.slack) * how.registers)
-    out = rough.copy()
-    if rough.any():
-        e, l, x, y = equal[rough], larger[rough], a[rough].astype(np.float64), b[rough].astype(np.float64)
-        out[rough] = likelihood(e, l, how.registers - e - l, x, y, how.base) >= bound - how.slack
+    out = (np.minimum(a, b) * 100 >= how.percent * np.maximum(a, b)) & (equal >= (bound - 3 * slack) * n)
+    if out.any():
+        e, l = equal[out], (one[out] > two[out]).sum(axis=1)
+        x, y = a[out].astype(np.float64), b[out].astype(np.float64)
+        u, at = x / (x + y), bound - slack
+        sides = [log_likelihood(np.full(len(u), at + d), e, l, n - e - l, u, how.base) for d in (-0.004, 0.004)]
+        out[out] = sides[1] >= sides[0]
     return out
 
 
-def _rows(column: pd.Series, how: Sketching) -> np.ndarray:
-    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), how.registers)
+def _rows(column: pd.Series) -> np.ndarray:
+    """Sketches of a column, a row each."""
+    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
 
 
 def central_pairs(members: DataFrame) -> DataFrame:
@@ -186,7 +194,9 @@ def likely(pairs: DataFrame, classes: DataFrame, how: Sketching) -> DataFrame:
 
     @F.pandas_udf("boolean")
     def may(r_a: pd.Series, r_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
-        return pd.Series(may_link(_rows(r_a, how), _rows(r_b, how), n_a.to_numpy(), n_b.to_numpy(), how))
+        if not len(r_a):
+            return pd.Series([], dtype=bool)
+        return pd.Series(may_link(_rows(r_a), _rows(r_b), n_a.to_numpy(), n_b.to_numpy(), how, how.slack))
 
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     return met.where(may("r_a", "r_b", "n_a", "n_b")).select("a", "b")
@@ -208,24 +218,23 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
     return pairs.join(side("a"), "a").join(side("b"), "b").where(linked("h_a", "h_b")).select("a", "b")
 
 
-def full_sets(df: DataFrame, classes: DataFrame, pairs: DataFrame, how: Sketching, key: str, text: str) -> DataFrame:
-    """``cid, hashes`` of every class in a pair, from the whole text of one of its documents."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    first = classes.join(wanted, "cid").select(F.col("first").alias("_first"), "cid")
+def full_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, how: Sketching, key: str, text: str, fine: bool = False) -> DataFrame:
+    """``cid, n_shingles, hashes`` of the wanted classes, from the whole text of one document of each; with ``fine``, finer sketches too."""
+    first = classes.join(wanted.select("cid").distinct(), "cid").select(F.col("first").alias("_first"), "cid")
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(first, F.col("_key") == F.col("_first")).select("cid", "_text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sketcher(how)
         for batch in batches:
-            ids, bodies = [], []
+            out = []
             for cid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 hashes = own.shingles(body)
                 if len(hashes) and class_id(hashes) == cid:  # another text may share the document's id
-                    ids.append(cid)
-                    bodies.append(hashes.tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.binary())], ["cid", "hashes"])
+                    out.append((cid, len(hashes), hashes.tobytes(), own.registers(hashes, how.fine).tobytes() if fine else b""))
+            types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["cid", "n_shingles", "hashes", "registers"])
 
-    return staged(rows.mapInArrow(gather, "cid bigint, hashes binary"), "sets").dropDuplicates(["cid"])
+    return staged(rows.mapInArrow(gather, "cid bigint, n_shingles bigint, hashes binary, registers binary"), "sets").dropDuplicates(["cid"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -249,32 +258,38 @@ def components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(current.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
 
 
-def remaining_pairs(members: DataFrame, classes: DataFrame, roots: DataFrame, how: Sketching) -> DataFrame:
-    """Pairs that share a bucket, may reach the bound, and aren't in one component yet."""
-    rooted = members.join(roots, members["cid"] == roots["node"], "left").select("band", "cid", F.coalesce("root", "cid").alias("root"))
+def remaining_members(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """``band, number, cid, root, n``: members of buckets that hold more than one component."""
+    rooted = members.drop("n").join(roots, F.col("cid") == F.col("node"), "left").select("band", "number", "cid", F.coalesce("root", "cid").alias("root"))
     split = rooted.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("n")).where("_low != _high")
-    inside = rooted.join(split.select("band", F.ceil(F.col("n") / how.block).cast("int").alias("blocks")), "band")
-    inside = inside.withColumn("mine", F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int"))
+    return rooted.join(split.select("band", "n"), "band")
+
+
+def remaining_pairs(inside: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
+    """``a, b``: members of one bucket and different components that may reach the bound, no pair twice."""
+    blocks = F.ceil(F.col("n") / how.block).cast("int")
     # each two blocks of a bucket meet once; a bucket of one block meets itself
-    dealt = inside.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("band", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cid", "root")
-    full = dealt.join(classes.select("cid", "n_shingles", "registers"), "cid")
+    dealt = inside.withColumn("mine", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("band", "number", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cid", "root")
+    full = dealt.join(sets.select("cid", "n_shingles", "registers"), "cid")
 
     def compare(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("cid", kind="stable")
-        x, y = int(group["x"].iloc[0]), int(group["y"].iloc[0])
+        x, y, number = int(group["x"].iloc[0]), int(group["y"].iloc[0]), int(group["number"].iloc[0])
         left, right = group[group["mine"] == x], group[group["mine"] == y]
-        r, n, roots_, ids = _rows(right["registers"], how), right["n_shingles"].to_numpy(), right["root"].to_numpy(), right["cid"].to_numpy()
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
+        r, n, roots, ids = _rows(right["registers"]), right["n_shingles"].to_numpy(), right["root"].to_numpy(), right["cid"].to_numpy()
         out = []
-        for cid, root, size, one in zip(left["cid"], left["root"], left["n_shingles"], _rows(left["registers"], how), strict=True):
-            fit = (roots_ != root) & ((ids > cid) if x == y else True)
-            if fit.any():
-                some = np.nonzero(fit)[0]
-                ok = some[may_link(np.broadcast_to(one, (len(some), how.registers)), r[some], np.full(len(some), size), n[some], how)]
-                out += [(min(cid, i), max(cid, i)) for i in ids[ok].tolist()]
+        for cid, root, size, one in zip(left["cid"], left["root"], left["n_shingles"], _rows(left["registers"]), strict=True):
+            some = np.nonzero((roots != root) & ((ids > cid) if x == y else True))[0]
+            if not len(some):
+                continue
+            near = some[may_link(np.broadcast_to(one, (len(some), len(one))), r[some], np.full(len(some), size), n[some], how, how.fine_slack)]
+            shared = (r[near, : how.registers] == one[: how.registers]).reshape(len(near), how.bands, how.rows).all(axis=2)
+            out += [(min(cid, i), max(cid, i)) for i in ids[near[shared.argmax(axis=1) == number]].tolist()]
         return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
-    return full.groupBy("band", "x", "y").applyInPandas(compare, "a bigint, b bigint").distinct()
+    return full.groupBy("band", "x", "y").applyInPandas(compare, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -287,18 +302,20 @@ def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc
     @F.pandas_udf("array<bigint>")
     def bands(registers: pd.Series) -> pd.Series:
         own = Sketcher(how)
-        return pd.Series([own.bands(x) for x in _rows(registers, how)], dtype=object)
+        return pd.Series([own.bands(x) for x in _rows(registers)] if len(registers) else [], dtype=object)
 
-    each = classes.select("cid", F.explode(bands("registers")).alias("band"))
+    each = classes.select("cid", F.posexplode(bands("registers")).alias("number", "band"))
     shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(each.join(shared, "band"), "members")
     pairs = staged(likely(central_pairs(members), classes, how), "pairs")
-    links = staged(verified(pairs, full_sets(df, classes, pairs, how, key, text), how), "links")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
+    links = staged(verified(pairs, full_sets(df, classes, ends, how, key, text), how), "links")
     roots = staged(components(links), "roots")
-    more = staged(remaining_pairs(members, classes, roots, how).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
-    if not more.isEmpty():
-        links = links.unionByName(verified(more, full_sets(df, classes, more, how, key, text), how))
-        roots = staged(components(links), "roots")
+    inside = staged(remaining_members(members, roots), "remaining")
+    if not inside.isEmpty():
+        sets = full_sets(df, classes, inside, how, key, text, fine=True)
+        more = verified(remaining_pairs(inside, sets, how), sets, how)
+        roots = staged(components(links.unionByName(more)), "roots")
     rooted = classes.select("cid", "first").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
     named = rooted.join(least, "root").select("cid", "component_id")
