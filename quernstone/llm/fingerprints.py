@@ -52,9 +52,10 @@ def fingerprinted(text: Column) -> Column:
 def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``key``, ``fingerprint`` and ``group_id``: the smallest key among rows with the same canonical form.
 
-    Digests are counted first, with partial sums, so a hot group is one row a task. Only members of
-    buckets with more than one row meet their bucket's first text, salted over tasks; members whose
-    bytes differ from it (a collision) are grouped by a second, independent digest of their bytes.
+    Digests are counted first, with partial sums, so a hot group is one row a task. Only texts of
+    buckets with more than one row are moved. There each member meets the bucket's first text, which
+    is salted over tasks where the bucket is large; members whose bytes differ from it (a collision)
+    are grouped by a second, independent digest of their bytes. A group's rows are never collected.
     """
     tune(df.sparkSession)
 
@@ -62,19 +63,23 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     def form(texts: pd.Series) -> pd.Series:
         return pd.Series([canonical(x) for x in texts], dtype=object)
 
-    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
-    rows = rows.withColumn("fingerprint", fingerprinted(F.col("_text")))
-    buckets = rows.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min_by("_text", F.struct("_key", "_text")).alias("_first"))
-    salts = 16
-    heads = buckets.where("_n > 1").withColumn("_salt", F.explode(F.sequence(F.lit(0), F.when(F.col("_n") > 1000, salts - 1).otherwise(0))))
-    many = heads.where("_salt = 0").select("fingerprint", (F.col("_n") > 1000).alias("_hot"))
-    marked = rows.join(many, "fingerprint", "left")
-    salted = marked.withColumn("_salt", F.when(F.col("_hot"), F.pmod(F.xxhash64("_key"), F.lit(salts)).cast("int")).otherwise(0))
-    met = salted.join(heads.select("fingerprint", "_salt", "_first"), ["fingerprint", "_salt"], "left")
-    same = F.col("_first").isNull() | (form(F.col("_text")) == form(F.coalesce("_first", F.lit(""))))
+    rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("fingerprint", fingerprinted(F.col("_text")))
+    prints = staged(rows.select("_key", "fingerprint"), "fingerprints")
+    buckets = staged(prints.groupBy("fingerprint").agg(F.count("*").alias("_n"), F.min("_key").alias("_least")).where("_n > 1"), "buckets")
+    alone = prints.join(buckets.select("fingerprint"), "fingerprint", "left_anti").select("_key", "fingerprint", F.col("_key").alias("group_id"))
+    shared = prints.join(buckets, "fingerprint", "left_semi").select(F.col("_key").alias("_shared")).distinct()
+    members = rows.join(shared, F.col("_key").eqNullSafe(F.col("_shared")), "left_semi")
+    members = members.join(buckets.select("fingerprint", "_n", "_least"), "fingerprint")
+    salts = F.when(F.col("_n") > 1000, 16).otherwise(1)
+    heads = members.where(F.col("_key").eqNullSafe(F.col("_least"))).groupBy("fingerprint").agg(F.min("_text").alias("_first"), F.max("_n").alias("_n"))
+    heads = heads.select("fingerprint", "_first", F.explode(F.sequence(F.lit(0), salts - 1)).alias("_salt"))
+    salted = members.withColumn("_salt", F.pmod(F.xxhash64("_key", "_text"), salts).cast("int"))
+    met = salted.join(heads, ["fingerprint", "_salt"])
+    same = form(F.col("_text")) == form(F.col("_first"))
     checked = met.select("_key", "fingerprint", F.when(same, F.lit("")).otherwise(F.sha2(form(F.col("_text")), 256)).alias("_apart"))
     groups = checked.groupBy("fingerprint", "_apart").agg(F.min("_key").alias("group_id"))
-    return checked.join(groups, ["fingerprint", "_apart"]).select(F.col("_key").alias(key), "fingerprint", "group_id")
+    found = checked.join(groups, ["fingerprint", "_apart"]).select("_key", "fingerprint", "group_id")
+    return alone.unionByName(found).withColumnRenamed("_key", key)
 
 
 def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, list[tuple[int, int]]]:
@@ -135,10 +140,3 @@ def edit_report(df: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     picked = dealt.select("_range", "_tail", F.col("_key").cast("long").alias("_key"), "_text")
     return picked.mapInArrow(walk, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
-
-
-def grouped_report(df: DataFrame) -> DataFrame:
-    """``edit_report``, stored, with ``n_same``: documents that share the fingerprint."""
-    found = staged(edit_report(df), "fingerprints")
-    sizes = found.groupBy("fingerprint").agg(F.count("*").alias("n_same"))
-    return found.join(sizes, "fingerprint").select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_same")
