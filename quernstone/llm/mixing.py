@@ -199,7 +199,7 @@ def mixed(df: DataFrame, mix: Mix = Mix()) -> DataFrame:
     low, high = F.greatest("start", F.col("block") * b), F.least(end, (F.col("block") + 1) * b)
     cut = F.when(F.col("block") == F.col("cut_block"), F.greatest(F.lit(0), F.least(high, F.col("block") * b + F.col("cut_words")) - low)).otherwise(0)
     parts = parts.withColumn("words", high - low).withColumn("extra", cut)
-    met = parts.join(uses, ["sid", "block"], "left")
+    met = parts.join(uses.hint("merge"), ["sid", "block"], "left")  # its size is not known from its plan: never broadcast
     taken = (F.col("words") * F.coalesce("times", F.lit(0)) + F.col("extra")).cast("long")
     done = met.groupBy("sid", "start", "doc_id", "size", "source_size", "target").agg(F.sum(taken).alias("taken"))
     out = ["doc_id", "size", "source_size", "target", "taken"]
