@@ -1,10 +1,13 @@
 """Token-ID output in training order.
 
 Texts become token ids, cut into sequences of a fixed length (each text ends with the end-of-text
-id; a text's last sequence is filled up with it). Sequence i of n goes to slot P(i), P a keyed
-Feistel permutation of range(n) with cycle-walking. Ranges of slots make shards: files of records
-of one fixed stride, so slot s starts at byte (s mod shard) * stride of its file. A reader that
-stopped after s sequences resumes at that place, and reading in file order is training order.
+id; a text's last sequence is filled up with it). Sequence i, numbered by the input partition and
+its place there, goes to place P(i), P a keyed Feistel permutation with cycle-walking of the
+range of all such numbers. Equal ranges of places make shards: files of records of one fixed
+stride, in order of place. Numbers are sparse, so a shard holds about, not exactly, as many records
+as asked for; a sequence's global slot is the number of sequences placed before it. So tokens are
+made once and moved once, and no count of them is needed first. A reader finds slot s by the sizes
+of the files, resumes there, and reads training order as it reads the files.
 
 A record is a little-endian 32-bit count of real tokens followed by ``length`` 16-bit ids.
 
@@ -22,7 +25,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +34,7 @@ from .shared import n_partitions, permuted, shared_folder, staged, tune
 
 @dataclass(frozen=True)
 class Layout:
-    """``length`` ids a sequence, ``shard`` sequences a file, ``key`` of the permutation."""
+    """``length`` ids a sequence, about ``shard`` sequences a file, ``key`` of the permutation, ``bytes_a_token``: a guess that sizes the shards."""
 
     path: str
     pattern: str
@@ -40,6 +42,7 @@ class Layout:
     shard: int = 4096
     key: int = 0x5EED5EED
     end: int = 50256
+    bytes_a_token: float = 2.5
 
     @property
     def stride(self) -> int:
@@ -75,52 +78,51 @@ def records(text: str | None, layout: Layout) -> list[tuple[int, bytes]]:
     return out
 
 
-def sequences(df: DataFrame, layout: Layout) -> DataFrame:
-    """``doc_id, seq_no, n_tokens, record, part, place``: place counts the rows of a task."""
+#: Sequences one input partition may hold.
+ROOM = 1 << 26
+
+
+def sequences(df: DataFrame, layout: Layout, parts: int, shards: int) -> DataFrame:
+    """``doc_id, seq_no, n_tokens, record, place, shard`` of a table of ``parts`` partitions."""
     tune(df.sparkSession)
+    total = max(1, parts) * ROOM
+    names, types = ["doc_id", "seq_no", "n_tokens", "record", "place", "shard"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, place = TaskContext.get().partitionId(), 0
+        if TaskContext.get().partitionId() >= parts:
+            raise ValueError("the table has more partitions than were counted")
+        number = TaskContext.get().partitionId() * ROOM
         for batch in batches:
-            rows = []
+            rows: list[tuple] = []
             for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for number, (real, record) in enumerate(records(text, layout)):
-                    rows.append((key, number, real, record, part, place))
-                    place += 1
-                if len(rows) >= 4000:
-                    yield packed(rows)
-                    rows = []
-            yield packed(rows)
-
-    def packed(rows: list[tuple]) -> pa.RecordBatch:
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["doc_id", "seq_no", "n_tokens", "record", "part", "place"])
+                rows += [(key, n, real, record) for n, (real, record) in enumerate(records(text, layout))]
+            place = permuted(np.arange(number, number + len(rows)), total, layout.key)
+            number += len(rows)
+            if number % ROOM < len(rows):
+                raise ValueError("an input partition holds too many sequences")
+            shard = (place / total * shards).astype(np.int64)
+            for at in range(0, len(rows), 4000):
+                part = slice(at, at + 4000)
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows[part], strict=True), types, strict=False)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(place[part]), pa.array(shard[part])], names)
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id bigint, seq_no bigint, n_tokens int, record binary, part int, place bigint")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id bigint, seq_no bigint, n_tokens int, record binary, place bigint, shard bigint")
 
 
 def materialise(df: DataFrame, layout: Layout, folder: str | None = None) -> DataFrame:
     """Write the shards at once; return a row a sequence: where it lies and what it holds.
 
-    The driver gets one number a task of the first stage. Each sequence is shuffled once.
+    Each sequence is shuffled once. The driver gets one count a shard.
     """
     spark = df.sparkSession
     root = folder or shared_folder(spark, "tokens")
-    found = staged(sequences(df, layout), "sequences")
-    sizes = sorted((r["part"], r["n"]) for r in found.groupBy("part").agg(F.max("place").alias("last")).select("part", (F.col("last") + 1).alias("n")).collect())
-    starts, total = {}, 0
-    for part, n in sizes:
-        starts[part], total = total, total + n
-
-    @F.pandas_udf("long")
-    def slot(part: pd.Series, place: pd.Series) -> pd.Series:
-        return pd.Series(permuted(part.map(starts).to_numpy(np.int64) + place.to_numpy(np.int64), total, layout.key))
-
-    placed = found.withColumn("slot", slot("part", "place")).withColumn("shard", F.floor(F.col("slot") / layout.shard).cast("long"))
-    shards = -(-total // layout.shard)
-    dealt = placed.drop("part", "place").repartition(max(1, min(shards, 8 * n_partitions(spark))), "shard").sortWithinPartitions("slot")
+    size = df.agg((F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / layout.bytes_a_token / layout.length + F.count("*") * 0.5).alias("n")).first()["n"] or 0
+    shards = max(1, round(size / layout.shard))
+    found = sequences(df, layout, df.rdd.getNumPartitions(), shards)
+    dealt = found.repartition(max(1, min(shards, 8 * n_partitions(spark))), "shard").sortWithinPartitions("place")
+    names, types = ["doc_id", "seq_no", "n_tokens", "shard", "record_no", "ids_sha256"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -129,7 +131,7 @@ def materialise(df: DataFrame, layout: Layout, folder: str | None = None) -> Dat
 
         system, place = fs.FileSystem.from_uri(root)
         system.create_dir(place, recursive=True)
-        shard, out, temporary = None, None, None
+        shard, out, temporary, count = None, None, None, 0
 
         def close() -> None:
             if out is not None:
@@ -137,23 +139,27 @@ def materialise(df: DataFrame, layout: Layout, folder: str | None = None) -> Dat
                 system.move(temporary, f"{place}/tokens-{shard:08d}.bin")
 
         for batch in batches:
-            slots, bodies = batch.column(batch.schema.get_field_index("slot")).to_pylist(), batch.column(batch.schema.get_field_index("record")).to_pylist()
-            digests = []
-            for s, body in zip(slots, bodies, strict=True):
-                if s // layout.shard != shard:
+            rows = []
+            for key, n, real, body, mine in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "seq_no", "n_tokens", "record", "shard")), strict=True):
+                if mine != shard:
                     close()
-                    shard = s // layout.shard
+                    shard, count = mine, 0
                     temporary = f"{place}/.tokens-{shard:08d}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(temporary)
                 out.write(body)
-                digests.append(hashlib.sha256(body[4:]).hexdigest())
-            keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "seq_no", "n_tokens", "slot", "shard")]
-            offsets = pa.array([s % layout.shard * layout.stride for s in slots], pa.int64())
-            yield pa.RecordBatch.from_arrays([*keep, offsets, pa.array(digests, pa.string())], ["doc_id", "seq_no", "n_tokens", "slot", "shard", "byte_offset", "ids_sha256"])
+                rows.append((key, n, real, shard, count, hashlib.sha256(body[4:]).hexdigest()))
+                count += 1
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
         close()
 
-    kind = "doc_id bigint, seq_no bigint, n_tokens int, slot bigint, shard bigint, byte_offset bigint, ids_sha256 string"
-    return staged(dealt.mapInArrow(write, kind), "token-index")
+    index = staged(dealt.mapInArrow(write, "doc_id bigint, seq_no bigint, n_tokens int, shard bigint, record_no bigint, ids_sha256 string"), "token-index")
+    before, starts = 0, []
+    for r in sorted(index.groupBy("shard").agg(F.count("*").alias("n")).collect()):
+        starts.append((r["shard"], before))
+        before += r["n"]
+    first = spark.createDataFrame(starts, "shard bigint, first bigint")
+    met = index.join(F.broadcast(first), "shard")  # a row a shard
+    return met.select("doc_id", "seq_no", "n_tokens", (F.col("first") + F.col("record_no")).alias("slot"), "shard", (F.col("record_no") * layout.stride).alias("byte_offset"), "ids_sha256")
 
 
 def read_from(folder: str, layout: Layout, slot: int = 0) -> Iterator[np.ndarray]:
@@ -161,10 +167,14 @@ def read_from(folder: str, layout: Layout, slot: int = 0) -> Iterator[np.ndarray
     from pyarrow import fs
 
     system, place = fs.FileSystem.from_uri(folder)
-    while system.get_file_info(path := f"{place}/tokens-{slot // layout.shard:08d}.bin").type != fs.FileType.NotFound:
-        with system.open_input_file(path) as file:
-            body = file.read_at(file.size(), 0)
-        for at in range(slot % layout.shard * layout.stride, len(body), layout.stride):
+    files = sorted((f for f in system.get_file_info(fs.FileSelector(place)) if f.base_name.startswith("tokens-")), key=lambda f: f.base_name)
+    for info in files:
+        if slot >= info.size // layout.stride:
+            slot -= info.size // layout.stride
+            continue
+        with system.open_input_file(info.path) as file:
+            body = file.read_at(info.size - slot * layout.stride, slot * layout.stride)
+        slot = 0
+        for at in range(0, len(body), layout.stride):
             real = int(np.frombuffer(body, "<u4", 1, at)[0])
             yield np.frombuffer(body, "<u2", real, at + 4)
-        slot = (slot // layout.shard + 1) * layout.shard
