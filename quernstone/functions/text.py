@@ -156,6 +156,11 @@ def valid_entity_name(name: Column, stopwords=STOPWORDS) -> Column:
     return (F.length(low) >= 3) & low.rlike("[a-z]") & ~F.array_contains(strings(stopwords), low) & ~low.rlike(r"^[\W_\d]+$")
 
 
+def metadata_title(title: Column) -> Column:
+    """The title starts with brackets that hold an agent, role, model, date or source."""
+    return F.trim(title).rlike(r"(?i)^\[[^\]]{0,200}(?:agent:|role:|model:|\d{4}-\d{2}-\d{2}|source_)[^\]]*\]")
+
+
 def camel_parts(text: str) -> list[str]:
     """Pieces of a camel-case word (of query text, on the driver)."""
     import re

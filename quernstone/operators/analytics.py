@@ -103,11 +103,16 @@ def bursts(actions: DataFrame, minutes: int = 10, within: list[str] | None = Non
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
-    """Exact percentiles by nearest rank, with average, least and most. No list is collected: rows are ranked."""
+    """Exact percentiles by nearest rank, with average, least and most.
+
+    Equal values are counted first, with partial sums; only distinct values are put in order.
+    """
+    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
     inside = Window.partitionBy(*by)
-    placed = df.where(F.col(value).isNotNull()).withColumn("_p", F.row_number().over(inside.orderBy(value))).withColumn("_n", F.count("*").over(inside))
-    picks = [F.max(F.when(F.col("_p") == F.greatest(F.lit(1), F.ceil(F.col("_n") * q)), F.col(value))).alias(name) for name, q in shares.items()]
-    return placed.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), *picks)
+    placed = counted.withColumn("_all", F.sum("_n").over(inside)).withColumn("_upto", F.sum("_n").over(inside.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
+    picks = [F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), F.ceil(F.col("_all") * q)), F.col(value))).alias(name) for name, q in shares.items()]
+    average = F.sum(F.col(value) * F.col("_n")) / F.sum("_n")
+    return placed.groupBy(*by).agg(F.sum("_n").alias("n"), average.alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), *picks)
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list, caps: dict[str, int] | int, group: str | None = None) -> DataFrame:
@@ -148,3 +153,23 @@ def keep_newest(log: DataFrame, most: int) -> DataFrame:
     """The rows with the ``most`` largest ids: a bounded top-k finds the cut, no global sort."""
     cut = log.select("id").orderBy(F.col("id").desc()).limit(most).agg(F.min("id").alias("_cut"))
     return log.join(F.broadcast(cut)).where(F.col("id") >= F.col("_cut")).drop("_cut")
+
+
+def task_detail(tasks: DataFrame, comments: DataFrame) -> DataFrame:
+    """Tasks with children and dependants (codes in order of creation) and comments, newest first."""
+    dependants = tasks.where("depends_on IS NOT NULL").groupBy("depends_on").agg(F.array_sort(F.collect_list(F.struct("created_at", "id", "task_code"))).alias("_d"))
+    dependants = dependants.select(F.col("depends_on").alias("id"), F.transform("_d", lambda x: x["task_code"]).alias("depended_by"))
+    notes = comments.groupBy("task_id").agg(F.reverse(F.array_sort(F.collect_list(F.struct("created_at", "id", "comment")))).alias("_c"))
+    notes = notes.select(F.col("task_id").alias("id"), F.transform("_c", lambda x: x["comment"]).alias("comments"))
+    kids = children(tasks).withColumnRenamed("parent_id", "id")
+    met = tasks
+    none = F.array().cast("array<string>")
+    for part, column in ((kids, "children"), (dependants, "depended_by"), (notes, "comments")):
+        met = met.join(part, "id", "left").withColumn(column, F.coalesce(column, none))
+    return met
+
+
+def sorted_by(df: DataFrame, column: str, descending: bool, allowed: list[str], default: str = "created_at") -> DataFrame:
+    """Ordered by an allowed column, else by the default; ties by id."""
+    key = F.col(column if column in allowed else default)
+    return df.orderBy(key.desc_nulls_last() if descending else key.asc_nulls_first(), "id")

@@ -86,3 +86,37 @@ def united(parts: dict[str, tuple[DataFrame, str, Column]]) -> DataFrame:
         one = df.select(F.concat(F.lit(f"{domain}:"), F.col(key).cast("string")).alias("id"), F.lit(domain).alias("domain"), F.col(key).cast("string").alias("label"), size.cast("double").alias("size"))
         out = one if out is None else out.unionByName(one)
     return out
+
+
+def extracted_mentions(docs: DataFrame, body: str = "content", most: int = 50) -> DataFrame:
+    """``doc, name, type, pos``: capitalised words and code-like identifiers of a text, once each, the first ``most``.
+
+    A deterministic rule instead of a language model: names of the knowledge graph are what can be
+    found again, not what can be guessed.
+    """
+    from ..functions import text
+
+    words = F.regexp_extract_all(F.col(body), F.lit(r"\b([A-Za-z][A-Za-z0-9]*(?:[_.-][A-Za-z0-9]+)*)\b"), F.lit(1))
+    coded = lambda w: w.rlike(r"[a-z][A-Z]|[_.-][A-Za-z0-9]|[A-Za-z][0-9]")
+    named = F.array_distinct(F.filter(words, lambda w: w.rlike("^[A-Z]") | coded(w)))
+    good = F.slice(F.filter(named, lambda w: text.valid_entity_name(w)), 1, most)
+    each = docs.select(F.col("id").alias("doc"), F.posexplode(good).alias("pos", "name"))
+    return each.select("doc", "name", F.when(coded(F.col("name")), "identifier").otherwise("concept").alias("type"), "pos")
+
+
+def observed(mentions: DataFrame, titles: DataFrame, domain: str) -> DataFrame:
+    """An observation a mention: ``entity_name, observation``."""
+    named = titles.select(F.col("id").alias("doc"), F.concat(F.lit(f"Mentioned in {domain}: "), "title").alias("observation"))
+    return mentions.join(named, "doc").select(F.col("name").alias("entity_name"), "observation").distinct()
+
+
+def code_relations(symbols: DataFrame, refs: DataFrame, most_symbols: int = 50, most_refs: int = 4000, confidence: float = 0.9) -> tuple[DataFrame, DataFrame]:
+    """Entities and relations of code: the first symbols of each file, and its references by caller (else the file)."""
+    from pyspark.sql.window import Window
+
+    order = Window.partitionBy("repo", "file_path").orderBy("start_line", "id")
+    entities = symbols.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_symbols).groupBy("repo", "name").agg(F.min_by("kind", "id").alias("type"))
+    place = Window.partitionBy("repo", "caller_file").orderBy("caller_line", "id")
+    first = refs.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most_refs)
+    relations = first.select("repo", F.coalesce("caller_name", "caller_file").alias("from_entity"), F.col("symbol_name").alias("to_entity"), F.col("kind").alias("relation_type"), F.lit(confidence).alias("confidence")).distinct()
+    return entities, relations

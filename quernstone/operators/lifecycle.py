@@ -161,3 +161,22 @@ def summaries(signals: DataFrame) -> DataFrame:
     """One text a repository: its signals in order, each a list item."""
     lists = signals.groupBy("owner", "repo").agg(F.array_sort(F.collect_list(F.struct("pos", "signal"))).alias("_s"))
     return lists.select("owner", "repo", F.concat(F.lit("- "), F.concat_ws("\n- ", F.transform("_s", lambda x: x["signal"]))).alias("summary"))
+
+
+def due(last_run, as_of, hours: float = 24.0) -> bool:
+    """Whether a job that ran last at a time (or never) may run again."""
+    return last_run is None or (as_of - last_run).total_seconds() >= hours * 3600
+
+
+def with_phase_tag(tasks: DataFrame) -> DataFrame:
+    """Tags with the one phase tag of the task's phase in place of any other."""
+    other = F.filter("tags", lambda t: ~F.lower(t).startswith("phase:"))
+    mine = F.when(F.col("phase").isNotNull(), F.array(F.concat(F.lit("phase:"), F.lower("phase")))).otherwise(F.array().cast("array<string>"))
+    return tasks.withColumn("tags", F.array_union(other, mine))
+
+
+def new_memories(drafts: DataFrame, as_of: Column) -> DataFrame:
+    """Draft rows as memories: ``ttl_days`` becomes ``expires_at``, the language joins the tags, counters start at 0."""
+    expires = F.when(F.col("ttl_days").isNotNull(), F.timestamp_add("DAY", F.col("ttl_days"), as_of)).cast("timestamp_ntz")
+    tags = F.when(F.col("language").isNotNull(), F.array_union("tags", F.array("language"))).otherwise(F.col("tags"))
+    return drafts.withColumn("expires_at", expires).withColumn("tags", tags).withColumn("hit_count", F.lit(0)).withColumn("recall_count", F.lit(0)).withColumn("status", F.lit("active")).withColumn("created_at", as_of).drop("ttl_days")

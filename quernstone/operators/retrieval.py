@@ -91,12 +91,15 @@ def bm25(df: DataFrame, query: str, columns: list[str], scope: Column | None = N
     return kept.select(*df.columns, (-score).alias("bm25"))
 
 
-def min_max(score: str, out: str, best_low: bool = True) -> Column:
-    """Score over the whole pool as 0..1, the best 1; all 1 if they are equal."""
-    everything = Window.partitionBy()
-    low, high = F.min(score).over(everything), F.max(score).over(everything)
-    scaled = (high - F.col(score)) if best_low else (F.col(score) - low)
-    return F.when(high == low, 1.0).otherwise(scaled / F.nullif(high - low, F.lit(0.0))).alias(out)
+def with_min_max(df: DataFrame, score: str, out: str, best_low: bool = True) -> DataFrame:
+    """``df`` with the score scaled to 0..1 over all its rows, the best 1; all 1 if they are equal.
+
+    The bounds are one aggregated row; no window over everything.
+    """
+    bounds = df.agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    scaled = (F.col("_high") - F.col(score)) if best_low else (F.col(score) - F.col("_low"))
+    value = F.when(F.col("_high") == F.col("_low"), 1.0).otherwise(scaled / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)))
+    return df.join(F.broadcast(bounds)).withColumn(out, value).drop("_low", "_high")
 
 
 def tf_cosine(column: str, query: str, stopwords=text.STOPWORDS) -> Column:
@@ -143,16 +146,16 @@ def hybrid(pool: DataFrame, kind: str, offset: int = 0, limit: int = 10, post: C
     Takes ``id, similarity, keyword, recency, domain``; adds ``score``, ``eligible`` (pool size) and ``rank``.
     Scores equal to nine places are ordered by id.
     """
-    everything = Window.partitionBy()
     scored = pool.withColumn("score", scoring.blend(*(F.col(c) for c in ("similarity", "keyword", "recency", "domain"))))
-    ranked = scored.withColumn("eligible", F.count("*").over(everything)).withColumn("_place", F.row_number().over(everything.orderBy(F.round("score", 9).desc(), "id")))
+    order = F.struct((-F.round("score", 9)).alias("s"), "id")
+    whole = scored.agg(F.count("*").alias("eligible"), F.min(order)["id"].alias("_best"))  # one row
     least = scoring.threshold(F.col("eligible"), kind) if small is None else F.when(F.col("eligible") <= scoring.SMALL_POOL, small).otherwise(large)
-    passed = ranked.withColumn("_pass", F.col("score") >= least)
-    kept = passed.where(F.col("_pass") | ((F.col("_place") == 1)))
+    kept = scored.join(F.broadcast(whole)).where((F.col("score") >= least) | (F.col("id") == F.col("_best"))).drop("_best")
     if post is not None:
         kept = kept.where(post)
-    numbered = kept.withColumn("rank", F.row_number().over(everything.orderBy("_place")))
-    return numbered.where((F.col("rank") > offset) & (F.col("rank") <= offset + limit)).drop("_place", "_pass")
+    place = [F.round("score", 9).desc(), F.col("id")]
+    top = kept.orderBy(*place).limit(offset + limit)  # the rank is of this bounded head
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*place))).where(F.col("rank") > offset)
 
 
 def merged_with_vectors(pool: DataFrame, vectors: DataFrame, mode: str = "supplement") -> DataFrame:
@@ -194,24 +197,43 @@ def in_order(df: DataFrame, keys: list[str], column: str = "code") -> DataFrame:
     return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def similar_pairs(df: DataFrame, column: str, least: float, top: int, most_rows: int = 2000) -> DataFrame:
-    """``a, b, similarity``: each row's most similar others by term counts, at least ``least``.
+def similar_pairs(df: DataFrame, column: str, least: float, top: int) -> DataFrame:
+    """``a, b, similarity``: each row's most similar others by term counts, at least ``least`` (above 0).
 
-    A sparse dot product over shared terms. Terms that more than ``most_rows`` rows hold would make
-    quadratic lists, so their part of the dot product is added by a join on the pairs found: exact
-    for every pair that shares at least one rarer term.
+    Exact, by prefix filtering: a row's terms are put in order of rarity; where the rest of the
+    vector is shorter than ``least``, no pair that shares only the rest can reach it. So two similar
+    rows share their rarest common term inside both prefixes, and only prefixes are joined; common
+    terms, which would make quadratic lists, stand at the end. Then the pairs found get their dot product.
     """
     terms = df.select("id", F.explode(text.tokens(F.coalesce(F.col(column), F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    norms = terms.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
     spread = terms.groupBy("term").agg(F.count("*").alias("df"))
-    rare = terms.join(spread.where(F.col("df").between(2, most_rows)), "term")
-    left, right = rare.select("term", F.col("id").alias("a"), F.col("tf").alias("x")), rare.select("term", F.col("id").alias("b"), F.col("tf").alias("y"))
-    dots = left.join(right, "term").where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    common = terms.join(spread.where(F.col("df") > most_rows), "term")
-    more = dots.select("a", "b").join(common.select(F.col("id").alias("a"), "term", F.col("tf").alias("x")), "a").join(common.select(F.col("id").alias("b"), "term", F.col("tf").alias("y")), ["b", "term"])
-    dots = dots.unionByName(more.select("a", "b", (F.col("x") * F.col("y")).alias("dot"))).groupBy("a", "b").agg(F.sum("dot").alias("dot"))
+    inside = Window.partitionBy("id")
+    rest = inside.orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)  # from the end up to here
+    square = F.col("tf") * F.col("tf")
+    sized = terms.join(spread, "term").withColumn("norm2", F.sum(square).over(inside)).withColumn("_rest", F.sum(square).over(rest))
+    prefix = sized.where((F.col("df") > 1) & (F.col("_rest") >= F.col("norm2") * (least * least - 1e-9)))
+    side = lambda x: prefix.select("term", F.col("id").alias(x))
+    found = side("a").join(side("b"), "term").where("a < b").select("a", "b").distinct()
+    whole = lambda x, tf: terms.select(F.col("id").alias(x), "term", F.col("tf").alias(tf))
+    dots = found.join(whole("a", "x"), "a").join(whole("b", "y"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    norms = terms.groupBy("id").agg(F.sqrt(F.sum(square).cast("double")).alias("norm"))
     n_a, n_b = norms.select(F.col("id").alias("a"), F.col("norm").alias("n_a")), norms.select(F.col("id").alias("b"), F.col("norm").alias("n_b"))
     scored = dots.join(n_a, "a").join(n_b, "b").withColumn("similarity", F.col("dot") / (F.col("n_a") * F.col("n_b"))).where(F.col("similarity") >= least)
     both = scored.select("a", "b", "similarity").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     best = Window.partitionBy("a").orderBy(F.round("similarity", 9).desc(), "b")
     return both.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= top).drop("_n")
+
+
+UUID = r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
+
+
+def resolved_ids(identifiers: DataFrame, entities: DataFrame, local: DataFrame | None = None) -> DataFrame:
+    """``identifier, id``: a UUID is itself; else the id of a local name, else of a code; null if unknown."""
+    met = identifiers.select("identifier").distinct()
+    codes = entities.groupBy(F.col("code").alias("identifier")).agg(F.min(F.col("id").cast("string")).alias("_code"))
+    met = met.join(codes, "identifier", "left").withColumn("_local", F.lit(None).cast("string"))
+    if local is not None:
+        names = local.select("identifier", F.col("id").cast("string").alias("_name"))
+        met = met.join(names, "identifier", "left").withColumn("_local", F.col("_name")).drop("_name")
+    own = F.when(F.col("identifier").rlike(UUID), F.col("identifier"))
+    return met.select("identifier", F.coalesce(own, "_local", "_code").alias("id"))

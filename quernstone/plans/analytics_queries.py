@@ -102,9 +102,9 @@ def task_children(t: Tables):
     return A.children(t.tasks).select("parent_id", F.array_join("children", ",").alias("children"))
 
 
-@query("J20 comments, newest first", "SELECT l_orderkey AS task_id, array_to_string(list(l_shipmode_ ORDER BY l_shipdate DESC, l_shipmode_), ',') AS comments FROM (SELECT l_orderkey, l_shipdate, l_returnflag || l_linenumber AS l_shipmode_ FROM lineitem WHERE l_orderkey % 4 = 0) GROUP BY l_orderkey")
+@query("J20 comments, newest first", "SELECT l_orderkey AS task_id, array_to_string(list(l_shipmode_ ORDER BY l_shipdate DESC, l_shipmode_), ',') AS comments FROM (SELECT l_orderkey, l_shipdate, l_returnflag || l_linenumber AS l_shipmode_ FROM lineitem) GROUP BY l_orderkey")
 def task_comments(t: Tables):
-    rows = t.table("lineitem").where("l_orderkey % 4 = 0").select(F.col("l_orderkey").alias("task_id"), F.col("l_shipdate").alias("created_at"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("comment"))
+    rows = t.table("lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_shipdate").alias("created_at"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("comment"))
     lists = rows.groupBy("task_id").agg(F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("k"), "comment"))).alias("c"))
     return lists.select("task_id", F.array_join(F.transform("c", lambda x: x["comment"]), ",").alias("comments"))
 
@@ -257,3 +257,23 @@ def repo_languages(t: Tables):
 @query("X14 totals", "SELECT (SELECT max(id) FROM actions) AS last_action, (SELECT count(*) FROM actions) AS actions, (SELECT count(DISTINCT repo) FROM memories) AS repos")
 def global_totals(t: Tables):
     return t.actions.agg(F.max("id").alias("last_action"), F.count("*").alias("actions")).join(F.broadcast(t.memories.agg(F.countDistinct("repo").alias("repos"))))
+
+
+_LIST = "coalesce(array_to_string({}, ','), '') AS {}"
+
+
+@query(
+    "R20 task detail with comments, children, dependants",
+    f"""WITH c AS (SELECT l_orderkey AS id, list(l_returnflag || l_linenumber ORDER BY l_shipdate DESC, l_linenumber DESC, l_returnflag DESC) AS x FROM lineitem GROUP BY 1), k AS (SELECT parent_id AS id, list(task_code ORDER BY created_at, id) AS x FROM tasks WHERE parent_id IS NOT NULL GROUP BY 1),
+d AS (SELECT depends_on AS id, list(task_code ORDER BY created_at, id) AS x FROM tasks WHERE depends_on IS NOT NULL GROUP BY 1)
+SELECT t.id, {_LIST.format("k.x", "children")}, {_LIST.format("d.x", "depended_by")}, {_LIST.format("c.x", "comments")} FROM tasks t LEFT JOIN k USING (id) LEFT JOIN d USING (id) LEFT JOIN c USING (id) WHERE t.repo = 'repo4'""",
+)
+def task_detail(t: Tables):
+    notes = t.table("lineitem").select(F.col("l_orderkey").alias("task_id"), F.col("l_shipdate").alias("created_at"), F.col("l_linenumber").alias("id"), F.concat("l_returnflag", F.col("l_linenumber").cast("string")).alias("comment"))
+    found = A.task_detail(t.tasks, notes).where("repo = 'repo4'")
+    return found.select("id", *[F.array_join(c, ",").alias(c) for c in ("children", "depended_by", "comments")])
+
+
+@query("T4 dynamic sort", "SELECT id, title FROM memories ORDER BY created_at DESC NULLS LAST, id LIMIT 15")
+def memory_sorted(t: Tables):
+    return A.sorted_by(t.memories, "drop table", True, ["importance", "updated_at"]).limit(15).select("id", "title")

@@ -89,7 +89,7 @@ def _claims(d: dict) -> str:
 
 def _handoffs(d: dict) -> str:
     return f"""SELECT l_orderkey * 1000 + l_linenumber * 100 + l_partkey % 100 AS id, l_orderkey AS task_id, 'agent' || {d["text"]("l_suppkey % 40")} AS from_agent, 'agent' || {d["text"]("l_partkey % 40")} AS to_agent,
-  CASE l_returnflag WHEN 'R' THEN 'expired' WHEN 'A' THEN 'accepted' ELSE 'pending' END AS status, l_shipdate AS created_at, 'repo' || {d["text"]("l_suppkey % 10")} AS repo FROM lineitem WHERE l_linenumber = 1"""
+  CASE l_returnflag WHEN 'R' THEN 'expired' WHEN 'A' THEN 'accepted' ELSE 'pending' END AS status, l_shipdate AS created_at, 'repo' || {d["text"]("l_suppkey % 10")} AS repo FROM lineitem"""
 
 
 def _actions(d: dict) -> str:
@@ -110,7 +110,7 @@ UNION ALL SELECT 'brand ' || p_brand, 'brand', min(p_name), 'kg', {d["epoch"]} F
 
 def _relations(d: dict) -> str:
     return f"""SELECT DISTINCT 'supplier ' || {d["text"]("l.l_suppkey")} AS from_entity, 'brand ' || p.p_brand AS to_entity, CASE l.l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'supplied' ELSE 'supplies' END AS relation_type, 'kg' AS repo,
-  CASE l.l_returnflag WHEN 'R' THEN 0.55 WHEN 'A' THEN 0.8 ELSE 1.0 END AS confidence FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey WHERE l.l_linenumber <= 2 AND l.l_orderkey % 5 = 0
+  CASE l.l_returnflag WHEN 'R' THEN 0.55 WHEN 'A' THEN 0.8 ELSE 1.0 END AS confidence FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
 UNION ALL SELECT 'supplier ' || {d["text"]("s_suppkey")}, 'nation ' || n_name, 'located_in', 'kg', 1.0 FROM supplier JOIN nation ON s_nationkey = n_nationkey
 UNION ALL SELECT 'nation ' || n_name, 'region ' || r_name, 'part_of', 'kg', 1.0 FROM nation JOIN region ON n_regionkey = r_regionkey"""
 
@@ -135,11 +135,11 @@ def _symbols(d: dict) -> str:
 
 
 def _references(d: dict) -> str:
-    return f"""SELECT l_orderkey * 10 + l_linenumber AS id, 'site' || {d["text"]("l_partkey % 3")} AS repo, CASE l_partkey % 4 WHEN 0 THEN 'getPart' WHEN 1 THEN 'setPart' WHEN 2 THEN 'part' ELSE 'PartOf' END || {d["text"]("l_partkey % 300")} AS symbol_name,
+    return f"""SELECT l_orderkey * 10 + l_linenumber AS id, 'site' || {d["text"]("l_partkey % 3")} AS repo, CASE l_partkey % 4 WHEN 0 THEN 'getPart' WHEN 1 THEN 'setPart' WHEN 2 THEN 'part' ELSE 'PartOf' END || {d["text"]("l_partkey % 250")} AS symbol_name,
   'p' || {d["text"]("l_suppkey % 7")} || '/q' || {d["text"]("l_suppkey % 3")} || '/f' || {d["text"]("l_suppkey % 50 + 1")} || '.ts' AS caller_file, CAST(l_quantity AS INT) AS caller_line,
   CASE WHEN l_linenumber % 3 = 0 THEN NULL ELSE 'setPart' || {d["text"]("l_suppkey % 300")} END AS caller_name, CASE l_returnflag WHEN 'R' THEN 'import' WHEN 'A' THEN 'type' ELSE 'call' END AS kind,
   CASE WHEN l_linenumber % 2 = 0 THEN l_partkey END AS target_symbol_id,
-  CASE WHEN l_linenumber % 2 = 1 THEN 'p' || {d["text"]("l_partkey % 7")} || '/q' || {d["text"]("l_partkey % 3")} || '/f' || {d["text"]("l_suppkey % 50 + 1")} || '.ts' END AS target_file FROM lineitem WHERE l_partkey % 6 <> 5"""
+  CASE WHEN l_linenumber % 2 = 1 THEN 'p' || {d["text"]("l_partkey % 7")} || '/q' || {d["text"]("l_partkey % 3")} || '/f' || {d["text"]("l_suppkey % 50 + 1")} || '.ts' END AS target_file FROM lineitem"""
 
 
 def _jobs(d: dict) -> str:

@@ -203,26 +203,26 @@ def markdown_symbols(t: Tables):
 
 @query(
     "G14 U5 index plan",
-    """WITH f AS (SELECT file_path, CASE WHEN id % 5 = 0 THEN checksum || 'x' ELSE checksum END AS checksum, last_indexed_at + CASE WHEN id % 2 = 0 THEN to_hours(1) ELSE to_hours(-1) END AS mtime, id FROM files WHERE id % 7 <> 0), k AS (SELECT * FROM files WHERE id % 11 <> 0)
+    """WITH f AS (SELECT file_path, CASE WHEN id % 5 = 0 THEN checksum || 'x' ELSE checksum END AS checksum, last_indexed_at + CASE WHEN id % 2 = 0 THEN to_hours(1) ELSE to_hours(-1) END AS mtime, id FROM files WHERE checksum <> 'c7'), k AS (SELECT * FROM files WHERE checksum <> 'c11')
 SELECT coalesce(f.file_path, k.file_path) AS file_path, CASE WHEN f.file_path IS NULL THEN 'stale' WHEN k.file_path IS NULL THEN 'new' WHEN f.mtime + INTERVAL 2 SECONDS <= k.last_indexed_at OR f.checksum = k.checksum THEN 'skip' ELSE 'parse' END AS action FROM f FULL JOIN k ON f.file_path = k.file_path""",
 )
 def index_plan(t: Tables):
     mtime = F.when(F.col("id") % 2 == 0, F.col("last_indexed_at") + F.expr("INTERVAL 1 HOUR")).otherwise(F.col("last_indexed_at") - F.expr("INTERVAL 1 HOUR"))
-    found = t.files.where("id % 7 <> 0").select("file_path", F.when(F.col("id") % 5 == 0, F.concat("checksum", F.lit("x"))).otherwise(F.col("checksum")).alias("checksum"), mtime.alias("mtime"))
-    return C.index_plan(found, t.files.where("id % 11 <> 0"))
+    found = t.files.where("checksum <> 'c7'").select("file_path", F.when(F.col("id") % 5 == 0, F.concat("checksum", F.lit("x"))).otherwise(F.col("checksum")).alias("checksum"), mtime.alias("mtime"))
+    return C.index_plan(found, t.files.where("checksum <> 'c11'"))
 
 
 @query(
     "J24 renames",
-    """WITH n AS (SELECT checksum, file_path, row_number() OVER (PARTITION BY checksum ORDER BY file_path) AS k FROM files WHERE id % 2 = 0), o AS (SELECT checksum, file_path, row_number() OVER (PARTITION BY checksum ORDER BY file_path) AS k FROM files WHERE id % 3 = 1) SELECT o.file_path AS old_path, n.file_path AS new_path FROM n JOIN o USING (checksum, k)""",
+    """WITH n AS (SELECT checksum, file_path, row_number() OVER (PARTITION BY checksum ORDER BY file_path) AS k FROM files WHERE repo = 'site0'), o AS (SELECT checksum, file_path, row_number() OVER (PARTITION BY checksum ORDER BY file_path) AS k FROM files WHERE repo = 'site1') SELECT o.file_path AS old_path, n.file_path AS new_path FROM n JOIN o USING (checksum, k)""",
 )
 def rename_detect(t: Tables):
-    return C.renames(t.files.where("id % 2 = 0"), t.files.where("id % 3 = 1"))
+    return C.renames(t.files.where("repo = 'site0'"), t.files.where("repo = 'site1'"))
 
 
-@query("S18 path moves", "SELECT id, CASE WHEN id % 4 = 0 THEN 'moved/' || file_path ELSE file_path END AS file_path FROM files")
+@query("S18 path moves", "SELECT id, CASE WHEN language = 'typescript' THEN 'moved/' || file_path ELSE file_path END AS file_path FROM files")
 def path_transfer(t: Tables):
-    moves = t.files.where("id % 4 = 0").select(F.col("file_path").alias("old_path"), F.concat(F.lit("moved/"), "file_path").alias("new_path"))
+    moves = t.files.where("language = 'typescript'").select(F.col("file_path").alias("old_path"), F.concat(F.lit("moved/"), "file_path").alias("new_path"))
     return tables.renamed(t.files, moves, ["file_path"]).select("id", "file_path")
 
 
@@ -243,3 +243,19 @@ def name_variants(t: Tables):
     v = text.name_variants(name)
     pick = lambda x: F.element_at(F.filter(v, lambda y: y == x), 1)
     return t.symbols.select("id", name.alias("name"), pick(F.concat(F.lit("a."), "kind", F.lit(".b"))).alias("dotted"), pick(F.concat(F.lit("a-"), "kind", F.lit("-b"))).alias("dashed"))
+
+
+@query("X23 file slices", "SELECT id, length(array_to_string(string_split(content, chr(10))[1:3], chr(10))) AS n, len(string_split(content, chr(10))) > 3 AS truncated FROM files")
+def file_slices(t: Tables):
+    from ..functions.documentation import content_slice
+
+    cut = t.files.select("id", content_slice(F.col("content"), 3).alias("s"))
+    return cut.select("id", F.length("s.text").cast("long").alias("n"), "s.truncated")
+
+
+@query("F30 doc comments")
+def doc_comments(t: Tables):
+    from ..functions.documentation import doc_struct
+
+    raw = F.concat(F.lit("/**\n * "), F.coalesce("doc_comment", F.lit("")), F.lit("\n * @param x the "), "name", F.lit("\n * @deprecated\n */"))
+    return t.symbols.select("id", doc_struct(raw).alias("d")).select("id", "d.summary", F.size("d.tags").alias("n_tags"), "d.deprecated")

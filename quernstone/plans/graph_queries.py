@@ -56,9 +56,9 @@ def kg_neighbors(t: Tables):
     return G.neighbours(t.relations, names).select("from_entity", "to_entity", "relation_type")
 
 
-@query("J16 U3 L5 orphans", "SELECT name FROM entities WHERE type = 'supplier' AND name NOT IN (SELECT entity_name FROM observations WHERE id % 50 = 0 UNION SELECT from_entity FROM relations WHERE relation_type = 'returned' AND to_entity = 'brand Brand#1' UNION SELECT to_entity FROM relations WHERE relation_type = 'part_of')")
+@query("J16 U3 L5 orphans", "SELECT name FROM entities WHERE type = 'supplier' AND name NOT IN (SELECT entity_name FROM observations WHERE observation = 'purchase 3' UNION SELECT from_entity FROM relations WHERE relation_type = 'returned' AND to_entity = 'brand Brand#1' UNION SELECT to_entity FROM relations WHERE relation_type = 'part_of')")
 def kg_orphans(t: Tables):
-    return G.orphans(t.entities.where("type = 'supplier'"), t.relations.where("relation_type = 'part_of' OR (relation_type = 'returned' AND to_entity = 'brand Brand#1')"), t.observations.where("id % 50 = 0")).select("name")
+    return G.orphans(t.entities.where("type = 'supplier'"), t.relations.where("relation_type = 'part_of' OR (relation_type = 'returned' AND to_entity = 'brand Brand#1')"), t.observations.where("observation = 'purchase 3'")).select("name")
 
 
 @query(
@@ -69,11 +69,10 @@ def kg_comentions(t: Tables):
     return G.co_mentions(t.mentions)
 
 
-@query("S14 insert or ignore, Q7", "SELECT name, min(id) AS id FROM (SELECT entity_name || '!' AS name, id FROM observations WHERE id % 2 = 0) GROUP BY name")
+@query("S14 insert or ignore, Q7", "SELECT entity_name || ' ' || observation AS name, min(id) AS id FROM observations WHERE observation NOT LIKE 'click%' GROUP BY 1")
 def kg_insert_or_ignore(t: Tables):
-    base = t.observations.where("id % 2 = 1").select(F.col("entity_name").alias("name"), "id")
-    new = t.observations.where("id % 2 = 0").select(F.concat("entity_name", F.lit("!")).alias("name"), "id").unionByName(base)
-    return S.inserted(base, new, ["name"], ["id"]).select("name", "id")
+    new = t.observations.select(F.concat_ws(" ", "entity_name", "observation").alias("name"), "id", "observation")
+    return S.inserted(new.where("observation LIKE 'click%'"), new, ["name"], ["id"]).select("name", "id")
 
 
 @query(
@@ -135,3 +134,17 @@ def dedupe_observations(t: Tables):
     return first_observations(t.observations)
 
 
+
+
+@query(
+    "G6 code in the knowledge graph",
+    """WITH r AS (SELECT *, row_number() OVER (PARTITION BY repo, caller_file ORDER BY caller_line, id) AS k FROM refs) SELECT DISTINCT repo, coalesce(caller_name, caller_file) AS from_entity, symbol_name AS to_entity, kind AS relation_type FROM r WHERE k <= 4000""",
+)
+def kg_code_relations(t: Tables):
+    return G.code_relations(t.symbols, t.refs)[1].select("repo", "from_entity", "to_entity", "relation_type")
+
+
+@query("G5 F41 observations of mentions")
+def kg_extracted(t: Tables):
+    mentions = G.extracted_mentions(t.memories)
+    return G.observed(mentions, t.memories, "memory")

@@ -63,7 +63,7 @@ def memory_search_bm25(t: Tables):
     scope = ((F.col("repo") == REPO) | F.col("is_global")) & R.live(t.as_of)
     df = t.memories.withColumn("tag_text", F.array_join("tags", " "))
     found = R.bm25(df, "th ing", ["title", "content", "tag_text"], scope)
-    scaled = found.select("id", "bm25", "importance", "created_at", R.min_max("bm25", "keyword"))
+    scaled = R.with_min_max(found.select("id", "bm25", "importance", "created_at"), "bm25", "keyword")
     order = [F.round("bm25", 9), F.col("importance").desc(), F.col("created_at").desc(), F.col("id")]
     top = scaled.orderBy(*order).limit(100)
     return top.select("id", F.round("bm25", 6).alias("bm25"), F.round("keyword", 6).alias("keyword"), F.row_number().over(Window.partitionBy().orderBy(*order)).alias("rank"))
@@ -396,9 +396,25 @@ def export_json(t: Tables):
 
 @query(
     "S12 import upsert of standards",
-    "SELECT id, title FROM standards WHERE id % 3 <> 0 UNION ALL SELECT id, 'new' AS title FROM standards WHERE id % 3 = 0",
+    "SELECT id, title FROM standards WHERE context <> 'api' UNION ALL SELECT id, 'new' AS title FROM standards WHERE context = 'api'",
 )
 def standards_import(t: Tables):
     base = t.standards.select("id", "code", "title")
-    new = base.where("id % 3 = 0").select((F.col("id") + 10_000_000).alias("id"), "code", F.lit("new").alias("title"))
+    new = t.standards.where("context = 'api'").select((F.col("id") + 10_000_000).alias("id"), "code", F.lit("new").alias("title"))
     return S.merged_standards(base, new).select("id", "title")
+
+
+@query("S6 X26 identifiers to ids", "SELECT 'MEM-' || lpad(CAST(i AS VARCHAR), 6, '0') AS identifier, CAST(CASE WHEN i IN (SELECT id FROM memories) THEN i END AS VARCHAR) AS id FROM range(0, 2000, 50) r(i) UNION ALL SELECT '123e4567-e89b-12d3-a456-426614174000', '123e4567-e89b-12d3-a456-426614174000'")
+def resolved_ids(t: Tables):
+    asked = t.spark.range(0, 2000, 50).select(F.concat(F.lit("MEM-"), F.lpad(F.col("id").cast("string"), 6, "0")).alias("identifier"))
+    uuid = t.spark.range(1).select(F.lit("123e4567-e89b-12d3-a456-426614174000").alias("identifier"))
+    return R.resolved_ids(asked.unionByName(uuid), t.memories)
+
+
+@query("X18 new memories from drafts", "SELECT id, strftime(TIMESTAMP '2024-03-01 00:00:00' + to_days(CAST(id % 9 AS INTEGER)), '%Y-%m-%d %H:%M:%S') AS expires, array_to_string(list_distinct(list_concat(tags, [language])), '') = array_to_string(list_distinct(tags), '') AS known FROM memories")
+def memory_drafts(t: Tables):
+    from ..operators.lifecycle import new_memories
+
+    drafts = t.memories.select("id", "tags", "language", (F.col("id") % 9).cast("int").alias("ttl_days"))
+    made = new_memories(drafts, t.as_of)
+    return made.select("id", stamp("expires_at").alias("expires"), (F.size("tags") == 3).alias("known"))

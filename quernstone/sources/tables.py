@@ -100,7 +100,7 @@ def public(df: DataFrame) -> DataFrame:
     return df.drop("hit_count", "recall_count", "last_used_at", "expires_at", "model", "recall_rate", "vector_version", "similarity")
 
 
-def audited(tool: Column, response: Column) -> Column:
+def audited(response: Column) -> Column:
     """Number of results an audit row keeps: the first count there is in the response."""
     names = ("deletedCount", "createdCount", "canceledCount", "count")
     found = [F.get_json_object(response, f"$.{n}").cast("long") for n in names]
@@ -108,6 +108,29 @@ def audited(tool: Column, response: Column) -> Column:
     return F.coalesce(*found, listed.cast("long"), F.lit(0).cast("long"))
 
 
+def action_rows(calls: DataFrame) -> DataFrame:
+    """Audit rows of tool calls (``tool, args, response``, both JSON): ``action, repo, query, memory_id, task_id, result_count``.
+
+    A plain id names a memory for memory tools, and a task for task, handoff and claim tools; an id
+    of another kind never lands in the wrong column.
+    """
+    arg = lambda path: F.nullif(F.get_json_object("args", f"$.{path}"), F.lit(""))
+    answer = lambda path: F.get_json_object("response", f"$.{path}")
+    parts = F.split("tool", "-")
+    domain = F.element_at(parts, 1)
+    of_memory, of_task = domain == "memory", domain.isin("task", "handoff", "claim")
+    memory = F.when(of_memory, F.coalesce(arg("id"), arg("memory_id"), answer("memory.id"), answer("id"))).otherwise(arg("memory_id"))
+    task = F.when(of_task, F.coalesce(arg("id"), arg("task_id"), answer("task.id"), answer("handoff.id"), answer("claim.id"), answer("id"))).otherwise(arg("task_id"))
+    return calls.select(
+        F.coalesce(F.nullif(F.try_element_at(parts, F.lit(2)), F.lit("")), "tool").alias("action"),
+        F.coalesce(arg("repo"), arg("scope.repo"), F.lit("unknown")).alias("repo"),
+        F.coalesce(arg("query"), arg("title"), arg("task_code")).alias("query"),
+        memory.alias("memory_id"),
+        task.alias("task_id"),
+        audited(F.col("response")).alias("result_count"),
+    )
+
+
 def paged(df: DataFrame, order: list, offset: int, limit: int) -> DataFrame:
     """A page with ``total``: rows in all. The total is one grouped row, not a window over everything."""
     total = df.agg(F.count("*").alias("total"))

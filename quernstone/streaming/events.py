@@ -47,3 +47,11 @@ def run_available(stream: DataFrame, folder: str, merge: Callable[[DataFrame, in
 def tail(log: DataFrame, last: int) -> DataFrame:
     """Rows after an id, in order of time."""
     return log.where(F.col("id") > last).orderBy("created_at", "id")
+
+
+def watch(spark: SparkSession, folder: str, pattern: str = "*") -> DataFrame:
+    """A stream of the files that appear below a folder: ``path, modificationTime, length, content``.
+
+    With ``run_available`` this is one sweep of a watcher; its checkpoint remembers what was seen.
+    """
+    return spark.readStream.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").schema("path string, modificationTime timestamp, length bigint, content binary").load(folder)

@@ -74,3 +74,21 @@ def backfill(jobs: DataFrame, entities: DataFrame, vectors: DataFrame, gate: int
     """Stale entities to enqueue; none while the queue is deep."""
     depth = jobs.agg(F.count_if(F.col("status").isin("pending", "claimed")).alias("_depth"))
     return stale_vectors(entities, vectors, most).join(F.broadcast(depth)).where(F.col("_depth") < gate).drop("_depth")
+
+
+def worker_step(jobs: DataFrame, entities: DataFrame, as_of: Column, apply, most: int = 32, worker: str = "worker") -> tuple[DataFrame, DataFrame]:
+    """One round of the worker: claim, drop jobs whose entity is gone, apply, complete.
+
+    ``apply`` maps the claimed jobs to the rows they produce, with the ``id`` of each job that
+    succeeded. Returns the queue afterwards and those rows; jobs without a row have failed once more.
+    """
+    taken = claimed(jobs, as_of, most, worker)
+    there = taken.join(entities.select(*KEY).distinct(), KEY, "left_semi")
+    made = apply(there)
+    gone = taken.join(there.select("id"), "id", "left_anti").select("id")
+    good = made.select("id").distinct().unionByName(gone)
+    lost = failed(taken.join(good, "id", "left_anti"), as_of)
+    rest = jobs.join(taken.select("id"), "id", "left_anti")
+    done = completed(taken.join(good, "id", "left_semi"), good, as_of)
+    after = rest.unionByName(lost, allowMissingColumns=True).unionByName(done, allowMissingColumns=True)
+    return after.select(*jobs.columns), made

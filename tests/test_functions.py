@@ -34,6 +34,7 @@ def test_small_functions(spark):
     assert values(spark, lambda c: text.completion_score(c, "Src1"), ["src1", "src12", "xsrc1", "s-r_c1", "no"]) == [100, 75, 50, 25, 0]
     assert values(spark, text.doc_summary, ["a  b\nc", "x" * 200, "short\n" + "y" * 200]) == ["a b c", "x" * 139 + "…", "short"]
     assert values(spark, text.valid_entity_name, ["Kafka", "the", "12", "--", "ab"]) == [True, False, False, False, False]
+    assert values(spark, text.metadata_title, ["[agent:x] t", " [on 2024-01-02]", "[x] agent:", "t"]) == [True, True, False, False]
     line = "x" * 60 + "HIT" + "y" * 60
     assert values(spark, lambda c: text.snippet(c, F.lit(60), 3), [line]) == ["…" + "x" * 40 + "HIT" + "y" * 40 + "…"]
     assert values(spark, lambda c: text.parts_in_order(c, text.camel_parts("FooBar")), ["getFooBar", "BarFoo"]) == [True, False]

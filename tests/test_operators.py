@@ -81,11 +81,23 @@ def test_bm25_and_cosine(spark):
     assert [r["c"] for r in df.select(retrieval.tf_cosine("body", "the").alias("c")).distinct().collect()] == [0.0]
 
 
-def test_similar_pairs_with_common_terms(spark):
-    df = spark.createDataFrame([(i, f"common shared w{i // 2} v{i // 2} common") for i in range(12)], "id int, content string")
-    one = sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in retrieval.similar_pairs(df, "content", 0.9, 3).collect())
-    two = sorted((r["a"], r["b"], round(r["similarity"], 9)) for r in retrieval.similar_pairs(df, "content", 0.9, 3, most_rows=4).collect())
-    assert two == [x for x in one if x[0] // 2 == x[1] // 2] and len(two) == 12
+def test_similar_pairs_match_brute_force(spark):
+    import random
+    from collections import Counter
+    from math import sqrt
+
+    rng = random.Random(4)
+    bodies = [" ".join(rng.choice(["kappa", "lam", "mu", "nu", "xi", "rho", "tau", "phi"][: rng.randrange(2, 9)]) for _ in range(rng.randrange(0, 12))) for _ in range(60)]
+    df = spark.createDataFrame(list(enumerate(bodies)), "id int, content string")
+    vectors = [Counter(b.split()) for b in bodies]
+    norm = [sqrt(sum(c * c for c in v.values())) for v in vectors]
+    wanted = {}
+    for i, v in enumerate(vectors):
+        for j, w in enumerate(vectors):
+            if i != j and norm[i] and norm[j] and (s := sum(v[t] * w[t] for t in v) / norm[i] / norm[j]) >= 0.7 - 1e-12:
+                wanted.setdefault(i, []).append((-round(s, 9), j))
+    wanted = sorted((i, j) for i, x in wanted.items() for _, j in sorted(x)[:3])
+    assert sorted((r["a"], r["b"]) for r in retrieval.similar_pairs(df, "content", 0.7, 3).collect()) == wanted
 
 
 def test_symbol_ranking(spark):
@@ -191,3 +203,63 @@ def test_empty_tables(spark, sf):
     assert rows(graph.ranked_edges(t.entities.where("false"), t.relations.where("false"))) == []
     assert rows(analytics.keep_newest(t.actions.where("false"), 5)) == [] and rows(analytics.bursts(t.actions.where("false"))) == []
     assert rows(code_index.code_graph(t.symbols.where("false"), t.refs.where("false"))) == []
+
+
+def test_documentation(spark):
+    from quernstone.functions import documentation as D
+
+    raw = "/**\n * Adds.\n * More.\n * @param a first\n * @deprecated\n */"
+    assert D.parse_doc(raw) == {"summary": "Adds.", "description": ["More."], "tags": [{"tag": "@param", "text": "a first"}, {"tag": "@deprecated", "text": ""}], "deprecated": True}
+    assert D.serialized_doc(raw) == "[DEPRECATED] Adds.\nMore.\n@param a first\n@deprecated" and D.serialized_doc("/** */") is None
+    assert D.clean_doc("/// a\n// b\n# c") == ["a", "b", "c"]
+    df = spark.createDataFrame([(raw,), (None,)], "c string").select(D.doc_struct(F.col("c")).alias("d")).select("d.summary", "d.deprecated")
+    assert sorted(map(str, rows(df))) == ["('Adds.', True)", "(None, False)"]
+    assert D.rendered_tree([("", "class", 2), ("d", "class", 1), ("d/e", "fn", 1)]) == ". (class 2)\n  d/ (class 1)\n    e/ (fn 1)"
+    assert D.rendered_dead_code({}, [], []) == "" and "1 dead" in D.rendered_dead_code({"scanned": 2, "dead": 1}, [], [])
+    steps = spark.createDataFrame([(["a", "b"],), (["x" * 400],), (None,)], "s array<string>").select(D.next_steps(F.col("s")))
+    assert [len(r[0]) for r in rows(steps)] == [4, 303, 0]
+
+
+def test_manifests(spark):
+    from quernstone.sources import manifests as M
+
+    body = '{"main":"./a.js","bin":{"x":"./a.js","y":"/b.js"},"exports":{".":{"import":"c.mjs","types":false}},"browser":{"a":false}}'
+    assert M.entry_points(body) == [("a.js", "manifest"), ("b.js", "bin"), ("c.mjs", "manifest")] and M.entry_points("{") == [] and M.entry_points("[]") == []
+    files = spark.createDataFrame([("r", "package.json", body), ("r", "z.js", "#!/usr/bin/node\n"), ("r", "b.js", "x")], "repo string, file_path string, content string")
+    symbols = spark.createDataFrame([("r", "b.js", False), ("r", "z.js", False), ("r", "q.js", False), ("r", "b.js", True)], "repo string, file_path string, exported boolean")
+    got = sorted(map(str, rows(M.entry_kind(symbols, M.manifest_entries(files), files).select("file_path", "exported", "entry_kind"))))
+    assert got == ["('b.js', False, 'bin')", "('b.js', True, 'public-api')", "('q.js', False, None)", "('z.js', False, 'shebang')"]
+
+
+def test_worker_and_watcher(spark, tmp_path):
+    kind = "id int, entity_kind string, entity_id string, status string, attempts int, lease_until timestamp_ntz, backoff_until timestamp_ntz, content_hash string, created_at timestamp_ntz, updated_at timestamp_ntz"
+    jobs = spark.createDataFrame([(i, "m", k, "pending", 0, None, None, "h", at("2024-05-01"), at("2024-05-01")) for i, k in enumerate("abcd")], kind)
+    entities = spark.createDataFrame([("m", "a"), ("m", "b"), ("m", "d")], "entity_kind string, entity_id string")
+    after, made = queue.worker_step(jobs, entities, now(), lambda df: df.where("entity_id <> 'b'").select("id", F.lit(1.0).alias("v")), most=3)
+    assert {r["entity_id"]: (r["status"], r["attempts"]) for r in after.collect()} == {"a": ("done", 0), "b": ("pending", 1), "c": ("done", 0), "d": ("pending", 0)}
+    assert [r["id"] for r in made.collect()] == [0]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in/a.txt").write_text("x")
+    seen = []
+    for _ in range(2):
+        events.run_available(events.watch(spark, str(tmp_path / "in"), "*.txt"), str(tmp_path), lambda df, n: seen.append(df.count())).awaitTermination()
+    assert sum(seen) == 1
+
+
+def test_small_lifecycle(spark):
+    df = spark.createDataFrame([("Build", ["phase:old", "x"]), (None, ["Phase:a"])], "phase string, tags array<string>")
+    assert [r["tags"] for r in lifecycle.with_phase_tag(df).collect()] == [["x", "phase:build"], []]
+    assert lifecycle.due(None, at("2024-01-02")) and not lifecycle.due(at("2024-01-01T12:00"), at("2024-01-02")) and lifecycle.due(at("2024-01-01"), at("2024-01-02"))
+    parts = spark.range(1).select(lifecycle.structured_content(decision=F.lit("use it"), reason=F.lit(None).cast("string"), outcome=F.lit("ok")))
+    assert rows(parts) == [("Decision: use it\n\nOutcome: ok",)]
+
+
+def test_action_rows(spark):
+    calls = [
+        ("memory-write", '{"id":"m1","repo":"r"}', '{"createdCount":2,"count":9}'),
+        ("task-delete", '{"id":"t1","memory_id":"m2","scope":{"repo":"s"}}', '{"results":[1,2,3]}'),
+        ("handoff-write", '{"title":"x"}', '{"handoff":{"id":"h"}}'),
+        ("plain", "bad", "bad"),
+    ]
+    df = spark.createDataFrame(calls, "tool string, args string, response string")
+    assert sorted(map(str, rows(tables.action_rows(df)))) == sorted(map(str, [("write", "r", None, "m1", None, 2), ("delete", "s", None, "m2", "t1", 3), ("write", "unknown", "x", None, "h", 0), ("plain", "unknown", None, None, None, 0)]))
