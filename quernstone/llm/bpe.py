@@ -18,7 +18,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ class Vocabulary:
 
     path: str
     pattern: str
-    remembered: int = 200_000
+    remembered: int = 100_000
 
 
 _codecs: dict = {}
@@ -245,11 +245,12 @@ def codec(vocabulary: Vocabulary) -> Codec:
 def encoded(text: Column, vocabulary: Vocabulary) -> Column:
     """Binary: the text's ids as little-endian unsigned 32-bit integers."""
 
-    @F.pandas_udf("binary")
-    def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(vocabulary)
         for batch in batches:
-            yield pd.Series(own.encode(batch.tolist()), dtype=object)
+            yield pa.array(own.encode(batch.to_pylist()), pa.binary())
+        own.known = {}  # a worker lives on when its task ends
 
     return encode(F.coalesce(text, F.lit("")))
 
@@ -257,11 +258,11 @@ def encoded(text: Column, vocabulary: Vocabulary) -> Column:
 def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
     """Binary: the bytes that packed ids stand for."""
 
-    @F.pandas_udf("binary")
-    def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = codec(vocabulary)
         for batch in batches:
-            yield pd.Series([None if x is None else own.decode(x) for x in batch], dtype=object)
+            yield pa.array([None if x is None else own.decode(x) for x in batch.to_pylist()], pa.binary())
 
     return decode(ids)
 
@@ -271,3 +272,21 @@ def encode_documents(df: DataFrame, vocabulary: Vocabulary, text: str = "text")
     tune(df.sparkSession)
     kept = [c for c in df.columns if c not in ("ids", "n_tokens")]
     return df.select(*kept, encoded(F.col(text), vocabulary).alias("ids")).select("*", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
+
+
+def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
+    """``df`` with ``ids`` (packed), ``n_tokens`` and ``decoded`` (bytes): both ways in one Python worker a task."""
+    tune(df.sparkSession)
+    kept = [c for c in df.columns if c not in ("ids", "n_tokens", "decoded")]
+
+    @F.arrow_udf("struct<ids:binary,decoded:binary>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = codec(vocabulary)
+        for batch in batches:
+            ids = own.encode(batch.to_pylist())
+            parts = [pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())]
+            yield pa.StructArray.from_arrays(parts, names=["ids", "decoded"])
+        own.known = {}
+
+    done = df.select(*kept, both(F.coalesce(F.col(text), F.lit(""))).alias("_both"))
+    return done.select(*kept, "_both.ids", (F.octet_length("_both.ids") / 4).cast("long").alias("n_tokens"), "_both.decoded")

@@ -16,7 +16,6 @@ import hashlib
 import unicodedata
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,9 +41,9 @@ def digest(form: bytes) -> str:
 def fingerprinted(text: Column) -> Column:
     """The text's fingerprint, 32 hexadecimal digits."""
 
-    @F.pandas_udf("string")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([digest(canonical(x)) for x in texts], dtype=object)
+    @F.arrow_udf("string")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([digest(canonical(x)) for x in texts.to_pylist()], pa.string())
 
     return of(F.coalesce(text, F.lit("")))
 
@@ -59,9 +58,9 @@ def exact_groups(df: DataFrame, key: str = "doc_id", text: str = "text") -> Data
     """
     tune(df.sparkSession)
 
-    @F.pandas_udf("binary")
-    def form(texts: pd.Series) -> pd.Series:
-        return pd.Series([canonical(x) for x in texts], dtype=object)
+    @F.arrow_udf("binary")
+    def form(texts: pa.Array) -> pa.Array:
+        return pa.array([canonical(x) for x in texts.to_pylist()], pa.binary())
 
     rows = df.select(F.col(key).alias("_key"), F.coalesce(F.col(text), F.lit("")).alias("_text")).withColumn("fingerprint", fingerprinted(F.col("_text")))
     prints = staged(rows.select("_key", "fingerprint"), "fingerprints")
@@ -97,9 +96,9 @@ def with_next(df: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[D
     firsts = sorted((r["_range"], r["first"]) for r in ids.groupBy("_range").agg(F.min("_order").alias("first")).collect())
     before = {first: firsts[i - 1][0] for i, (_, first) in enumerate(firsts)}
 
-    @F.pandas_udf("int")
-    def tail(order: pd.Series) -> pd.Series:
-        return order.map(before).astype("Int32")
+    @F.arrow_udf("int")
+    def tail(order: pa.Array) -> pa.Array:
+        return pa.array([before.get(x) for x in order.to_pylist()], pa.int32())
 
     places = rows.withColumn("_range", number("_order")).withColumn("_to", tail("_order"))
     own, extra = F.struct(F.col("_range"), F.lit(False).alias("_tail")), F.struct(F.col("_to").alias("_range"), F.lit(True).alias("_tail"))

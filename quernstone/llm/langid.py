@@ -17,7 +17,6 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -109,11 +108,11 @@ def fit(df: DataFrame, profile: Profile = Profile(), text: str = "text", lang: s
 def predicted(model: Model, text: Column) -> Column:
     """Struct of ``lang_pred`` and ``score`` (a softmax of the cosines, 0 to 1)."""
 
-    @F.pandas_udf("lang_pred string, score double")
-    def predict(texts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    @F.arrow_udf("struct<lang_pred:string,score:double>")
+    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in texts:
             names, scores = [], []
-            for body in batch:
+            for body in batch.to_pylist():
                 vector = encode(body, model.profile) if model.langs else None
                 if vector is None:
                     names.append(UNKNOWN)
@@ -124,7 +123,7 @@ def predicted(model: Model, text: Column) -> Column:
                 best = int(np.argmax(cosines))
                 names.append(model.langs[best])
                 scores.append(float(weights[best] / weights.sum()))
-            yield pd.DataFrame({"lang_pred": names, "score": scores})
+            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
 
     return predict(text)
 

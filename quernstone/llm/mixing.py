@@ -25,7 +25,7 @@ from dataclasses import dataclass
 from fractions import Fraction
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -150,18 +150,18 @@ def block_uses(sized: DataFrame, plans: list[Source], mix: Mix) -> DataFrame:
     blocks = np.array([p.blocks for p in plans], np.int64)
     shards = -(-int(totals.sum()) // mix.shard_slots)
 
-    def slots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def slots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for shard in batch["id"].tolist():
+            for shard in batch.column(0).to_pylist():
                 for _, start, counts in shard_counts(shard, shard + 1, shards, totals, mix):
                     for sid in np.nonzero(counts)[0].tolist():
                         j = np.arange(start[sid], start[sid] + counts[sid])
                         epoch = j // blocks[sid]
                         keys = {e: _key(mix, sid, e) for e in np.unique(epoch).tolist()}
                         block = permuted(j % blocks[sid], int(blocks[sid]), np.array([keys[e] for e in epoch.tolist()], np.uint64))
-                        yield pd.DataFrame({"sid": np.int32(sid), "block": block})
+                        yield pa.RecordBatch.from_pydict({"sid": np.full(len(block), sid, np.int32), "block": block})
 
-    drawn = spark.range(0, shards, 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))).mapInPandas(slots, "sid int, block bigint")
+    drawn = spark.range(0, shards, 1, max(1, min(shards, 4 * spark.sparkContext.defaultParallelism))).mapInArrow(slots, "sid int, block bigint")
     return drawn.groupBy("sid", "block").agg(F.count("*").alias("times"))
 
 

@@ -25,12 +25,11 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged, tune
+from .shared import n_partitions, staged, tune
 
 
 @dataclass(frozen=True)
@@ -72,7 +71,7 @@ class Sketcher:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 500_000:
+        if len(known) > 100_000:
             known.clear()
         hashes = []
         for word in words:
@@ -175,9 +174,9 @@ def may_link(one: np.ndarray, two: np.ndarray, a: np.ndarray, b: np.ndarray, how
     return out
 
 
-def _rows(column: pd.Series) -> np.ndarray:
+def _rows(column: pa.Array) -> np.ndarray:
     """Sketches of a column, a row each."""
-    return np.frombuffer(b"".join(column), np.uint16).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
 
 
 def central_pairs(members: DataFrame) -> DataFrame:
@@ -192,11 +191,11 @@ def likely(pairs: DataFrame, classes: DataFrame, how: Sketching) -> DataFrame:
     """The pairs whose registers may reach the bound."""
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
 
-    @F.pandas_udf("boolean")
-    def may(r_a: pd.Series, r_b: pd.Series, n_a: pd.Series, n_b: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def may(r_a: pa.Array, r_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
         if not len(r_a):
-            return pd.Series([], dtype=bool)
-        return pd.Series(may_link(_rows(r_a), _rows(r_b), n_a.to_numpy(), n_b.to_numpy(), how, how.slack))
+            return pa.array([], pa.bool_())
+        return pa.array(may_link(_rows(r_a), _rows(r_b), n_a.to_numpy(), n_b.to_numpy(), how, how.slack))
 
     met = pairs.join(side("a"), "a").join(side("b"), "b")
     return met.where(may("r_a", "r_b", "n_a", "n_b")).select("a", "b")
@@ -205,14 +204,14 @@ def likely(pairs: DataFrame, classes: DataFrame, how: Sketching) -> DataFrame:
 def verified(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
     """The pairs whose full sets reach the bound."""
 
-    @F.pandas_udf("boolean")
-    def linked(one: pd.Series, two: pd.Series) -> pd.Series:
+    @F.arrow_udf("boolean")
+    def linked(one: pa.Array, two: pa.Array) -> pa.Array:
         out = []
-        for x, y in zip(one, two, strict=True):
+        for x, y in zip(one.to_pylist(), two.to_pylist(), strict=True):
             p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
             both = len(np.intersect1d(p, q, assume_unique=True))
             out.append(100 * both >= how.percent * (len(p) + len(q) - both))
-        return pd.Series(out, dtype=bool)
+        return pa.array(out, pa.bool_())
 
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("hashes").alias(f"h_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").where(linked("h_a", "h_b")).select("a", "b")
@@ -273,23 +272,44 @@ def remaining_pairs(inside: DataFrame, sets: DataFrame, how: Sketching) -> DataF
     dealt = dealt.select("band", "number", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cid", "root")
     full = dealt.join(sets.select("cid", "n_shingles", "registers"), "cid")
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        x, y, number = int(group["x"].iloc[0]), int(group["y"].iloc[0]), int(group["number"].iloc[0])
-        left, right = group[group["mine"] == x], group[group["mine"] == y]
-        if not len(left) or not len(right):
-            return pd.DataFrame({"a": [], "b": []}, dtype=np.int64)
-        r, n, roots, ids = _rows(right["registers"]), right["n_shingles"].to_numpy(), right["root"].to_numpy(), right["cid"].to_numpy()
-        out = []
-        for cid, root, size, one in zip(left["cid"], left["root"], left["n_shingles"], _rows(left["registers"]), strict=True):
-            some = np.nonzero((roots != root) & ((ids > cid) if x == y else True))[0]
-            if not len(some):
-                continue
-            near = some[may_link(np.broadcast_to(one, (len(some), len(one))), r[some], np.full(len(some), size), n[some], how, how.fine_slack)]
-            shared = (r[near, : how.registers] == one[: how.registers]).reshape(len(near), how.bands, how.rows).all(axis=2)
-            out += [(min(cid, i), max(cid, i)) for i in ids[near[shared.argmax(axis=1) == number]].tolist()]
-        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
-
-    return full.groupBy("band", "x", "y").applyInPandas(compare, "a bigint, b bigint")
+    def compare(group: list[tuple]) -> pa.RecordBatch:
+        """Likely pairs of one group: rows (number, x, y, mine, cid, root, n_shingles, registers)."""
+        number, x, y = group[0][:3]
+        group.sort(key=lambda r: r[4])
+        left, right = [r for r in group if r[3] == x], [r for r in group if r[3] == y]
+        first, second = [], []
+        if left and right:
+            table = np.frombuffer(b"".join(r[7] for r in right), np.uint16).reshape(len(right), -1)
+            ids, roots, n = (np.array([r[i] for r in right], np.int64) for i in (4, 5, 6))
+            for _, _, _, _, cid, root, size, sketch in left:
+                some = np.nonzero((roots != root) & ((ids > cid) if x == y else True))[0]
+                if not len(some):
+                    continue
+                one = np.frombuffer(sketch, np.uint16)
+                near = some[may_link(np.broadcast_to(one, (len(some), len(one))), table[some], np.full(len(some), size), n[some], how, how.fine_slack)]
+                shared = (table[near, : how.registers] == one[: how.registers]).reshape(len(near), how.bands, how.rows).all(axis=2)
+                for other in ids[near[shared.argmax(axis=1) == number]].tolist():
+                    first.append(min(cid, other))
+                    second.append(max(cid, other))
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+        for batch in batches:
+            for band, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                key = (band, row[1], row[2])
+                if key != at and group:
+                    yield compare(group)
+                    group = []
+                at = key
+                group.append(tuple(row))
+        if group:
+            yield compare(group)
+
+    # a group has at most two blocks; a task holds one group at a time
+    rows = full.select("band", "number", "x", "y", "mine", "cid", "root", "n_shingles", "registers")
+    dealt = rows.repartition(n_partitions(inside.sparkSession), "band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return dealt.mapInArrow(walk, "a bigint, b bigint")
 
 
 def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -299,10 +319,10 @@ def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc
     real = found.where("cid is not null")
     classes = staged(real.groupBy("cid").agg(F.min("_key").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
 
-    @F.pandas_udf("array<bigint>")
-    def bands(registers: pd.Series) -> pd.Series:
+    @F.arrow_udf("array<bigint>")
+    def bands(registers: pa.Array) -> pa.Array:
         own = Sketcher(how)
-        return pd.Series([own.bands(x) for x in _rows(registers)] if len(registers) else [], dtype=object)
+        return pa.array([own.bands(x) for x in _rows(registers)] if len(registers) else [], pa.list_(pa.int64()))
 
     each = classes.select("cid", F.posexplode(bands("registers")).alias("number", "band"))
     shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
@@ -325,6 +345,6 @@ def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc
 
 def deduplicated(df: DataFrame, how: Sketching = Sketching(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``df`` that are the first of their component; of rows with that key, one; null keys stay."""
-    kept = near_duplicates(df, how, key, text).where("kept").select(F.col(key).alias("_kept")).distinct()
-    rows = df.join(kept, F.col(key).eqNullSafe(F.col("_kept")), "left_semi")
-    return rows.where(F.col(key).isNotNull()).dropDuplicates([key]).unionByName(rows.where(F.col(key).isNull()))
+    kept = near_duplicates(df, how, key, text).where("kept").select(F.col(key).alias("_kept")).where("_kept IS NOT NULL").distinct()
+    first = df.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])  # dealt by the key once
+    return first.unionByName(df.where(F.col(key).isNull()))

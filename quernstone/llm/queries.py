@@ -45,8 +45,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    encoded = bpe.encode_documents(_documents(spark, sf_dir).select("doc_id", "text"), VOCABULARY)
-    back = encoded.select("doc_id", "n_tokens", "ids", bpe.decoded(F.col("ids"), VOCABULARY).alias("decoded"))
+    back = bpe.round_trip(_documents(spark, sf_dir).select("doc_id", "text"), VOCABULARY)
     return back.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

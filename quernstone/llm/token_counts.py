@@ -18,7 +18,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -100,14 +100,15 @@ class Counter:
 
 
 def counted(text: Column, how: Counting) -> Column:
-    @F.pandas_udf("long")
-    def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("long")
+    def lengths(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         counter = _counters.get(how) or _counters.setdefault(how, Counter(how))
         for batch in batches:
-            yield pd.Series(counter.count(batch.tolist()), dtype="int64")
+            yield pa.array(counter.count(batch.to_pylist()), pa.int64())
+        counter.known = {}  # a worker lives on when its task ends
 
     return lengths(F.coalesce(text, F.lit("")))
 

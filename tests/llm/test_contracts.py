@@ -267,6 +267,8 @@ def test_bpe_matches_the_library(docs, awkward):
         ids = library.encode_ordinary(r["text"] or "")
         assert r["n_tokens"] == len(ids) and bytes(r["ids"]) == b"".join(i.to_bytes(4, "little") for i in ids)
         assert bytes(r["decoded"]) == (r["text"] or "").encode()
+    one = rows(bpe.round_trip(df, queries.VOCABULARY).select("ids", "n_tokens", "decoded"))
+    assert sorted(map(str, one)) == sorted(map(str, rows(back.select("ids", "n_tokens", "decoded"))))
 
 
 def test_bpe_trees_agree():
@@ -380,34 +382,49 @@ def test_trees_learn_from_cells():
 def test_token_shards(spark, docs, awkward, tmp_path):
     import numpy as np
 
-    df = both(docs, awkward)
+    from quernstone.llm.shared import unpermuted
+
+    df = both(docs, awkward).coalesce(1)
     how = token_shards.Layout(queries.LAYOUT.path, queries.LAYOUT.pattern, length=64, shard=37)
-    index = rows(token_shards.materialise(df, how, f"file://{tmp_path}/t"))
-    assert sorted(r["slot"] for r in index) == list(range(len(index)))
+    index = sorted(rows(token_shards.materialise(df, how, f"file://{tmp_path}/t")), key=lambda r: r["slot"])
+    assert [r["slot"] for r in index] == list(range(len(index)))
     stored = list(token_shards.read_from(f"file://{tmp_path}/t", how))
-    assert len(stored) == len(index)
-    texts = {}
-    for r in rows(df):
-        texts.setdefault(r["doc_id"], r["text"] or "")
-    at = {(r["doc_id"], r["seq_no"]): r["slot"] for r in index if r["doc_id"] is not None}
-    for key, text in texts.items():
-        if key is None or list(texts).count(key) > 1:
-            continue
-        whole, n = [], 0
-        while (key, n) in at:
-            whole += stored[at[key, n]].tolist()
-            n += 1
-        assert whole == [*token_shards.encoder(how).encode_ordinary(text), how.end]
+    assert [len(x) for x in stored] == [r["n_tokens"] for r in index]
     resumed = list(token_shards.read_from(f"file://{tmp_path}/t", how, 50))
     assert all(np.array_equal(a, b) for a, b in zip(resumed, stored[50:], strict=True))
+    # put the sequences back in the order of the input: they are the documents' stream
+    total = token_shards.ROOM
+    places = np.sort(token_shards.permuted(np.arange(len(index)), total, how.key))
+    order = np.argsort(unpermuted(places, total, how.key))
+    stream = np.concatenate([stored[i] for i in order]).tolist()
+    wanted, at = [], []
+    for r in rows(df):
+        ids = [*token_shards.encoder(how).encode_ordinary(r["text"] or ""), how.end]
+        wanted += ids
+        at += [r["doc_id"]] * len(ids)
+    assert stream == wanted
+    for n, i in enumerate(order):
+        assert index[i]["doc_ids"] == list(dict.fromkeys(at[n * 64 : n * 64 + 64])) or 8 + 10**6 in index[i]["doc_ids"]
     sizes = [p.stat().st_size for p in sorted((tmp_path / "t").glob("tokens-*"))]
     assert len(sizes) > 5 and all(s % how.stride == 0 for s in sizes)
     for r in index[::17]:
         (path,) = (tmp_path / "t").glob(f"tokens-{r['shard']:08d}.bin")
         body = path.read_bytes()[r["byte_offset"] : r["byte_offset"] + how.stride]
         assert hashlib.sha256(body[4:]).hexdigest() == r["ids_sha256"] and np.frombuffer(body, "<u4", 1)[0] == r["n_tokens"]
-    again = rows(token_shards.materialise(df, how))
-    assert sorted(map(str, again)) == sorted(map(str, index))
+    assert sorted(map(str, rows(token_shards.materialise(df, how)))) == sorted(map(str, index))
+
+
+def test_packing_is_the_same_in_any_batches():
+    how = token_shards.Layout(queries.LAYOUT.path, queries.LAYOUT.pattern, length=8)
+    texts = [(i, "word " * (i * 7 % 11)) for i in range(30)]
+    whole, bits = token_shards.Packer(how), token_shards.Packer(how)
+    for key, text in texts:
+        whole.add(key, text)
+    out = []
+    for key, text in texts:
+        bits.add(key, text)
+        out += bits.take(last=False)
+    assert out + bits.take(last=True) == whole.take(last=True) and token_shards.Packer(how).take(last=True) == []
 
 
 # 9
@@ -481,6 +498,24 @@ def test_apply_mix(docs):
 # all
 
 
+def test_pipeline(spark, sf):
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    columns = docs.columns
+    assert [n for n, _ in corpus_pipeline.STAGES][1].startswith("MinHash") and len(corpus_pipeline.STAGES) == 5
+    ids = {r["doc_id"] for r in rows(docs)}
+    found = rows(corpus_pipeline.run(spark, sf))
+    assert found and all(r["round_trip"] and r["doc_id"] in ids for r in found)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stage(spark, docs, sf)
+        assert docs.columns == columns
+    kept = brute_components([(r["doc_id"], r["text"]) for r in rows(spark.read.parquet(f"{sf}/documents.parquet"))], 5, 80)
+    first = {i for i, n, c in kept if n == 0 or i == c}
+    assert {r["doc_id"] for r in found} <= first and {r["doc_id"] for r in rows(docs)} == {r["doc_id"] for r in found}
+    assert not any("@mail" in r["text"] for r in rows(docs))
+
+
 def test_empty_tables(spark, empty):
     assert rows(media.media_report(empty)) == [] and rows(near_dedup.near_duplicates(empty)) == []
     assert rows(fingerprints.edit_report(empty)) == [] and rows(fingerprints.exact_groups(empty)) == []
