@@ -1,9 +1,9 @@
 """Token-ID output in training order.
 
-Texts become token ids, cut into sequences of a fixed length (each text ends with the end-of-text
-id; a text's last sequence is filled up with it). Sequence i, numbered by the input partition and
-its place there, goes to place P(i), P a keyed Feistel permutation with cycle-walking of the
-range of all such numbers. Equal ranges of places make shards: files of records of one fixed
+Texts become token ids, each ended by the end-of-text id, and one stream a partition of the input;
+the stream is cut into sequences of a fixed length, the last filled up with that id. Sequence i,
+numbered by the input partition and its place there, goes to place P(i), P a keyed Feistel
+permutation with cycle-walking of the range of all such numbers. Equal ranges of places make shards: files of records of one fixed
 stride, in order of place. Numbers are sparse, so a shard holds about, not exactly, as many records
 as asked for; a sequence's global slot is the number of sequences placed before it. So tokens are
 made once and moved once, and no count of them is needed first. A reader finds slot s by the sizes
@@ -11,10 +11,9 @@ of the files, resumes there, and reads training order as it reads the files.
 
 A record is a little-endian 32-bit count of real tokens followed by ``length`` 16-bit ids.
 
-Cases: a null or empty text gives one sequence with the end-of-text id alone. Repeated rows give
-sequences of their own. An empty table gives no shard. A text of any length is cut into as many
-sequences as it needs. A retried task replaces its shard by one with the same bytes. Ids of 65,536
-or more raise ValueError.
+Cases: a null or empty text gives the end-of-text id alone. Repeated rows give tokens of their own.
+An empty table gives no shard. A text of any length spreads over as many sequences as it needs. A
+retried task replaces its shard by one with the same bytes. Ids of 65,536 or more raise ValueError.
 """
 
 from __future__ import annotations
@@ -63,19 +62,40 @@ def encoder(layout: Layout):
     return _encoders[layout.path]
 
 
-def records(text: str | None, layout: Layout) -> list[tuple[int, bytes]]:
-    """Number of real tokens and record of each sequence of a text."""
-    ids = np.append(encoder(layout).encode_to_numpy(text or "", disallowed_special=()), layout.end)
-    if int(ids.max()) > 65535:
-        raise ValueError("an id needs more than 16 bits")
-    n = -(-len(ids) // layout.length)
-    block = np.full(n * layout.length, layout.end, "<u2")
-    block[: len(ids)] = ids
-    out = []
-    for i in range(n):
-        real = min(layout.length, len(ids) - i * layout.length)
-        out.append((real, np.array([real], "<u4").tobytes() + block[i * layout.length : (i + 1) * layout.length].tobytes()))
-    return out
+class Packer:
+    """Cuts a stream of documents into records; holds less than one sequence between calls of ``take``."""
+
+    def __init__(self, layout: Layout):
+        self.layout, self.docs, self.sizes, self.ids = layout, [], [], []
+
+    def add(self, key: int | None, text: str | None) -> None:
+        ids = np.append(encoder(self.layout).encode_to_numpy(text or "", disallowed_special=()), self.layout.end)
+        if int(ids.max()) > 65535:
+            raise ValueError("an id needs more than 16 bits")
+        self.docs.append(key)
+        self.sizes.append(len(ids))
+        self.ids.append(ids.astype("<u2"))
+
+    def take(self, last: bool) -> list[tuple[list, int, bytes]]:
+        """Documents, number of real tokens and record of each whole sequence; with ``last`` of the rest too."""
+        length = self.layout.length
+        ids = np.concatenate(self.ids) if self.ids else np.zeros(0, "<u2")
+        ends = np.cumsum(self.sizes) if self.sizes else np.zeros(0, np.int64)
+        n = -(-len(ids) // length) if last else len(ids) // length
+        out = []
+        for low in range(0, n * length, length):
+            part = ids[low : low + length]
+            first, end = np.searchsorted(ends, [low, low + len(part) - 1], side="right")
+            filled = np.full(length, self.layout.end, "<u2")
+            filled[: len(part)] = part
+            out.append((self.docs[first : end + 1], len(part), np.array([len(part)], "<u4").tobytes() + filled.tobytes()))
+        used = min(n * length, len(ids))
+        kept = int(np.searchsorted(ends, used, side="right"))
+        self.docs, self.sizes = self.docs[kept:], self.sizes[kept:]
+        if self.sizes:
+            self.sizes[0] = int(ends[kept]) - used
+        self.ids = [ids[used:].copy()] if used < len(ids) else []
+        return out
 
 
 #: Sequences one input partition may hold.
@@ -83,32 +103,38 @@ ROOM = 1 << 26
 
 
 def sequences(df: DataFrame, layout: Layout, parts: int, shards: int) -> DataFrame:
-    """``doc_id, seq_no, n_tokens, record, place, shard`` of a table of ``parts`` partitions."""
+    """``doc_ids, n_tokens, record, place, shard`` of a table of ``parts`` partitions."""
     tune(df.sparkSession)
     total = max(1, parts) * ROOM
-    names, types = ["doc_id", "seq_no", "n_tokens", "record", "place", "shard"], [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    names, types = ["doc_ids", "n_tokens", "record", "place", "shard"], [pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        if TaskContext.get().partitionId() >= parts:
+        part, number, packer = TaskContext.get().partitionId(), 0, Packer(layout)
+        if part >= parts:
             raise ValueError("the table has more partitions than were counted")
-        number = TaskContext.get().partitionId() * ROOM
-        for batch in batches:
-            rows: list[tuple] = []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows += [(key, n, real, record) for n, (real, record) in enumerate(records(text, layout))]
-            place = permuted(np.arange(number, number + len(rows)), total, layout.key)
+
+        def placed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            nonlocal number
+            index = np.arange(number, number + len(rows))
             number += len(rows)
-            if number % ROOM < len(rows):
+            if number > ROOM:
                 raise ValueError("an input partition holds too many sequences")
+            place = permuted(part * ROOM + index, total, layout.key)
             shard = (place / total * shards).astype(np.int64)
             for at in range(0, len(rows), 4000):
-                part = slice(at, at + 4000)
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows[part], strict=True), types, strict=False)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(place[part]), pa.array(shard[part])], names)
+                some = slice(at, at + 4000)
+                columns = [pa.array(x, t) for x, t in zip(zip(*rows[some], strict=True), types, strict=False)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(place[some]), pa.array(shard[some])], names)
+
+        for batch in batches:
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                packer.add(key, text)
+            yield from placed(packer.take(last=False))
+        yield from placed(packer.take(last=True))
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_id bigint, seq_no bigint, n_tokens int, record binary, place bigint, shard bigint")
+    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_ids array<bigint>, n_tokens int, record binary, place bigint, shard bigint")
 
 
 def materialise(df: DataFrame, layout: Layout, folder: str | None = None) -> DataFrame:
@@ -118,11 +144,11 @@ def materialise(df: DataFrame, layout: Layout, folder: str | None = None) -> Dat
     """
     spark = df.sparkSession
     root = folder or shared_folder(spark, "tokens")
-    size = df.agg((F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / layout.bytes_a_token / layout.length + F.count("*") * 0.5).alias("n")).first()["n"] or 0
+    size = df.agg((F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / layout.bytes_a_token / layout.length).alias("n")).first()["n"] or 0
     shards = max(1, round(size / layout.shard))
     found = sequences(df, layout, df.rdd.getNumPartitions(), shards)
     dealt = found.repartition(max(1, min(shards, 8 * n_partitions(spark))), "shard").sortWithinPartitions("place")
-    names, types = ["doc_id", "seq_no", "n_tokens", "shard", "record_no", "ids_sha256"], [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.string()]
+    names, types = ["doc_ids", "n_tokens", "shard", "record_no", "ids_sha256"], [pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import uuid
@@ -136,30 +162,33 @@ def materialise(df: DataFrame, layout: Layout, folder: str | None = None) -> Dat
         def close() -> None:
             if out is not None:
                 out.close()
-                system.move(temporary, f"{place}/tokens-{shard:08d}.bin")
+                target = f"{place}/tokens-{shard:08d}.bin"
+                if system.get_file_info(target).type != fs.FileType.NotFound:  # of an attempt that was lost
+                    system.delete_file(target)
+                system.move(temporary, target)
 
         for batch in batches:
             rows = []
-            for key, n, real, body, mine in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_id", "seq_no", "n_tokens", "record", "shard")), strict=True):
+            for keys, real, body, mine in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_ids", "n_tokens", "record", "shard")), strict=True):
                 if mine != shard:
                     close()
                     shard, count = mine, 0
                     temporary = f"{place}/.tokens-{shard:08d}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(temporary)
                 out.write(body)
-                rows.append((key, n, real, shard, count, hashlib.sha256(body[4:]).hexdigest()))
+                rows.append((keys, real, shard, count, hashlib.sha256(body[4:]).hexdigest()))
                 count += 1
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
         close()
 
-    index = staged(dealt.mapInArrow(write, "doc_id bigint, seq_no bigint, n_tokens int, shard bigint, record_no bigint, ids_sha256 string"), "token-index")
+    index = staged(dealt.mapInArrow(write, "doc_ids array<bigint>, n_tokens int, shard bigint, record_no bigint, ids_sha256 string"), "token-index")
     before, starts = 0, []
     for r in sorted(index.groupBy("shard").agg(F.count("*").alias("n")).collect()):
         starts.append((r["shard"], before))
         before += r["n"]
     first = spark.createDataFrame(starts, "shard bigint, first bigint")
     met = index.join(F.broadcast(first), "shard")  # a row a shard
-    return met.select("doc_id", "seq_no", "n_tokens", (F.col("first") + F.col("record_no")).alias("slot"), "shard", (F.col("record_no") * layout.stride).alias("byte_offset"), "ids_sha256")
+    return met.select("doc_ids", "n_tokens", (F.col("first") + F.col("record_no")).alias("slot"), "shard", (F.col("record_no") * layout.stride).alias("byte_offset"), "ids_sha256")
 
 
 def read_from(folder: str, layout: Layout, slot: int = 0) -> Iterator[np.ndarray]:
