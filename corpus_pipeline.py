@@ -37,9 +37,9 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row a document of the mix: its token ids, packed, and whether they decode to its text."""
-    encoded = bpe.encode_documents(docs, VOCABULARY)
-    same = bpe.decoded(F.col("ids"), VOCABULARY) == F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    return encoded.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
+    back = bpe.round_trip(docs, VOCABULARY)
+    same = F.col("decoded") == F.coalesce(F.col("text"), F.lit("")).cast("binary")
+    return back.select("doc_id", "lang", "source", "n_tokens", "ids", same.alias("round_trip"))
 
 
 STAGES = [("language ID", language), ("MinHash near-dedup", near_duplicates), ("PII", personal_data), ("mixing sources to target weights", mix), ("byte-level BPE encoding and decoding", tokens)]
