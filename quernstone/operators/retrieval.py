@@ -197,28 +197,34 @@ def in_order(df: DataFrame, keys: list[str], column: str = "code") -> DataFrame:
     return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def similar_pairs(df: DataFrame, column: str, least: float, top: int) -> DataFrame:
+def similar_pairs(df: DataFrame, column: str, least: float, top: int, within: list[str] | None = None) -> DataFrame:
     """``a, b, similarity``: each row's most similar others by term counts, at least ``least`` (above 0).
 
-    Exact, by prefix filtering: a row's terms are put in order of rarity; where the rest of the
-    vector is shorter than ``least``, no pair that shares only the rest can reach it. So two similar
-    rows share their rarest common term inside both prefixes, and only prefixes are joined; common
-    terms, which would make quadratic lists, stand at the end. Then the pairs found get their dot product.
+    With ``within``, only rows that agree in these columns (a scope) are compared.
+
+    Exact, by prefix filtering: a row's terms are put in order of rarity, and cut where the rest of
+    its vector is shorter than half of ``least``. What a pair has in common in both prefixes, and a
+    bound for the rest (at most the longer rest), rule most pairs out; the others get their whole dot
+    product. Common terms, which would make quadratic lists, stand at the end and are rarely joined.
     """
-    terms = df.select("id", F.explode(text.tokens(F.coalesce(F.col(column), F.lit("")))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
-    spread = terms.groupBy("term").agg(F.count("*").alias("df"))
+    scope = within or []
+    terms = df.select("id", *scope, F.explode(text.tokens(F.coalesce(F.col(column), F.lit("")))).alias("term")).groupBy("id", *scope, "term").agg(F.count("*").alias("tf"))
+    spread = terms.groupBy(*scope, "term").agg(F.count("*").alias("df"))
     inside = Window.partitionBy("id")
     rest = inside.orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)  # from the end up to here
     square = F.col("tf") * F.col("tf")
-    sized = terms.join(spread, "term").withColumn("norm2", F.sum(square).over(inside)).withColumn("_rest", F.sum(square).over(rest))
-    prefix = sized.where((F.col("df") > 1) & (F.col("_rest") >= F.col("norm2") * (least * least - 1e-9)))
-    side = lambda x: prefix.select("term", F.col("id").alias(x))
-    found = side("a").join(side("b"), "term").where("a < b").select("a", "b").distinct()
+    sized = terms.join(spread, [*scope, "term"]).withColumn("norm2", F.sum(square).over(inside)).withColumn("_rest", F.sum(square).over(rest))
+    in_prefix = F.col("_rest") >= F.col("norm2") * (least * least / 4)
+    prefix = sized.where(in_prefix & (F.col("df") > 1))
+    rows = sized.groupBy("id").agg(F.sqrt(F.max("norm2").cast("double")).alias("norm"), F.sqrt(F.coalesce(F.sum(F.when(~in_prefix, square)), F.lit(0)).cast("double")).alias("rest"))
+    side = lambda x, tf: prefix.select(*scope, "term", F.col("id").alias(x), F.col("tf").alias(tf))
+    shared = side("a", "x").join(side("b", "y"), [*scope, "term"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("_shared"))
+    size = lambda x: rows.select(F.col("id").alias(x), F.col("norm").alias(f"n_{x}"), (F.col("rest") / F.col("norm")).alias(f"rest_{x}"))
+    bound = F.col("_shared") / (F.col("n_a") * F.col("n_b")) + F.greatest("rest_a", "rest_b")
+    found = shared.join(size("a"), "a").join(size("b"), "b").where(bound >= least - 1e-9).select("a", "b", "n_a", "n_b")
     whole = lambda x, tf: terms.select(F.col("id").alias(x), "term", F.col("tf").alias(tf))
-    dots = found.join(whole("a", "x"), "a").join(whole("b", "y"), ["b", "term"]).groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    norms = terms.groupBy("id").agg(F.sqrt(F.sum(square).cast("double")).alias("norm"))
-    n_a, n_b = norms.select(F.col("id").alias("a"), F.col("norm").alias("n_a")), norms.select(F.col("id").alias("b"), F.col("norm").alias("n_b"))
-    scored = dots.join(n_a, "a").join(n_b, "b").withColumn("similarity", F.col("dot") / (F.col("n_a") * F.col("n_b"))).where(F.col("similarity") >= least)
+    dots = found.join(whole("a", "x"), "a").join(whole("b", "y"), ["b", "term"]).groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    scored = dots.withColumn("similarity", F.col("dot") / (F.col("n_a") * F.col("n_b"))).where(F.col("similarity") >= least)
     both = scored.select("a", "b", "similarity").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
     best = Window.partitionBy("a").orderBy(F.round("similarity", 9).desc(), "b")
     return both.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= top).drop("_n")

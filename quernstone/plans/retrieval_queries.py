@@ -211,15 +211,15 @@ def memory_conflicts(t: Tables):
 
 
 @query(
-    "J23 similarity join of standards, five best",
+    "J23 similarity join of the standards of a repository, five best",
     f"""WITH s AS (SELECT * FROM standards), {_terms_sql("s")},
-dots AS (SELECT x.id AS a, y.id AS b, CAST(sum(x.tf * y.tf) AS DOUBLE) AS dot FROM tok x JOIN tok y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id),
-sims AS (SELECT a, b, dot / (p.norm * q.norm) AS similarity FROM dots JOIN norms p ON p.id = a JOIN norms q ON q.id = b WHERE dot / (p.norm * q.norm) >= 0.8),
+dots AS (SELECT x.id AS a, y.id AS b, CAST(sum(x.tf * y.tf) AS DOUBLE) AS dot FROM tok x JOIN s p ON p.id = x.id JOIN tok y ON x.term = y.term AND x.id < y.id JOIN s q ON q.id = y.id AND q.repo = p.repo GROUP BY x.id, y.id),
+sims AS (SELECT a, b, dot / (p.norm * q.norm) AS similarity FROM dots JOIN norms p ON p.id = a JOIN norms q ON q.id = b WHERE dot / (p.norm * q.norm) >= 0.6),
 twice AS (SELECT a, b, similarity FROM sims UNION ALL SELECT b, a, similarity FROM sims)
 SELECT a, b, round(similarity, 6) AS similarity FROM twice QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(similarity, 9) DESC, b) <= 5""",
 )
 def near_duplicate_pairs(t: Tables):
-    return R.similar_pairs(t.standards, "content", 0.8, 5).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return R.similar_pairs(t.standards, "content", 0.6, 5, ["repo"]).select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
