@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import tune
+from .shared import tune, with_columns
 
 NONE = np.int32(2**31 - 1)
 SHORT = 64
@@ -279,14 +279,15 @@ def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> Dat
     tune(df.sparkSession)
     kept = [c for c in df.columns if c not in ("ids", "n_tokens", "decoded")]
 
-    @F.arrow_udf("struct<ids:binary,decoded:binary>")
-    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    def task():
         own = codec(vocabulary)
-        for batch in batches:
-            ids = own.encode(batch.to_pylist())
-            parts = [pa.array(ids, pa.binary()), pa.array([own.decode(x) for x in ids], pa.binary())]
-            yield pa.StructArray.from_arrays(parts, names=["ids", "decoded"])
-        own.known = {}
+        own.known = {}  # what the task before on this worker remembered
+
+        def both(texts: list) -> list[tuple]:
+            ids = own.encode([x or "" for x in texts])
+            return [(x, own.decode(x)) for x in ids]
+
+        return both
 
-    done = df.select(*kept, both(F.coalesce(F.col(text), F.lit(""))).alias("_both"))
-    return done.select(*kept, "_both.ids", (F.octet_length("_both.ids") / 4).cast("long").alias("n_tokens"), "_both.decoded")
+    done = with_columns(df.select(*(F.col(f"`{c}`") for c in kept)), text, "ids binary, decoded binary", ["ids", "decoded"], [pa.binary(), pa.binary()], task)
+    return done.withColumn("n_tokens", (F.octet_length("ids") / 4).cast("long"))

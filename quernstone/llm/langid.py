@@ -18,10 +18,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import tune
+from .shared import tune, with_columns
 
 UNKNOWN = "und"
 SYMBOLS = 64
@@ -105,31 +105,24 @@ def fit(df: DataFrame, profile: Profile = Profile(), text: str = "text", lang: s
     return Model(profile, langs, np.array(units, np.float32).reshape(len(langs), profile.dim))
 
 
-def predicted(model: Model, text: Column) -> Column:
-    """Struct of ``lang_pred`` and ``score`` (a softmax of the cosines, 0 to 1)."""
-
-    @F.arrow_udf("struct<lang_pred:string,score:double>")
-    def predict(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for batch in texts:
-            names, scores = [], []
-            for body in batch.to_pylist():
-                vector = encode(body, model.profile) if model.langs else None
-                if vector is None:
-                    names.append(UNKNOWN)
-                    scores.append(0.0)
-                    continue
-                cosines = (model.prototypes @ vector).astype(np.float64)
-                weights = np.exp((cosines - cosines.max()) * model.profile.sharpness)
-                best = int(np.argmax(cosines))
-                names.append(model.langs[best])
-                scores.append(float(weights[best] / weights.sum()))
-            yield pa.StructArray.from_arrays([pa.array(names, pa.string()), pa.array(scores, pa.float64())], names=["lang_pred", "score"])
-
-    return predict(text)
+def predictions(model: Model, texts: list) -> list[tuple[str, float]]:
+    """Language and score (a softmax of the cosines, 0 to 1) of each text."""
+    out = []
+    for body in texts:
+        vector = encode(body, model.profile) if model.langs else None
+        if vector is None:
+            out.append((UNKNOWN, 0.0))
+            continue
+        cosines = (model.prototypes @ vector).astype(np.float64)
+        weights = np.exp((cosines - cosines.max()) * model.profile.sharpness)
+        best = int(np.argmax(cosines))
+        out.append((model.langs[best], float(weights[best] / weights.sum())))
+    return out
 
 
 def identify(df: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """``df`` with ``lang_pred`` and ``score``; columns of these names in ``df`` are replaced."""
     tune(df.sparkSession)
     kept = [c for c in df.columns if c not in ("lang_pred", "score")]
-    return df.select(*kept, predicted(model, F.col(text)).alias("_lang")).select(*kept, "_lang.lang_pred", "_lang.score")
+    rows = df.select(*(F.col(f"`{c}`") for c in kept))
+    return with_columns(rows, text, "lang_pred string, score double", ["lang_pred", "score"], [pa.string(), pa.float64()], lambda: lambda texts: predictions(model, texts))

@@ -191,30 +191,32 @@ def likely(pairs: DataFrame, classes: DataFrame, how: Sketching) -> DataFrame:
     """The pairs whose registers may reach the bound."""
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("registers").alias(f"r_{x}"))
 
-    @F.arrow_udf("boolean")
-    def may(r_a: pa.Array, r_b: pa.Array, n_a: pa.Array, n_b: pa.Array) -> pa.Array:
-        if not len(r_a):
-            return pa.array([], pa.bool_())
-        return pa.array(may_link(_rows(r_a), _rows(r_b), n_a.to_numpy(), n_b.to_numpy(), how, how.slack))
+    def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                r_a, r_b, n_a, n_b = batch.columns[2:]
+                good = may_link(_rows(r_a), _rows(r_b), n_a.to_numpy(), n_b.to_numpy(), how, how.slack)
+                yield batch.select(["a", "b"]).filter(pa.array(good))
 
-    met = pairs.join(side("a"), "a").join(side("b"), "b")
-    return met.where(may("r_a", "r_b", "n_a", "n_b")).select("a", "b")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "r_a", "r_b", "n_a", "n_b")
+    return met.mapInArrow(may, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
     """The pairs whose full sets reach the bound."""
 
-    @F.arrow_udf("boolean")
-    def linked(one: pa.Array, two: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(one.to_pylist(), two.to_pylist(), strict=True):
-            p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-            both = len(np.intersect1d(p, q, assume_unique=True))
-            out.append(100 * both >= how.percent * (len(p) + len(q) - both))
-        return pa.array(out, pa.bool_())
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            good = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                both = len(np.intersect1d(p, q, assume_unique=True))
+                good.append(100 * both >= how.percent * (len(p) + len(q) - both))
+            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("hashes").alias(f"h_{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(linked("h_a", "h_b")).select("a", "b")
+    met = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "h_a", "h_b")
+    return met.mapInArrow(linked, "a bigint, b bigint")
 
 
 def full_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, how: Sketching, key: str, text: str, fine: bool = False) -> DataFrame:
@@ -319,12 +321,15 @@ def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc
     real = found.where("cid is not null")
     classes = staged(real.groupBy("cid").agg(F.min("_key").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
 
-    @F.arrow_udf("array<bigint>")
-    def bands(registers: pa.Array) -> pa.Array:
-        own = Sketcher(how)
-        return pa.array([own.bands(x) for x in _rows(registers)] if len(registers) else [], pa.list_(pa.int64()))
+    def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, number = Sketcher(how), np.arange(how.bands, dtype=np.int32)
+        for batch in batches:
+            if batch.num_rows:
+                values = np.concatenate([own.bands(x) for x in _rows(batch.column(1))])
+                cid = np.repeat(batch.column(0).to_numpy(), how.bands)
+                yield pa.RecordBatch.from_arrays([pa.array(cid), pa.array(np.tile(number, batch.num_rows)), pa.array(values)], ["cid", "number", "band"])
 
-    each = classes.select("cid", F.posexplode(bands("registers")).alias("number", "band"))
+    each = classes.select("cid", "registers").mapInArrow(bands, "cid bigint, number int, band bigint")
     shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(each.join(shared, "band"), "members")
     pairs = staged(likely(central_pairs(members), classes, how), "pairs")

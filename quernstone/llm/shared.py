@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +88,24 @@ def range_of(bounds: list[int]):
     return number
 
 
+def with_columns(df: DataFrame, column: str, more: str, names: list[str], types: list[pa.DataType], rows) -> DataFrame:
+    """``df`` with further columns (DDL ``more``) that ``rows`` derives from one column.
+
+    ``rows()`` gives a function from a batch's values to a list of tuples, made once a task. A map
+    over Arrow batches: all operators share one kind of Python worker, and so its memory.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        derive = rows()
+        for batch in batches:
+            got = derive(batch.column(batch.schema.get_field_index(column)).to_pylist())
+            added = [pa.array([r[i] for r in got], t) for i, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*batch.schema.names, *names])
+
+    kept = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
+    return df.mapInArrow(run, f"{kept}, {more}")
+
+
 def _mix(x: np.ndarray, key: np.ndarray | np.uint64) -> np.ndarray:
     """A 64-bit finaliser of ``x`` xor ``key``."""
     with np.errstate(over="ignore"):
