@@ -49,19 +49,24 @@ def substring(query: str, *columns: str) -> Column:
     return found
 
 
-def phrase_hits(tokens: Column, phrase: tuple[str, ...]) -> Column:
-    """How often the tokens of a phrase stand one after another."""
-    return F.regexp_count(F.concat(F.lit(" "), F.array_join(tokens, " "), F.lit(" ")), F.lit(f"(?= {' '.join(phrase)} )"))
+def phrase_hits(body: Column, phrase: tuple[str, ...]) -> Column:
+    """How often the tokens of a phrase stand one after another in a folded text."""
+    between = "[^a-z0-9]+"
+    return F.regexp_count(body, F.lit(f"(?<![a-z0-9])(?={between.join(phrase)}(?![a-z0-9]))"))
 
 
-def term_hits(tokens: Column, match: Match) -> list[Column]:
-    """Hits of each phrase and prefix in the tokens."""
-    prefixes = [F.size(F.filter(tokens, _starts(p))) for p in match.prefixes]
-    return [phrase_hits(tokens, p) for p in match.phrases] + prefixes
+def term_hits(body: Column, match: Match) -> list[Column]:
+    """Hits of each phrase and prefix in a folded text: matches that start a token; no token list is built."""
+    prefixes = [F.regexp_count(body, F.lit(f"(?<![a-z0-9]){p}")) for p in match.prefixes]
+    return [phrase_hits(body, p) for p in match.phrases] + prefixes
 
 
-def _starts(prefix: str):
-    return lambda t: t.startswith(prefix)
+def folded_words(words: tuple[str, ...]) -> tuple[str, ...]:
+    """Query words as the index cuts and folds them; what no token can hold goes."""
+    import re
+
+    folded = " ".join(words).lower().translate(str.maketrans(text.FOLD_FROM, text.FOLD_TO))
+    return tuple(re.findall("[a-z0-9]+", folded))
 
 
 def bm25(df: DataFrame, query: str, columns: list[str], scope: Column | None = None) -> DataFrame:
@@ -71,11 +76,12 @@ def bm25(df: DataFrame, query: str, columns: list[str], scope: Column | None = N
     """
     match = full_text(query)
     body = F.concat_ws(" ", *columns)
-    counted = df.withColumn("_tokens", text.fts_tokens(body))
-    hits = term_hits(F.col("_tokens"), match)
+    match = Match(tuple(w for p in match.phrases if (w := folded_words(p))), folded_words(match.prefixes))
+    counted = df.withColumn("_body", text.folded(body))
+    hits = term_hits(F.col("_body"), match)
     if not hits:
         return df.where("false").withColumn("bm25", F.lit(0.0))
-    counted = counted.select(*df.columns, F.size("_tokens").alias("_length"), F.array(*hits).alias("_hits"))
+    counted = counted.select(*df.columns, F.regexp_count("_body", F.lit("[a-z0-9]+")).alias("_length"), F.array(*hits).alias("_hits"))
     n = len(hits)
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_average"), *[F.sum((F.col("_hits")[i] > 0).cast("int")).alias(f"_df{i}") for i in range(n)])
     met = counted.join(F.broadcast(stats))  # one row

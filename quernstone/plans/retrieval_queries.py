@@ -76,8 +76,8 @@ places AS (SELECT id, tokens, unnest(range(1, len(tokens))) AS i FROM toks WHERE
 SELECT id, CAST(count(*) AS INTEGER) AS hits FROM places WHERE tokens[i] = 'of' AND tokens[i + 1] = 'the' GROUP BY id""",
 )
 def memory_phrase_hits(t: Tables):
-    hits = R.phrase_hits(F.col("tokens"), ("of", "the"))
-    return t.memories.select("id", text.fts_tokens(F.col("content")).alias("tokens")).select("id", hits.alias("hits")).where("hits > 0")
+    hits = R.phrase_hits(F.col("body"), ("of", "the"))
+    return t.memories.select("id", text.folded(F.col("content")).alias("body")).select("id", hits.alias("hits")).where("hits > 0")
 
 
 CANDIDATES_SQL = f"""pool AS (SELECT * FROM memories WHERE (repo = '{REPO}' OR is_global OR list_contains(list_transform(tags, lambda x: lower(x)), 'tag3'))

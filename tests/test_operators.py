@@ -76,6 +76,11 @@ def test_bm25_and_cosine(spark):
     assert set(got) == {1} and got[1] < 0
     assert rows(retrieval.bm25(df, "", ["body"])) == [] and retrieval.bm25(df, '"alpha beta"', ["body"]).count() == 1
     assert [r["id"] for r in retrieval.bm25(df, "alpha g", ["body"]).collect()] == [2]
+    assert [r["id"] for r in retrieval.bm25(df, "ALPHA_gam", ["body"]).collect()] == [2] and rows(retrieval.bm25(df, "漢字", ["body"])) == []
+    odd = spark.createDataFrame([(1, "Café of of the. of the"), (2, "prof the")], "id int, body string")
+    assert [r["id"] for r in retrieval.bm25(odd, 'cafe "of the"', ["body"]).collect()] == [1]
+    hits = odd.select(retrieval.phrase_hits(retrieval.text.folded(F.col("body")), ("of", "the")), retrieval.phrase_hits(retrieval.text.folded(F.col("body")), ("of", "of")))
+    assert rows(hits) == [(2, 1), (0, 0)]
     cosine = {r["id"]: r["c"] for r in df.select("id", retrieval.tf_cosine("body", "beta beta alpha").alias("c")).collect()}
     assert cosine[1] == pytest.approx(1.0) and cosine[2] == pytest.approx(1 / (2**0.5 * 5**0.5)) and cosine[3] == cosine[4] == cosine[5] == 0
     assert [r["c"] for r in df.select(retrieval.tf_cosine("body", "the").alias("c")).distinct().collect()] == [0.0]
