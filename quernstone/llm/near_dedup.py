@@ -220,22 +220,29 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
 
 
 def full_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, how: Sketching, key: str, text: str, fine: bool = False) -> DataFrame:
-    """``cid, n_shingles, hashes`` of the wanted classes, from the whole text of one document of each; with ``fine``, finer sketches too."""
+    """``cid, n_shingles, hashes`` of the wanted classes, from the whole text of one document of each; with ``fine``, finer sketches too.
+
+    Repeated rows of a document meet in one task, so a class comes once; were it to come twice, only
+    links would repeat.
+    """
     first = classes.join(wanted.select("cid").distinct(), "cid").select(F.col("first").alias("_first"), "cid")
     rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(first, F.col("_key") == F.col("_first")).select("cid", "_text")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = Sketcher(how)
+        own, seen = Sketcher(how), set()  # the classes of one task
         for batch in batches:
             out = []
             for cid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if cid in seen:
+                    continue
                 hashes = own.shingles(body)
                 if len(hashes) and class_id(hashes) == cid:  # another text may share the document's id
+                    seen.add(cid)
                     out.append((cid, len(hashes), hashes.tobytes(), own.registers(hashes, how.fine).tobytes() if fine else b""))
             types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["cid", "n_shingles", "hashes", "registers"])
 
-    return staged(rows.mapInArrow(gather, "cid bigint, n_shingles bigint, hashes binary, registers binary"), "sets").dropDuplicates(["cid"])
+    return staged(rows.mapInArrow(gather, "cid bigint, n_shingles bigint, hashes binary, registers binary"), "sets")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -332,7 +339,8 @@ def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc
     each = classes.select("cid", "registers").mapInArrow(bands, "cid bigint, number int, band bigint")
     shared = each.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
     members = staged(each.join(shared, "band"), "members")
-    pairs = staged(likely(central_pairs(members), classes, how), "pairs")
+    central = staged(central_pairs(members), "central")  # so that the joins below may split a hot centre
+    pairs = staged(likely(central, classes, how), "pairs")
     ends = pairs.select(F.explode(F.array("a", "b")).alias("cid"))
     links = staged(verified(pairs, full_sets(df, classes, ends, how, key, text), how), "links")
     roots = staged(components(links), "roots")
