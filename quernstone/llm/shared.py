@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Rows an Arrow batch holds; documents are long, so far fewer than Spark's 10,000. Functions take
 #: Arrow arrays, not pandas, which would cost each worker 46 MB.
-ARROW_ROWS = 256
+ARROW_ROWS = 512
 MIN_LONG = -(2**63)
 
 
