@@ -88,8 +88,8 @@ def united(parts: dict[str, tuple[DataFrame, str, Column]]) -> DataFrame:
     return out
 
 
-def extracted_mentions(docs: DataFrame, body: str = "content", most: int = 50) -> DataFrame:
-    """``doc, name, type, pos``: capitalised words and code-like identifiers of a text, once each, the first ``most``.
+def extracted_mentions(docs: DataFrame, body: str = "content") -> DataFrame:
+    """``doc, name, type, pos``: all capitalised words and code-like identifiers of a text, once each.
 
     A deterministic rule instead of a language model: names of the knowledge graph are what can be
     found again, not what can be guessed.
@@ -99,7 +99,7 @@ def extracted_mentions(docs: DataFrame, body: str = "content", most: int = 50) -
     words = F.regexp_extract_all(F.col(body), F.lit(r"\b([A-Za-z][A-Za-z0-9]*(?:[_.-][A-Za-z0-9]+)*)\b"), F.lit(1))
     coded = lambda w: w.rlike(r"[a-z][A-Z]|[_.-][A-Za-z0-9]|[A-Za-z][0-9]")
     named = F.array_distinct(F.filter(words, lambda w: w.rlike("^[A-Z]") | coded(w)))
-    good = F.slice(F.filter(named, lambda w: text.valid_entity_name(w)), 1, most)
+    good = F.filter(named, lambda w: text.valid_entity_name(w))
     each = docs.select(F.col("id").alias("doc"), F.posexplode(good).alias("pos", "name"))
     return each.select("doc", "name", F.when(coded(F.col("name")), "identifier").otherwise("concept").alias("type"), "pos")
 

@@ -268,3 +268,11 @@ def test_action_rows(spark):
     ]
     df = spark.createDataFrame(calls, "tool string, args string, response string")
     assert sorted(map(str, rows(tables.action_rows(df)))) == sorted(map(str, [("write", "r", None, "m1", None, 2), ("delete", "s", None, "m2", "t1", 3), ("write", "unknown", "x", None, "h", 0), ("plain", "unknown", None, None, None, 0)]))
+
+
+def test_extracted_mentions_take_whole_texts(spark):
+    words = [w for i in range(130) for w in (f"Name{i}", "plain", f"call_{i}", "Name0", "The", "Ab")]
+    names = list(dict.fromkeys(w for w in words if w not in ("plain", "The", "Ab")))
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "Redis Kafka"), (3, "")], "id long, content string")
+    got = sorted((r["doc"], r["pos"], r["name"], r["type"]) for r in graph.extracted_mentions(docs).collect())
+    assert got == [(1, i, n, "identifier") for i, n in enumerate(names)] + [(2, 0, "Redis", "concept"), (2, 1, "Kafka", "concept")]
