@@ -45,7 +45,7 @@ class Sketching:
     limit: int = 65534
     slack: float = 0.1
     fine: int = 560
-    fine_slack: float = 0.05
+    fine_slack: float = 0.09  # over 5 standard deviations of 560 registers at 0.80
     block: int = 512
     seed: int = 7
 

@@ -207,6 +207,21 @@ def test_deduplicated(awkward):
     assert sorted((r["doc_id"] or -1) for r in kept) == [-1, 1, 2, 3, 4, 6, 7, 8, 10]
 
 
+def test_pairs_at_the_bound_reach_verification(spark):
+    import numpy as np
+
+    how = near_dedup.Sketching()
+    own = near_dedup.Sketcher(how)
+    rng = np.random.default_rng(395)  # registers agree less than the sets, by over 0.05
+    hashes = np.unique(rng.integers(0, 2**64, 200, dtype=np.uint64))
+    rng.shuffle(hashes)
+    one, two = (own.registers(x, how.fine) for x in (hashes[:180], np.concatenate([hashes[:160], hashes[180:]])))
+    shared = int((one[: how.registers] == two[: how.registers]).reshape(how.bands, how.rows).all(axis=1).argmax())
+    sets = spark.createDataFrame([(c, 180, x.tobytes()) for c, x in ((1, one), (2, two))], "cid long, n_shingles long, registers binary")
+    inside = spark.createDataFrame([(7, shared, c, c, 2) for c in (1, 2)], "band long, number int, cid long, root long, n long")
+    assert rows(near_dedup.remaining_pairs(inside, sets, how)) == [{"a": 1, "b": 2}]
+
+
 # 3
 
 
