@@ -16,7 +16,8 @@ So every candidate pair is verified, or ruled out by the likelihood, or inside o
 
 Cases: a null or empty text, or one without words, has no shingle and is linked with nothing; it is
 kept. With fewer words than a shingle has, the whole sequence is the one shingle. Repeated rows are
-one class. Extra columns are ignored. A null id is a row of its class and never the smallest.
+one class. Extra columns are ignored. A null id is a row of its class and never the smallest; a class
+of null ids alone is compared with no other.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .shared import n_partitions, staged, tune
@@ -321,9 +322,8 @@ def remaining_pairs(inside: DataFrame, sets: DataFrame, how: Sketching) -> DataF
     return dealt.mapInArrow(walk, "a bigint, b bigint")
 
 
-def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row a document: ``key, n_shingles, component_id`` (smallest key linked, itself included) and ``kept``."""
-    spark = df.sparkSession
+def _components(df: DataFrame, how: Sketching, key: str, text: str) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows, and ``cid, first, root, component_id`` of their classes."""
     found = staged(sketches(df, how, key, text), "sketches")
     real = found.where("cid is not null")
     classes = staged(real.groupBy("cid").agg(F.min("_key").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
@@ -351,13 +351,44 @@ def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc
         roots = staged(components(links.unionByName(more)), "roots")
     rooted = classes.select("cid", "first").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("cid", "component_id")
-    out = found.join(named, "cid", "left").withColumn("component_id", F.coalesce("component_id", "_key"))
+    return found, rooted.join(least, "root").select("cid", "first", "root", "component_id")
+
+
+def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc_id", text: str = "text") -> DataFrame:
+    """A row a document: ``key, n_shingles, component_id`` (smallest key linked, itself included) and ``kept``."""
+    found, named = _components(df, how, key, text)
+    out = found.join(named.select("cid", "component_id"), "cid", "left").withColumn("component_id", F.coalesce("component_id", "_key"))
     return out.select(F.col("_key").alias(key), "n_shingles", "component_id", F.col("_key").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def class_of(text: Column, how: Sketching) -> Column:
+    """The class id of a text, null without shingles."""
+
+    @F.arrow_udf("bigint")
+    def of(texts: pa.Array) -> pa.Array:
+        own = Sketcher(how)
+        sets = map(own.shingles, texts.to_pylist())
+        return pa.array([class_id(hashes) if len(hashes) else None for hashes in sets], pa.int64())
+
+    return of(text)
+
+
 def deduplicated(df: DataFrame, how: Sketching = Sketching(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``df`` that are the first of their component; of rows with that key, one; null keys stay."""
-    kept = near_duplicates(df, how, key, text).where("kept").select(F.col(key).alias("_kept")).where("_kept IS NOT NULL").distinct()
-    first = df.join(kept, F.col(key) == F.col("_kept"), "left_semi").dropDuplicates([key])  # dealt by the key once
-    return first.unionByName(df.where(F.col(key).isNull()))
+    """One row of ``df`` for each component, with the component's smallest key; texts without shingles stay, repeated rows once.
+
+    A key whose texts differ may stand for several components. Such keys and null ones alone are met by their class too.
+    """
+    found, named = _components(df, how, key, text)
+    first = named.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("cid", "first")).alias("_m"))
+    blank = found.where("cid IS NULL").select(F.col("_key").alias("_kept"), F.col("cid").alias("_cid")).distinct()
+    kept = staged(first.select(F.col("_m.first").alias("_kept"), F.col("_m.cid").alias("_cid")).unionByName(blank), "kept")
+    several = staged(found.groupBy("_key").count().where("count > 1 OR _key IS NULL").select(F.col("_key").alias("_several")), "several")
+    if several.isEmpty():
+        return df.join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    mine = F.col(key).eqNullSafe(F.col("_several"))
+    alone = df.join(several, mine, "left_anti").join(kept, F.col(key) == F.col("_kept"), "left_semi")
+    rows = df.join(several, mine, "left_semi").select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), class_of(F.col(text), how).alias("_class"), F.col(text).alias("_text"))
+    met = rows.join(kept, F.col("_key").eqNullSafe(F.col("_kept")) & F.col("_class").eqNullSafe(F.col("_cid")), "left_semi")
+    unknown = F.col("_key").isNull() & F.col("_class").isNull()  # may be any documents without words
+    once = met.where(~unknown).withColumn("_text", F.when(F.col("_class").isNull(), F.col("_text"))).dropDuplicates(["_key", "_class", "_text"])
+    return alone.unionByName(once.select("_row.*")).unionByName(met.where(unknown).select("_row.*"))

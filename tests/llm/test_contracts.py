@@ -222,6 +222,16 @@ def test_pairs_at_the_bound_reach_verification(spark):
     assert rows(near_dedup.remaining_pairs(inside, sets, how)) == [{"a": 1, "b": 2}]
 
 
+def test_deduplicated_takes_rows_of_one_id_by_their_texts(spark):
+    a, b, c, d = (" ".join(f"{w}{i}" for i in range(60)) for w in "abcd")
+    items = [(1, a), (1, b), (1, a), (1, f"{a} more"), (2, f"{a} end"), (3, b), (4, c), (5, c), (5, d), (None, a), (None, "e f g"), (None, "e f g"), (6, ""), (6, ""), (6, " "), (6, None), (None, ""), (None, "")]
+    df = spark.createDataFrame([(k, t, i) for i, (k, t) in enumerate(items)], "doc_id long, text string, place int")
+    kept = rows(near_dedup.deduplicated(df))
+    got = sorted(((r["doc_id"] or 0), repr(r["text"])[:3]) for r in kept)
+    wanted = [(0, "''"), (0, "''"), (0, "'e "), (1, "'a0"), (1, "'b0"), (4, "'c0"), (5, "'d0"), (6, "' '"), (6, "''"), (6, "Non")]
+    assert got == wanted
+
+
 # 3
 
 
