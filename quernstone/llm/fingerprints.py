@@ -139,3 +139,10 @@ def edit_report(df: DataFrame) -> DataFrame:
     types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
     picked = dealt.select("_range", "_tail", F.col("_key").cast("long").alias("_key"), "_text")
     return picked.mapInArrow(walk, "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def grouped_report(df: DataFrame) -> DataFrame:
+    """``edit_report`` with ``group_id`` of ``exact_groups``: the smallest key of rows with the same canonical form."""
+    groups = exact_groups(df).groupBy(F.col("doc_id").cast("long").alias("_key"), F.col("fingerprint").alias("_print")).agg(F.min("group_id").alias("group_id"))
+    same = F.col("doc_id").eqNullSafe(F.col("_key")) & (F.col("fingerprint") == F.col("_print"))
+    return edit_report(df).join(groups, same, "left").drop("_key", "_print")

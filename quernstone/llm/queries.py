@@ -29,7 +29,7 @@ def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edit_report(_documents(spark, sf_dir))
+    return fingerprints.grouped_report(_documents(spark, sf_dir))
 
 
 def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:

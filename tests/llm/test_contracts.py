@@ -257,6 +257,22 @@ def test_exact_groups(spark, awkward):
     assert {r["group_id"] for r in rows(fingerprints.exact_groups(many))} == {0}
 
 
+def test_report_holds_groups(spark, sf, docs):
+    least = {}
+    for r in rows(docs):
+        form = fingerprints.canonical(r["text"])
+        least[form] = min(r["doc_id"], least.get(form, r["doc_id"]))
+    wanted = {r["doc_id"]: least[fingerprints.canonical(r["text"])] for r in rows(docs)}
+    found = rows(queries.op3_document_fingerprints(spark, sf))
+    assert len(found) == len(wanted) and {r["doc_id"]: r["group_id"] for r in found} == wanted and len(least) < len(wanted)
+
+
+def test_report_of_awkward_rows(awkward):
+    report = rows(fingerprints.grouped_report(awkward))
+    assert len(report) == awkward.count()
+    assert sorted((r["doc_id"] or 0, r["group_id"] or 0) for r in report) == [(0, 0), (1, 1), (2, 2), (3, 2), (4, 2), (5, 1), (6, 6), (7, 7), (8, 8), (8, 8), (10, 10), (11, 10)]
+
+
 # 4: see test_preferences.py
 
 # 5
