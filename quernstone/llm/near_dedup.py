@@ -14,10 +14,15 @@ finer sketches (more registers, of which the first are the ones of the bands), i
 size, each pair in the first bucket that it shares; only those that may be linked leave the block.
 So every candidate pair is verified, or ruled out by the likelihood, or inside one component.
 
+A class is named by 64 bits of the digest of its set; 64 further bits tell apart sets that share a
+name, and such a set gets another name. So sets are one class if 128 bits agree.
+
 Cases: a null or empty text, or one without words, has no shingle and is linked with nothing; it is
-kept. With fewer words than a shingle has, the whole sequence is the one shingle. Repeated rows are
-one class. Extra columns are ignored. A null id is a row of its class and never the smallest; a class
-of null ids alone is compared with no other.
+kept. With fewer words than a shingle has, the whole sequence is the one shingle. A text of any length
+is read whole; an empty table gives an empty result. Repeated rows, and texts that tie, are one class.
+Extra columns of any name are ignored, or pass through ``deduplicated`` untouched. A null id is a row of
+its class and never the smallest; a class of null ids alone is represented by one of its texts and
+compared like any other, and its ``component_id`` is null if nothing it reaches has an id.
 """
 
 from __future__ import annotations
@@ -49,6 +54,7 @@ class Sketching:
     fine_slack: float = 0.09  # over 5 standard deviations of 560 registers at 0.80
     block: int = 512
     seed: int = 7
+    remembered: int = 4 << 20  # bytes of words whose hashes are kept
 
     @property
     def registers(self) -> int:
@@ -63,6 +69,7 @@ class Sketcher:
         rng = np.random.default_rng(how.seed)
         self.factor = rng.integers(0, 2**31, max(how.registers, how.fine), dtype=np.uint32) * np.uint32(2) + np.uint32(1)
         self.known: dict[bytes, int] = {}
+        self.held = 0
 
     def shingles(self, text: str | None) -> np.ndarray:
         """Distinct 64-bit hashes of the text's shingles, ascending."""
@@ -72,13 +79,17 @@ class Sketcher:
         if not words:
             return np.zeros(0, np.uint64)
         known = self.known
-        if len(known) > 100_000:
+        if self.held > self.how.remembered:
             known.clear()
+            self.held = 0
         hashes = []
         for word in words:
             value = known.get(word)
             if value is None:
-                value = known[word] = xxhash.xxh3_64_intdigest(word)
+                value = xxhash.xxh3_64_intdigest(word)
+                if len(word) <= 64:  # longer ones rarely come again
+                    known[word] = value
+                    self.held += len(word) + 64
             hashes.append(value)
         h = np.array(hashes, np.uint64)
         width = min(self.how.words, len(h))
@@ -115,31 +126,46 @@ class Sketcher:
         return key.view(np.int64)
 
 
-def class_id(hashes: np.ndarray) -> int:
-    """64 bits of the digest of a full set; equal sets only have equal ids, up to hash collisions."""
+def class_id(hashes: np.ndarray) -> tuple[int, int]:
+    """128 bits of the digest of a full set, as two signed numbers: the class's name, and what tells namesakes apart."""
     import xxhash
 
-    value = xxhash.xxh3_64_intdigest(hashes.astype("<u8").tobytes())
-    return value - (1 << 64) if value >> 63 else value
+    value = xxhash.xxh3_128_intdigest(hashes.astype("<u8").tobytes())
+    high, low = value >> 64, value & (1 << 64) - 1
+    return tuple(x - (1 << 64) if x >> 63 else x for x in (low, high))
 
 
 def sketches(df: DataFrame, how: Sketching, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """``key, cid, n_shingles, registers``: cid is null and registers empty without shingles."""
+    """``_key, _text, cid, tell, n_shingles, registers``: cid is null and registers empty without shingles; _text is a hash of the text."""
     tune(df.sparkSession)
     kind = df.schema[key].dataType.simpleString()
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Sketcher(how)
         for batch in batches:
-            ids, sizes, registers = [], [], []
-            for body in batch.column(1).to_pylist():
+            ids, tells, sizes, registers = [], [], [], []
+            for body in batch.column(2).to_pylist():
                 hashes = own.shingles(body)
+                cid, tell = class_id(hashes) if len(hashes) else (None, None)
                 sizes.append(len(hashes))
-                ids.append(class_id(hashes) if len(hashes) else None)
+                ids.append(cid)
+                tells.append(tell)
                 registers.append(own.registers(hashes).tobytes() if len(hashes) else b"")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(registers, pa.binary())], ["_key", "cid", "n_shingles", "registers"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.int64()), pa.array(tells, pa.int64()), pa.array(sizes, pa.int64()), pa.array(registers, pa.binary())], ["_key", "_text", "cid", "tell", "n_shingles", "registers"])
+
+    rows = df.select(F.col(f"`{key}`").alias("_key"), F.xxhash64(f"`{text}`").alias("_text"), F.col(f"`{text}`").alias("_body"))
+    return rows.mapInArrow(sketch, f"_key {kind}, _text bigint, cid bigint, tell bigint, n_shingles bigint, registers binary")
 
-    return df.select(F.col(key).alias("_key"), text).mapInArrow(sketch, f"_key {kind}, cid bigint, n_shingles bigint, registers binary")
+
+def told_apart(found: DataFrame) -> DataFrame:
+    """``found`` with another ``cid`` for sets that share one with a set of a smaller ``tell``, until none do."""
+    while True:
+        shared = staged(found.where("cid IS NOT NULL").groupBy("cid").agg(F.min("tell").alias("_low"), F.max("tell").alias("_high")).where("_low != _high").select(F.col("cid").alias("_cid"), "_low"), "namesakes")
+        if shared.isEmpty():
+            return found
+        other = F.when(F.col("_low").isNotNull() & (F.col("tell") != F.col("_low")), F.xxhash64("cid", "tell")).otherwise(F.col("cid"))
+        met = found.join(shared, F.col("cid") == F.col("_cid"), "left")
+        found = staged(met.withColumn("cid", other).select(*found.columns), "sketches")
 
 
 def log_likelihood(j: np.ndarray, equal: np.ndarray, larger: np.ndarray, smaller: np.ndarray, u: np.ndarray, base: float) -> np.ndarray:
@@ -223,27 +249,31 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
 def full_sets(df: DataFrame, classes: DataFrame, wanted: DataFrame, how: Sketching, key: str, text: str, fine: bool = False) -> DataFrame:
     """``cid, n_shingles, hashes`` of the wanted classes, from the whole text of one document of each; with ``fine``, finer sketches too.
 
-    Repeated rows of a document meet in one task, so a class comes once; were it to come twice, only
-    links would repeat.
+    The document is the class's first: by its key, or, if no key of the class is known, by the hash
+    of its text; rows without a key that share a text are one before they meet. Repeated rows of a
+    document meet in one task, so a class comes once; were it to come twice, only links would repeat.
     """
-    first = classes.join(wanted.select("cid").distinct(), "cid").select(F.col("first").alias("_first"), "cid")
-    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).join(first, F.col("_key") == F.col("_first")).select("cid", "_text")
+    first = classes.join(wanted.select("cid").distinct(), "cid").select("first", "text", "cid", "tell", F.col("name").alias("_name"))
+    rows = df.select(F.col(f"`{key}`").alias("_key"), F.col(f"`{text}`").alias("_body"))
+    keyed = rows.join(first, F.col("_key") == F.col("first")).select("cid", "tell", "_name", "_body")
+    nameless = rows.where("_key IS NULL AND _body IS NOT NULL").groupBy(F.xxhash64("_body").alias("_hash")).agg(F.min("_body").alias("_body"))
+    keyless = nameless.join(first.where("first IS NULL"), F.col("_hash") == F.col("text")).select("cid", "tell", "_name", "_body")
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, seen = Sketcher(how), set()  # the classes of one task
         for batch in batches:
             out = []
-            for cid, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for cid, tell, name, body in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 if cid in seen:
                     continue
                 hashes = own.shingles(body)
-                if len(hashes) and class_id(hashes) == cid:  # another text may share the document's id
+                if len(hashes) and class_id(hashes) == (name, tell):  # another text may share the document's id
                     seen.add(cid)
                     out.append((cid, len(hashes), hashes.tobytes(), own.registers(hashes, how.fine).tobytes() if fine else b""))
             types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate(types)], ["cid", "n_shingles", "hashes", "registers"])
 
-    return staged(rows.mapInArrow(gather, "cid bigint, n_shingles bigint, hashes binary, registers binary"), "sets")
+    return staged(keyed.unionByName(keyless).mapInArrow(gather, "cid bigint, n_shingles bigint, hashes binary, registers binary"), "sets")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -252,6 +282,9 @@ def components(edges: DataFrame) -> DataFrame:
     Alternating large-star and small-star steps; each round is written to the shared folder.
     """
     current = staged(edges.where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
+    # edges are distinct, so their number and two sums of hashes tell whether any changed
+    mark = lambda x: x.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.bit_xor(F.xxhash64(F.lit(7), "a", "b"))).first()
+    seen = mark(current)
     while True:
         both = current.unionByName(current.select(F.col("b").alias("a"), F.col("a").alias("b")))
         low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("low"))
@@ -260,7 +293,8 @@ def components(edges: DataFrame) -> DataFrame:
         met = large.join(low, "b")
         small = met.select(F.col("low").alias("a"), "b").union(met.select(F.col("low").alias("a"), F.col("a").alias("b"))).where("a != b").distinct()
         after = staged(small, "edges")
-        if current.exceptAll(after).isEmpty() and after.exceptAll(current).isEmpty():
+        before, seen = seen, mark(after)
+        if seen == before:
             break
         current = after
     roots = current.select(F.col("b").alias("node"), F.col("a").alias("root"))
@@ -268,18 +302,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def remaining_members(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """``band, number, cid, root, n``: members of buckets that hold more than one component."""
+    """``band, number, cid, root, large, n, m``: members of buckets that hold more than one component; whether theirs is the bucket's largest, which has m of n."""
     rooted = members.drop("n").join(roots, F.col("cid") == F.col("node"), "left").select("band", "number", "cid", F.coalesce("root", "cid").alias("root"))
-    split = rooted.groupBy("band").agg(F.min("root").alias("_low"), F.max("root").alias("_high"), F.count("*").alias("n")).where("_low != _high")
-    return rooted.join(split.select("band", "n"), "band")
+    sizes = rooted.groupBy("band", "root").agg(F.count("*").alias("size"))
+    split = sizes.groupBy("band").agg(F.max(F.struct("size", "root")).alias("most"), F.sum("size").alias("n"), F.count("*").alias("several")).where("several > 1")
+    met = rooted.join(split.select("band", "n", "most"), "band")
+    return met.select("band", "number", "cid", "root", (F.col("root") == F.col("most.root")).alias("large"), "n", F.col("most.size").alias("m"))
+
+
+def dealt_members(inside: DataFrame, block: int) -> DataFrame:
+    """``band, number, x, y, mine, cid, root``: the members of each two blocks of a bucket that are compared.
+
+    Members of the largest component meet only those outside it, so one stray costs a row a member,
+    whatever the bucket's size. Blocks 0.. hold the others, the blocks after them the largest component.
+    """
+    rest, most = F.ceil((F.col("n") - F.col("m")) / block).cast("int"), F.ceil(F.col("m") / block).cast("int")
+    place = F.when(F.col("large"), rest + F.pmod(F.xxhash64("cid"), most)).otherwise(F.pmod(F.xxhash64("cid"), rest)).cast("int")
+    met = F.explode(F.sequence(F.lit(0), F.when(F.col("large"), rest - 1).otherwise(rest + most - 1)))
+    dealt = inside.withColumn("mine", place).withColumn("other", met)
+    return dealt.select("band", "number", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cid", "root")
 
 
 def remaining_pairs(inside: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
     """``a, b``: members of one bucket and different components that may reach the bound, no pair twice."""
-    blocks = F.ceil(F.col("n") / how.block).cast("int")
-    # each two blocks of a bucket meet once; a bucket of one block meets itself
-    dealt = inside.withColumn("mine", F.pmod(F.xxhash64("cid"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    dealt = dealt.select("band", "number", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cid", "root")
+    dealt = dealt_members(inside, how.block)
     full = dealt.join(sets.select("cid", "n_shingles", "registers"), "cid")
 
     def compare(group: list[tuple]) -> pa.RecordBatch:
@@ -323,10 +369,11 @@ def remaining_pairs(inside: DataFrame, sets: DataFrame, how: Sketching) -> DataF
 
 
 def _components(df: DataFrame, how: Sketching, key: str, text: str) -> tuple[DataFrame, DataFrame]:
-    """Sketches of all rows, and ``cid, first, root, component_id`` of their classes."""
-    found = staged(sketches(df, how, key, text), "sketches")
+    """Sketches of all rows, and ``cid, first, name, tell, root, component_id`` of their classes."""
+    found = told_apart(staged(sketches(df, how, key, text).withColumn("name", F.col("cid")), "sketches"))
     real = found.where("cid is not null")
-    classes = staged(real.groupBy("cid").agg(F.min("_key").alias("first"), F.first("n_shingles").alias("n_shingles"), F.first("registers").alias("registers")), "classes")
+    same = [F.first(c).alias(c) for c in ("name", "tell", "n_shingles", "registers")]  # equal in all rows of a class
+    classes = staged(real.groupBy("cid").agg(F.min("_key").alias("first"), F.min("_text").alias("text"), *same), "classes")
 
     def bands(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, number = Sketcher(how), np.arange(how.bands, dtype=np.int32)
@@ -349,9 +396,10 @@ def _components(df: DataFrame, how: Sketching, key: str, text: str) -> tuple[Dat
         sets = full_sets(df, classes, inside, how, key, text, fine=True)
         more = verified(remaining_pairs(inside, sets, how), sets, how)
         roots = staged(components(links.unionByName(more)), "roots")
-    rooted = classes.select("cid", "first").join(roots, F.col("cid") == F.col("node"), "left").select("cid", "first", F.coalesce("root", "cid").alias("root"))
+    own = ["cid", "first", "name", "tell"]
+    rooted = classes.select(*own).join(roots, F.col("cid") == F.col("node"), "left").select(*own, F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    return found, rooted.join(least, "root").select("cid", "first", "root", "component_id")
+    return found, rooted.join(least, "root").select(*own, "root", "component_id")
 
 
 def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -362,13 +410,13 @@ def near_duplicates(df: DataFrame, how: Sketching = Sketching(), key: str = "doc
 
 
 def class_of(text: Column, how: Sketching) -> Column:
-    """The class id of a text, null without shingles."""
+    """The class of a text, both parts of its name in one string; null without shingles."""
 
-    @F.arrow_udf("bigint")
+    @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:
         own = Sketcher(how)
         sets = map(own.shingles, texts.to_pylist())
-        return pa.array([class_id(hashes) if len(hashes) else None for hashes in sets], pa.int64())
+        return pa.array(["{}:{}".format(*class_id(hashes)) if len(hashes) else None for hashes in sets], pa.string())
 
     return of(text)
 
@@ -377,18 +425,23 @@ def deduplicated(df: DataFrame, how: Sketching = Sketching(), key: str = "doc_id
     """One row of ``df`` for each component, with the component's smallest key; texts without shingles stay, repeated rows once.
 
     A key whose texts differ may stand for several components. Such keys and null ones alone are met by their class too.
+    Rows travel as one struct, so columns of any name keep their values.
     """
     found, named = _components(df, how, key, text)
-    first = named.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("cid", "first")).alias("_m"))
-    blank = found.where("cid IS NULL").select(F.col("_key").alias("_kept"), F.col("cid").alias("_cid")).distinct()
-    kept = staged(first.select(F.col("_m.first").alias("_kept"), F.col("_m.cid").alias("_cid")).unionByName(blank), "kept")
-    several = staged(found.groupBy("_key").count().where("count > 1 OR _key IS NULL").select(F.col("_key").alias("_several")), "several")
+    class_ = F.when(F.col("cid").isNotNull(), F.concat_ws(":", F.col("name").cast("string"), F.col("tell").cast("string")))
+    first = named.where(F.col("first").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min(F.struct("cid", "first", "name", "tell")).alias("m")).select("m.*")
+    blank = found.where("cid IS NULL").select(F.col("_key").alias("kept"), class_.alias("class")).distinct()
+    kept = staged(first.select(F.col("first").alias("kept"), class_.alias("class")).unionByName(blank), "kept")
+    several = staged(found.groupBy("_key").count().where("count > 1 OR _key IS NULL").select(F.col("_key").alias("several")), "several")
+    fields = [F.col(f"`{c}`") for c in df.columns]
+    rows = df.select(F.struct(*fields).alias("row"), F.col(f"`{key}`").alias("key"))
     if several.isEmpty():
-        return df.join(kept, F.col(key) == F.col("_kept"), "left_semi")
-    mine = F.col(key).eqNullSafe(F.col("_several"))
-    alone = df.join(several, mine, "left_anti").join(kept, F.col(key) == F.col("_kept"), "left_semi")
-    rows = df.join(several, mine, "left_semi").select(F.struct(*df.columns).alias("_row"), F.col(key).alias("_key"), class_of(F.col(text), how).alias("_class"), F.col(text).alias("_text"))
-    met = rows.join(kept, F.col("_key").eqNullSafe(F.col("_kept")) & F.col("_class").eqNullSafe(F.col("_cid")), "left_semi")
-    unknown = F.col("_key").isNull() & F.col("_class").isNull()  # may be any documents without words
-    once = met.where(~unknown).withColumn("_text", F.when(F.col("_class").isNull(), F.col("_text"))).dropDuplicates(["_key", "_class", "_text"])
-    return alone.unionByName(once.select("_row.*")).unionByName(met.where(unknown).select("_row.*"))
+        return rows.join(kept, F.col("key") == F.col("kept"), "left_semi").select("row.*")
+    mine = F.col("key").eqNullSafe(F.col("several"))
+    alone = rows.join(several, mine, "left_anti").join(kept, F.col("key") == F.col("kept"), "left_semi").select("row")
+    some = rows.join(several, mine, "left_semi").select("row", "key", class_of(F.col("row")[text], how).alias("mine"))
+    met = some.join(kept, F.col("key").eqNullSafe(F.col("kept")) & F.col("mine").eqNullSafe(F.col("class")), "left_semi")
+    unknown = F.col("key").isNull() & F.col("mine").isNull()  # may be any documents without words
+    body = F.when(F.col("mine").isNull(), F.col("row")[text])
+    once = met.where(~unknown).withColumn("body", body).dropDuplicates(["key", "mine", "body"]).select("row")
+    return alone.unionByName(once).unionByName(met.where(unknown).select("row")).select("row.*")
