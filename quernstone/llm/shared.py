@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -26,11 +27,13 @@ def tune(spark: SparkSession) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder every executor can reach: ``spark.checkpoint.dir``, or a temporary one if unset."""
+    """The folder every executor can reach: ``spark.checkpoint.dir``; a temporary one if unset, where all tasks run on this machine."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         context = spark.sparkContext
         if context._jsc.sc().getCheckpointDir().isEmpty():
+            if not context.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
             context.setCheckpointDir(tempfile.mkdtemp(prefix="quernstone-"))
         root = context._jsc.sc().getCheckpointDir().get()
     return root.rstrip("/")
@@ -52,6 +55,24 @@ def _remove(spark: SparkSession, path: str) -> None:
         return
 
 
+_files: set[tuple[str, str]] = set()
+
+
+def ship_file(spark: SparkSession, path: str) -> None:
+    """Send a file of the driver to the executors, once an application; ``local_file`` finds it there."""
+    context = spark.sparkContext
+    if not context.master.startswith("local") and (context.applicationId, path) not in _files:
+        _files.add((context.applicationId, path))
+        context.addFile(path)
+
+
+def local_file(path: str) -> str:
+    """Where a task finds a file: at its path, or where ``ship_file`` put it."""
+    from pyspark import SparkFiles
+
+    return path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back: lineage is cut durably."""
     spark = df.sparkSession
@@ -65,25 +86,33 @@ def n_partitions(spark: SparkSession) -> int:
 
 
 def id_bounds(df: DataFrame, column: str, parts: int) -> list[int]:
-    """Ascending cut points splitting ``column`` (long, nulls lowest) into about equal ranges.
+    """Ascending cut points splitting ``column`` (long, nulls lowest) into about equal ranges; an id that fills several ranges comes as often.
 
     The driver gets at most ``parts - 1`` numbers.
     """
     if parts < 2:
         return []
     fractions = [i / parts for i in range(1, parts)]
-    key = F.coalesce(F.col(column).cast("long"), F.lit(MIN_LONG))
+    key = F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(MIN_LONG))
     row = df.agg(F.percentile_approx(key, fractions, max(10_000, 20 * parts)).alias("q")).first()
-    return sorted(set(row["q"] or []))
+    return sorted(row["q"] or [])
 
 
 def range_of(bounds: list[int]):
-    """Arrow function: the number of bounds at or below an id, that is, its range."""
-    cuts = np.array(bounds, dtype=np.int64)
+    """Arrow function: the range of an id and a hash. Ids of a range that ends where another starts are told by the id; an id of several ranges is cut by its hash."""
+    ids, times = np.unique(np.array(bounds, dtype=np.int64), return_counts=True)
+    ahead = np.concatenate(([0], np.cumsum(times)))
 
     @F.arrow_udf("int")
-    def number(ids: pa.Array) -> pa.Array:
-        return pa.array(np.searchsorted(cuts, ids.to_numpy(zero_copy_only=False), side="right").astype(np.int32))
+    def number(keys: pa.Array, hashes: pa.Array) -> pa.Array:
+        key, hash_ = keys.to_numpy(zero_copy_only=False), hashes.to_numpy(zero_copy_only=False)
+        at = np.searchsorted(ids, key, side="left")
+        out = ahead[at]
+        hit = at < len(ids)
+        hit[hit] = ids[at[hit]] == key[hit]
+        share = (hash_[hit].astype(np.float64) + 2.0**63) / 2.0**64
+        out[hit] += 1 + np.minimum((share * times[at[hit]]).astype(np.int64), times[at[hit]] - 1)
+        return pa.array(out.astype(np.int32))
 
     return number
 
@@ -115,18 +144,27 @@ def _mix(x: np.ndarray, key: np.ndarray | np.uint64) -> np.ndarray:
         return z ^ (z >> np.uint64(31))
 
 
+def _half(size: np.ndarray) -> np.ndarray:
+    """Half of the smallest even number of bits, two at least, that holds each ``size - 1``."""
+    top, bits = np.maximum(size, np.uint64(2)) - np.uint64(1), np.zeros(size.shape, np.uint64)
+    for step in (32, 16, 8, 4, 2, 1):
+        more = (top >> np.uint64(step)) > 0
+        bits[more] += np.uint64(step)
+        top = np.where(more, top >> np.uint64(step), top)
+    return (bits + np.uint64(2)) // np.uint64(2)
+
+
 def permuted(index: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int = 6) -> np.ndarray:
     """Keyed bijection of ``range(size)``: a balanced Feistel network with cycle-walking.
 
     The network works on the smallest even number of bits that holds ``size``, so fewer than four
     applications are expected before an index falls inside the range again. All arguments are
-    arrays of one length (or scalars); ``index < size``.
+    arrays of one length (or scalars); ``index < size``, which is at most 2 ** 62.
     """
     index = np.asarray(index, np.uint64)
     size = np.broadcast_to(np.asarray(size, np.uint64), index.shape)
     key = np.broadcast_to(np.asarray(key, np.uint64), index.shape)
-    bits = np.ceil(np.log2(np.maximum(size, 2).astype(np.float64) + 0.5)).astype(np.uint64)
-    half = np.maximum((bits + np.uint64(1)) // np.uint64(2), np.uint64(1))
+    half = _half(size)
     out = index.copy()
     todo = np.arange(len(out))
     while len(todo):
@@ -146,8 +184,7 @@ def unpermuted(place: np.ndarray, size: np.ndarray, key: np.ndarray, rounds: int
     place = np.asarray(place, np.uint64)
     size = np.broadcast_to(np.asarray(size, np.uint64), place.shape)
     key = np.broadcast_to(np.asarray(key, np.uint64), place.shape)
-    bits = np.ceil(np.log2(np.maximum(size, 2).astype(np.float64) + 0.5)).astype(np.uint64)
-    half = np.maximum((bits + np.uint64(1)) // np.uint64(2), np.uint64(1))
+    half = _half(size)
     out = place.copy()
     todo = np.arange(len(out))
     while len(todo):
