@@ -1,19 +1,23 @@
 """Token-ID output in training order.
 
-Texts become token ids, each ended by the end-of-text id, and one stream a partition of the input;
-the stream is cut into sequences of a fixed length, the last filled up with that id. Sequence i,
-numbered by the input partition and its place there, goes to place P(i), P a keyed Feistel
-permutation with cycle-walking of the range of all such numbers. Equal ranges of places make shards: files of records of one fixed
-stride, in order of place. Numbers are sparse, so a shard holds about, not exactly, as many records
-as asked for; a sequence's global slot is the number of sequences placed before it. So tokens are
-made once and moved once, and no count of them is needed first. A reader finds slot s by the sizes
-of the files, resumes there, and reads training order as it reads the files.
+A text becomes token ids, ended by the end-of-text id, cut into sequences of a fixed length; what is
+left at the end of a document is its tail. Sequence j of document d goes to place P_j(d), P_j a keyed
+Feistel permutation with cycle-walking of the range of all ids, another one for each j: the order of
+(place, j) is a keyed permutation of all sequences, and depends on the documents and the key alone, not
+on how the table is split. Equal ranges of places make shards: files of records of one fixed stride.
+Whole sequences are records in order of place; tails are joined in that order and make a record
+whenever they fill one, so only a shard's last record is filled up. Ids have gaps, so a shard holds
+about, not exactly, as many records as asked for, and a record's global slot is the number of records
+before it. So tokens are made once and moved once, and no count of them is needed first. A reader
+finds slot s by the sizes of the files, resumes there, and reads training order as it reads the files.
 
 A record is a little-endian 32-bit count of real tokens followed by ``length`` 16-bit ids.
 
-Cases: a null or empty text gives the end-of-text id alone. Repeated rows give tokens of their own.
-An empty table gives no shard. A text of any length spreads over as many sequences as it needs. A
-retried task replaces its shard by one with the same bytes. Ids of 65,536 or more raise ValueError.
+Cases: a null or empty text gives the end-of-text id alone. Documents without an id share one place for
+each j; sequences of one place are ordered by id and a hash of the text, and rows alike are interchangeable.
+Extra columns of any name are ignored. An empty table gives no shard. A text of any length spreads over
+as many sequences as it needs. A retried task replaces its shard by one with the same bytes. Ids of
+65,536 or more raise ValueError.
 """
 
 from __future__ import annotations
@@ -27,13 +31,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .shared import n_partitions, permuted, shared_folder, staged, tune
+from .shared import local_file, n_partitions, permuted, shared_folder, ship_file, staged, tune
 
 
 @dataclass(frozen=True)
 class Layout:
-    """``length`` ids a sequence, about ``shard`` sequences a file, ``key`` of the permutation, ``bytes_a_token``: a guess that sizes the shards."""
+    """``length`` ids a sequence, about ``shard`` sequences a file, ``key`` of the permutations, ``bytes_a_token``: a guess that sizes the shards; ``task_bytes`` that a task writes."""
 
     path: str
     pattern: str
@@ -42,6 +47,7 @@ class Layout:
     key: int = 0x5EED5EED
     end: int = 50256
     bytes_a_token: float = 2.5
+    task_bytes: int = 256 << 20
 
     @property
     def stride(self) -> int:
@@ -56,98 +62,99 @@ def encoder(layout: Layout):
     if layout.path not in _encoders:
         import tiktoken
 
-        with open(layout.path, "rb") as file:
+        with open(local_file(layout.path), "rb") as file:
             ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         _encoders[layout.path] = tiktoken.Encoding("own", pat_str=layout.pattern, mergeable_ranks=ranks, special_tokens={})
     return _encoders[layout.path]
 
 
-class Packer:
-    """Cuts a stream of documents into records; holds less than one sequence between calls of ``take``."""
+def place_of(offset: np.ndarray, number: np.ndarray, span: int, layout: Layout) -> np.ndarray:
+    """Places of sequences ``number`` of the documents at ``offset`` in the range of ids."""
+    keys = np.array([int.from_bytes(hashlib.blake2b(f"{layout.key}:{j}".encode(), digest_size=8).digest(), "big") for j in number.tolist()], np.uint64)
+    return permuted(offset, span, keys)
 
-    def __init__(self, layout: Layout):
-        self.layout, self.docs, self.sizes, self.ids = layout, [], [], []
-
-    def add(self, key: int | None, text: str | None) -> None:
-        ids = np.append(encoder(self.layout).encode_to_numpy(text or "", disallowed_special=()), self.layout.end)
-        if int(ids.max()) > 65535:
-            raise ValueError("an id needs more than 16 bits")
-        self.docs.append(key)
-        self.sizes.append(len(ids))
-        self.ids.append(ids.astype("<u2"))
-
-    def take(self, last: bool) -> list[tuple[list, int, bytes]]:
-        """Documents, number of real tokens and record of each whole sequence; with ``last`` of the rest too."""
-        length = self.layout.length
-        ids = np.concatenate(self.ids) if self.ids else np.zeros(0, "<u2")
-        ends = np.cumsum(self.sizes) if self.sizes else np.zeros(0, np.int64)
-        n = -(-len(ids) // length) if last else len(ids) // length
-        out = []
-        for low in range(0, n * length, length):
-            part = ids[low : low + length]
-            first, end = np.searchsorted(ends, [low, low + len(part) - 1], side="right")
-            filled = np.full(length, self.layout.end, "<u2")
-            filled[: len(part)] = part
-            out.append((self.docs[first : end + 1], len(part), np.array([len(part)], "<u4").tobytes() + filled.tobytes()))
-        used = min(n * length, len(ids))
-        kept = int(np.searchsorted(ends, used, side="right"))
-        self.docs, self.sizes = self.docs[kept:], self.sizes[kept:]
-        if self.sizes:
-            self.sizes[0] = int(ends[kept]) - used
-        self.ids = [ids[used:].copy()] if used < len(ids) else []
-        return out
-
-
-#: Sequences one input partition may hold.
-ROOM = 1 << 26
-
-
-def sequences(df: DataFrame, layout: Layout, parts: int, shards: int) -> DataFrame:
-    """``doc_ids, n_tokens, record, place, shard`` of a table of ``parts`` partitions."""
+
+def sequences(df: DataFrame, layout: Layout, low: int, span: int, shards: int, shift: int = 0) -> DataFrame:
+    """``shard, place, number, tie, doc_id, ids`` of each sequence; ids are packed, fewer than ``length`` in a tail."""
     tune(df.sparkSession)
-    total = max(1, parts) * ROOM
-    names, types = ["doc_ids", "n_tokens", "record", "place", "shard"], [pa.list_(pa.int64()), pa.int32(), pa.binary(), pa.int64(), pa.int64()]
+    ship_file(df.sparkSession, layout.path)
+    names = ["shard", "place", "number", "tie", "doc_id", "ids"]
+    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, number, packer = TaskContext.get().partitionId(), 0, Packer(layout)
-        if part >= parts:
-            raise ValueError("the table has more partitions than were counted")
-
-        def placed(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            nonlocal number
-            index = np.arange(number, number + len(rows))
-            number += len(rows)
-            if number > ROOM:
-                raise ValueError("an input partition holds too many sequences")
-            place = permuted(part * ROOM + index, total, layout.key)
-            shard = (place / total * shards).astype(np.int64)
-            for at in range(0, len(rows), 4000):
-                some = slice(at, at + 4000)
-                columns = [pa.array(x, t) for x, t in zip(zip(*rows[some], strict=True), types, strict=False)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(place[some]), pa.array(shard[some])], names)
-
         for batch in batches:
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                packer.add(key, text)
-            yield from placed(packer.take(last=False))
-        yield from placed(packer.take(last=True))
+            rows, size = [], 0
+            for key, tie, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ids = np.append(encoder(layout).encode_to_numpy(text or "", disallowed_special=()), layout.end)
+                if int(ids.max()) > 65535:
+                    raise ValueError("an id needs more than 16 bits")
+                packed, step = ids.astype("<u2").tobytes(), 2 * layout.length
+                offset = 0 if key is None else (key - low >> shift) + 1
+                for at in range(0, len(packed), step):
+                    rows.append((offset, at // step, tie, key, packed[at : at + step]))
+                    size += 1
+                    if size == 4096:
+                        yield sealed(rows)
+                        rows, size = [], 0
+            yield sealed(rows)
+
+    def sealed(rows: list[tuple]) -> pa.RecordBatch:
+        offset, number = (np.array([r[i] for r in rows], np.uint64) for i in (0, 1))
+        place = place_of(offset, number, span, layout) if rows else np.zeros(0, np.int64)
+        shard = np.minimum((place / span * shards).astype(np.int64), shards - 1)
+        columns = [shard, place, number.astype(np.int64), *([r[i] for r in rows] for i in (2, 3, 4))]
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
+
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    return rows.mapInArrow(cut, "shard bigint, place bigint, number bigint, tie bigint, doc_id bigint, ids binary")
+
+
+class Shard:
+    """Records of one shard from its sequences in order."""
 
-    return df.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, "doc_ids array<bigint>, n_tokens int, record binary, place bigint, shard bigint")
+    def __init__(self, layout: Layout):
+        self.layout, self.docs, self.ids = layout, [], b""
+
+    def record(self, ids: bytes) -> bytes:
+        end = np.array([self.layout.end], "<u2").tobytes()
+        return np.array([len(ids) // 2], "<u4").tobytes() + ids + end * (self.layout.length - len(ids) // 2)
+
+    def add(self, doc: int | None, ids: bytes) -> Iterator[tuple[list, int, bytes]]:
+        """Documents, number of real tokens and bytes of each record that is complete now."""
+        step = 2 * self.layout.length
+        if len(ids) == step:
+            yield [doc], len(ids) // 2, self.record(ids)
+            return
+        self.docs.append(doc)
+        self.ids += ids
+        if len(self.ids) >= step:
+            yield list(dict.fromkeys(self.docs)), step // 2, self.record(self.ids[:step])
+            self.ids = self.ids[step:]
+            self.docs = self.docs[-1:] if self.ids else []
+
+    def last(self) -> Iterator[tuple[list, int, bytes]]:
+        if self.ids:
+            yield list(dict.fromkeys(self.docs)), len(self.ids) // 2, self.record(self.ids)
 
 
 def materialise(df: DataFrame, layout: Layout, folder: str | None = None) -> DataFrame:
-    """Write the shards at once; return a row a sequence: where it lies and what it holds.
+    """Write the shards at once; return a row a record: where it lies and what it holds.
 
-    Each sequence is shuffled once. The driver gets one count a shard.
+    Each sequence is shuffled once, to the task of its shard. The driver gets one row: the range of ids
+    and the bytes of all texts.
     """
     spark = df.sparkSession
     root = folder or shared_folder(spark, "tokens")
-    size = df.agg((F.sum(F.coalesce(F.octet_length("text"), F.lit(0))) / layout.bytes_a_token / layout.length).alias("n")).first()["n"] or 0
-    shards = max(1, round(size / layout.shard))
-    found = sequences(df, layout, df.rdd.getNumPartitions(), shards)
-    dealt = found.repartition(max(1, min(shards, 8 * n_partitions(spark))), "shard").sortWithinPartitions("place")
+    key = F.col("doc_id").cast("long")
+    facts = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    low, span = facts["low"] or 0, (facts["high"] or 0) - (facts["low"] or 0)
+    shift = max(0, span.bit_length() - 61)  # of ids spread wider than that, neighbours share a place
+    span = (span >> shift) + 2  # and a place for documents without id
+    shards = max(1, round((facts["bytes"] or 0) / layout.bytes_a_token / layout.length / layout.shard))
+    found = sequences(df, layout, low, span, shards, shift)
+    # how many shards a task writes changes no byte of them
+    some = max(1, min(layout.task_bytes // (layout.shard * layout.stride), shards // (4 * n_partitions(spark))))
+    dealt = found.repartitionById(-(-shards // some), F.floor(F.col("shard") / some).cast("int")).sortWithinPartitions("shard", "place", "number", "doc_id", "tie")
     names, types = ["doc_ids", "n_tokens", "shard", "record_no", "ids_sha256"], [pa.list_(pa.int64()), pa.int32(), pa.int64(), pa.int64(), pa.string()]
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,37 +164,52 @@ def materialise(df: DataFrame, layout: Layout, folder: str | None = None) -> Dat
 
         system, place = fs.FileSystem.from_uri(root)
         system.create_dir(place, recursive=True)
-        shard, out, temporary, count = None, None, None, 0
+        shard, out, temporary, count, state = None, None, None, 0, None
 
-        def close() -> None:
-            if out is not None:
-                out.close()
-                target = f"{place}/tokens-{shard:08d}.bin"
-                if system.get_file_info(target).type != fs.FileType.NotFound:  # of an attempt that was lost
-                    system.delete_file(target)
-                system.move(temporary, target)
+        def put(records: Iterator[tuple]) -> list[tuple]:
+            nonlocal count
+            rows = []
+            for keys, real, body in records:
+                out.write(body)
+                rows.append((keys, real, shard, count, hashlib.sha256(body[4:]).hexdigest()))
+                count += 1
+            return rows
+
+        def close() -> list[tuple]:
+            if out is None:
+                return []
+            rows = put(state.last())
+            out.close()
+            target = f"{place}/tokens-{shard:08d}.bin"
+            if system.get_file_info(target).type != fs.FileType.NotFound:  # of an attempt that was lost
+                system.delete_file(target)
+            system.move(temporary, target)
+            return rows
+
+        def batched(rows: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
 
         for batch in batches:
             rows = []
-            for keys, real, body, mine in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("doc_ids", "n_tokens", "record", "shard")), strict=True):
+            for mine, doc, ids in zip(*(batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("shard", "doc_id", "ids")), strict=True):
                 if mine != shard:
-                    close()
-                    shard, count = mine, 0
+                    rows += close()
+                    shard, count, state = mine, 0, Shard(layout)
                     temporary = f"{place}/.tokens-{shard:08d}-{uuid.uuid4().hex}"
                     out = system.open_output_stream(temporary)
-                out.write(body)
-                rows.append((keys, real, shard, count, hashlib.sha256(body[4:]).hexdigest()))
-                count += 1
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-        close()
+                rows += put(state.add(doc, ids))
+            yield batched(rows)
+        yield batched(close())
 
     index = staged(dealt.mapInArrow(write, "doc_ids array<bigint>, n_tokens int, shard bigint, record_no bigint, ids_sha256 string"), "token-index")
-    before, starts = 0, []
-    for r in sorted(index.groupBy("shard").agg(F.count("*").alias("n")).collect()):
-        starts.append((r["shard"], before))
-        before += r["n"]
-    first = spark.createDataFrame(starts, "shard bigint, first bigint")
-    met = index.join(F.broadcast(first), "shard")  # a row a shard
+    # the records before each shard: sums of groups of shards, then of the shards of a group
+    counts = index.groupBy("shard").agg(F.count("*").alias("n")).withColumn("group", F.floor(F.col("shard") / 4096))
+    groups = counts.groupBy("group").agg(F.sum("n").alias("n"))
+    ahead = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    bases = groups.select("group", ahead(Window.orderBy("group")).alias("base"))  # a row 4,096 shards
+    inside = counts.select("group", "shard", ahead(Window.partitionBy("group").orderBy("shard")).alias("inside"))
+    first = inside.join(bases, "group").select("shard", (F.col("base") + F.col("inside")).alias("first"))
+    met = index.join(first, "shard")
     return met.select("doc_ids", "n_tokens", (F.col("first") + F.col("record_no")).alias("slot"), "shard", (F.col("record_no") * layout.stride).alias("byte_offset"), "ids_sha256")
 
 
