@@ -6,12 +6,16 @@ already is not stored in it again. Rows carry digest, shard, offset and length,
 Reading: metadata columns come from range reads of a header alone (33 bytes); payloads from range
 reads of their own bytes, in the order of the index, which is the order of the shards.
 
+The index is dealt by shard and stretch of a shard before it is read by, so a read task has so many
+bytes to read, however small the index is.
+
 A task that is retried writes shards of its own name; rows name the shards of the attempt that
 succeeded, and the rest is garbage that no row names.
 
 Cases: a null text counts as empty; an empty payload becomes one block of 576 bytes 255. Equal
-texts have equal digests, stored forms and features, whatever their shards. A payload of any length
-is one image of 576 columns. Bytes that no longer match their digest raise ValueError.
+texts, repeated rows among them, have equal digests, stored forms and features, whatever their shards.
+A payload of any length is one image of 576 columns. An empty table writes no shard and gives an empty
+result. Extra columns of any name are ignored. Bytes that no longer match their digest raise ValueError.
 """
 
 from __future__ import annotations
@@ -40,10 +44,11 @@ INDEX = "n_bytes bigint, payload_bytes bigint, digest string, shard string, offs
 
 @dataclass(frozen=True)
 class Shards:
-    """``shard_bytes``: size after which a task starts its next shard; ``level``: PNG compression."""
+    """``shard_bytes``: size after which a task starts its next shard; ``level``: PNG compression; ``read_bytes`` that a task reads back."""
 
     shard_bytes: int = 256 << 20
     level: int = 1
+    read_bytes: int = 16 << 20
 
 
 def padded(text: str | None) -> bytes:
@@ -223,10 +228,18 @@ def media_columns(df: DataFrame, how: Shards = Shards(), key: str = "doc_id", te
     """Store every text of ``df``; return the index with header metadata. Writes at once."""
     spark = df.sparkSession
     index = staged(write_shards(df, folder or shared_folder(spark, "media"), how, key, text), "media-index")
-    return with_header(index)
+    return with_header(dealt(index, how))
+
+
+def dealt(index: DataFrame, how: Shards = Shards()) -> DataFrame:
+    """The index with the rows of each stretch of a shard in one task, in order; repeated payloads lie in one place and are read in one."""
+    size = index.agg(F.sum("length").alias("n")).first()["n"] or 0
+    tasks = max(1, -(-size // how.read_bytes))
+    stretch = F.floor(F.col("offset") / how.read_bytes)
+    return index.repartition(tasks, "shard", stretch).sortWithinPartitions("shard", "offset")
 
 
 def media_report(df: DataFrame, how: Shards = Shards()) -> DataFrame:
     """A row a document: sizes, digests and features of what was stored and read back."""
     found = with_payload_features(media_columns(df, how))
-    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", F.col("bits").alias("bits_per_sample"))
+    return found.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "width", "height", F.col("bits").alias("bits_per_sample"), "shard", "offset", "length")
