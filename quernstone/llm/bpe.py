@@ -8,7 +8,9 @@ merged many at a time in arrays of trees (one step of every tree at once); longe
 each, in n log n.
 
 Cases: a null text encodes as an empty one: no ids. Decoding null gives null; ids outside the
-vocabulary raise ValueError. Repeated rows are encoded alike; texts of any length are read whole.
+vocabulary raise ValueError. Repeated rows are encoded alike; texts of any length are read whole. An
+empty table gives an empty result. Extra columns of any name pass through, but for the result's own
+names, which are replaced.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import tune, with_columns
+from .shared import local_file, ship_file, tune, with_columns
 
 NONE = np.int32(2**31 - 1)
 SHORT = 64
@@ -30,7 +32,7 @@ SHORT = 64
 
 @dataclass(frozen=True)
 class Vocabulary:
-    """``path``: a rank file (base64 token, rank); ``pattern``: pre-tokenisation; ``remembered``: pieces whose ids are kept."""
+    """``path``: a rank file (base64 token, rank); ``pattern``: pre-tokenisation; ``remembered``: pieces whose ids are kept, of at most 64 characters each."""
 
     path: str
     pattern: str
@@ -45,7 +47,7 @@ class Codec:
         import regex
 
         self.vocabulary = vocabulary
-        with open(vocabulary.path, "rb") as file:
+        with open(local_file(vocabulary.path), "rb") as file:
             self.ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, file)}
         self.tokens = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
@@ -223,10 +225,11 @@ class Codec:
         new = self.merged([*{p for c in cut for p in c if p not in known}])
         if len(known) + len(new) > self.vocabulary.remembered:
             done = [b"".join([known[p] if p in known else new[p] for p in c]) for c in cut]
-            self.known = new if len(new) <= self.vocabulary.remembered else {}
+            self.known = {p: ids for p, ids in new.items() if len(p) <= SHORT} if len(new) <= self.vocabulary.remembered else {}
             return done
-        known.update(new)
-        return [b"".join(map(known.__getitem__, c)) for c in cut]
+        done = [b"".join([known[p] if p in known else new[p] for p in c]) for c in cut]
+        known.update((p, ids) for p, ids in new.items() if len(p) <= SHORT)
+        return done
 
     def decode(self, packed: bytes) -> bytes:
         ids = np.frombuffer(packed, "<u4")
@@ -270,6 +273,7 @@ def decoded(ids: Column, vocabulary: Vocabulary) -> Column:
 def encode_documents(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` (packed) and ``n_tokens``; columns of these names are replaced."""
     tune(df.sparkSession)
+    ship_file(df.sparkSession, vocabulary.path)
     kept = [c for c in df.columns if c not in ("ids", "n_tokens")]
     return df.select(*kept, encoded(F.col(text), vocabulary).alias("ids")).select("*", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"))
 
@@ -277,6 +281,7 @@ def encode_documents(df: DataFrame, vocabulary: Vocabulary, text: str = "text")
 def round_trip(df: DataFrame, vocabulary: Vocabulary, text: str = "text") -> DataFrame:
     """``df`` with ``ids`` (packed), ``n_tokens`` and ``decoded`` (bytes): both ways in one Python worker a task."""
     tune(df.sparkSession)
+    ship_file(df.sparkSession, vocabulary.path)
     kept = [c for c in df.columns if c not in ("ids", "n_tokens", "decoded")]
 
     def task():
