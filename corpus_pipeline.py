@@ -2,6 +2,11 @@
 
 ``run`` applies the stages to the documents of a folder; each stage's result is written as Parquet
 in the shared folder and read again as the next one's documents.
+
+Cases: documents with a null, empty or letterless text go in the first stage, which recognises no
+language in them. Texts of any length are read whole. Rows alike in text are near duplicates of one
+another: one stays. Null ids and sources are ids and sources of their own. Extra columns of any name
+keep their values up to the last stage, which returns its own. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,8 +21,9 @@ from quernstone.llm.shared import staged
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which a language is recognised; ``lang`` becomes the one recognised."""
-    found = langid.identify(docs, langid.fit(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
-    return found.withColumn("lang", F.col("lang_pred")).select(*docs.columns)
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row")
+    found = langid.identify(docs.select(row, F.col("text")), langid.fit(docs)).where(F.col("lang_pred") != langid.UNKNOWN)
+    return found.select(*((F.col("lang_pred") if c == "lang" else F.col("row")[c]).alias(c) for c in docs.columns))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,7 +37,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents as often as the mix of sources takes them."""
+    """The blocks that the mix of sources draws: stretches of documents, as often as they are taken."""
     return mixing.apply_mix(docs)
 
 
