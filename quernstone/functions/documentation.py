@@ -2,20 +2,23 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 DOC = "summary string, description array<string>, tags array<struct<tag:string,text:string>>, deprecated boolean"
-_MARKS = re.compile(r"^\s*(?://[/!]?|#|\*)\s?")
+# What a line of a comment may start with.
+MARKS = ("///", "//!", "//", "#", "*")
 
 
 def clean_doc(raw: str) -> list[str]:
     """Lines of a comment without its marks; empty ones go."""
-    body = re.sub(r"\s*\*/\s*$", "", re.sub(r"^\s*/\*\*?", "", raw))
-    return [line for line in (_MARKS.sub("", x).strip() for x in body.split("\n")) if line]
+    body = raw.strip()
+    if body.startswith("/*"):
+        body = body[2:].removeprefix("*")
+    lines = (x.strip() for x in body.removesuffix("*/").split("\n"))
+    bare = (x.removeprefix(next((m for m in MARKS if x.startswith(m)), "")).strip() for x in lines)
+    return [x for x in bare if x]
 
 
 def parse_doc(raw: str) -> dict:
@@ -36,9 +39,11 @@ def serialized_doc(raw: str) -> str | None:
 def doc_struct(comment: Column) -> Column:
     """``parse_doc`` of a column, in Arrow batches."""
 
-    @F.pandas_udf(DOC)
-    def parse(comments: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([parse_doc(x or "") for x in comments], columns=["summary", "description", "tags", "deprecated"])
+    kind = pa.struct([("summary", pa.string()), ("description", pa.list_(pa.string())), ("tags", pa.list_(pa.struct([("tag", pa.string()), ("text", pa.string())]))), ("deprecated", pa.bool_())])
+
+    @F.arrow_udf(DOC)
+    def parse(comments: pa.Array) -> pa.Array:
+        return pa.array([parse_doc(x or "") for x in comments.to_pylist()], kind)
 
     return parse(comment)
 

@@ -21,12 +21,44 @@ SYNONYMS = {
     "deploy": ["publish", "release", "ci", "cd", "pipeline"],
 }
 
-# Inline tag keys, the filter each sets, and how.
-TAG_KEYS = {
-    "memory": {"tag": "current_tags[]", "tags": "current_tags[]", "lang": "scope.language", "language": "scope.language", "branch": "scope.branch", "folder": "scope.folder", "path": "current_file_path", "owner": "scope.owner", "repo": "scope.repo"},
-    "standard": {"language": "language", "lang": "language", "framework": "stack[]", "stack": "stack[]", "tag": "tags[]", "tags": "tags[]", "context": "context", "version": "version", "is_global": "is_global?", "owner": "scope.owner", "repo": "scope.repo"},
-    "code": {"language": "language", "lang": "language", "kind": "kind[]", "file": "filePath", "path": "filePath"},
-}
+
+@dataclass(frozen=True)
+class Tag:
+    """An inline tag: its keys, the filter that it sets (one in another: ``outer``), and the type of its value."""
+
+    keys: tuple[str, ...]
+    sets: str
+    outer: str | None = None
+    type: type = str
+
+
+# Inline tags of each kind of search.
+TAGS = {
+    "memory": [
+        Tag(("tag", "tags"), "current_tags", type=list),
+        Tag(("lang", "language"), "language", "scope"),
+        Tag(("branch",), "branch", "scope"),
+        Tag(("folder",), "folder", "scope"),
+        Tag(("path",), "current_file_path"),
+        Tag(("owner",), "owner", "scope"),
+        Tag(("repo",), "repo", "scope"),
+    ],
+    "standard": [
+        Tag(("language", "lang"), "language"),
+        Tag(("framework", "stack"), "stack", type=list),
+        Tag(("tag", "tags"), "tags", type=list),
+        Tag(("context",), "context"),
+        Tag(("version",), "version"),
+        Tag(("is_global",), "is_global", type=bool),
+        Tag(("owner",), "owner", "scope"),
+        Tag(("repo",), "repo", "scope"),
+    ],
+    "code": [
+        Tag(("language", "lang"), "language"),
+        Tag(("kind",), "kind", type=list),
+        Tag(("file", "path"), "filePath"),
+    ],
+}
 
 
 def expanded(query: str, prompt: str | None = None) -> str:
@@ -66,26 +98,25 @@ class Tagged:
 
 def tagged(raw: str, kind: str) -> Tagged:
     """Split key:value tokens off a query; unknown keys stay in the text."""
-    keys, kept, filters, lists = TAG_KEYS[kind], [], {}, {}
+    known = {key: tag for tag in TAGS[kind] for key in tag.keys}
+    found = Tagged("")
+    kept = []
     for token in (raw or "").split():
-        found = re.fullmatch(r"([a-zA-Z_]+):(.+)", token)
-        target = keys.get(found[1].lower()) if found else None
-        if target is None:
+        key, colon, text = token.partition(":")
+        tag = known.get(key.lower()) if colon and text else None
+        if tag is None:
             kept.append(token)
             continue
-        values = [v.strip() for v in found[2].split(",") if v.strip()]
-        if target.endswith("[]"):
-            known = lists.setdefault(target[:-2], [])
-            known += [v for v in dict.fromkeys(values) if v not in known]
-        elif target.endswith("?"):
-            filters[target[:-1]] = bool(values) and values[0] in ("true", "1")
+        values = [v for v in map(str.strip, text.split(",")) if v]
+        place = found.filters.setdefault(tag.outer, {}) if tag.outer else found.filters
+        if tag.type is list:
+            place[tag.sets] = list(dict.fromkeys([*place.get(tag.sets, ()), *values]))
+        elif tag.type is bool:
+            place[tag.sets] = values[:1] in (["true"], ["1"])
         else:
-            *path, last = target.split(".")
-            inner = filters
-            for step in path:
-                inner = inner.setdefault(step, {})
-            inner[last] = values[0] if values else None
-    return Tagged(" ".join(kept), filters | lists)
+            place[tag.sets] = values[0] if values else None
+    found.query = " ".join(kept)
+    return found
 
 
 def merged(structured: dict, inline: dict) -> dict:
@@ -113,31 +144,45 @@ class Window:
     until: datetime | None = None
 
 
+# Relative dates. A named phrase is a number of units from the current one to its first
+# and, if it ends, to its last; a counted one goes back so many units of days.
+NAMED_DATES = [("last month", "month", -1, -1), ("last week", "week", -1, -1), ("this week", "week", 0, None), ("yesterday", "day", -1, -1), ("today", "day", 0, 0)]
+COUNTED_DATES = [("week", 7), ("day", 1)]
+LAST_HOUR = ("last_hour", "past_hour")
+
+
+def _first_day(day: datetime, unit: str, steps: int) -> datetime:
+    """The first day of the unit that lies so many steps from the one of a day."""
+    if unit == "month":
+        year, month = divmod(day.year * 12 + day.month - 1 + steps, 12)
+        return day.replace(year=year, month=month + 1, day=1)
+    if unit == "week":
+        return day - timedelta(days=day.weekday()) + timedelta(weeks=steps)
+    return day + timedelta(days=steps)
+
+
 def time_window(query: str, as_of: datetime) -> Window | None:
     """A relative date phrase as a window; the phrase leaves the query. None without one.
 
     ``until`` is the last millisecond of a day and is compared exclusively.
     """
     day = as_of.replace(hour=0, minute=0, second=0, microsecond=0)
-    monday = day - timedelta(days=day.weekday())
-    last = lambda d: d + timedelta(days=1) - timedelta(milliseconds=1)
-    month = day.replace(day=1)
-    back = lambda n: day - timedelta(days=n)
-    phrases = [
-        (r"\blast month\b", lambda m: ((month - timedelta(days=1)).replace(day=1), last(month - timedelta(days=1)))),
-        (r"\blast week\b", lambda m: (monday - timedelta(days=7), last(monday - timedelta(days=1)))),
-        (r"\bthis week\b", lambda m: (monday, None)),
-        (r"\byesterday\b", lambda m: (back(1), last(back(1)))),
-        (r"\btoday\b", lambda m: (day, last(day))),
-        (r"\b(?:last|past)\s+(\d+)\s+weeks?\b", lambda m: (back(7 * int(m[1])), None)),
-        (r"\b(?:last|past)\s+(\d+)\s+days?\b", lambda m: (back(int(m[1])), None)),
-        (r"\b(?:last|past)_hour\b", lambda m: (as_of - timedelta(hours=1), None)),
-    ]
-    for pattern, bounds in phrases:
-        if found := re.search(pattern, query or "", re.IGNORECASE):
-            rest = query[: found.start()] + query[found.end() :]
-            return Window(" ".join(rest.split()), *bounds(found))
-    return None
+
+    def without(place: re.Match, since: datetime, until: datetime | None = None) -> Window:
+        return Window(" ".join(f"{query[: place.start()]}{query[place.end() :]}".split()), since, until)
+
+    def look(phrase: str) -> re.Match | None:
+        return re.search(rf"\b{phrase}\b", query or "", re.IGNORECASE)
+
+    for words, unit, first, last in NAMED_DATES:
+        if place := look(words):
+            end = None if last is None else _first_day(day, unit, last + 1) - timedelta(milliseconds=1)
+            return without(place, _first_day(day, unit, first), end)
+    for unit, days in COUNTED_DATES:
+        if place := look(rf"(?:last|past)\s+(\d+)\s+{unit}s?"):
+            return without(place, day - timedelta(days=days * int(place[1])))
+    place = look("(?:" + "|".join(LAST_HOUR) + ")")
+    return without(place, as_of - timedelta(hours=1)) if place else None
 
 
 def issue_numbers(query: str) -> list[int]:

@@ -134,7 +134,7 @@ def repo_owner(repo: Column) -> Column:
 def name_variants(name: Column) -> Column:
     """The name, with hyphens as dots, as camel case, dots as hyphens, underscores as hyphens; once each."""
     words = F.split(name, "-")
-    camel = F.concat(F.element_at(words, 1), F.array_join(F.transform(F.slice(words, 2, 1000), lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.substring(w, 2, 1000))), ""))
+    camel = F.concat(F.element_at(words, 1), F.array_join(F.transform(F.slice(words, F.lit(2), F.size(words)), lambda w: F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, F.lit(2), F.length(w)))), ""))
     return F.array_distinct(F.array(name, F.translate(name, "-", "."), camel, F.translate(name, ".", "-"), F.translate(name, "_", "-")))
 
 

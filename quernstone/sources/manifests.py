@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,9 +40,10 @@ def entry_points(manifest: str) -> list[tuple[str, str]]:
 def manifest_entries(files: DataFrame) -> DataFrame:
     """``repo, file_path, kind`` of the files that the package.json of each repository names."""
 
-    @F.pandas_udf("array<struct<path:string,kind:string>>")
-    def entries(contents: pd.Series) -> pd.Series:
-        return pd.Series([[{"path": p, "kind": k} for p, k in entry_points(x)] for x in contents], dtype=object)
+    @F.arrow_udf("array<struct<path:string,kind:string>>")
+    def entries(contents: pa.Array) -> pa.Array:
+        found = [[{"path": p, "kind": k} for p, k in entry_points(x)] for x in contents.to_pylist()]
+        return pa.array(found, pa.list_(pa.struct([("path", pa.string()), ("kind", pa.string())])))
 
     manifests = files.where(F.col("file_path") == "package.json")
     return manifests.select("repo", F.explode(entries("content")).alias("e")).select("repo", F.col("e.path").alias("file_path"), F.col("e.kind"))

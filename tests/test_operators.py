@@ -137,6 +137,45 @@ def test_extraction(spark):
     assert {(r["file_path"], r["name"]) for r in code_files.extracted(files).collect()} == {("a.md", "X"), ("b.go", "Main")}
 
 
+@pytest.mark.parametrize(
+    ("line", "wanted"),
+    [
+        ("async function go!(x)", ("function", "go!")),
+        ("def a.b(c):", ("function", "a.b")),
+        ("const f: (a) => b", ("function", "f")),
+        ("handler = async (x) => x", ("function", "handler")),
+        ("const x", ("variable", "x")),
+        ("val y: Int", ("variable", "y")),
+        ("let a b", None),
+        ("n := make(x)", None),
+        ("n := 3", ("variable", "n")),
+        ("max-size: 10", ("key", "max-size")),
+        ("on = 'x'", ("key", "on")),
+        ("a = b", None),
+        ("a = 'b", None),
+        ("protocol P.Q {", ("interface", "P.Q")),
+        ("typedef int_t", ("type", "int_t")),
+        ("POST '/x/y' z", ("route", "post x/y'")),
+        ("delete it", ("route", "delete t")),
+        ("get 5", None),
+        ("import class X", None),
+        ("</div>", None),
+        ("<my-tag a>", ("class", "<my-tag>")),
+        (".a-b {", ("class", ".a-b")),
+        (".a-b :", None),
+        ("});", None),
+        ("functional x", None),
+    ],
+)
+def test_declarations(line, wanted):
+    assert code_files.declared(line) == wanted
+
+
+def test_comments_above_declarations():
+    body = "/** One.\n * two\n */\n\ndef a()\n// gone\nx + y\ndef b()\n{- h -}\ndef c()\n#!/bin/sh\n/* open\ndef d()"
+    assert [(n, c) for n, *_, c in code_files.generic_symbols(body)] == [("a", "One. * two"), ("b", None), ("c", "{- h -}")]
+
+
 def test_discovery(spark, tmp_path):
     for p, body in {"src/a.py": "x\ny", "node_modules/z.js": "no", ".hidden/b.py": "no", ".agents/c.md": "yes", "src/gen/d.ts": "no", "note.bin": "no", "src/keep.log.ts": "k", "src/__init__.py": ""}.items():
         (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
