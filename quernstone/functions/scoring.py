@@ -64,18 +64,18 @@ def domain_adjusted(domain: Column, acknowledged: Column, type_: Column) -> Colu
 def affinity(similarity: Column, row: dict[str, Column], wanted: dict) -> Column:
     """Similarity with boosts for what the request and the row have in common; at most 1."""
     boost = F.lit(0.0)
-    path, query = wanted.get("path"), (wanted.get("query") or "").lower()
+    path, query = (wanted.get("path") or "").lower(), (wanted.get("query") or "").lower()
+    holds = lambda value, column: F.when((row[column] != "") & F.lit(value.lower()).contains(F.lower(row[column])), 0.15 if column == "folder" else 0.1).otherwise(0.0)
     if wanted.get("branch"):
         boost = boost + F.when(row["branch"] == wanted["branch"], 0.1).otherwise(0.0)
     if path:
-        boost = boost + F.when((row["folder"] != "") & F.lit(path).contains(row["folder"]), 0.15).otherwise(0.0)
-        boost = boost + F.when((row["language"] != "") & F.lit(path.rsplit(".", 1)[-1].lower()).contains(F.lower(row["language"])), 0.1).otherwise(0.0)
-    if query:
-        boost = boost + F.when((row["folder"] != "") & F.lit(query).contains(F.lower(row["folder"])), 0.15).otherwise(0.0)
-        boost = boost + F.when((row["language"] != "") & F.lit(query).contains(F.lower(row["language"])), 0.1).otherwise(0.0)
+        boost = boost + holds(path, "folder") + holds(path.rsplit(".", 1)[-1], "language")
+    for column in ("folder", "language"):
+        if value := wanted.get(column) or query:
+            boost = boost + holds(value, column)
     if wanted.get("tags"):
-        tags = F.array(*map(F.lit, wanted["tags"]))
-        boost = boost + F.when(F.arrays_overlap(row["tags"], tags), 0.2).otherwise(0.0)
+        tags = F.array(*(F.lit(t.lower()) for t in wanted["tags"]))
+        boost = boost + F.when(F.arrays_overlap(F.transform(row["tags"], F.lower), tags), 0.2).otherwise(0.0)
     return F.least(F.lit(1.0), similarity + boost)
 
 

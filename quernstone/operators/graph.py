@@ -60,13 +60,33 @@ def orphans(entities: DataFrame, relations: DataFrame, observations: DataFrame)
 def co_mentions(mentions: DataFrame, confidence: float = 0.55) -> DataFrame:
     """``a, b, n``: pairs of names of one document, the earlier one first, with how many documents have it.
 
-    A document's own names pair up (its distinct names, a short list); documents never meet.
+    A document's own names pair up, in a join on the document: no list of pairs is built in one row.
     """
     first = mentions.groupBy("doc", "name").agg(F.min("pos").alias("pos"))
-    lists = first.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("pos", "name"))).alias("names"))
-    pair = lambda x, i: F.transform(F.slice("names", i + 2, F.size("names")), lambda y: F.struct(x["name"].alias("a"), y["name"].alias("b")))
-    pairs = lists.select(F.explode(F.flatten(F.transform("names", pair))).alias("p"))
-    return pairs.groupBy("p.a", "p.b").agg(F.count("*").alias("n")).withColumn("confidence", F.lit(confidence))
+    side = lambda x: first.select("doc", F.struct("pos", "name").alias(x))
+    pairs = side("x").join(side("y"), "doc").where("x < y")
+    return pairs.groupBy(F.col("x.name").alias("a"), F.col("y.name").alias("b")).agg(F.count("*").alias("n")).withColumn("confidence", F.lit(confidence))
+
+
+def parent_pairs(tasks: DataFrame, names: DataFrame) -> DataFrame:
+    """``task, source, target``: names of a task with those of its parent, once each; ``names``: id, name."""
+    own = names.select(F.col("id").alias("task"), F.col("name").alias("source")).distinct()
+    above = names.select(F.col("id").alias("parent_id"), F.col("name").alias("target")).distinct()
+    met = tasks.where("parent_id IS NOT NULL").select(F.col("id").alias("task"), "parent_id").join(own, "task").join(above, "parent_id")
+    return met.where("source != target").select("task", "source", "target")
+
+
+def entity_detail(relations: DataFrame, observations: DataFrame, name: str) -> DataFrame:
+    """``part, kind, value``: the relations of an entity both ways, and its observations."""
+    one = lambda df, part, mine, kind, value: df.where(F.col(mine) == name).select(F.lit(part).alias("part"), F.col(kind).cast("string").alias("kind"), F.col(value).alias("value"))
+    both = one(relations, "out", "from_entity", "relation_type", "to_entity").unionByName(one(relations, "in", "to_entity", "relation_type", "from_entity"))
+    return both.unionByName(one(observations, "observation", "entity_name", "id", "observation"))
+
+
+def context(relations: DataFrame, observations: DataFrame, noted: DataFrame, most: int = 50) -> DataFrame:
+    """Relations of the entities that carry one of some observations (``noted``), the first ``most`` entities by name."""
+    named = observations.join(noted, "observation", "left_semi").select(F.col("entity_name").alias("name")).distinct()
+    return neighbours(relations, named.orderBy("name").limit(most))
 
 
 def matching_entities(entities: DataFrame, relations: DataFrame, query: str, most: int = 50) -> DataFrame:
@@ -96,7 +116,8 @@ def extracted_mentions(docs: DataFrame, body: str = "content") -> DataFrame:
     """
     from ..functions import text
 
-    words = F.regexp_extract_all(F.col(body), F.lit(r"\b([A-Za-z][A-Za-z0-9]*(?:[_.-][A-Za-z0-9]+)*)\b"), F.lit(1))
+    words = F.regexp_extract_all(F.col(body), F.lit(r"[\p{L}\p{N}]+(?:[_.-][\p{L}\p{N}]+)*"), F.lit(0))
+    words = F.filter(words, lambda w: w.rlike("^[A-Za-z][A-Za-z0-9_.-]*$"))
     coded = lambda w: w.rlike(r"[a-z][A-Z]|[_.-][A-Za-z0-9]|[A-Za-z][0-9]")
     named = F.array_distinct(F.filter(words, lambda w: w.rlike("^[A-Z]") | coded(w)))
     good = F.filter(named, lambda w: text.valid_entity_name(w))

@@ -1,20 +1,26 @@
 """Ranked retrieval: full-text and term-vector scores, the hybrid engine, conflicts.
 
-Query terms are few and known on the driver, so a score needs no postings shuffle: each row counts
-its own hits, and only the corpus statistics (one row) are aggregated and broadcast.
+A full-text score reads stored postings of its few terms. Without an index, each row counts its own
+hits; only the corpus statistics (one row) are aggregated and broadcast either way.
 """
 
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
+from dataclasses import dataclass
+from datetime import datetime
 from math import sqrt
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import scoring, text
-from ..functions.querytext import Match, full_text
+from ..functions.querytext import Match, expanded, full_text, tagged, time_window
 
 
 def scoped(df: DataFrame, repo: str, owner: str | None = None, rule: str = "strict", tags: list[str] | None = None) -> DataFrame:
@@ -69,12 +75,64 @@ def folded_words(words: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(re.findall("[a-z0-9]+", folded))
 
 
-def bm25(df: DataFrame, query: str, columns: list[str], scope: Column | None = None) -> DataFrame:
+@dataclass(frozen=True)
+class Index:
+    """``postings`` (term, id, tf), in order of term, and ``lengths`` (id, length) of a text."""
+
+    postings: DataFrame
+    lengths: DataFrame
+
+
+def postings(df: DataFrame) -> DataFrame:
+    """Postings of ``body``, sorted so that a reader of few terms skips most of the files."""
+    terms = df.select("id", F.explode(text.fts_tokens(F.col("body"))).alias("term")).groupBy("term", "id").agg(F.count("*").alias("tf"))
+    return terms.repartitionByRange("term").sortWithinPartitions("term", "id")
+
+
+def lengths(df: DataFrame) -> DataFrame:
+    return df.select("id", F.regexp_count(text.folded(F.col("body")), F.lit("[a-z0-9]+")).alias("length"))
+
+
+def _scored(hits: list[Column], found: list[Column], rows: Column, length: Column, average: Column) -> Column:
+    """The score (less is better) of hits of each term, ``found``: the rows that each is in."""
+    score = F.lit(0.0)
+    for f, n in zip(hits, found, strict=True):
+        idf = F.log((rows - n + 0.5) / (n + 0.5))
+        norm = scoring.BM25_K1 * (1 - scoring.BM25_B + scoring.BM25_B * length / average)
+        score = score + F.when(idf <= 0, scoring.BM25_FLOOR).otherwise(idf) * f * (scoring.BM25_K1 + 1) / (f + norm)
+    return -score
+
+
+def indexed_bm25(index: Index, prefixes: tuple[str, ...]) -> DataFrame:
+    """``id, bm25`` of the rows that hold a term with every prefix."""
+    starts = [F.col("term").startswith(p) for p in prefixes]
+    some = starts[0]
+    for s in starts[1:]:
+        some = some | s
+    sums = [F.sum(F.when(s, F.col("tf")).otherwise(0)).alias(f"f{i}") for i, s in enumerate(starts)]
+    hits = index.postings.where(some).groupBy("id").agg(*sums)
+    names = [F.col(f"f{i}") for i in range(len(prefixes))]
+    stats = index.lengths.agg(F.count("*").alias("rows"), F.avg("length").alias("average"))
+    found = hits.agg(*(F.count_if(f > 0).alias(f"n{i}") for i, f in enumerate(names)))
+    every = names[0] > 0
+    for f in names[1:]:
+        every = every & (f > 0)
+    met = hits.where(every).join(index.lengths, "id").join(F.broadcast(stats)).join(F.broadcast(found))  # one row each
+    return met.select("id", _scored(names, [F.col(f"n{i}") for i in range(len(names))], F.col("rows"), F.col("length"), F.col("average")).alias("bm25"))
+
+
+def bm25(df: DataFrame, query: str, columns: list[str], scope: Column | None = None, index: Index | None = None) -> DataFrame:
     """Rows of ``df`` that have every term, with ``bm25`` (less is better).
 
-    Statistics cover all of ``df``; ``scope`` restricts the rows returned afterwards.
+    Statistics cover all of ``df``; ``scope`` restricts the rows returned afterwards. With an ``index``
+    of the columns, queries without phrases read the postings of their terms instead of the texts.
     """
     match = full_text(query)
+    if index is not None and not match.phrases:
+        words = folded_words(match.prefixes)
+        if not words:
+            return df.where("false").withColumn("bm25", F.lit(0.0))
+        return (df if scope is None else df.where(scope)).join(indexed_bm25(index, words), "id")
     body = F.concat_ws(" ", *columns)
     match = Match(tuple(w for p in match.phrases if (w := folded_words(p))), folded_words(match.prefixes))
     counted = df.withColumn("_body", text.folded(body))
@@ -85,16 +143,10 @@ def bm25(df: DataFrame, query: str, columns: list[str], scope: Column | None = N
     n = len(hits)
     stats = counted.agg(F.count("*").alias("_n"), F.avg("_length").alias("_average"), *[F.sum((F.col("_hits")[i] > 0).cast("int")).alias(f"_df{i}") for i in range(n)])
     met = counted.join(F.broadcast(stats))  # one row
-    score = F.lit(0.0)
-    for i in range(n):
-        f, found = F.col("_hits")[i], F.col(f"_df{i}")
-        idf = F.log((F.col("_n") - found + 0.5) / (found + 0.5))
-        idf = F.when(idf <= 0, scoring.BM25_FLOOR).otherwise(idf)
-        norm = scoring.BM25_K1 * (1 - scoring.BM25_B + scoring.BM25_B * F.col("_length") / F.col("_average"))
-        score = score + idf * f * (scoring.BM25_K1 + 1) / (f + norm)
+    score = _scored([F.col("_hits")[i] for i in range(n)], [F.col(f"_df{i}") for i in range(n)], F.col("_n"), F.col("_length"), F.col("_average"))
     every = F.forall("_hits", lambda h: h > 0)
     kept = met.where(every if scope is None else every & scope)
-    return kept.select(*df.columns, (-score).alias("bm25"))
+    return kept.select(*df.columns, score.alias("bm25"))
 
 
 def with_min_max(df: DataFrame, score: str, out: str, best_low: bool = True) -> DataFrame:
@@ -164,6 +216,40 @@ def hybrid(pool: DataFrame, kind: str, offset: int = 0, limit: int = 10, post: C
     return top.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*place))).where(F.col("rank") > offset)
 
 
+FTS_CANDIDATES = 100
+
+
+def memory_search(memories: DataFrame, index: Index, raw: str, repo: str, now: datetime, as_of: Column, offset: int = 0, limit: int = 10) -> DataFrame:
+    """The whole search: ``id, score, keyword, similarity, eligible, rank`` of a query with tags and a date phrase.
+
+    Tags leave the query, then the date phrase. Term-vector candidates are sought with synonyms, full-text
+    hits without; what either finds is a candidate. Workspace and tag affinity raise the similarity, the
+    blend is cut by the adaptive threshold, and the date window is looked at afterwards.
+    """
+    asked = tagged(raw, "memory")
+    scope, tags, path = asked.filters.get("scope", {}), asked.filters.get("current_tags", []), asked.filters.get("current_file_path")
+    window = time_window(asked.query, now)
+    plain = window.query if window else asked.query
+    wide = expanded(plain)
+    pool = candidates(memories, repo, wide, as_of, 3 * (offset + limit), tags).select("id", "similarity")
+    reach = ((F.col("repo") == repo) | F.col("is_global")) & live(as_of)
+    best = bm25(memories, plain, [], reach, index).select("id", "bm25", "importance", "created_at")
+    best = best.orderBy(F.round("bm25", 9), F.col("importance").desc(), F.col("created_at").desc(), "id").limit(FTS_CANDIDATES)
+    keyed = with_min_max(best, "bm25", "keyword").select("id", "keyword")
+    both = pool.join(keyed, "id", "full").select("id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("keyword", F.lit(0.0)).alias("keyword"))
+    rows = memories.join(F.broadcast(both), "id")  # two bounded lists
+    wanted = {"branch": scope.get("branch"), "path": path, "folder": scope.get("folder"), "language": scope.get("language"), "tags": tags}
+    near = scoring.affinity(F.col("similarity"), {c: F.col(c) for c in ("branch", "folder", "language", "tags")}, wanted)
+    domain = scoring.domain_adjusted(scoring.overlap(F.col("tags"), text.strings(wide.split())), F.col("recall_count") > 0, F.col("type"))
+    found = rows.select("id", "created_at", near.alias("similarity"), "keyword", scoring.recency(F.col("created_at"), as_of).alias("recency"), domain.alias("domain"))
+    post = None
+    if window:
+        at = F.col("created_at")
+        post = at >= F.lit(window.since).cast("timestamp_ntz")
+        post = post if window.until is None else post & (at < F.lit(window.until).cast("timestamp_ntz"))
+    return hybrid(found, "memory", offset, limit, post).select("id", "score", "keyword", "similarity", "eligible", "rank")
+
+
 def merged_with_vectors(pool: DataFrame, vectors: DataFrame, mode: str = "supplement") -> DataFrame:
     """``pool`` and vector rows: all that it lacks (supplement), or any only if it is empty (fallback)."""
     if mode == "supplement":
@@ -184,15 +270,27 @@ def nearest(vectors: DataFrame, target: list[float], k: int, column: str = "vect
     return vectors.withColumn("similarity", similarity).orderBy(F.col("similarity").desc(), "id").limit(k)
 
 
-def summary_by_group(ranked: DataFrame, group: str, order: list, caps: dict[str, int], cap: int = 5) -> DataFrame:
-    """Global ``rank``, then at most so many rows a group, with ``more``: how many were left out."""
+def summary_by_group(rows: DataFrame, group: str, order: list[tuple[str, bool]], caps: dict[str, int], cap: int = 5) -> DataFrame:
+    """At most so many rows a group, with their ``rank`` among all rows and ``more``: how many of the group were left out.
+
+    ``order``: numeric columns, and whether each descends; together they tell all rows apart. Groups
+    are few (kinds). No window over everything: each group's head is a bounded window, and a rank is
+    the number of rows up to a head, counted between one head and the next.
+    """
     limit = F.lit(cap)
     for name, n in caps.items():
         limit = F.when(F.col(group) == name, n).otherwise(limit)
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*order)))
-    inside = Window.partitionBy(group)
-    placed = ranked.withColumn("place", F.row_number().over(inside.orderBy("rank"))).withColumn("_n", F.count("*").over(inside))
-    return placed.where(F.col("place") <= limit).withColumn("more", F.greatest(F.lit(0).cast("long"), F.col("_n") - limit)).drop("_n")
+    key = F.struct(*((-F.col(c) if down else F.col(c)).alias(c) for c, down in order))
+    keyed = rows.withColumn("_key", key)
+    head = keyed.withColumn("place", F.row_number().over(Window.partitionBy(group).orderBy("_key"))).where(F.col("place") <= max([cap, *caps.values()])).where(F.col("place") <= limit)
+    cuts = head.agg(F.sort_array(F.collect_list("_key")).alias("_cuts"))  # so many as heads
+    slot = F.size(F.filter("_cuts", lambda c: c < F.col("_key")))
+    counted = keyed.select("_key").join(F.broadcast(cuts)).groupBy(slot.alias("_slot")).agg(F.count("*").alias("_c"))
+    upto = counted.select("_slot", F.sum("_c").over(Window.partitionBy().orderBy("_slot")).cast("int").alias("rank"))  # a row a head
+    ranks = cuts.select(F.posexplode("_cuts").alias("_slot", "_key")).join(F.broadcast(upto), "_slot").drop("_slot")
+    sizes = rows.groupBy(group).agg(F.count("*").alias("_n"))  # a row a group
+    met = head.join(F.broadcast(ranks), "_key").join(F.broadcast(sizes), group)
+    return met.withColumn("more", F.greatest(F.lit(0).cast("long"), F.col("_n") - limit)).drop("_key", "_n")
 
 
 def in_order(df: DataFrame, keys: list[str], column: str = "code") -> DataFrame:
@@ -203,37 +301,100 @@ def in_order(df: DataFrame, keys: list[str], column: str = "code") -> DataFrame:
     return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def similar_pairs(df: DataFrame, column: str, least: float, top: int, within: list[str] | None = None) -> DataFrame:
+def similar_pairs(df: DataFrame, column: str, least: float, top: int, within: str | None = None, anywhere: str | None = None, block: int = 1024) -> DataFrame:
     """``a, b, similarity``: each row's most similar others by term counts, at least ``least`` (above 0).
 
-    With ``within``, only rows that agree in these columns (a scope) are compared.
+    With ``within``, a row is compared with those that agree in this column, and, with ``anywhere`` (a
+    boolean column), with all rows that it marks, whatever theirs is.
 
-    Exact, by prefix filtering: a row's terms are put in order of rarity, and cut where the rest of
-    its vector is shorter than half of ``least``. What a pair has in common in both prefixes, and a
-    bound for the rest (at most the longer rest), rule most pairs out; the others get their whole dot
-    product. Common terms, which would make quadratic lists, stand at the end and are rarely joined.
+    Exact. Rows are dealt in blocks of about ``block`` to tasks that hold two blocks at a time and
+    multiply their term counts as matrices; a row leaves with its best ``top`` of each block, never with
+    all pairs. Term counts are ruled by the common words that all rows share, so filters by rare terms
+    rule nothing out at such bounds; the work grows with the square of a scope, as that of a search
+    from each of its rows.
     """
-    scope = within or []
-    terms = df.select("id", *scope, F.explode(text.tokens(F.coalesce(F.col(column), F.lit("")))).alias("term")).groupBy("id", *scope, "term").agg(F.count("*").alias("tf"))
-    spread = terms.groupBy(*scope, "term").agg(F.count("*").alias("df"))
-    inside = Window.partitionBy("id")
-    rest = inside.orderBy(F.col("df").desc(), F.col("term").desc()).rowsBetween(Window.unboundedPreceding, 0)  # from the end up to here
-    square = F.col("tf") * F.col("tf")
-    sized = terms.join(spread, [*scope, "term"]).withColumn("norm2", F.sum(square).over(inside)).withColumn("_rest", F.sum(square).over(rest))
-    in_prefix = F.col("_rest") >= F.col("norm2") * (least * least / 4)
-    prefix = sized.where(in_prefix & (F.col("df") > 1))
-    rows = sized.groupBy("id").agg(F.sqrt(F.max("norm2").cast("double")).alias("norm"), F.sqrt(F.coalesce(F.sum(F.when(~in_prefix, square)), F.lit(0)).cast("double")).alias("rest"))
-    side = lambda x, tf: prefix.select(*scope, "term", F.col("id").alias(x), F.col("tf").alias(tf))
-    shared = side("a", "x").join(side("b", "y"), [*scope, "term"]).where("a < b").groupBy("a", "b").agg(F.sum(F.col("x") * F.col("y")).alias("_shared"))
-    size = lambda x: rows.select(F.col("id").alias(x), F.col("norm").alias(f"n_{x}"), (F.col("rest") / F.col("norm")).alias(f"rest_{x}"))
-    bound = F.col("_shared") / (F.col("n_a") * F.col("n_b")) + F.greatest("rest_a", "rest_b")
-    found = shared.join(size("a"), "a").join(size("b"), "b").where(bound >= least - 1e-9).select("a", "b", "n_a", "n_b")
-    whole = lambda x, tf: terms.select(F.col("id").alias(x), "term", F.col("tf").alias(tf))
-    dots = found.join(whole("a", "x"), "a").join(whole("b", "y"), ["b", "term"]).groupBy("a", "b", "n_a", "n_b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
-    scored = dots.withColumn("similarity", F.col("dot") / (F.col("n_a") * F.col("n_b"))).where(F.col("similarity") >= least)
-    both = scored.select("a", "b", "similarity").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "similarity"))
-    best = Window.partitionBy("a").orderBy(F.round("similarity", 9).desc(), "b")
-    return both.withColumn("_n", F.row_number().over(best)).where(F.col("_n") <= top).drop("_n")
+    scope = F.coalesce(F.col(within).cast("string"), F.lit("")) if within else F.lit("")
+    open_ = F.coalesce(F.col(anywhere), F.lit(False)) if anywhere else F.lit(False)
+    tokens = F.explode(text.tokens(F.coalesce(F.col(column), F.lit(""))))
+    terms = df.select("id", scope.alias("scope"), open_.alias("open"), tokens.alias("term")).groupBy("id", "scope", "open", F.xxhash64("term").alias("term")).agg(F.count("*").alias("tf"))
+    rows = terms.groupBy("id", "scope", "open").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("v"))  # of one row
+    # blocks of the scopes, and of the rows open to all of them
+    size = lambda x, *by: x.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
+    own, far = size(rows, "scope"), size(rows.where("open")).select(F.col("blocks").alias("all"))
+    known = rows.join(own, "scope").join(F.broadcast(far))  # one row
+    mine = known.withColumn("x", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
+    inside = F.struct(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"), F.lit(False).alias("far"))
+    local = mine.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("scope", inside.alias("at"), F.lit(False).alias("guest"), "x", "id", "scope", "v").toDF("group", "at", "guest", "x", "id", "scope", "v")
+    meet = lambda x, y: F.struct(F.col(x).alias("low"), F.col(y).alias("high"), F.lit(True).alias("far"))
+    hosts = mine.where("all > 0").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).select("scope", meet("x", "y").alias("at"), F.lit(False).alias("guest"), "x", "id", "scope", "v").toDF(*local.columns)
+    places = own.select(F.col("scope").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))  # a row a block
+    guests = known.where("open").withColumn("y", F.pmod(F.xxhash64("id"), "all").cast("int")).join(F.broadcast(places)).where("group != scope").select("group", meet("x", "y").alias("at"), F.lit(True).alias("guest"), "y", "id", "scope", "v").toDF(*local.columns)
+    dealt = local.unionByName(hosts).unionByName(guests) if anywhere else local
+    kind, ids = df.schema["id"].dataType.simpleString(), to_arrow_type(df.schema["id"].dataType)
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, group = None, []
+        for batch in batches:
+            flat = batch.column(5).flatten()
+            term, tf = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            ends = batch.column(5).offsets.to_numpy()
+            ends = (ends - ends[0]).tolist()
+            for i, (place, key, guest, x, id_) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
+                here = (place, key["low"], key["high"], key["far"])
+                if here != at and group:
+                    yield best(at, group)
+                    group = []
+                at = here
+                group.append((guest, x, id_, term[ends[i] : ends[i + 1]], tf[ends[i] : ends[i + 1]]))
+        if group:
+            yield best(at, group)
+
+    def best(at: tuple, group: list[tuple]) -> pa.RecordBatch:
+        _, low, high, far_ = at
+        left = [r for r in group if (not r[0] if far_ else r[1] == low)]
+        right = [r for r in group if (r[0] if far_ else r[1] == high)]
+        out = most_similar(left, right, least, top)
+        if not far_ and low != high:
+            out += most_similar(right, left, least, top)
+        columns = [pa.array([r[i] for r in out], ids) for i in (0, 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([r[2] for r in out], pa.float64())], ["a", "b", "similarity"])
+
+    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
+    sorted_ = dealt.select("group", "at", "guest", "x", "id", "v").repartition(int(parts), "group", "at").sortWithinPartitions("group", "at")
+    near = sorted_.mapInArrow(walk, f"a {kind}, b {kind}, similarity double")
+    place = Window.partitionBy("a").orderBy(F.round("similarity", 9).desc(), "b")
+    return near.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= top).drop("_n")
+
+
+def most_similar(rows: list[tuple], others: list[tuple], least: float, top: int, columns: int = 4096) -> list[tuple]:
+    """``a, b, similarity`` of the best others of each row; rows are (.., id, terms, counts), terms in order and once each."""
+    if not rows or not others:
+        return []
+    norm = lambda x: np.array([np.sqrt(float((r[4].astype(np.float64) ** 2).sum())) for r in x])
+    n, m = norm(rows), norm(others)
+    shared = np.intersect1d(np.concatenate([r[3] for r in rows]), np.concatenate([r[3] for r in others]))
+    exact = np.float32 if float(n.max()) * float(m.max()) < 2**24 else np.float64  # sums of whole numbers below that are exact
+    dots = np.zeros((len(rows), len(others)))
+
+    def table(x: list[tuple], some: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(x), len(some)), exact)
+        term, row = np.concatenate([r[3] for r in x]), np.repeat(np.arange(len(x)), [len(r[3]) for r in x])
+        at = np.minimum(np.searchsorted(some, term), len(some) - 1)
+        hit = some[at] == term
+        out[row[hit], at[hit]] = np.concatenate([r[4] for r in x])[hit]
+        return out
+
+    for low in range(0, len(shared), columns):
+        some = shared[low : low + columns]
+        dots += table(rows, some) @ table(others, some).T
+    near = dots / (n[:, None] * m[None, :])
+    ids = [r[2] for r in others]
+    out = []
+    for i, r in enumerate(rows):
+        good = [j for j in np.nonzero(near[i] >= least - 1e-12)[0].tolist() if ids[j] != r[2]]
+        good.sort(key=lambda j: (-round(float(near[i, j]), 9), ids[j]))
+        out += [(r[2], ids[j], float(near[i, j])) for j in good[:top]]
+    return out
 
 
 UUID = r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"

@@ -12,6 +12,9 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.retrieval import Index, lengths, postings
+from ..sources.stored import stored
+
 AS_OF = datetime(2024, 3, 1)
 AS_OF_SQL = "TIMESTAMP '2024-03-01 00:00:00'"
 
@@ -56,12 +59,12 @@ FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id"""
 
 def _standards(d: dict) -> str:
     t = d["later"](d["epoch"], "doc_id % 900", "HOUR")
-    return f"""SELECT doc_id AS id, 'STD-' || lpad({d["text"]("doc_id")}, 6, '0') AS code, substr(text, 1, 50) AS title, text AS content,
+    return f"""SELECT doc_id AS id, 'STD-' || lpad({d["text"]("doc_id")}, 6, '0') AS code, substr(coalesce(text, ''), 1, 50) AS title, coalesce(text, '') AS content,
   CASE WHEN doc_id % 3 = 0 THEN 'api' WHEN doc_id % 3 = 1 THEN 'testing' ELSE 'style' END AS context, '1.' || {d["text"]("doc_id % 3")} AS version,
-  lang AS language, {d["list"]("'stack' || " + d["text"]("doc_id % 4"), "'stack' || " + d["text"]("doc_id % 6"))} AS stack,
-  {d["list"]("source", "lang")} AS tags, source AS repo, doc_id % 5 = 0 AS is_global, {t} AS created_at, {d["later"](t, "doc_id % 72", "HOUR")} AS updated_at,
+  coalesce(lang, 'und') AS language, {d["list"]("'stack' || " + d["text"]("doc_id % 4"), "'stack' || " + d["text"]("doc_id % 6"))} AS stack,
+  {d["list"]("coalesce(source, '')", "coalesce(lang, 'und')")} AS tags, source AS repo, doc_id % 5 = 0 AS is_global, {t} AS created_at, {d["later"](t, "doc_id % 72", "HOUR")} AS updated_at,
   CASE WHEN doc_id % 2 = 0 THEN {d["later"](t, "doc_id % 20", "DAY")} END AS last_used_at, CAST(n_chars % 9 AS INT) AS hit_count
-FROM documents WHERE lang = 'en'"""
+FROM documents"""
 
 
 def _tasks(d: dict) -> str:
@@ -171,6 +174,12 @@ class Tables:
     def as_of(self) -> Column:
         return F.lit(AS_OF).cast("timestamp_ntz")
 
+    def index(self, role: str, *columns: str) -> Index:
+        """The stored full-text index of some columns of a role, made once an application."""
+        df = getattr(self, role).select("id", F.concat_ws(" ", *(F.array_join(c[:-2], " ") if c.endswith("[]") else F.col(c) for c in columns)).alias("body"))
+        key = (self.folder, role, *columns)
+        return Index(stored(self.spark, (*key, "postings"), lambda: postings(df)), stored(self.spark, (*key, "lengths"), lambda: lengths(df)))
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 

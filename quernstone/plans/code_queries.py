@@ -187,7 +187,12 @@ def parent_resolution(t: Tables):
     return C.parents(t.symbols, ["class", "interface"])
 
 
-@query("S9 symbols of generic text")
+@query(
+    "S9 symbols of generic text",
+    r"""WITH l AS (SELECT p_brand, CASE WHEN p_size % 2 = 0 THEN 'function' ELSE 'class' END AS kind, regexp_replace(p_name, '[^a-zA-Z_0-9]', '_', 'g') AS name, CASE WHEN p_size % 2 = 0 THEN 'def ' ELSE 'class ' END || regexp_replace(p_name, '[^a-zA-Z_0-9]', '_', 'g') || '():' AS line FROM part),
+n AS (SELECT *, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY line) AS INTEGER) AS k FROM l)
+SELECT p_brand || '.py' AS file_path, name, kind, k AS start_line, k AS end_line, line AS signature, CAST(NULL AS VARCHAR) AS doc_comment FROM n""",
+)
 def generic_symbols(t: Tables):
     """The parts as declarations, a text a brand."""
     line = F.concat(F.when(F.col("p_size") % 2 == 0, "def ").otherwise("class "), F.regexp_replace("p_name", "[^a-zA-Z_0-9]", "_"), F.lit("():"))
@@ -195,7 +200,15 @@ def generic_symbols(t: Tables):
     return code_files.extracted(lists.select(F.concat("p_brand", F.lit(".py")).alias("file_path"), F.lit("python").alias("language"), "content"))
 
 
-@query("S10 symbols of Markdown")
+@query(
+    "S10 symbols of Markdown",
+    r"""WITH l AS (SELECT file_path, repo, string_split('# ' || file_path || chr(10) || 'about' || chr(10) || chr(10) || '## ' || repo || chr(10) || '```html' || chr(10) || content || chr(10) || '```' || chr(10), chr(10)) AS lines FROM files),
+p AS (SELECT *, list_min(list_filter(range(5, len(lines) + 1), lambda i: trim(lines[i]) = '')) AS blank FROM l),
+f AS (SELECT *, list_min(list_filter(range(blank, len(lines) + 1), lambda i: starts_with(lines[i], '```'))) AS fence FROM p)
+SELECT file_path, file_path AS name, 'heading1' AS kind, CAST(1 AS INTEGER) AS start_line, CAST(2 AS INTEGER) AS end_line, '# ' || file_path AS signature, CAST(NULL AS VARCHAR) AS doc_comment FROM f
+UNION ALL SELECT file_path, repo, 'heading2', 4, CAST(blank - 1 AS INTEGER), '## ' || repo, NULL FROM f
+UNION ALL SELECT file_path, 'code-block:unknown', 'code_block', CAST(fence AS INTEGER), CAST(len(lines) AS INTEGER), '```unknown', NULL FROM f WHERE fence IS NOT NULL""",
+)
 def markdown_symbols(t: Tables):
     body = F.concat(F.lit("# "), "file_path", F.lit("\nabout\n\n## "), F.col("repo"), F.lit("\n```html\n"), "content", F.lit("\n```\n"))
     return code_files.extracted(t.files.withColumn("content", body).withColumn("language", F.lit("markdown")))
@@ -253,7 +266,7 @@ def file_slices(t: Tables):
     return cut.select("id", F.length("s.text").cast("long").alias("n"), "s.truncated")
 
 
-@query("F30 doc comments")
+@query("F30 doc comments", "SELECT id, doc_comment AS summary, CAST(2 AS INTEGER) AS n_tags, true AS deprecated FROM symbols")
 def doc_comments(t: Tables):
     from ..functions.documentation import doc_struct
 

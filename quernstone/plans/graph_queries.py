@@ -9,6 +9,7 @@ from ..operators import graph as G
 from ..sources import tables as S
 from .bindings import Tables
 from .registry import query
+from .retrieval_queries import STOP_SQL
 
 DEGREE_SQL = "deg AS (SELECT node, count(*) AS degree FROM (SELECT from_entity AS node FROM relations UNION ALL SELECT to_entity FROM relations) GROUP BY node)"
 PAGE_SQL = f"{DEGREE_SQL}, page AS (SELECT name, coalesce(degree, 0) AS degree FROM entities LEFT JOIN deg ON node = name ORDER BY coalesce(degree, 0) DESC, name LIMIT 40)"
@@ -41,13 +42,14 @@ def kg_edges_ranked(t: Tables):
 
 
 @query(
-    "G1 J8 T6 graph window",
-    f"WITH {PAGE_SQL} SELECT from_entity, to_entity, relation_type, (SELECT count(*) FROM entities) AS total FROM relations WHERE from_entity IN (SELECT name FROM page) AND to_entity IN (SELECT name FROM page)",
+    "G1 J8 T6 graph window: nodes by degree, edges among them up to a cap, whether more were left out",
+    f"WITH {PAGE_SQL}, inside AS (SELECT from_entity, to_entity, relation_type FROM relations WHERE from_entity IN (SELECT name FROM page) AND to_entity IN (SELECT name FROM page)) SELECT *, (SELECT count(*) FROM inside) > 60 AS truncated, (SELECT count(*) FROM entities) AS total FROM inside ORDER BY from_entity, to_entity, relation_type LIMIT 60",
 )
 def kg_subgraph(t: Tables):
     page, _ = _page(t)
     total = t.entities.agg(F.count("*").alias("total"))
-    return G.subgraph(t.relations, page).select("from_entity", "to_entity", "relation_type").join(F.broadcast(total))
+    inside = G.subgraph(t.relations, page).select("from_entity", "to_entity", "relation_type")
+    return G.capped(inside, ["from_entity", "to_entity", "relation_type"], 60).join(F.broadcast(total))
 
 
 @query("J9 neighbours", "SELECT DISTINCT from_entity, to_entity, relation_type FROM relations WHERE from_entity IN ('supplier 3', 'nation NATION_3', 'brand Brand#1') OR to_entity IN ('supplier 3', 'nation NATION_3', 'brand Brand#1')")
@@ -85,18 +87,23 @@ def kg_entities_by_text(t: Tables):
 
 @query(
     "R17 context of results: titles to observations to entities to relations",
-    """WITH e AS (SELECT DISTINCT entity_name FROM observations WHERE observation IN ('click 3', 'view 2') ORDER BY entity_name LIMIT 50) SELECT DISTINCT from_entity, to_entity, relation_type FROM relations WHERE from_entity IN (SELECT * FROM e) OR to_entity IN (SELECT * FROM e)""",
+    """WITH results AS (SELECT action || ' ' || (id % 7) AS title FROM actions ORDER BY id LIMIT 5),
+e AS (SELECT DISTINCT entity_name FROM observations WHERE observation IN (SELECT 'click ' || substr(title, -1) FROM results) OR observation IN (SELECT title FROM results) ORDER BY entity_name LIMIT 50)
+SELECT DISTINCT from_entity, to_entity, relation_type FROM relations WHERE from_entity IN (SELECT * FROM e) OR to_entity IN (SELECT * FROM e)""",
 )
 def kg_context(t: Tables):
-    found = t.observations.where(F.col("observation").isin("click 3", "view 2")).select(F.col("entity_name").alias("name")).distinct().orderBy("name").limit(50)
-    return G.neighbours(t.relations, found).select("from_entity", "to_entity", "relation_type")
+    results = t.actions.select("id", F.concat_ws(" ", "action", (F.col("id") % 7).cast("string")).alias("title")).orderBy("id").limit(5)
+    noted = results.select(F.explode(F.array("title", F.concat(F.lit("click "), F.right("title", F.lit(1))))).alias("observation"))
+    return G.context(t.relations, t.observations, noted).select("from_entity", "to_entity", "relation_type")
 
 
-@query("G3 entity detail", "SELECT relation_type, count(*) AS n, (SELECT count(*) FROM observations WHERE entity_name = 'supplier 5') AS observations FROM relations WHERE from_entity = 'supplier 5' OR to_entity = 'supplier 5' GROUP BY relation_type")
+@query(
+    "G3 entity detail: relations both ways and observations",
+    """SELECT 'out' AS part, relation_type AS kind, to_entity AS value FROM relations WHERE from_entity = 'supplier 5' UNION ALL SELECT 'in', relation_type, from_entity FROM relations WHERE to_entity = 'supplier 5'
+UNION ALL SELECT 'observation', CAST(id AS VARCHAR), observation FROM observations WHERE entity_name = 'supplier 5'""",
+)
 def kg_entity_detail(t: Tables):
-    one = t.entities.where("name = 'supplier 5'").select("name")
-    seen = t.observations.where("entity_name = 'supplier 5'").agg(F.count("*").alias("observations"))
-    return G.neighbours(t.relations, one).groupBy("relation_type").agg(F.count("*").alias("n")).join(F.broadcast(seen))
+    return G.entity_detail(t.relations, t.observations, "supplier 5")
 
 
 @query("G4 entity list", "SELECT name, type, count(*) OVER () AS total FROM entities WHERE type IN ('nation', 'region') AND name ILIKE '%ion%1%' ORDER BY name LIMIT 10 OFFSET 2")
@@ -121,10 +128,10 @@ def unified_graph(t: Tables):
     return G.united({"kg": (t.entities, "name", F.lit(1)), "memory": (t.memories, "id", F.col("importance")), "task": (t.tasks.where("status = 'blocked'"), "id", F.col("priority")), "code": (t.symbols, "id", F.col("end_line") - F.col("start_line"))})
 
 
-@query("J22 decision references within a key", "SELECT a.id AS source, b.id AS target FROM memories a JOIN memories b ON CAST(a.created_at AS DATE) = CAST(b.created_at AS DATE) AND a.language = b.language AND a.type = 'decision' AND b.type = 'pattern'")
-def kg_decision_refs(t: Tables):
-    side = lambda kind, name: t.memories.where(F.col("type") == kind).select(F.to_date("created_at").alias("day"), "language", F.col("id").alias(name))
-    return side("decision", "source").join(side("pattern", "target"), ["day", "language"]).select("source", "target")
+@query("J22 entities of a task with those of its parent", "WITH e AS (SELECT id, lower(word) AS name FROM (SELECT id, unnest(string_split(title, ' ')) AS word FROM tasks) WHERE length(word) >= 3) SELECT DISTINCT t.id AS task, x.name AS source, y.name AS target FROM tasks t JOIN e x ON x.id = t.id JOIN e y ON y.id = t.parent_id WHERE x.name <> y.name")
+def kg_parent_refs(t: Tables):
+    words = t.tasks.select("id", F.explode(F.split("title", " ")).alias("word")).where("length(word) >= 3").select("id", F.lower("word").alias("name"))
+    return G.parent_pairs(t.tasks, words)
 
 
 @query("A19 first observations", "SELECT entity_name, observation, min(id) AS id FROM observations GROUP BY entity_name, observation")
@@ -144,7 +151,11 @@ def kg_code_relations(t: Tables):
     return G.code_relations(t.symbols, t.refs)[1].select("repo", "from_entity", "to_entity", "relation_type")
 
 
-@query("G5 F41 observations of mentions")
+@query(
+    "G5 F41 F39 observations of mentions",
+    rf"""WITH w AS (SELECT DISTINCT title, unnest(regexp_extract_all(content, '[\p{{L}}\p{{N}}]+(?:[_.-][\p{{L}}\p{{N}}]+)*')) AS name FROM memories)
+SELECT DISTINCT name AS entity_name, 'Mentioned in memory: ' || title AS observation FROM w WHERE regexp_matches(name, '^[A-Za-z][A-Za-z0-9_.-]*$') AND (regexp_matches(name, '^[A-Z]') OR regexp_matches(name, '[a-z][A-Z]|[_.-][A-Za-z0-9]|[A-Za-z][0-9]')) AND length(name) >= 3 AND regexp_matches(lower(name), '[a-z]') AND NOT list_contains({STOP_SQL}, lower(name))""",
+)
 def kg_extracted(t: Tables):
     mentions = G.extracted_mentions(t.memories)
     return G.observed(mentions, t.memories, "memory")

@@ -61,8 +61,7 @@ def memory_search_bm25(t: Tables):
     from pyspark.sql.window import Window
 
     scope = ((F.col("repo") == REPO) | F.col("is_global")) & R.live(t.as_of)
-    df = t.memories.withColumn("tag_text", F.array_join("tags", " "))
-    found = R.bm25(df, "th ing", ["title", "content", "tag_text"], scope)
+    found = R.bm25(t.memories, "th ing", [], scope, t.index("memories", "title", "content", "tags[]"))
     scaled = R.with_min_max(found.select("id", "bm25", "importance", "created_at"), "bm25", "keyword")
     order = [F.round("bm25", 9), F.col("importance").desc(), F.col("created_at").desc(), F.col("id")]
     top = scaled.orderBy(*order).limit(100)
@@ -115,13 +114,47 @@ def memory_search_hybrid(t: Tables):
     return found.select("id", F.round("score", 6).alias("score"), "eligible", "rank", scoring.confidence(F.col("score")).alias("confidence"))
 
 
+def _search_sql(words: list[str]) -> str:
+    """SQL of a search for some words in French memories of last month, with tags and a branch."""
+    wide = querytext.expanded(" ".join(words)).split()
+    return f"""WITH pool AS (SELECT * FROM memories WHERE (repo = '{REPO}' OR is_global OR list_has_any(list_transform(tags, lambda x: lower(x)), ['tag3', 'tag1'])) AND status = 'active' AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-03-01 00:00:00')
+  ORDER BY repo = '{REPO}' DESC, importance DESC, created_at DESC, id LIMIT 90), {cosine_sql("pool", "content", dict.fromkeys(wide, 1))}, {{similar}},
+{bm25_sql("memories", BODY_SQL, words, f"(repo = '{REPO}' OR is_global) AND status = 'active' AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-03-01 00:00:00')")},
+best AS (SELECT id, bm25 FROM bm JOIN memories USING (id) ORDER BY round(bm25, 9), importance DESC, created_at DESC, id LIMIT 100),
+keyed AS (SELECT id, CASE WHEN max(bm25) OVER () = min(bm25) OVER () THEN 1.0 ELSE (max(bm25) OVER () - bm25) / (max(bm25) OVER () - min(bm25) OVER ()) END AS keyword FROM best),
+met AS (SELECT m.*, coalesce(s.similarity, 0.0) AS base, coalesce(k.keyword, 0.0) AS keyword FROM (SELECT id, similarity FROM sim) s FULL JOIN keyed k ON s.id = k.id JOIN memories m ON m.id = coalesce(s.id, k.id)),
+parts AS (SELECT id, created_at, keyword, CAST(least(1.0, base + CASE WHEN branch = 'main' THEN 0.1 ELSE 0 END + CASE WHEN contains('fr', lower(language)) THEN 0.1 ELSE 0 END + CASE WHEN list_has_any(list_transform(tags, lambda x: lower(x)), ['tag3', 'tag1']) THEN 0.2 ELSE 0 END) AS DOUBLE) AS similarity,
+  CASE WHEN created_at >= TIMESTAMP '2024-03-01 00:00:00' THEN 1.0 ELSE pow(2.0, -(epoch_us(TIMESTAMP '2024-03-01 00:00:00') - epoch_us(created_at)) / 86400000000.0 / 30.0) END AS recency,
+  greatest(0.0, least(1.0, len(list_filter(tags, lambda x: list_contains({wide!r}, lower(x)))) / len(tags) + CASE WHEN recall_count > 0 THEN 0.0 ELSE 0.15 END - CASE WHEN type = 'task_archive' THEN 0.2 ELSE 0.0 END)) AS domain FROM met),
+scored AS (SELECT *, 0.4 * similarity + 0.3 * keyword + 0.15 * recency + 0.15 * domain AS score, count(*) OVER () AS eligible FROM parts),
+kept AS (SELECT * FROM scored WHERE (score >= CASE WHEN eligible <= 5 THEN 0.1 ELSE 0.4 END) OR id = (SELECT id FROM scored ORDER BY round(score, 9) DESC, id LIMIT 1)),
+placed AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM kept WHERE created_at >= TIMESTAMP '2024-02-01 00:00:00' AND created_at < TIMESTAMP '2024-02-29 23:59:59.999')
+SELECT id, round(score, 6) AS score, round(keyword, 6) AS keyword, round(similarity, 6) AS similarity, eligible, CAST(rank AS INTEGER) AS rank FROM placed WHERE rank > 5 AND rank <= 30""".replace("{similar}", SIMILAR_SQL.replace("{norm}", f"sqrt({float(len(wide))})"))
+
+
+def _search(t: Tables, words: str):
+    raw = f"lang:fr tags:tag3,Tag1 branch:main {words} last month"
+    found = R.memory_search(t.memories, t.index("memories", "title", "content", "tags[]"), raw, REPO, AS_OF, t.as_of, 5, 25)
+    return found.select("id", F.round("score", 6).alias("score"), F.round("keyword", 6).alias("keyword"), F.round("similarity", 6).alias("similarity"), "eligible", "rank")
+
+
+@query("R7 memory search: tags, date phrase, term vectors and full text, affinity, blend, window", _search_sql(["au", "th"]))
+def memory_search(t: Tables):
+    return _search(t, "au th")
+
+
+@query("R7 F8 memory search with synonyms and without a full-text hit", _search_sql(["ui", "th"]))
+def memory_search_synonyms(t: Tables):
+    return _search(t, "ui th")
+
+
 @query(
     "R5 full-text first, substring fallback, P6, Q9",
     "SELECT id, title FROM memories WHERE content ILIKE '%trash%' OR title ILIKE '%trash%' OR array_to_string(tags, ' ') ILIKE '%trash%'",
 )
 def memory_search_like(t: Tables):
     df = t.memories.withColumn("tag_text", F.array_join("tags", " "))
-    first = R.bm25(df, "zzzznothing", ["title", "content"]).select("id", "title")
+    first = R.bm25(df, "zzzznothing", [], None, t.index("memories", "title", "content", "tags[]")).select("id", "title")
     second = df.where(R.substring("trash", "content", "title", "tag_text")).select("id", "title")
     return R.with_fallback(first, second)
 
@@ -139,7 +172,7 @@ def memory_search_time_window(t: Tables):
 @query(
     "F21 affinity boost",
     """SELECT id, round(CAST(least(1.0, 0.3 + CASE WHEN branch = 'main' THEN 0.1 ELSE 0 END + CASE WHEN contains('x/src/src1/a.en', folder) THEN 0.15 ELSE 0 END + CASE WHEN contains('en', lower(language)) THEN 0.1 ELSE 0 END
-  + CASE WHEN contains('find fr in src/src2', lower(folder)) THEN 0.15 ELSE 0 END + CASE WHEN contains('find fr in src/src2', lower(language)) THEN 0.1 ELSE 0 END + CASE WHEN list_has_any(tags, ['Tag1', 'src3']) THEN 0.2 ELSE 0 END) AS DOUBLE), 6) AS boosted FROM memories""",
+  + CASE WHEN contains('find fr in src/src2', lower(folder)) THEN 0.15 ELSE 0 END + CASE WHEN contains('find fr in src/src2', lower(language)) THEN 0.1 ELSE 0 END + CASE WHEN list_has_any(list_transform(tags, lambda x: lower(x)), ['tag1', 'src3']) THEN 0.2 ELSE 0 END) AS DOUBLE), 6) AS boosted FROM memories""",
 )
 def memory_affinity_boost(t: Tables):
     row = {c: F.col(c) for c in ("branch", "folder", "language", "tags")}
@@ -211,15 +244,16 @@ def memory_conflicts(t: Tables):
 
 
 @query(
-    "J23 similarity join of the standards of a repository, five best",
+    "J23 similarity join of standards with those of their repository and global ones, five best",
     f"""WITH s AS (SELECT * FROM standards), {_terms_sql("s")},
-dots AS (SELECT x.id AS a, y.id AS b, CAST(sum(x.tf * y.tf) AS DOUBLE) AS dot FROM tok x JOIN s p ON p.id = x.id JOIN tok y ON x.term = y.term AND x.id < y.id JOIN s q ON q.id = y.id AND q.repo = p.repo GROUP BY x.id, y.id),
+dots AS (SELECT x.id AS a, y.id AS b, CAST(sum(x.tf * y.tf) AS DOUBLE) AS dot FROM tok x JOIN tok y ON x.term = y.term AND x.id < y.id GROUP BY x.id, y.id),
 sims AS (SELECT a, b, dot / (p.norm * q.norm) AS similarity FROM dots JOIN norms p ON p.id = a JOIN norms q ON q.id = b WHERE dot / (p.norm * q.norm) >= 0.6),
-twice AS (SELECT a, b, similarity FROM sims UNION ALL SELECT b, a, similarity FROM sims)
+ways AS (SELECT a, b, similarity FROM sims UNION ALL SELECT b, a, similarity FROM sims),
+twice AS (SELECT a, b, similarity FROM ways JOIN s p ON p.id = a JOIN s q ON q.id = b WHERE p.repo = q.repo OR q.is_global)
 SELECT a, b, round(similarity, 6) AS similarity FROM twice QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(similarity, 9) DESC, b) <= 5""",
 )
 def near_duplicate_pairs(t: Tables):
-    return R.similar_pairs(t.standards, "content", 0.6, 5, ["repo"]).select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return R.similar_pairs(t.standards, "content", 0.6, 5, "repo", "is_global").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(
@@ -229,7 +263,7 @@ p AS (SELECT *, row_number() OVER (PARTITION BY type ORDER BY rank) AS place, co
 SELECT id, type, CAST(rank AS INTEGER) AS rank, CAST(place AS INTEGER) AS place, greatest(0, n - cap) AS more FROM p WHERE place <= cap""",
 )
 def memory_grouped_summary(t: Tables):
-    found = R.summary_by_group(R.scoped(t.memories, REPO), "type", [F.col("importance").desc(), "id"], {"task_archive": 2})
+    found = R.summary_by_group(R.scoped(t.memories, REPO).select("id", "type", "importance"), "type", [("importance", True), ("id", False)], {"task_archive": 2})
     return found.select("id", "type", "rank", "place", "more")
 
 
@@ -324,22 +358,23 @@ def standard_search(t: Tables):
 
 @query(
     "R15 conflict check of standards",
-    f"""WITH s AS (SELECT * FROM standards ORDER BY id LIMIT 80), {_terms_sql("s")},
-target AS (SELECT * FROM standards ORDER BY id LIMIT 1), t_tok AS (SELECT term, tf FROM tok WHERE id = (SELECT id FROM target)),
+    f"""WITH target AS (SELECT * FROM standards ORDER BY id LIMIT 1), s AS (SELECT * FROM standards WHERE (repo = (SELECT repo FROM target) OR is_global) AND id <> (SELECT id FROM target) ORDER BY created_at DESC, id LIMIT 80),
+texts AS (SELECT id, content FROM s UNION ALL SELECT id, content FROM target), {_terms_sql("texts")}, t_tok AS (SELECT term, tf FROM tok WHERE id = (SELECT id FROM target)),
 dots AS (SELECT id, CAST(sum(tok.tf * t_tok.tf) AS DOUBLE) AS dot FROM tok JOIN t_tok USING (term) GROUP BY id)
 SELECT s.id, round(dot / (norm * (SELECT norm FROM norms WHERE id = (SELECT id FROM target))), 6) AS similarity,
   dot / (norm * (SELECT norm FROM norms WHERE id = (SELECT id FROM target))) >= 0.82 AND s.version = (SELECT version FROM target) AND s.language = (SELECT language FROM target) AND list_has_any(s.stack, (SELECT stack FROM target)) AS conflict
 FROM s JOIN dots USING (id) JOIN norms USING (id)""",
 )
 def standard_conflicts(t: Tables):
-    pool = t.standards.orderBy("id").limit(80)
-    terms = pool.select("id", F.explode(text.tokens(F.col("content"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
+    target = t.standards.orderBy("id").limit(1).select(F.col("id").alias("t"), F.col("repo").alias("t_repo"), "content", F.col("version").alias("t_version"), F.col("language").alias("t_language"), F.col("stack").alias("t_stack"))
+    reach = t.standards.join(F.broadcast(target.select("t", "t_repo"))).where(((F.col("repo") == F.col("t_repo")) | F.col("is_global")) & (F.col("id") != F.col("t"))).drop("t", "t_repo")
+    pool = reach.orderBy(F.col("created_at").desc(), "id").limit(80)  # the newest, as many as are looked at
+    terms = pool.select("id", "content").unionByName(target.select(F.col("t").alias("id"), "content")).select("id", F.explode(text.tokens(F.col("content"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("tf"))
     norms = terms.groupBy("id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf")).cast("double")).alias("norm"))
-    target = t.standards.orderBy("id").limit(1).select(F.col("id").alias("t"), F.col("version").alias("t_version"), F.col("language").alias("t_language"), F.col("stack").alias("t_stack"))
     own = terms.join(F.broadcast(target.select("t")), F.col("id") == F.col("t"), "left_semi").select("term", F.col("tf").alias("x"))
     dots = terms.join(F.broadcast(own), "term").groupBy("id").agg(F.sum(F.col("tf") * F.col("x")).alias("dot"))
     t_norm = norms.join(F.broadcast(target.select("t")), F.col("id") == F.col("t"), "left_semi").select(F.col("norm").alias("t_norm"))
-    met = pool.join(dots, "id").join(norms, "id").join(F.broadcast(target)).join(F.broadcast(t_norm))
+    met = pool.join(dots, "id").join(norms, "id").join(F.broadcast(target.drop("content"))).join(F.broadcast(t_norm))
     similarity = F.col("dot") / (F.col("norm") * F.col("t_norm"))
     conflict = (similarity >= 0.82) & (F.col("version") == F.col("t_version")) & (F.col("language") == F.col("t_language")) & F.arrays_overlap("stack", "t_stack")
     return met.select("id", F.round(similarity, 6).alias("similarity"), conflict.alias("conflict"))

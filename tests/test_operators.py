@@ -102,7 +102,18 @@ def test_similar_pairs_match_brute_force(spark):
             if i != j and norm[i] and norm[j] and (s := sum(v[t] * w[t] for t in v) / norm[i] / norm[j]) >= 0.7 - 1e-12:
                 wanted.setdefault(i, []).append((-round(s, 9), j))
     wanted = sorted((i, j) for i, x in wanted.items() for _, j in sorted(x)[:3])
-    assert sorted((r["a"], r["b"]) for r in retrieval.similar_pairs(df, "content", 0.7, 3).collect()) == wanted
+    for block in (1024, 16):
+        assert sorted((r["a"], r["b"]) for r in retrieval.similar_pairs(df, "content", 0.7, 3, block=block).collect()) == wanted
+    # within a scope, and with the rows open to all
+    scoped = df.withColumn("repo", F.concat(F.lit("r"), F.col("id") % 4)).withColumn("open", F.col("id") % 5 == 0)
+    some = {}
+    for i, v in enumerate(vectors):
+        for j, w in enumerate(vectors):
+            if i != j and (i % 4 == j % 4 or j % 5 == 0) and norm[i] and norm[j] and (s := sum(v[t] * w[t] for t in v) / norm[i] / norm[j]) >= 0.7 - 1e-12:
+                some.setdefault(i, []).append((-round(s, 9), j))
+    some = sorted((i, j) for i, x in some.items() for _, j in sorted(x)[:3])
+    for block in (1024, 4):
+        assert sorted((r["a"], r["b"]) for r in retrieval.similar_pairs(scoped, "content", 0.7, 3, "repo", "open", block).collect()) == some
 
 
 def test_symbol_ranking(spark):
