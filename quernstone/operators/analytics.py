@@ -86,33 +86,42 @@ def children(tasks: DataFrame) -> DataFrame:
     return each.select("parent_id", F.transform("_c", lambda x: x["task_code"]).alias("children"))
 
 
-def bursts(actions: DataFrame, minutes: int = 10, within: list[str] | None = None) -> DataFrame:
+def bursts(actions: DataFrame, minutes: int, within: list[str]) -> DataFrame:
     """Runs of equal actions one after another, each within so many minutes of the one before, as one row.
 
-    The row keeps the first id, takes the last time, and counts the run as ``burst``.
+    The row keeps the first id, takes the last time, and counts the run as ``burst``. Runs lie within
+    one value of the columns ``within``, whose rows are put in order.
     """
     same = ["action", "query", "memory_id"]
-    order = Window.partitionBy(*(within or [])).orderBy("created_at", "id")
+    order = Window.partitionBy(*within).orderBy("created_at", "id")
     changed = F.lit(False)
     for c in same:
         changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(order))
     gap = F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.lag("created_at").over(order).cast("timestamp"))
     start = F.coalesce(changed | (gap > minutes * 60_000_000), F.lit(True)) | F.lag("id").over(order).isNull()
     runs = actions.withColumn("_new", start.cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*(within or []), "_run", *same).agg(F.min("id").alias("id"), F.max("created_at").alias("created_at"), F.count("*").alias("burst")).drop("_run")
+    return runs.groupBy(*within, "_run", *same).agg(F.min("id").alias("id"), F.max("created_at").alias("created_at"), F.count("*").alias("burst")).drop("_run")
 
 
-def nearest_rank(df: DataFrame, by: list[str], value: str, shares: dict[str, float]) -> DataFrame:
+def nearest_rank(df: DataFrame, by: list[str], value: str, shares: dict[str, float], ranges: int = 64) -> DataFrame:
     """Exact percentiles by nearest rank, with average, least and most.
 
-    Equal values are counted first, with partial sums; only distinct values are put in order.
+    Values are counted into ranges cut at approximate quantiles, which find the range that holds a
+    rank; only the distinct values of those ranges are put in order, so no task sorts a whole group.
     """
-    counted = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("_n"))
-    inside = Window.partitionBy(*by)
-    placed = counted.withColumn("_all", F.sum("_n").over(inside)).withColumn("_upto", F.sum("_n").over(inside.orderBy(value).rowsBetween(Window.unboundedPreceding, 0)))
-    picks = [F.min(F.when(F.col("_upto") >= F.greatest(F.lit(1), F.ceil(F.col("_all") * q)), F.col(value))).alias(name) for name, q in shares.items()]
-    average = F.sum(F.col(value) * F.col("_n")) / F.sum("_n")
-    return placed.groupBy(*by).agg(F.sum("_n").alias("n"), average.alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), *picks)
+    known = df.where(F.col(value).isNotNull())
+    whole = known.groupBy(*by).agg(F.count("*").alias("n"), F.avg(value).alias("avg"), F.min(value).alias("min"), F.max(value).alias("max"), F.percentile_approx(value, [i / ranges for i in range(1, ranges)], 1000).alias("_cuts"))
+    facts = whole.select(*by, "n", "_cuts")
+    ranged = known.groupBy(*by, value).agg(F.count("*").alias("_k")).join(facts, by).withColumn("_r", F.size(F.filter("_cuts", lambda c: c < F.col(value)))).drop("_cuts")
+    counts = ranged.groupBy(*by, "n", "_r").agg(F.sum("_k").alias("_k"))
+    upto = F.sum("_k").over(Window.partitionBy(*by).orderBy("_r").rowsBetween(Window.unboundedPreceding, 0))  # a row a range
+    wanted = F.explode(F.array(*(F.struct(F.lit(name).alias("name"), F.greatest(F.lit(1), F.ceil(F.col("n") * q)).alias("rank")) for name, q in shares.items())))
+    placed = counts.withColumn("_upto", upto).withColumn("_w", wanted).where((F.col("_w.rank") <= F.col("_upto")) & (F.col("_w.rank") > F.col("_upto") - F.col("_k")))
+    places = placed.select(*by, "_r", F.col("_w.name").alias("_name"), (F.col("_w.rank") - F.col("_upto") + F.col("_k")).alias("_rest"))
+    inside = Window.partitionBy(*by, "_name").orderBy(value).rowsBetween(Window.unboundedPreceding, 0)
+    met = ranged.join(places, [*by, "_r"]).withColumn("_upto", F.sum("_k").over(inside)).where(F.col("_upto") >= F.col("_rest"))
+    picks = met.groupBy(*by).agg(*(F.min(F.when(F.col("_name") == name, F.col(value))).alias(name) for name in shares))
+    return whole.drop("_cuts").join(picks, by)
 
 
 def top_per_group(df: DataFrame, by: list[str], order: list, caps: dict[str, int] | int, group: str | None = None) -> DataFrame:

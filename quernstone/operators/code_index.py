@@ -54,6 +54,28 @@ def searched_symbols(symbols: DataFrame, query: str, cap: int = 200) -> DataFram
     return symbols.where(found).orderBy("name", "id").limit(cap)
 
 
+def searched_by_words(symbols: DataFrame, query: str, cap: int = 200) -> DataFrame:
+    """``searched_symbols`` of the query; if it finds nothing, of its first word (of two characters or more) that does."""
+    words = [w for w in query.split() if len(w) >= 2] if " " in query.strip() else []
+    tries = [searched_symbols(symbols, q, cap).withColumn("_try", F.lit(i)) for i, q in enumerate([query, *words])]
+    found = tries[0]
+    for other in tries[1:]:
+        found = found.unionByName(other)
+    first = found.agg(F.min("_try").alias("_first"))  # one row; each try is at most ``cap`` rows
+    return found.join(F.broadcast(first)).where("_try = _first").drop("_try", "_first")
+
+
+def grep_with_symbols(files: DataFrame, symbols: DataFrame, query: str, limit: int, offset: int = 0) -> DataFrame:
+    """A page of the matches in order of file and line, each with its innermost symbol, and whether more follow."""
+    matched = lines_of(files.where(F.lower("content").contains(query.lower()))).where(F.lower("line").contains(query.lower()))
+    order = ["repo", "file_path", "line_no"]
+    head = matched.select(*order).orderBy(*order).offset(offset).limit(limit + 1)  # one more tells whether it ends
+    rank = F.row_number().over(Window.partitionBy().orderBy(*order))  # of the bounded page
+    page = head.withColumn("rank", rank)
+    more = page.agg((F.count("*") > limit).alias("more"))
+    return enclosing(page.where(F.col("rank") <= limit), symbols, ["repo", "file_path"], "line_no", "rank").join(F.broadcast(more))
+
+
 def blended_with_vectors(ranked: DataFrame, similarity: DataFrame) -> DataFrame:
     """Score 0.3 vector + 0.7 text where a symbol has a vector; order inside each tier."""
     met = ranked.join(similarity.select("id", "similarity"), "id", "left")
@@ -129,6 +151,34 @@ def dead_code(symbols: DataFrame, refs: DataFrame, entry_points: Column | None =
     return dead.withColumn("entry", entry_points if entry_points is not None else F.col("exported"))
 
 
+# Languages whose references are extracted, under the names that files have.
+REFERRING = "typescript typescriptreact javascript javascriptreact svelte astro c cpp dart go java kotlin php python ruby rust swift vue".split()
+
+
+def dead_code_report(symbols: DataFrame, refs: DataFrame, manifests: DataFrame, scan: int = 500, most: int = 20) -> DataFrame:
+    """Unreferenced top-level symbols of each repository, dead ones before entry points, at most ``most``.
+
+    Only languages count that references are extracted from and that have some in the repository; the
+    first ``scan`` symbols by file and line are looked at. ``entry``: public-api if exported, else the
+    kind of the manifest (``file_path, manifest``) that names the file, else null. ``scanned``, ``dead``
+    and ``excluded`` are whole counts; ``truncated``: a limit was met.
+    """
+    lang = lambda c: text.language_of(F.col(c))
+    reliable = refs.select("repo", lang("caller_file").alias("lang")).where(F.col("lang").isin(REFERRING)).distinct()
+    order = Window.partitionBy("repo").orderBy("file_path", "start_line", "id")
+    head = symbols.where("parent_symbol_id IS NULL").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= scan).withColumn("lang", lang("file_path"))
+    used = refs.select("repo", F.col("symbol_name").alias("name")).distinct()
+    found = head.join(reliable, ["repo", "lang"], "left_semi").join(used, ["repo", "name"], "left_anti")
+    named = manifests.groupBy("file_path").agg(F.min("manifest").alias("_manifest"))
+    found = found.join(named, "file_path", "left").withColumn("entry", F.when(F.col("exported"), "public-api").otherwise(F.col("_manifest")))
+    totals = found.groupBy("repo").agg(F.count("*").alias("scanned"), F.count_if(F.col("entry").isNull()).alias("dead"), F.count_if(F.col("entry").isNotNull()).alias("excluded"))
+    sizes = head.groupBy("repo").agg(F.count("*").alias("_looked"))
+    place = Window.partitionBy("repo").orderBy(F.col("entry").isNotNull(), "file_path", "start_line", "id")
+    listed = found.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most)
+    met = listed.join(totals, "repo").join(sizes, "repo")
+    return met.withColumn("truncated", (F.col("_looked") >= scan) | (F.col("scanned") > most)).drop("_n", "_looked", "_manifest")
+
+
 def hotspots(symbols: DataFrame, refs: DataFrame, most: int = 20) -> DataFrame:
     """The most referenced names with the first symbol of that name (by file and line); names without one go."""
     first = symbols.groupBy("name").agg(F.min_by(F.struct("file_path", "start_line", "kind", "id"), F.struct("file_path", "start_line", "id")).alias("_s"))

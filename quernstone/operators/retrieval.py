@@ -75,6 +75,12 @@ def folded_words(words: tuple[str, ...]) -> tuple[str, ...]:
     return tuple(re.findall("[a-z0-9]+", folded))
 
 
+def recap_top(memories: DataFrame, repo: str, as_of: Column, most: int) -> DataFrame:
+    """The most important live memories of a repository, archived tasks aside."""
+    own = scoped(memories.where(live(as_of) & (F.col("type") != "task_archive")), repo)
+    return own.orderBy(F.col("importance").desc(), F.col("created_at").desc(), "id").limit(most)
+
+
 @dataclass(frozen=True)
 class Index:
     """``postings`` (term, id, tf), in order of term, and ``lengths`` (id, length) of a text."""

@@ -22,6 +22,11 @@ def symbol_search_ranked(t: Tables):
     return C.ranked_symbols(C.searched_symbols(t.symbols, "getPart12"), "getPart12").select("id", "name", "tier", "score")
 
 
+@query("R9 symbol search by words", f"WITH {_RANKED_SQL} SELECT id, name FROM ranked")
+def symbol_search_words(t: Tables):
+    return C.searched_by_words(t.symbols, "zzzz q getPart12 setPart").select("id", "name")
+
+
 @query(
     "R10 vector blend in tiers",
     f"""WITH {_RANKED_SQL} SELECT s.id, tier, round(CASE WHEN v.id IS NULL THEN score ELSE 0.3 * list_cosine_similarity(CAST(vector AS DOUBLE[]), {VECTOR_SQL}) + 0.7 * score END, 6) AS score FROM ranked s LEFT JOIN vectors v ON s.id = v.id""",
@@ -171,6 +176,22 @@ def grep_lines(t: Tables):
     return C.grep(t.files, "CLASS=")
 
 
+@query(
+    "G12 J11 grep with enclosing symbols, a page",
+    r"""WITH s AS (SELECT id, repo, file_path, name, start_line, end_line FROM symbols UNION ALL SELECT 1000000 + id, repo, file_path, 'whole', 1, 9999 FROM files WHERE id % 2 = 0),
+l AS (SELECT repo, file_path, unnest(string_split_regex(content, '?
+')) AS line, generate_subscripts(string_split_regex(content, '?
+'), 1) AS line_no FROM files), h AS (SELECT repo, file_path, line_no FROM l WHERE contains(lower(line), 'class=')),
+p AS (SELECT *, row_number() OVER (ORDER BY repo, file_path, line_no) AS rank FROM (SELECT * FROM h ORDER BY repo, file_path, line_no LIMIT 40 OFFSET 5))
+SELECT p.repo, p.file_path, CAST(p.line_no AS INTEGER) AS line_no, CAST(p.rank AS INTEGER) AS rank, s.name AS symbol, (SELECT count(*) FROM h) > 45 AS more FROM p LEFT JOIN s ON s.repo = p.repo AND s.file_path = p.file_path AND p.line_no BETWEEN s.start_line AND s.end_line
+QUALIFY row_number() OVER (PARTITION BY p.rank ORDER BY s.end_line - s.start_line NULLS LAST, s.start_line, s.id) = 1""",
+)
+def grep_symbols(t: Tables):
+    whole = t.files.where("id % 2 = 0").select((F.col("id") + 1000000).alias("id"), "repo", "file_path", F.lit("whole").alias("name"), F.lit(1).alias("start_line"), F.lit(9999).alias("end_line"))
+    symbols = t.symbols.select("id", "repo", "file_path", "name", "start_line", "end_line").unionByName(whole)
+    return C.grep_with_symbols(t.files, symbols, "class=", 40, 5).select("repo", "file_path", "line_no", "rank", "symbol", "more")
+
+
 @query(
     "G12 F40 grep by pattern",
     r"""WITH l AS (SELECT file_path, unnest(string_split_regex(content, '\r?\n')) AS line, generate_subscripts(string_split_regex(content, '\r?\n'), 1) AS line_no FROM files) SELECT file_path, CAST(line_no AS INTEGER) AS line_no, CAST(instr(line, regexp_extract(line, '(?i)h[1-3]>')) - 1 AS INTEGER) AS at FROM l WHERE regexp_matches(line, '(?i)h[1-3]>')""",

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import querytext, scoring, text
 from ..operators import retrieval as R
+from ..operators.analytics import board_order
 from ..sources import tables as S
 from .bindings import AS_OF, Tables
 from .registry import query
@@ -182,14 +183,23 @@ def memory_affinity_boost(t: Tables):
 
 @query(
     "R18 recap, A1 counts by type (archived ones too, Q17), A2",
-    """SELECT type, count(*) AS n, (SELECT count(*) FROM memories WHERE repo = 'src1' AND status = 'active') AS total FROM memories WHERE repo = 'src1' AND type <> 'task_archive' GROUP BY type""",
+    """SELECT type, count(*) AS n, (SELECT count(*) FROM memories WHERE repo = 'src1' AND status = 'active' AND type <> 'task_archive') AS total FROM memories WHERE repo = 'src1' AND type <> 'task_archive' GROUP BY type""",
 )
 def memory_recap(t: Tables):
     own = R.scoped(t.memories, REPO)
-    total = own.where("status = 'active'").agg(F.count("*").alias("total"))
+    total = own.where("status = 'active' AND type <> 'task_archive'").agg(F.count("*").alias("total"))
     return own.where("type <> 'task_archive'").groupBy("type").agg(F.count("*").alias("n")).join(F.broadcast(total))
 
 
+@query(
+    "R18 the top of a recap",
+    "SELECT id, code, title, type, importance, recall_count > 0 AS acknowledged FROM memories WHERE repo = 'src1' AND status = 'active' AND type <> 'task_archive' AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-03-01 00:00:00') ORDER BY importance DESC, created_at DESC, id LIMIT 20",
+)
+def memory_recap_top(t: Tables):
+    top = R.recap_top(t.memories, REPO, t.as_of, 20)
+    return top.select("id", "code", "title", "type", "importance", (F.col("recall_count") > 0).alias("acknowledged"))
+
+
 @query(
     "T1 recent memories",
     f"SELECT id, importance, {stamp_sql('created_at')} AS created FROM memories WHERE repo = 'src1' ORDER BY importance DESC, created_at DESC, id LIMIT 10 OFFSET 3",
@@ -267,10 +277,13 @@ def memory_grouped_summary(t: Tables):
     return found.select("id", "type", "rank", "place", "more")
 
 
-@query("A29 timeline by day", "SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, array_to_string(list(code ORDER BY created_at DESC, id), ',') AS codes FROM memories WHERE repo = 'src1' GROUP BY 1")
+@query(
+    "A29 timeline by day of the top of a recap",
+    "WITH top AS (SELECT * FROM memories WHERE repo = 'src1' AND status = 'active' AND type <> 'task_archive' AND (expires_at IS NULL OR expires_at > TIMESTAMP '2024-03-01 00:00:00') ORDER BY importance DESC, created_at DESC, id LIMIT 50) SELECT strftime(created_at, '%Y-%m-%d') AS day, count(*) AS n, array_to_string(list(code ORDER BY created_at DESC, id), ',') AS codes FROM top GROUP BY 1",
+)
 def memory_timeline(t: Tables):
     day = F.date_format("created_at", "yyyy-MM-dd").alias("day")
-    each = R.scoped(t.memories, REPO).groupBy(day).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("k"), "id", "code"))).alias("c"))
+    each = R.recap_top(t.memories, REPO, t.as_of, 50).groupBy(day).agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.struct((-F.unix_micros(F.col("created_at").cast("timestamp"))).alias("k"), "id", "code"))).alias("c"))
     return each.select("day", "n", F.array_join(F.transform("c", lambda x: x["code"]), ",").alias("codes"))
 
 
@@ -295,10 +308,10 @@ def vector_topk(t: Tables):
 
 
 @query(
-    "R13 context blend, U4 difference",
+    "R13 context blend, U4 difference, active tasks",
     f"""WITH pool AS (SELECT m.*, 0.3 * list_cosine_similarity(CAST(v.vector AS DOUBLE[]), {VECTOR_SQL}) + 0.7 * importance / 5.0 AS score FROM memories m JOIN vectors v ON m.id = v.id WHERE m.status = 'active'),
 top AS (SELECT * FROM pool WHERE type IN ('pattern', 'mistake', 'decision') ORDER BY round(score, 9) DESC, id LIMIT 20)
-SELECT id, round(score, 6) AS score, 'memory' AS part FROM top UNION ALL SELECT id, round(score, 6), 'decision' FROM (SELECT * FROM pool WHERE type = 'decision' AND id NOT IN (SELECT id FROM top) ORDER BY created_at DESC, id LIMIT 10)""",
+SELECT id, round(score, 6) AS score, 'memory' AS part FROM top UNION ALL SELECT id, CAST(priority AS DOUBLE), 'task' FROM (SELECT * FROM tasks WHERE repo = 'repo1' AND status IN ('in_progress', 'pending', 'backlog', 'blocked') ORDER BY CASE status WHEN 'in_progress' THEN 0 WHEN 'pending' THEN 1 WHEN 'backlog' THEN 2 ELSE 3 END, priority DESC NULLS LAST, created_at, id LIMIT 10) UNION ALL SELECT id, round(score, 6), 'decision' FROM (SELECT * FROM pool WHERE type = 'decision' AND id NOT IN (SELECT id FROM top) ORDER BY created_at DESC, id LIMIT 10)""",
 )
 def agent_context(t: Tables):
     similarity = scoring.dense_cosine(F.col("vector"), F.array(*map(F.lit, VECTOR)))
@@ -306,7 +319,9 @@ def agent_context(t: Tables):
     top = pool.where(F.col("type").isin("pattern", "mistake", "decision")).orderBy(F.round("score", 9).desc(), "id").limit(20)
     rest = pool.where("type = 'decision'").join(top.select("id"), "id", "left_anti").orderBy(F.col("created_at").desc(), "id").limit(10)
     pick = lambda df, part: df.select("id", F.round("score", 6).alias("score"), F.lit(part).alias("part"))
-    return pick(top, "memory").unionByName(pick(rest, "decision"))
+    active = t.tasks.where((F.col("repo") == "repo1") & F.col("status").isin("in_progress", "pending", "backlog", "blocked")).orderBy(*board_order()).limit(10)
+    tasks = pick(active.withColumn("score", F.col("priority").cast("double")), "task")
+    return pick(top, "memory").unionByName(pick(rest, "decision")).unionByName(tasks)
 
 
 @query("J17 vector supplement", "SELECT id FROM memories WHERE repo = 'src1' UNION SELECT id FROM vectors WHERE repo = 'repo3'")

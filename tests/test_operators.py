@@ -44,7 +44,7 @@ def test_graph(spark):
 def test_bursts(spark):
     log = [(1, "s", "q", 5, at("2024-01-01T10:00")), (2, "s", "q", 5, at("2024-01-01T10:05")), (3, "s", "q", 5, at("2024-01-01T10:09")), (4, "s", None, 5, at("2024-01-01T10:10")), (5, "s", None, 5, at("2024-01-01T10:21"))]
     df = spark.createDataFrame(log, "id long, action string, query string, memory_id long, created_at timestamp_ntz")
-    got = sorted((r["id"], r["burst"], r["created_at"].strftime("%H:%M")) for r in analytics.bursts(df).collect())
+    got = sorted((r["id"], r["burst"], r["created_at"].strftime("%H:%M")) for r in analytics.bursts(df.withColumn("repo", F.lit("r")), 10, ["repo"]).collect())
     assert got == [(1, 3, "10:09"), (4, 1, "10:10"), (5, 1, "10:21")]
 
 
@@ -256,7 +256,7 @@ def test_empty_tables(spark, sf):
     pool = m.selectExpr("id", "0D AS similarity", "0D AS keyword", "0D AS recency", "0D AS domain")
     assert rows(retrieval.hybrid(pool, "memory")) == [] and rows(retrieval.bm25(m, "x", ["title"])) == []
     assert rows(graph.ranked_edges(t.entities.where("false"), t.relations.where("false"))) == []
-    assert rows(analytics.keep_newest(t.actions.where("false"), 5)) == [] and rows(analytics.bursts(t.actions.where("false"))) == []
+    assert rows(analytics.keep_newest(t.actions.where("false"), 5)) == [] and rows(analytics.bursts(t.actions.where("false"), 10, ["repo"])) == []
     assert rows(code_index.code_graph(t.symbols.where("false"), t.refs.where("false"))) == []
 
 
@@ -326,3 +326,35 @@ def test_extracted_mentions_take_whole_texts(spark):
     docs = spark.createDataFrame([(1, " ".join(words)), (2, "Redis Kafka"), (3, "")], "id long, content string")
     got = sorted((r["doc"], r["pos"], r["name"], r["type"]) for r in graph.extracted_mentions(docs).collect())
     assert got == [(1, i, n, "identifier") for i, n in enumerate(names)] + [(2, 0, "Redis", "concept"), (2, 1, "Kafka", "concept")]
+
+
+def test_creation_fails_on_repeats(spark):
+    from quernstone.operators import records
+
+    base = spark.createDataFrame([("r", "a")], "repo string, name string")
+    assert records.created(base, base.withColumn("name", F.lit("b")), ["repo", "name"]).count() == 2
+    with pytest.raises(Exception, match="exists already: r, a"):
+        records.created(base, base, ["repo", "name"]).collect()
+
+
+def test_percentiles_of_many_values(spark):
+    import math
+    import random
+
+    rng = random.Random(2)
+    items = [(g, rng.choice([rng.random(), rng.randrange(5) * 1.0])) for g in "ab" for _ in range(1 if g == "b" else 3000)]
+    df = spark.createDataFrame(items, "g string, v double")
+    for r in analytics.nearest_rank(df, ["g"], "v", {"p1": 0.01, "p50": 0.5, "p95": 0.95, "p100": 1.0}).collect():
+        values = sorted(v for g, v in items if g == r["g"])
+        assert r["n"] == len(values) and [r[p] for p in ("p1", "p50", "p95", "p100")] == [values[max(1, math.ceil(len(values) * q)) - 1] for q in (0.01, 0.5, 0.95, 1.0)]
+
+
+def test_postings_agree_with_texts(spark):
+    import random
+
+    rng = random.Random(8)
+    df = spark.createDataFrame([(i, " ".join(rng.choice("theta thing an Änd ing Ingot".split()) for _ in range(rng.randrange(9)))) for i in range(200)], "id int, body string")
+    index = retrieval.Index(retrieval.postings(df), retrieval.lengths(df))
+    for query in ("th ing", "an", "zz", "th zz", ""):
+        one, two = ({r["id"]: round(r["bm25"], 9) for r in retrieval.bm25(df, query, ["body"], None, i).collect()} for i in (index, None))
+        assert one == two and (query != "an" or one)
