@@ -28,14 +28,13 @@ blocks, so texts of any length, with any number of matches, are read whole.
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import staged
+from .shared import scanned, staged
 
 KINDS = ("email", "ip", "card", "phone")
 #: Kinds that only the trees find.
@@ -98,29 +97,7 @@ class Model:
         return sorted(c for c, p in self.scores.items() if p >= self.thresholds.get(c >> BITS, math.inf))
 
 
-# folds
-
-
-def scanned(items: str, zero: Column, after: Callable, out: Callable, kind: str) -> Column:
-    """``out(state, x)`` of each item of an array column from the left; the state after it is ``after(state, x)``.
-
-    Arrays can't grow in place, so each step copies what its block has put out: that is numbers (of
-    type ``kind``), to be zipped with the items, and blocks of about the square root of the number of
-    items keep it short. ``items`` is a column, as an expression would be evaluated anew for each block.
-    """
-    n = F.size(items)
-    side = F.ceil(F.sqrt(n)).cast("int")
-    blocks = F.transform(F.sequence(F.lit(0), F.ceil(n / side).cast("int") - 1), lambda b: F.slice(items, b * side + 1, side))
-    none = lambda t: F.array().cast(t)
-
-    def block(seen: Column, part: Column) -> Column:
-        start = F.struct(seen["state"].alias("state"), none(f"array<{kind}>").alias("out"))
-        step = lambda s, x: F.struct(after(s["state"], x).alias("state"), F.array_append(s["out"], out(s["state"], x)).alias("out"))
-        return F.aggregate(part, start, step, lambda s: F.struct(s["state"].alias("state"), F.array_append(seen["outs"], s["out"]).alias("outs")))
-
-    whole = F.struct(zero.alias("state"), none(f"array<array<{kind}>>").alias("outs"))
-    return F.when(n > 0, F.aggregate(blocks, whole, block, lambda s: F.flatten(s["outs"]))).otherwise(none(f"array<{kind}>"))
-
+# places
 
 _PLACED = "array<struct<first:int,last:int,wide:int,value:string,left:string,right:string>>"
 

@@ -9,7 +9,9 @@ their closing marker included; the rest is not to be learned.
 Cases: turns with a null number come first; ties are ordered by role, then text, nulls first. A null role
 renders as ``user`` and a null text as empty, but null and empty differ when prefixes are compared.
 A pair that lacks a side has that side empty. Rows with another side or a null pair are ignored;
-repeated turns are turns of their own. Equal sides give two empty completions.
+repeated turns are turns of their own. Equal sides give two empty completions. Extra columns of any
+name are ignored; an empty table gives an empty result. A pair is one row, so its turns meet in one
+task; texts of any length and any number of turns are read whole, a turn at a time.
 """
 
 from __future__ import annotations
@@ -19,6 +21,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import scanned
+
 
 @dataclass(frozen=True)
 class Template:
@@ -34,18 +38,14 @@ def _render(turn: Column, t: Template) -> Column:
     return F.concat(F.lit(t.opening), F.coalesce(turn["role"], F.lit("user")), F.lit(t.after_role), F.coalesce(turn["text"], F.lit("")), F.lit(t.closing))
 
 
-def _mask(turns: Column, t: Template) -> Column:
-    """start:end of what each learned turn contributes, comma-joined."""
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("ranges"))
+def _mask(turns: str, starts: str, t: Template) -> Column:
+    """start:end of what each learned turn contributes, comma-joined; ``starts``: where the turns start."""
 
-    def step(seen: Column, turn: Column) -> Column:
-        head = seen["at"] + F.length(F.concat(F.lit(t.opening), F.coalesce(turn["role"], F.lit("user")), F.lit(t.after_role)))
-        end = seen["at"] + F.length(_render(turn, t))
-        one = F.array(F.concat(head.cast("string"), F.lit(":"), end.cast("string")))
-        ranges = F.when(turn["role"] == t.learned, F.concat(seen["ranges"], one)).otherwise(seen["ranges"])
-        return F.struct(end.alias("at"), ranges.alias("ranges"))
+    def one(turn: Column, at: Column) -> Column:
+        head = at + F.length(F.concat(F.lit(t.opening), turn["role"], F.lit(t.after_role)))
+        return F.when(turn["role"] == t.learned, F.concat_ws(":", head.cast("string"), (at + F.length(_render(turn, t))).cast("string")))
 
-    return F.array_join(F.aggregate(turns, start, step, lambda seen: seen["ranges"]), ",")
+    return F.array_join(F.zip_with(turns, starts, one), ",")  # nulls are left out
 
 
 def formatted(turns: DataFrame, template: Template = Template()) -> DataFrame:
@@ -59,8 +59,12 @@ def formatted(turns: DataFrame, template: Template = Template()) -> DataFrame:
     pairs = pairs.withColumn("prefix_turns", F.coalesce(F.nullif(F.array_position("_same", False), F.lit(0)) - 1, F.size("_same")).cast("int"))
     cut = lambda c, after: F.slice(c, F.col("prefix_turns") + 1, F.size(c)) if after else F.slice(c, F.lit(1), F.col("prefix_turns"))
     pairs = pairs.select("pair_id", "prefix_turns", cut("_c", False).alias("_p"), cut("_c", True).alias("_c"), cut("_r", True).alias("_r"))
+    size = lambda c: F.transform(c, lambda x: F.length(_render(x, template)))
+    pairs = pairs.select("*", size("_c").alias("_cn"), size("_r").alias("_rn"))
+    start = lambda c: scanned(c, F.lit(0), lambda at, n: at + n, lambda at, n: at, "int")
+    pairs = pairs.select("*", start("_cn").alias("_cs"), start("_rn").alias("_rs"))
     text = lambda c: F.array_join(F.transform(c, lambda x: _render(x, template)), "")
-    return pairs.select("pair_id", "prefix_turns", text("_p").alias("prompt"), text("_c").alias("chosen"), text("_r").alias("rejected"), _mask(F.col("_c"), template).alias("chosen_mask"), _mask(F.col("_r"), template).alias("rejected_mask"))
+    return pairs.select("pair_id", "prefix_turns", text("_p").alias("prompt"), text("_c").alias("chosen"), text("_r").alias("rejected"), _mask("_c", "_cs", template).alias("chosen_mask"), _mask("_r", "_rs", template).alias("rejected_mask"))
 
 
 def weaker_replies(conversations: DataFrame, answering: str = "assistant") -> DataFrame:

@@ -49,3 +49,28 @@ def test_weaker_replies(spark):
     got = {(r["pair_id"], r["side"], r["turn"]): r["text"] for r in preferences.weaker_replies(df).collect()}
     assert got[1, "rejected", 3] == "a" and got[1, "chosen", 3] == "b" and got[2, "rejected", 1] == "" and {k[0] for k in got} == {1, 2}
     assert preferences.formatted(preferences.weaker_replies(df.where("false"))).collect() == []
+
+
+def test_query_agrees_with_its_sql(spark, sf):
+    import duckdb
+
+    from quernstone.llm import queries
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW conversations AS SELECT * FROM '{sf}/conversations.parquet'")
+    wanted = con.sql(queries.ORACLE["op4_chat_formatting"])
+    found = queries.op4_chat_formatting(spark, sf)
+    assert found.columns == wanted.columns
+    assert sorted(map(tuple, found.collect())) == sorted(wanted.fetchall())
+
+
+def test_awkward_turns(spark):
+    """Ties by role and text, a null number first, texts and conversations of any length, columns of any name."""
+    long = [(9, "chosen", i, "assistant" if i % 2 else "user", "é" * (i % 7)) for i in range(4000)]
+    rows = [(1, "chosen", 5, "user", "b"), (1, "chosen", 5, "assistant", "z"), (1, "chosen", 5, "user", None), (1, "chosen", None, "system", "s"), (1, "rejected", 1, "system", "s"), (2, "chosen", 0, "assistant", "x" * 300_000), *long]
+    df = spark.createDataFrame([(*r, "mine", 7) for r in rows], "pair_id long, side string, turn long, role string, text string, _c string, prompt int")
+    found = {r["pair_id"]: tuple(r)[1:] for r in preferences.formatted(df).collect()}
+    first = [("system", "s"), ("assistant", "z"), ("user", None), ("user", "b")]
+    assert found[1] == brute(first, [("system", "s")])
+    assert found[2] == brute([("assistant", "x" * 300_000)], [])
+    assert found[9] == brute([(r, t) for _, _, _, r, t in long], [])
