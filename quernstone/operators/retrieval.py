@@ -256,6 +256,33 @@ def memory_search(memories: DataFrame, index: Index, raw: str, repo: str, now: d
     return hybrid(found, "memory", offset, limit, post).select("id", "score", "keyword", "similarity", "eligible", "rank")
 
 
+def task_search(tasks: DataFrame, vectors: DataFrame, query: str, target: list[float], as_of: Column, offset: int = 0, limit: int = 10, post: Column | None = None) -> DataFrame:
+    """The whole search of tasks: ``id, score, eligible, rank``.
+
+    Tasks that hold the query, and the nearest vectors' tasks, which they supplement. Where fewer pass
+    the threshold than the page wants, the best of those that hold the query top it up. ``post`` filters
+    (phase, priority, issue) come last.
+    """
+    wanted = offset + limit
+    near = nearest(vectors.join(tasks.select("id"), "id", "left_semi"), target, 3 * wanted).select(F.col("id").alias("_near"), F.col("similarity").alias("_similarity"))
+    holds = substring(query, "title", "description", "task_code")
+    met = tasks.join(F.broadcast(near), F.col("id") == F.col("_near"), "left").where(holds | F.col("_near").isNotNull())  # a bounded list
+    words = text.word_tokens(F.concat_ws(" ", "title", "description", "task_code", "phase"), 1)
+    domain = scoring.coverage(words, text.strings(query.lower().split()))
+    pool = met.withColumn("keyword", F.when(holds, 1.0).otherwise(0.0)).withColumn("similarity", F.coalesce("_similarity", F.lit(0.0)))
+    pool = pool.withColumn("score", scoring.blend(F.col("similarity"), F.col("keyword"), scoring.recency(F.col("created_at"), as_of, "task"), domain)).drop("_near", "_similarity")
+    whole = pool.agg(F.count("*").alias("eligible"), F.min(F.struct((-F.round("score", 9)).alias("s"), "id"))["id"].alias("_best"))  # one row
+    marked = pool.join(F.broadcast(whole)).withColumn("_in", (F.col("score") >= scoring.threshold(F.col("eligible"), "task")) | (F.col("id") == F.col("_best")))
+    place = [F.round("score", 9).desc(), F.col("id")]
+    kept = marked.where("_in").orderBy(*place)
+    size = marked.agg(F.count_if("_in").alias("_passed"))
+    spare = marked.where(~F.col("_in") & (F.col("keyword") > 0)).orderBy(*place).limit(wanted)
+    spare = spare.withColumn("_n", F.row_number().over(Window.partitionBy().orderBy(*place))).join(F.broadcast(size)).where(F.col("_n") <= wanted - F.col("_passed")).drop("_n", "_passed")
+    found = kept.unionByName(spare)
+    top = (found if post is None else found.where(post)).orderBy(*place).limit(wanted)
+    return top.withColumn("rank", F.row_number().over(Window.partitionBy().orderBy(*place))).where(F.col("rank") > offset).select("id", "score", "eligible", "rank")
+
+
 def merged_with_vectors(pool: DataFrame, vectors: DataFrame, mode: str = "supplement") -> DataFrame:
     """``pool`` and vector rows: all that it lacks (supplement), or any only if it is empty (fallback)."""
     if mode == "supplement":

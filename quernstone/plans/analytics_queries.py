@@ -9,7 +9,7 @@ from ..operators import analytics as A
 from ..operators import retrieval as R
 from .bindings import Tables
 from .registry import query
-from .retrieval_queries import stamp, stamp_sql
+from .retrieval_queries import VECTOR, VECTOR_SQL, stamp, stamp_sql
 
 #: Tasks date from 1995 to 2001, so their "now" lies there.
 TASK_NOW = "2001-06-15 12:00:00"
@@ -128,6 +128,24 @@ def task_search(t: Tables):
     return R.hybrid(pool, "task", limit=10, post=F.lower("phase") == "build").select("id", F.round("score", 4).alias("score"), "rank")
 
 
+@query(
+    "R8 J17 P12 task search: text and vectors, top-up, filters afterwards",
+    f"""WITH near AS (SELECT id, list_cosine_similarity(CAST(vector AS DOUBLE[]), {VECTOR_SQL}) AS s FROM vectors WHERE id IN (SELECT id FROM tasks) ORDER BY round(s, 9) DESC, id LIMIT 60),
+pool AS (SELECT t.*, coalesce(n.s, 0.0) AS similarity, CASE WHEN title ILIKE '%customer 4%' OR description ILIKE '%customer 4%' OR task_code ILIKE '%customer 4%' THEN 1.0 ELSE 0.0 END AS keyword,
+  CASE WHEN created_at >= {NOW_SQL} THEN 1.0 ELSE pow(2.0, -(epoch_us({NOW_SQL}) - epoch_us(created_at)) / 86400000000.0 / 30.0) END AS recency, list_filter(string_split_regex(lower(title || ' ' || description || ' ' || task_code || ' ' || phase), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM tasks t LEFT JOIN near n ON n.id = t.id),
+chosen AS (SELECT * FROM pool WHERE keyword > 0 OR id IN (SELECT id FROM near)),
+scored AS (SELECT *, 0.4 * similarity + 0.3 * keyword + 0.15 * recency + 0.15 * least(1.0, (CAST(list_contains(words, 'customer') AS INT) + CAST(list_contains(words, '4') AS INT)) / 2.0) AS score, count(*) OVER () AS eligible FROM chosen),
+marked AS (SELECT *, score >= CASE WHEN eligible <= 5 THEN 0.08 ELSE 0.2 END OR id = (SELECT id FROM scored ORDER BY round(score, 9) DESC, id LIMIT 1) AS passed FROM scored),
+spare AS (SELECT id FROM (SELECT id, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS k FROM marked WHERE NOT passed AND keyword > 0) WHERE k <= 20 - (SELECT count(*) FROM marked WHERE passed)),
+found AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM marked WHERE (passed OR id IN (SELECT id FROM spare)) AND priority = 3 AND lower(phase) = 'test')
+SELECT id, round(score, 6) AS score, eligible, CAST(rank AS INTEGER) AS rank FROM found WHERE rank > 2 AND rank <= 20""",
+)
+def task_search_vectors(t: Tables):
+    post = (F.col("priority") == 3) & (F.lower("phase") == "test")
+    found = R.task_search(t.tasks, t.vectors, "customer 4", VECTOR, task_now(), 2, 18, post)
+    return found.select("id", F.round("score", 6).alias("score"), "eligible", "rank")
+
+
 @query("F26 issue references, linked and textual", "SELECT id, contains(title || ' ' || description, '#' || CAST(7 AS VARCHAR) || ']') AS linked FROM tasks WHERE regexp_matches(title || ' ' || description, '#7\\b') OR regexp_matches(lower(title || ' ' || description), '\\bissue 7\\b')".replace("\\\\", "\\"))
 def task_issue_refs(t: Tables):
     from ..functions.querytext import issue_numbers

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import documentation, text
 from ..operators import code_index as C
 from ..operators import lifecycle as L
 from ..operators import records as R
 from ..operators import retrieval
+from ..sources import manifests
 from ..sources import tables as S
 from .analytics_queries import NOW_SQL, task_now
 from .bindings import Tables
 from .registry import query
-from .retrieval_queries import BODY_SQL, FTS_SQL, bm25_sql, stamp, stamp_sql
+from .retrieval_queries import BODY_SQL, FTS_SQL, STOP_SQL, bm25_sql, stamp, stamp_sql
 
 _BOARD_SQL = "status = 'completed', CASE WHEN status = 'completed' THEN updated_at END DESC NULLS LAST, CASE WHEN status = 'completed' THEN NULL WHEN status = 'in_progress' THEN 0 WHEN status = 'pending' THEN 1 WHEN status = 'backlog' THEN 2 WHEN status = 'blocked' THEN 3 ELSE 4 END NULLS LAST, priority DESC NULLS LAST, created_at, id"
 
@@ -186,3 +188,33 @@ def dead_code_report(t: Tables):
     named = t.spark.createDataFrame([("p1/q1/f1.ts", "bin"), ("p2/q2/f2.ts", "bin")], "file_path string, manifest string")
     found = C.dead_code_report(t.symbols, t.refs, named)
     return found.select("repo", "name", "file_path", "entry", "scanned", "dead", "excluded", "truncated")
+
+
+@query(
+    "F3 F38 L13 X25 texts of records",
+    rf"""WITH m AS (SELECT id, content, title, repo, CASE id % 4 WHEN 0 THEN '[agent:x] ' || repo WHEN 1 THEN '[on 2024-01-02]' WHEN 2 THEN '[x] agent:' ELSE repo END AS mark FROM memories)
+SELECT id, CAST(len(list_filter(string_split_regex(trim(regexp_replace(lower(content), '[^\w\s\x{{00C0}}-\x{{017F}}]', ' ', 'g')), '\s+'), lambda t: length(t) > 2 AND NOT list_contains({STOP_SQL}, t))) AS INTEGER) AS stubs, id % 4 IN (0, 1) AS metadata,
+  'Decision: ' || title || CASE WHEN id % 2 = 0 THEN chr(10) || chr(10) || 'Session: ' || repo ELSE '' END AS structured, CASE WHEN length(content || '; ' || repo) > 300 THEN substr(content || '; ' || repo, 1, 300) || '...' ELSE content || '; ' || repo END AS steps FROM m""",
+)
+def record_texts(t: Tables):
+    n = F.col("id") % 4
+    mark = F.when(n == 0, F.concat(F.lit("[agent:x] "), "repo")).when(n == 1, "[on 2024-01-02]").when(n == 2, "[x] agent:").otherwise(F.col("repo"))
+    structured = L.structured_content(decision=F.col("title"), session=F.when(F.col("id") % 2 == 0, F.col("repo")))
+    return t.memories.select("id", F.size(text.stub_tokens(F.col("content"))).alias("stubs"), text.metadata_title(mark).alias("metadata"), structured.alias("structured"), documentation.next_steps(F.array("content", "repo")).alias("steps"))
+
+
+@query(
+    "X21 entry points of manifests",
+    """WITH r AS (SELECT DISTINCT repo FROM memories) SELECT repo, 'src/' || repo || '.js' AS file_path, 'manifest' AS kind FROM r UNION ALL SELECT repo, 'cli.js', 'bin' FROM r UNION ALL SELECT repo, 'lib/' || repo || '.mjs', 'manifest' FROM r""",
+)
+def manifest_entry_points(t: Tables):
+    name = F.col("repo")
+    body = F.concat(F.lit('{"main": "./src/'), name, F.lit('.js", "bin": {"a": "./cli.js", "b": "/src/'), name, F.lit('.js"}, "exports": {".": {"import": "./lib/'), name, F.lit('.mjs", "types": null}}}'))
+    files = t.memories.select("repo").distinct().select("repo", F.lit("package.json").alias("file_path"), body.alias("content"))
+    return manifests.manifest_entries(files)
+
+
+@query("P16 columns that answers leave out", "SELECT id, code, title, importance FROM memories WHERE repo = 'src2'")
+def memory_public(t: Tables):
+    own = retrieval.scoped(t.memories, "src2").select("id", "code", "title", "importance", "hit_count", "recall_count", "last_used_at", "expires_at")
+    return S.public(own)
