@@ -11,8 +11,10 @@ A bucket of g classes gives no g * g pairs. First each member meets the bucket's
 that shares most buckets. Links found are joined into components. Then, only in buckets that still
 hold more than one component, members of different components are compared by the likelihood of
 finer sketches (more registers, of which the first are the ones of the bands), in blocks of bounded
-size, each pair in the first bucket that it shares; only those that may be linked leave the block.
-So every candidate pair is verified, or ruled out by the likelihood, or inside one component.
+size, each pair in the first bucket that it shares. Blocks hold sets of about one size: those of sizes
+too far apart to be linked never meet. What may be linked is verified on its full sets in the block,
+which joins components as it goes, so n members give at most n - 1 links.
+So every candidate pair is verified, or ruled out by size or likelihood, or inside one component.
 
 A class is named by 64 bits of the digest of its set; 64 further bits tell apart sets that share a
 name, and such a set gets another name. So sets are one class if 128 bits agree.
@@ -27,6 +29,7 @@ compared like any other, and its ``component_id`` is null if nothing it reaches
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -40,7 +43,7 @@ from .shared import n_partitions, staged, tune
 
 @dataclass(frozen=True)
 class Sketching:
-    """Shingles of ``words`` words; links of ``percent`` or more; ``bands`` of ``rows`` registers; base, rate and limit of the registers; ``slack``: likelihood estimates this far below the bound are verified too; ``fine`` registers and ``fine_slack`` of the second comparison; ``block``: members compared at once."""
+    """Shingles of ``words`` words; links of ``percent`` or more; ``bands`` of ``rows`` registers; base, rate and limit of the registers; ``slack``: likelihood estimates this far below the bound are verified too; ``fine`` registers and ``fine_slack`` of the second comparison; ``block``: members compared at once, fewer if their sets pass ``block_bytes``."""
 
     words: int = 5
     percent: int = 80
@@ -53,6 +56,7 @@ class Sketching:
     fine: int = 560
     fine_slack: float = 0.09  # over 5 standard deviations of 560 registers at 0.80
     block: int = 512
+    block_bytes: int = 16 << 20
     seed: int = 7
     remembered: int = 4 << 20  # bytes of words whose hashes are kept
 
@@ -229,6 +233,14 @@ def likely(pairs: DataFrame, classes: DataFrame, how: Sketching) -> DataFrame:
     return met.mapInArrow(may, "a bigint, b bigint")
 
 
+def linked_sets(p: np.ndarray, q: np.ndarray, how: Sketching) -> bool:
+    """Whether two full sets reach the bound."""
+    if 100 * min(len(p), len(q)) < how.percent * max(len(p), len(q)):
+        return False
+    both = len(np.intersect1d(p, q, assume_unique=True))
+    return 100 * both >= how.percent * (len(p) + len(q) - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
     """The pairs whose full sets reach the bound."""
 
@@ -236,9 +248,7 @@ def verified(pairs: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
         for batch in batches:
             good = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
-                p, q = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(p, q, assume_unique=True))
-                good.append(100 * both >= how.percent * (len(p) + len(q) - both))
+                good.append(linked_sets(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), how))
             yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     side = lambda x: sets.select(F.col("cid").alias(x), F.col("hashes").alias(f"h_{x}"))
@@ -310,43 +320,67 @@ def remaining_members(members: DataFrame, roots: DataFrame) -> DataFrame:
     return met.select("band", "number", "cid", "root", (F.col("root") == F.col("most.root")).alias("large"), "n", F.col("most.size").alias("m"))
 
 
-def dealt_members(inside: DataFrame, block: int) -> DataFrame:
-    """``band, number, x, y, mine, cid, root``: the members of each two blocks of a bucket that are compared.
+def size_class(how: Sketching) -> Column:
+    """The class of a set's size: sets that may be linked are of one class or of neighbouring ones."""
+    return F.floor(F.log("n_shingles") / math.log(100 / how.percent) + 1e-9).cast("int")
+
+
+def dealt_members(inside: DataFrame, how: Sketching) -> DataFrame:
+    """``band, number, x, y, mine, cid, root``: the members of each two blocks of a bucket that are compared; ``inside`` has ``n_shingles``.
 
     Members of the largest component meet only those outside it, so one stray costs a row a member,
-    whatever the bucket's size. Blocks 0.. hold the others, the blocks after them the largest component.
+    whatever the bucket's size. A block holds members of one size class, on one side of that border.
     """
-    rest, most = F.ceil((F.col("n") - F.col("m")) / block).cast("int"), F.ceil(F.col("m") / block).cast("int")
-    place = F.when(F.col("large"), rest + F.pmod(F.xxhash64("cid"), most)).otherwise(F.pmod(F.xxhash64("cid"), rest)).cast("int")
-    met = F.explode(F.sequence(F.lit(0), F.when(F.col("large"), rest - 1).otherwise(rest + most - 1)))
-    dealt = inside.withColumn("mine", place).withColumn("other", met)
+    most = F.floor(how.block_bytes / (8 * F.pow(F.lit(100 / how.percent), F.col("size") + 1) + 2 * how.fine))
+    limit = F.greatest(F.lit(1), F.least(F.lit(how.block), most))
+    mine = inside.withColumn("size", size_class(how))
+    groups = mine.groupBy("band", "size", "large").agg(F.count("*").alias("of")).withColumn("blocks", F.ceil(F.col("of") / limit).cast("int"))
+    side = lambda x: groups.select("band", F.col("size").alias(f"{x}_size"), F.col("large").alias(f"{x}_large"), F.col("blocks").alias(f"{x}_blocks"))
+    meet = side("own").join(side("other"), "band").where("abs(own_size - other_size) <= 1 AND NOT (own_large AND other_large)")
+    name = lambda size, large, at: F.shiftleft(size.cast("long") * 2 + large.cast("long"), 32) + at
+    met = mine.join(meet.withColumnsRenamed({"own_size": "size", "own_large": "large"}), ["band", "size", "large"])
+    dealt = met.withColumn("mine", name(F.col("size"), F.col("large"), F.pmod(F.xxhash64("cid"), F.col("own_blocks")))).withColumn("at", F.explode(F.sequence(F.lit(0), F.col("other_blocks") - 1)))
+    dealt = dealt.withColumn("other", name(F.col("other_size"), F.col("other_large"), F.col("at")))
     return dealt.select("band", "number", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cid", "root")
 
 
-def remaining_pairs(inside: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
-    """``a, b``: members of one bucket and different components that may reach the bound, no pair twice."""
-    dealt = dealt_members(inside, how.block)
-    full = dealt.join(sets.select("cid", "n_shingles", "registers"), "cid")
+def remaining_links(inside: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
+    """``a, b``: links between members of one bucket and different components, as many as join what is linked."""
+    dealt = dealt_members(inside.join(sets.select("cid", "n_shingles"), "cid"), how)
+    full = dealt.join(sets.select("cid", "n_shingles", "registers", "hashes"), "cid")
 
     def compare(group: list[tuple]) -> pa.RecordBatch:
-        """Likely pairs of one group: rows (number, x, y, mine, cid, root, n_shingles, registers)."""
+        """Links of one group: rows (number, x, y, mine, cid, root, n_shingles, registers, hashes)."""
         number, x, y = group[0][:3]
         group.sort(key=lambda r: r[4])
         left, right = [r for r in group if r[3] == x], [r for r in group if r[3] == y]
-        first, second = [], []
+        first, second, above = [], [], {}
+
+        def top(root: int) -> int:
+            while root in above:
+                root = above[root]
+            return root
+
         if left and right:
             table = np.frombuffer(b"".join(r[7] for r in right), np.uint16).reshape(len(right), -1)
-            ids, roots, n = (np.array([r[i] for r in right], np.int64) for i in (4, 5, 6))
-            for _, _, _, _, cid, root, size, sketch in left:
-                some = np.nonzero((roots != root) & ((ids > cid) if x == y else True))[0]
+            ids, n, tops = (np.array([r[i] for r in right], np.int64) for i in (4, 6, 5))
+            for _, _, _, _, cid, root, size, sketch, hashes in left:
+                mine = top(root)
+                some = np.nonzero((tops != mine) & ((ids > cid) if x == y else True))[0]
                 if not len(some):
                     continue
                 one = np.frombuffer(sketch, np.uint16)
                 near = some[may_link(np.broadcast_to(one, (len(some), len(one))), table[some], np.full(len(some), size), n[some], how, how.fine_slack)]
                 shared = (table[near, : how.registers] == one[: how.registers]).reshape(len(near), how.bands, how.rows).all(axis=2)
-                for other in ids[near[shared.argmax(axis=1) == number]].tolist():
-                    first.append(min(cid, other))
-                    second.append(max(cid, other))
+                own = np.frombuffer(hashes, np.uint64)
+                for at in near[shared.argmax(axis=1) == number].tolist():
+                    other = tops[at]
+                    if other != mine and linked_sets(own, np.frombuffer(right[at][8], np.uint64), how):
+                        first.append(cid)
+                        second.append(right[at][4])
+                        above[mine] = int(other)
+                        tops[tops == mine] = other
+                        mine = int(other)
         return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -363,7 +397,7 @@ def remaining_pairs(inside: DataFrame, sets: DataFrame, how: Sketching) -> DataF
             yield compare(group)
 
     # a group has at most two blocks; a task holds one group at a time
-    rows = full.select("band", "number", "x", "y", "mine", "cid", "root", "n_shingles", "registers")
+    rows = full.select("band", "number", "x", "y", "mine", "cid", "root", "n_shingles", "registers", "hashes")
     dealt = rows.repartition(n_partitions(inside.sparkSession), "band", "x", "y").sortWithinPartitions("band", "x", "y")
     return dealt.mapInArrow(walk, "a bigint, b bigint")
 
@@ -394,8 +428,7 @@ def _components(df: DataFrame, how: Sketching, key: str, text: str) -> tuple[Dat
     inside = staged(remaining_members(members, roots), "remaining")
     if not inside.isEmpty():
         sets = full_sets(df, classes, inside, how, key, text, fine=True)
-        more = verified(remaining_pairs(inside, sets, how), sets, how)
-        roots = staged(components(links.unionByName(more)), "roots")
+        roots = staged(components(links.unionByName(remaining_links(inside, sets, how))), "roots")
     own = ["cid", "first", "name", "tell"]
     rooted = classes.select(*own).join(roots, F.col("cid") == F.col("node"), "left").select(*own, F.coalesce("root", "cid").alias("root"))
     least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -226,8 +226,8 @@ def test_namesakes_are_told_apart(spark):
 
 def test_one_stray_in_a_large_bucket(spark):
     n, block = 10_000, 512
-    inside = spark.range(n).select(F.lit(1).cast("long").alias("band"), F.lit(0).alias("number"), F.col("id").alias("cid"), F.when(F.col("id") < n - 1, 0).otherwise(9).cast("long").alias("root"), (F.col("id") < n - 1).alias("large"), F.lit(n).cast("long").alias("n"), F.lit(n - 1).cast("long").alias("m"))
-    dealt = near_dedup.dealt_members(inside, block)
+    inside = spark.range(n).select(F.lit(1).cast("long").alias("band"), F.lit(0).alias("number"), F.col("id").alias("cid"), F.when(F.col("id") < n - 1, 0).otherwise(9).cast("long").alias("root"), (F.col("id") < n - 1).alias("large"), F.lit(100).alias("n_shingles"))
+    dealt = near_dedup.dealt_members(inside, near_dedup.Sketching(block=block))
     blocks = -(-(n - 1) // block)
     assert dealt.where("root = 0").count() == n - 1 and dealt.where("root = 9").count() == blocks + 1
     met = dealt.alias("p").join(dealt.alias("q"), ["band", "x", "y"]).where("p.root = 9 AND q.root = 0").select("q.cid").distinct().count()
@@ -244,9 +244,41 @@ def test_pairs_at_the_bound_reach_verification(spark):
     rng.shuffle(hashes)
     one, two = (own.registers(x, how.fine) for x in (hashes[:180], np.concatenate([hashes[:160], hashes[180:]])))
     shared = int((one[: how.registers] == two[: how.registers]).reshape(how.bands, how.rows).all(axis=1).argmax())
-    sets = spark.createDataFrame([(c, 180, x.tobytes()) for c, x in ((1, one), (2, two))], "cid long, n_shingles long, registers binary")
-    inside = spark.createDataFrame([(7, shared, c, c, c == 2, 2, 1) for c in (1, 2)], "band long, number int, cid long, root long, large boolean, n long, m long")
-    assert rows(near_dedup.remaining_pairs(inside, sets, how)) == [{"a": 1, "b": 2}]
+    full = {1: hashes[:180], 2: np.concatenate([hashes[:160], hashes[180:]])}
+    sets = spark.createDataFrame([(c, 180, x.tobytes(), np.sort(full[c]).tobytes()) for c, x in ((1, one), (2, two))], "cid long, n_shingles long, registers binary, hashes binary")
+    inside = spark.createDataFrame([(7, shared, c, c, c == 2) for c in (1, 2)], "band long, number int, cid long, root long, large boolean")
+    assert rows(near_dedup.remaining_links(inside, sets, how)) == [{"a": 1, "b": 2}]
+
+
+def test_sets_of_far_sizes_never_meet(spark):
+    """Blocks are of one size class; two sets meet if, and as the classes are coarse nearly only if, their sizes allow a link."""
+    how = near_dedup.Sketching(block=4, percent=85, words=3)
+    sizes = [50 + 7 * i for i in range(120)]
+    inside = spark.createDataFrame([(7, 0, c, c, False, n) for c, n in enumerate(sizes)], "band long, number int, cid long, root long, large boolean, n_shingles long")
+    dealt = near_dedup.dealt_members(inside, how)
+    met = {tuple(sorted(r)) for r in dealt.alias("p").join(dealt.alias("q"), ["band", "x", "y"]).where("p.cid < q.cid AND (p.mine != q.mine OR p.x = p.y)").select("p.cid", "q.cid").collect()}
+    may = {(a, b) for a in range(120) for b in range(a + 1, 120) if 100 * sizes[a] >= 85 * sizes[b]}
+    assert may <= met and all(sizes[a] >= 0.85 ** 2.01 * sizes[b] for a, b in met)
+
+
+def test_a_block_of_linked_members_gives_a_forest(spark):
+    """Members of one bucket, each in a component of its own, all near copies: links, not pairs, leave the blocks."""
+    import numpy as np
+
+    how = near_dedup.Sketching(block=16)
+    own = near_dedup.Sketcher(how)
+    rng = np.random.default_rng(5)
+    core = rng.integers(0, 2**64, 400, dtype=np.uint64)
+    items = [np.unique(np.concatenate([core, rng.integers(0, 2**64, 8, dtype=np.uint64)])) for _ in range(120)]
+    fine = [own.registers(x, how.fine) for x in items]
+    first = [f[: how.rows].tobytes() for f in fine]
+    one = [c for c, f in enumerate(first) if f == max(set(first), key=first.count)]  # members of one bucket of the first band
+    sets = spark.createDataFrame([(c, len(items[c]), fine[c].tobytes(), items[c].tobytes()) for c in one], "cid long, n_shingles long, registers binary, hashes binary")
+    inside = spark.createDataFrame([(7, 0, c, c, False) for c in one], "band long, number int, cid long, root long, large boolean")
+    got = near_dedup.remaining_links(inside, sets, how).collect()
+    blocks = -(-len(one) // how.block)
+    assert len(one) > 40 and len(one) - 1 <= len(got) <= len(one) * (blocks + 1)  # of all pairs, that many leave
+    assert len(near_dedup.components(spark.createDataFrame([tuple(r) for r in got], "a long, b long")).select("root").distinct().collect()) == 1
 
 
 def test_deduplicated_takes_rows_of_one_id_by_their_texts(spark):
@@ -579,6 +611,18 @@ def hidden_texts():
     return plain, hidden, f"+1 {phone()} {luhn()}", rng.randbytes(20).hex()
 
 
+def test_secrets_of_a_small_table_are_found(spark):
+    """All forty-digit tokens of a table too small for a threshold of their kind."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    pattern = re.compile(r"token = \"([0-9a-f]{40})\"")
+    wanted = {r["doc_id"]: len(pattern.findall(r["text"])) for r in rows(docs) if pattern.search(r["text"] or "")}
+    found = {r["doc_id"]: r["n_secret"] for r in rows(pii.personal_data(docs)) if r["n_secret"]}
+    assert sum(wanted.values()) >= 13 and all(found.get(k, 0) >= n for k, n in wanted.items())
+    for n in (1, 2, 3):  # whatever the size
+        one = docs.where(F.col("doc_id").isin(sorted(wanted)[:n]))
+        assert sum(r["n_secret"] for r in rows(pii.personal_data(one))) >= n
+
+
 def test_hidden_items_are_added(spark):
     plain, hidden, joined, secret = hidden_texts()
     texts = [*plain, *(f"see {x} there" for x in hidden.values()), f"see {joined} there", f"see {secret} there", "version 1.2.3 of 2024-03-01, page 12 345, 4111 1111 1111 1112"]
@@ -617,15 +661,15 @@ def brute_shards(items, how):
     """Records of each shard from plain sorting of all sequences."""
     import numpy as np
 
-    ids = [k for k, _, _ in items if k is not None]
-    low, span = min(ids), max(ids) - min(ids) + 2
-    size = sum(len((t or "").encode()) for _, _, t in items)
+    ids = [k for k, *_ in items if k is not None]
+    size = sum(len((t or "").encode()) for *_, t in items)
     shards = max(1, round(size / how.bytes_a_token / how.length / how.shard))
+    low, span = min(ids), max(max(ids) - min(ids) + 2, 1024 * shards)
     found = []
-    for key, tie, text in items:
+    for key, tie, spread, text in items:
         stream = [*token_shards.encoder(how).encode_ordinary(text or ""), how.end]
         for j, at in enumerate(range(0, len(stream), how.length)):
-            place = int(token_shards.place_of(np.array([0 if key is None else key - low + 1]), np.array([j]), span, how)[0])
+            place = int(token_shards.place_of(np.array([key - low + 1 if spread is None else spread % span]), np.array([j]), span, how)[0])
             found.append((min(int(place / span * shards), shards - 1), place, j, key or -1, tie, stream[at : at + how.length]))
     out = []
     for shard in sorted({x[0] for x in found}):
@@ -648,7 +692,11 @@ def test_token_shards(spark, docs, awkward, tmp_path):
     how = token_shards.Layout(queries.LAYOUT.path, queries.LAYOUT.pattern, length=64, shard=37)
     index = sorted(rows(token_shards.materialise(df, how, f"file://{tmp_path}/t")), key=lambda r: r["slot"])
     assert [r["slot"] for r in index] == list(range(len(index)))
-    items = [(r["doc_id"], r["tie"], r["text"]) for r in rows(df.select("doc_id", F.xxhash64("text").alias("tie"), "text"))]
+    items = [(r["doc_id"], r["tie"], r["spread"], r["text"]) for r in rows(token_shards.spread_rows(df).withColumn("tie", F.xxhash64("text")))]
+    own = sorted(((r["doc_id"], r["text"]) for r in rows(df)), key=str)
+    assert sorted(((k, t) for k, _, _, t in items), key=str) == own
+    ids = [k for k, _ in own]
+    assert all((spread is not None) == (k is None or ids.count(k) > 1) for k, _, spread, _ in items)
     wanted = brute_shards(items, how)
     stored = [x.tolist() for x in token_shards.read_from(f"file://{tmp_path}/t", how)]
     assert stored == [ids for _, ids in wanted] and [r["shard"] for r in index] == [s for s, _ in wanted]
@@ -668,6 +716,16 @@ def test_token_shards(spark, docs, awkward, tmp_path):
         assert sorted(map(str, rows(token_shards.materialise(other, how)))) == sorted(map(str, index))
 
 
+@pytest.mark.parametrize("key", ["CAST(NULL AS LONG)", "CAST(IF(id % 3 > 0, 7, id) AS LONG)"])
+def test_rows_without_an_own_id_spread_over_all_shards(spark, key):
+    """A third and more of 100,000 rows have no id, or one id; half of them are alike. No shard holds more than its share."""
+    text = F.when(F.col("id") % 2 == 0, "one and the same text").otherwise(F.concat(F.lit("text of number "), F.col("id").cast("string")))
+    df = spark.range(100_000).select(F.expr(key).alias("doc_id"), text.alias("text"))
+    how = token_shards.Layout(queries.LAYOUT.path, queries.LAYOUT.pattern, length=8, shard=2000)
+    got = [r["n"] for r in token_shards.materialise(df, how).groupBy("shard").agg(F.count("*").alias("n")).collect()]
+    assert len(got) > 30 and max(got) < 1.2 * sum(got) / len(got)
+
+
 def test_shards_of_ids_spread_over_all_numbers(spark):
     items = [(-(2**63), "a b"), (2**63 - 1, "c"), (5, "d e f"), (6, "g"), (None, None)]
     df = spark.createDataFrame(items, "doc_id long, text string")
