@@ -13,8 +13,10 @@ finds slot s by the sizes of the files, resumes there, and reads training order
 
 A record is a little-endian 32-bit count of real tokens followed by ``length`` 16-bit ids.
 
-Cases: a null or empty text gives the end-of-text id alone. Documents without an id share one place for
-each j; sequences of one place are ordered by id and a hash of the text, and rows alike are interchangeable.
+Cases: a null or empty text gives the end-of-text id alone. Documents without an id, and rows of an id
+that comes more than once, take their places by a hash of the text and the number of the copy, so any
+number of them spreads over all shards; copies are counted and numbered, as rows alike are interchangeable.
+Sequences of one place are ordered by number, id and a hash of the text.
 Extra columns of any name are ignored. An empty table gives no shard. A text of any length spreads over
 as many sequences as it needs. A retried task replaces its shard by one with the same bytes. Ids of
 65,536 or more raise ValueError.
@@ -74,6 +76,24 @@ def place_of(offset: np.ndarray, number: np.ndarray, span: int, layout: Layout)
     return permuted(offset, span, keys)
 
 
+COPIES = 1024  # of one row that a task numbers at once
+
+
+def spread_rows(df: DataFrame) -> DataFrame:
+    """``doc_id, text, spread``: the rows; ``spread`` is a hash that places those whose id is null or comes more than once, else null."""
+    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    several = staged(rows.groupBy("doc_id").count().where("count > 1 OR doc_id IS NULL").select(F.col("doc_id").alias("_id")), "several")
+    plain = rows.withColumn("spread", F.lit(None).cast("long"))
+    if several.isEmpty():
+        return plain
+    mine = F.col("doc_id").eqNullSafe(F.col("_id"))
+    counted = rows.join(several, mine, "left_semi").groupBy("doc_id", "text").count()
+    parts = counted.withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("count") - 1, F.lit(COPIES).cast("long"))))
+    dealt = parts.repartition(n_partitions(df.sparkSession), F.xxhash64("doc_id", "text", "first"))
+    copies = dealt.withColumn("copy", F.explode(F.sequence(F.col("first"), F.least(F.col("count"), F.col("first") + COPIES) - 1)))
+    return plain.join(several, mine, "left_anti").unionByName(copies.select("doc_id", "text", F.xxhash64("text", "doc_id", "copy").alias("spread")))
+
+
 def sequences(df: DataFrame, layout: Layout, low: int, span: int, shards: int, shift: int = 0) -> DataFrame:
     """``shard, place, number, tie, doc_id, ids`` of each sequence; ids are packed, fewer than ``length`` in a tail."""
     tune(df.sparkSession)
@@ -84,12 +104,12 @@ def sequences(df: DataFrame, layout: Layout, low: int, span: int, shards: int, s
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows, size = [], 0
-            for key, tie, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+            for key, tie, text, spread in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 ids = np.append(encoder(layout).encode_to_numpy(text or "", disallowed_special=()), layout.end)
                 if int(ids.max()) > 65535:
                     raise ValueError("an id needs more than 16 bits")
                 packed, step = ids.astype("<u2").tobytes(), 2 * layout.length
-                offset = 0 if key is None else (key - low >> shift) + 1
+                offset = (key - low >> shift) + 1 if spread is None else spread % span
                 for at in range(0, len(packed), step):
                     rows.append((offset, at // step, tie, key, packed[at : at + step]))
                     size += 1
@@ -105,7 +125,7 @@ def sequences(df: DataFrame, layout: Layout, low: int, span: int, shards: int, s
         columns = [shard, place, number.astype(np.int64), *([r[i] for r in rows] for i in (2, 3, 4))]
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names)
 
-    rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tie"), "text")
+    rows = spread_rows(df).select("doc_id", F.xxhash64("text").alias("tie"), "text", "spread")
     return rows.mapInArrow(cut, "shard bigint, place bigint, number bigint, tie bigint, doc_id bigint, ids binary")
 
 
@@ -149,8 +169,9 @@ def materialise(df: DataFrame, layout: Layout, folder: str | None = None) -> Dat
     facts = df.agg(F.min(key).alias("low"), F.max(key).alias("high"), F.sum(F.octet_length("text")).alias("bytes")).first()
     low, span = facts["low"] or 0, (facts["high"] or 0) - (facts["low"] or 0)
     shift = max(0, span.bit_length() - 61)  # of ids spread wider than that, neighbours share a place
-    span = (span >> shift) + 2  # and a place for documents without id
+    span = (span >> shift) + 2
     shards = max(1, round((facts["bytes"] or 0) / layout.bytes_a_token / layout.length / layout.shard))
+    span = max(span, 1024 * shards)  # so that hashed places reach all shards, however few the ids
     found = sequences(df, layout, low, span, shards, shift)
     # how many shards a task writes changes no byte of them
     some = max(1, min(layout.task_bytes // (layout.shard * layout.stride), shards // (4 * n_partitions(spark))))
