@@ -12,7 +12,9 @@ example is planted again in other forms, with the same surroundings: written as
 (positive), and broken or put behind a word of another meaning (negative). Candidates that pass
 their check and are no base span have no label; they are what the trees decide on. A quarter of the
 examples, by hash of the value, grows no tree: on it the scores are calibrated (isotonic, a kind at a
-time), and a kind's threshold is the least score with the wanted precision. Chosen candidates that
+time), and a kind's threshold is the least score with the wanted precision; a kind with too few held
+out examples to show that precision takes the threshold of all kinds together. A candidate that is a
+positive example itself is chosen whatever its score, so small tables lose none. Chosen candidates that
 touch a base span go, and of those that overlap each other the leftmost, then longest, stays.
 
 Only counts a cell and label come to the driver, where the trees grow: of all rows, no sample; at
@@ -232,7 +234,7 @@ def _celled(k: int, kind: str, x: Column, held: int) -> Column:
 
 
 def with_candidates(df: DataFrame, text: Column, how: Boosting = Boosting()) -> DataFrame:
-    """The columns of ``df`` (whose names don't start with ``_``), ``_base``: array of (first, kind, last) in order, ``_wide``: (first, last, kind, cell), ``_examples``: codes."""
+    """The columns of ``df`` (whose names don't start with ``_``), ``_base``: array of (first, kind, last) in order, ``_wide``: (first, last, kind, cell, sure: whether it is a positive example itself), ``_examples``: codes."""
     kept, each = [F.col(f"`{c}`") for c in df.columns], list(enumerate(ALL))
     body, none = F.col("_t"), F.array().cast("array<string>")
     patterns = {**{f"_b{k}": (kind, BASE[kind]) for k, kind in enumerate(KINDS)}, **{f"_w{k}{i}": (kind, p) for k, kind in each for i, p in enumerate(WIDE[kind])}}
@@ -255,7 +257,7 @@ def with_candidates(df: DataFrame, text: Column, how: Boosting = Boosting()) ->
     for step in (_forms, _read):
         out = out.select(*kept, "_base", *(F.transform(f"_u{k}", mapped(step, kind)).alias(f"_u{k}") for k, kind in each))
     out = out.select(*kept, "_base", F.concat(*(F.transform(f"_u{k}", codes(k, kind)) for k, kind in each)).alias("_u"))
-    slim = F.transform("_u", lambda x: F.struct(x["first"], x["last"], x["kind"], F.shiftright(F.get(x["codes"], 0), 3).alias("cell")))
+    slim = F.transform("_u", lambda x: F.struct(x["first"], x["last"], x["kind"], F.shiftright(F.get(x["codes"], 0), 3).alias("cell"), (F.get(x["codes"], 0).bitwiseAND(3) == POSITIVE).alias("sure")))
     return out.select(*kept, "_base", slim.alias("_wide"), F.flatten(F.transform("_u", lambda x: x["codes"])).alias("_examples"))
 
 
@@ -328,8 +330,11 @@ def fitted(counts: dict[int, int], how: Boosting = Boosting()) -> Model:
     weight = np.log1p(n[0]) / np.maximum(n[0], 1)
     score = np.round(boosted(features_of(cells), n[0] * weight, hits[0] * weight, how), 9)
     thresholds = {}
+    least = (2 * how.share - 1) / (1 - how.share)  # rows of a kind with which its share can be shown, were all good
     for k in range(len(ALL)):
         mine = cells >> BITS == k
+        if n[1][mine].sum() < least:
+            mine = np.ones(len(cells), bool)
         for s, rows, good in calibrated(score[mine], n[1][mine], hits[1][mine]):
             if (good + 1) / (rows + 2) >= how.share:
                 thresholds[k] = max(s, 0.0)  # never below even odds
@@ -354,7 +359,7 @@ def with_spans(candidates: DataFrame, model: Model) -> DataFrame:
     """
     cells = F.array(*map(F.lit, model.chosen())).cast("array<int>")
     kept = [F.col(f"`{c}`") for c in candidates.columns if c not in ("_wide", "_examples")]
-    picked = candidates.select(*kept, F.filter("_wide", lambda x: F.array_contains(cells, x["cell"])).alias("_more"))
+    picked = candidates.select(*kept, F.filter("_wide", lambda x: x["sure"] | F.array_contains(cells, x["cell"])).alias("_more"))
     mark = lambda added: lambda x: F.struct(x["first"].alias("first"), F.lit(added).alias("added"), (-x["last"]).alias("back"), x["kind"].alias("kind"))
     both = F.reverse(F.sort_array(F.concat(F.transform("_base", mark(0)), F.transform("_more", mark(1)))))
     none = F.array().cast("array<struct<first:int,added:int,back:int,kind:int>>")
