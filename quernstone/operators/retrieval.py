@@ -7,16 +7,12 @@ hits; only the corpus statistics (one row) are aggregated and broadcast either w
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from dataclasses import dataclass
 from datetime import datetime
 from math import sqrt
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from ..functions import scoring, text
@@ -334,102 +330,6 @@ def in_order(df: DataFrame, keys: list[str], column: str = "code") -> DataFrame:
     return met.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n")
 
 
-def similar_pairs(df: DataFrame, column: str, least: float, top: int, within: str | None = None, anywhere: str | None = None, block: int = 1024) -> DataFrame:
-    """``a, b, similarity``: each row's most similar others by term counts, at least ``least`` (above 0).
-
-    With ``within``, a row is compared with those that agree in this column, and, with ``anywhere`` (a
-    boolean column), with all rows that it marks, whatever theirs is.
-
-    Exact. Rows are dealt in blocks of about ``block`` to tasks that hold two blocks at a time and
-    multiply their term counts as matrices; a row leaves with its best ``top`` of each block, never with
-    all pairs. Term counts are ruled by the common words that all rows share, so filters by rare terms
-    rule nothing out at such bounds; the work grows with the square of a scope, as that of a search
-    from each of its rows.
-    """
-    scope = F.coalesce(F.col(within).cast("string"), F.lit("")) if within else F.lit("")
-    open_ = F.coalesce(F.col(anywhere), F.lit(False)) if anywhere else F.lit(False)
-    tokens = F.explode(text.tokens(F.coalesce(F.col(column), F.lit(""))))
-    terms = df.select("id", scope.alias("scope"), open_.alias("open"), tokens.alias("term")).groupBy("id", "scope", "open", F.xxhash64("term").alias("term")).agg(F.count("*").alias("tf"))
-    rows = terms.groupBy("id", "scope", "open").agg(F.sort_array(F.collect_list(F.struct("term", "tf"))).alias("v"))  # of one row
-    # blocks of the scopes, and of the rows open to all of them
-    size = lambda x, *by: x.groupBy(*by).agg(F.ceil(F.count("*") / block).cast("int").alias("blocks"))
-    own, far = size(rows, "scope"), size(rows.where("open")).select(F.col("blocks").alias("all"))
-    known = rows.join(own, "scope").join(F.broadcast(far))  # one row
-    mine = known.withColumn("x", F.pmod(F.xxhash64("id"), "blocks").cast("int"))
-    inside = F.struct(F.least("x", "y").alias("low"), F.greatest("x", "y").alias("high"), F.lit(False).alias("far"))
-    local = mine.withColumn("y", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select("scope", inside.alias("at"), F.lit(False).alias("guest"), "x", "id", "scope", "v").toDF("group", "at", "guest", "x", "id", "scope", "v")
-    meet = lambda x, y: F.struct(F.col(x).alias("low"), F.col(y).alias("high"), F.lit(True).alias("far"))
-    hosts = mine.where("all > 0").withColumn("y", F.explode(F.sequence(F.lit(0), F.col("all") - 1))).select("scope", meet("x", "y").alias("at"), F.lit(False).alias("guest"), "x", "id", "scope", "v").toDF(*local.columns)
-    places = own.select(F.col("scope").alias("group"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("x"))  # a row a block
-    guests = known.where("open").withColumn("y", F.pmod(F.xxhash64("id"), "all").cast("int")).join(F.broadcast(places)).where("group != scope").select("group", meet("x", "y").alias("at"), F.lit(True).alias("guest"), "y", "id", "scope", "v").toDF(*local.columns)
-    dealt = local.unionByName(hosts).unionByName(guests) if anywhere else local
-    kind, ids = df.schema["id"].dataType.simpleString(), to_arrow_type(df.schema["id"].dataType)
-
-    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, group = None, []
-        for batch in batches:
-            flat = batch.column(5).flatten()
-            term, tf = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            ends = batch.column(5).offsets.to_numpy()
-            ends = (ends - ends[0]).tolist()
-            for i, (place, key, guest, x, id_) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(5)), strict=True)):
-                here = (place, key["low"], key["high"], key["far"])
-                if here != at and group:
-                    yield best(at, group)
-                    group = []
-                at = here
-                group.append((guest, x, id_, term[ends[i] : ends[i + 1]], tf[ends[i] : ends[i + 1]]))
-        if group:
-            yield best(at, group)
-
-    def best(at: tuple, group: list[tuple]) -> pa.RecordBatch:
-        _, low, high, far_ = at
-        left = [r for r in group if (not r[0] if far_ else r[1] == low)]
-        right = [r for r in group if (r[0] if far_ else r[1] == high)]
-        out = most_similar(left, right, least, top)
-        if not far_ and low != high:
-            out += most_similar(right, left, least, top)
-        columns = [pa.array([r[i] for r in out], ids) for i in (0, 1)]
-        return pa.RecordBatch.from_arrays([*columns, pa.array([r[2] for r in out], pa.float64())], ["a", "b", "similarity"])
-
-    parts = df.sparkSession.conf.get("spark.sql.shuffle.partitions")
-    sorted_ = dealt.select("group", "at", "guest", "x", "id", "v").repartition(int(parts), "group", "at").sortWithinPartitions("group", "at")
-    near = sorted_.mapInArrow(walk, f"a {kind}, b {kind}, similarity double")
-    place = Window.partitionBy("a").orderBy(F.round("similarity", 9).desc(), "b")
-    return near.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= top).drop("_n")
-
-
-def most_similar(rows: list[tuple], others: list[tuple], least: float, top: int, columns: int = 4096) -> list[tuple]:
-    """``a, b, similarity`` of the best others of each row; rows are (.., id, terms, counts), terms in order and once each."""
-    if not rows or not others:
-        return []
-    norm = lambda x: np.array([np.sqrt(float((r[4].astype(np.float64) ** 2).sum())) for r in x])
-    n, m = norm(rows), norm(others)
-    shared = np.intersect1d(np.concatenate([r[3] for r in rows]), np.concatenate([r[3] for r in others]))
-    exact = np.float32 if float(n.max()) * float(m.max()) < 2**24 else np.float64  # sums of whole numbers below that are exact
-    dots = np.zeros((len(rows), len(others)))
-
-    def table(x: list[tuple], some: np.ndarray) -> np.ndarray:
-        out = np.zeros((len(x), len(some)), exact)
-        term, row = np.concatenate([r[3] for r in x]), np.repeat(np.arange(len(x)), [len(r[3]) for r in x])
-        at = np.minimum(np.searchsorted(some, term), len(some) - 1)
-        hit = some[at] == term
-        out[row[hit], at[hit]] = np.concatenate([r[4] for r in x])[hit]
-        return out
-
-    for low in range(0, len(shared), columns):
-        some = shared[low : low + columns]
-        dots += table(rows, some) @ table(others, some).T
-    near = dots / (n[:, None] * m[None, :])
-    ids = [r[2] for r in others]
-    out = []
-    for i, r in enumerate(rows):
-        good = [j for j in np.nonzero(near[i] >= least - 1e-12)[0].tolist() if ids[j] != r[2]]
-        good.sort(key=lambda j: (-round(float(near[i, j]), 9), ids[j]))
-        out += [(r[2], ids[j], float(near[i, j])) for j in good[:top]]
-    return out
-
-
 UUID = r"^[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}$"
 
 

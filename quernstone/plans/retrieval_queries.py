@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import querytext, scoring, text
 from ..operators import retrieval as R
+from ..operators import similarity
 from ..operators.analytics import board_order
 from ..sources import tables as S
 from .bindings import AS_OF, Tables
@@ -263,7 +264,7 @@ twice AS (SELECT a, b, similarity FROM ways JOIN s p ON p.id = a JOIN s q ON q.i
 SELECT a, b, round(similarity, 6) AS similarity FROM twice QUALIFY row_number() OVER (PARTITION BY a ORDER BY round(similarity, 9) DESC, b) <= 5""",
 )
 def near_duplicate_pairs(t: Tables):
-    return R.similar_pairs(t.standards, "content", 0.6, 5, "repo", "is_global").select("a", "b", F.round("similarity", 6).alias("similarity"))
+    return similarity.similar_pairs(t.standards, "content", 0.6, 5, "repo", "is_global").select("a", "b", F.round("similarity", 6).alias("similarity"))
 
 
 @query(

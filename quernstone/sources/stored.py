@@ -34,6 +34,15 @@ def _removed(spark: SparkSession, path: str) -> None:
         return
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written in the shared folder and read back: computed once, and its lineage ends there."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, path)
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def stored(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """The table of ``make``, written at the first call for a key in an application and read from then on.
 

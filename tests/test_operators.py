@@ -5,7 +5,7 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from quernstone.operators import analytics, code_index, graph, lifecycle, retrieval
+from quernstone.operators import analytics, code_index, graph, lifecycle, retrieval, similarity
 from quernstone.sources import code_files, tables
 from quernstone.streaming import events, queue
 
@@ -102,8 +102,8 @@ def test_similar_pairs_match_brute_force(spark):
             if i != j and norm[i] and norm[j] and (s := sum(v[t] * w[t] for t in v) / norm[i] / norm[j]) >= 0.7 - 1e-12:
                 wanted.setdefault(i, []).append((-round(s, 9), j))
     wanted = sorted((i, j) for i, x in wanted.items() for _, j in sorted(x)[:3])
-    for block in (1024, 16):
-        assert sorted((r["a"], r["b"]) for r in retrieval.similar_pairs(df, "content", 0.7, 3, block=block).collect()) == wanted
+    for block, common in ((1024, 2048), (16, 3)):
+        assert sorted((r["a"], r["b"]) for r in similarity.similar_pairs(df, "content", 0.7, 3, block=block, common=common).collect()) == wanted
     # within a scope, and with the rows open to all
     scoped = df.withColumn("repo", F.concat(F.lit("r"), F.col("id") % 4)).withColumn("open", F.col("id") % 5 == 0)
     some = {}
@@ -112,8 +112,23 @@ def test_similar_pairs_match_brute_force(spark):
             if i != j and (i % 4 == j % 4 or j % 5 == 0) and norm[i] and norm[j] and (s := sum(v[t] * w[t] for t in v) / norm[i] / norm[j]) >= 0.7 - 1e-12:
                 some.setdefault(i, []).append((-round(s, 9), j))
     some = sorted((i, j) for i, x in some.items() for _, j in sorted(x)[:3])
-    for block in (1024, 4):
-        assert sorted((r["a"], r["b"]) for r in retrieval.similar_pairs(scoped, "content", 0.7, 3, "repo", "open", block).collect()) == some
+    for block, common in ((1024, 2048), (4, 2)):
+        assert sorted((r["a"], r["b"]) for r in similarity.similar_pairs(scoped, "content", 0.7, 3, "repo", "open", block, common).collect()) == some
+
+
+def test_similar_pairs_rule_most_pairs_out(spark):
+    """Of all pairs of the larger table, less than a tenth are added up in full."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang IN ('de', 'fr')").selectExpr("doc_id AS id", "text AS content", "source AS repo", "doc_id % 5 = 0 AS open")
+    found, work = similarity.pairs_with_work(docs, "content", 0.6, 5, "repo", "open", 1024, 2048)
+    met, exact = work.agg(F.sum("pairs"), F.sum("exact")).first()
+    assert found.count() > 1000 and exact < 0.1 * 2 * met
+
+
+def test_blocks_without_a_common_term_never_meet(spark):
+    df = spark.createDataFrame([(i, f"{'kappa lam mu' if i < 40 else 'rho tau phi'} w{i % 7}") for i in range(80)], "id int, content string")
+    found, work = similarity.pairs_with_work(df, "content", 0.6, 3, None, None, 40, 3)
+    assert work.count() == 1 + 1 + 0 or work.agg(F.sum("pairs")).first()[0] < 80 * 79 // 2
+    assert found.where("(a < 40) != (b < 40)").count() == 0 and found.select("a").distinct().count() == 80
 
 
 def test_symbol_ranking(spark):
