@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import querytext, scoring, text
 from ..operators import retrieval as R
-from ..operators import similarity
+from ..operators import similarity, vector_index
 from ..operators.analytics import board_order
 from ..sources import tables as S
 from .bindings import AS_OF, Tables
@@ -299,6 +299,8 @@ def tag_explode_counts(t: Tables):
     return each.groupBy("tag").agg(F.count("*").alias("n"), F.countDistinct("repo").alias("repos"))
 
 
+#: Cells probed, of so many: at least 0.9 of the ten nearest are found.
+PROBED = (24, 32)
 VECTOR = [((i * 7) % 13 - 6) / 10 for i in range(64)]
 VECTOR_SQL = "CAST([" + ", ".join(map(str, VECTOR)) + "] AS DOUBLE[])"
 
@@ -308,6 +310,23 @@ def vector_topk(t: Tables):
     return R.nearest(t.vectors, VECTOR, 10).select("id", F.round("similarity", 6).alias("similarity"))
 
 
+@query(
+    "R12 T5 nearest vectors by the inverted file, all cells probed, every twentieth row against all rows",
+    """WITH q AS (SELECT id AS query, CAST(vector AS DOUBLE[]) AS asked FROM vectors WHERE id % 20 = 0),
+near AS (SELECT query, id, round(list_cosine_similarity(asked, CAST(vector AS DOUBLE[])), 9) AS similarity FROM q JOIN vectors ON id <> query)
+SELECT query, id, round(similarity, 6) AS similarity, CAST(row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) AS INTEGER) AS rank FROM near QUALIFY row_number() OVER (PARTITION BY query ORDER BY similarity DESC, id) <= 10""",
+)
+def vector_index_exact(t: Tables):
+    found = vector_index.search(vector_index.build(t.vectors), t.vectors.where("id % 20 = 0"), 10)
+    return found.select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
+@query("R12 T5 nearest vectors by the inverted file, some cells probed, every twentieth row against all rows")
+def vector_index_search(t: Tables):
+    found = vector_index.search(vector_index.build(t.vectors, cells=PROBED[1]), t.vectors.where("id % 20 = 0"), 10, PROBED[0])
+    return found.select("query", "id", F.round("similarity", 6).alias("similarity"), "rank")
+
+
 @query(
     "R13 context blend, U4 difference, active tasks",
     f"""WITH pool AS (SELECT m.*, 0.3 * list_cosine_similarity(CAST(v.vector AS DOUBLE[]), {VECTOR_SQL}) + 0.7 * importance / 5.0 AS score FROM memories m JOIN vectors v ON m.id = v.id WHERE m.status = 'active'),

@@ -373,3 +373,36 @@ def test_postings_agree_with_texts(spark):
     for query in ("th ing", "an", "zz", "th zz", ""):
         one, two = ({r["id"]: round(r["bm25"], 9) for r in retrieval.bm25(df, query, ["body"], None, i).collect()} for i in (index, None))
         assert one == two and (query != "an" or one)
+
+
+def test_vector_index_recall(spark):
+    """Every twentieth row against all rows: the index finds 0.9 and more of the ten nearest, the exact mode all."""
+    import numpy as np
+
+    from quernstone.operators import vector_index
+    from quernstone.plans.retrieval_queries import PROBED
+
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").selectExpr("vec_id AS id", "embedding AS vector")
+    table = sorted(v.collect())
+    x = np.array([r["vector"] for r in table], float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    near = np.round(x @ x.T, 9)
+    wanted = {(r["id"], table[j]["id"]) for i, r in enumerate(table) if r["id"] % 20 == 0 for j in sorted((j for j in range(len(x)) if j != i), key=lambda j: (-near[i, j], table[j]["id"]))[:10]}
+    index = vector_index.build(v, cells=PROBED[1])
+    assert index.rows.count() == len(table)
+    asked = v.where("id % 20 = 0")
+    got = {(r["query"], r["id"]) for r in vector_index.search(index, asked, 10, PROBED[0]).collect()}
+    assert len(got & wanted) >= 0.9 * len(wanted)
+    assert {(r["query"], r["id"]) for r in vector_index.search(index, asked, 10, block=300).collect()} == wanted
+
+
+def test_vector_index_of_awkward_rows(spark):
+    from quernstone.operators import vector_index
+
+    nan = float("nan")
+    items = [(1, [1.0, 0.0]), (2, [2.0, 0.0]), (3, [0.0, 1.0]), (4, None), (5, [0.0, 0.0]), (6, [nan, 1.0]), (7, [1.0]), (8, [1.0, 0.0]), (9, [None, 1.0])]
+    v = spark.createDataFrame(items, "id int, vector array<double>")
+    got = vector_index.search(vector_index.build(v, cells=2), v, 2).orderBy("query", "rank").collect()
+    assert [(r["query"], r["id"]) for r in got] == [(1, 2), (1, 8), (2, 1), (2, 8), (3, 1), (3, 2), (8, 1), (8, 2)]
+    none = v.where("false")
+    assert vector_index.search(vector_index.build(none), v, 2).collect() == []
