@@ -6,6 +6,7 @@ and the checking engine derive the same rows. AS_OF is the fixed "now" of all qu
 
 from __future__ import annotations
 
+import re
 from datetime import datetime
 from functools import cached_property
 
@@ -13,7 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.retrieval import Index, lengths, postings
-from ..sources.stored import stored
+from ..operators.text_index import Trigrams, trigram_index
+from ..sources.stored import file_marks, stored
 
 AS_OF = datetime(2024, 3, 1)
 AS_OF_SQL = "TIMESTAMP '2024-03-01 00:00:00'"
@@ -160,6 +162,9 @@ ROLES["refs"] = ROLES.pop("references")  # "references" is a reserved word
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
+_trigrams: dict[tuple, Trigrams] = {}
+
+
 def duck_sql(role: str) -> str:
     return ROLES[role](DUCK)
 
@@ -177,19 +182,30 @@ class Tables:
     def index(self, role: str, *columns: str) -> Index:
         """The stored full-text index of some columns of a role, made once an application."""
         df = getattr(self, role).select("id", F.concat_ws(" ", *(F.array_join(c[:-2], " ") if c.endswith("[]") else F.col(c) for c in columns)).alias("body"))
-        key = (self.folder, role, *columns)
+        marks = tuple(file_marks(self.spark, f"{self.folder}/{t}.parquet") for t in self.sources(role))
+        key = (self.folder, role, *columns, marks)
         return Index(stored(self.spark, (*key, "postings"), lambda: postings(df)), stored(self.spark, (*key, "lengths"), lambda: lengths(df)))
 
+    def trigrams(self, name: str, df: DataFrame, role: str, columns: list[str], keep: list[str]) -> Trigrams:
+        """The trigram index of some columns of rows made of a role, made once an application and state of the role's tables."""
+        marks = tuple(file_marks(self.spark, f"{self.folder}/{t}.parquet") for t in self.sources(role))
+        key = (self.spark.sparkContext.applicationId, self.folder, name, *columns, *keep, marks)
+        if key not in _trigrams:
+            _trigrams[key] = trigram_index(df, columns, keep=keep)
+        return _trigrams[key]
+
+    def sources(self, role: str) -> list[str]:
+        """The tables that a role reads."""
+        return [t for t in TABLES if re.search(rf"(?:FROM|JOIN) {t}\b", ROLES[role](SPARK))]
+
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
 
     def __getattr__(self, role: str) -> DataFrame:
         if role not in ROLES:
             raise AttributeError(role)
-        import re
-
         sql = ROLES[role](SPARK)
-        used = [t for t in TABLES if re.search(rf"(?:FROM|JOIN) {t}\b", sql)]
+        used = self.sources(role)
         for t in used:
             sql = re.sub(rf"(FROM|JOIN) {t}\b", rf"\1 {{{t}}}", sql)
         return self.spark.sql(sql, **{t: self.table(t) for t in used})

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scoring, text
 from ..operators import code_index as C
+from ..operators import text_index
 from ..sources import code_files, tables
 from .bindings import Tables
 from .registry import query
@@ -173,14 +174,17 @@ def code_graph(t: Tables):
 SELECT file_path, CAST(line_no AS INTEGER) AS line_no, CAST(place AS INTEGER) AS "at", CASE WHEN greatest(0, place - 40) > 0 THEN '…' ELSE '' END || substr(line, greatest(0, place - 40) + 1, least(length(line), place + 46) - greatest(0, place - 40)) || CASE WHEN least(length(line), place + 46) < length(line) THEN '…' ELSE '' END AS snippet FROM h""",
 )
 def grep_lines(t: Tables):
-    return C.grep(t.files, "CLASS=")
+    index = t.trigrams("files", t.files, "files", ["content"], ["file_path"])
+    return C.grep(text_index.may_hold(index, "CLASS="), "CLASS=")
 
 
 @query(
     "G12 J11 grep with enclosing symbols, a page",
     r"""WITH s AS (SELECT id, repo, file_path, name, start_line, end_line FROM symbols UNION ALL SELECT 1000000 + id, repo, file_path, 'whole', 1, 9999 FROM files WHERE id % 2 = 0),
-l AS (SELECT repo, file_path, unnest(string_split_regex(content, '?
-')) AS line, generate_subscripts(string_split_regex(content, '?
+l AS (SELECT repo, file_path, unnest(string_split_regex(content, '
+?
+')) AS line, generate_subscripts(string_split_regex(content, '
+?
 '), 1) AS line_no FROM files), h AS (SELECT repo, file_path, line_no FROM l WHERE contains(lower(line), 'class=')),
 p AS (SELECT *, row_number() OVER (ORDER BY repo, file_path, line_no) AS rank FROM (SELECT * FROM h ORDER BY repo, file_path, line_no LIMIT 40 OFFSET 5))
 SELECT p.repo, p.file_path, CAST(p.line_no AS INTEGER) AS line_no, CAST(p.rank AS INTEGER) AS rank, s.name AS symbol, (SELECT count(*) FROM h) > 45 AS more FROM p LEFT JOIN s ON s.repo = p.repo AND s.file_path = p.file_path AND p.line_no BETWEEN s.start_line AND s.end_line

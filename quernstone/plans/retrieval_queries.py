@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import querytext, scoring, text
 from ..operators import retrieval as R
-from ..operators import similarity, vector_index
+from ..operators import similarity, text_index, vector_index
 from ..operators.analytics import board_order
 from ..sources import tables as S
+from ..sources.stored import shared_root
 from .bindings import AS_OF, Tables
 from .registry import query
 
@@ -157,10 +160,29 @@ def memory_search_synonyms(t: Tables):
 def memory_search_like(t: Tables):
     df = t.memories.withColumn("tag_text", F.array_join("tags", " "))
     first = R.bm25(df, "zzzznothing", [], None, t.index("memories", "title", "content", "tags[]")).select("id", "title")
-    second = df.where(R.substring("trash", "content", "title", "tag_text")).select("id", "title")
+    second = text_index.substring_search(t.trigrams("memories", df, "memories", ["content", "title", "tag_text"], []), "trash").select("id", "title")
     return R.with_fallback(first, second)
 
 
+_CHANGED_SQL = f"""changed AS (SELECT id, {BODY_SQL} AS body FROM memories WHERE id % 10 NOT IN (3, 4)
+  UNION ALL SELECT id, 'something about the ' || title FROM memories WHERE id % 10 = 4 UNION ALL SELECT id + 1000000000, 'nothing else, ' || title FROM memories WHERE id % 10 = 5)"""
+
+
+@query(
+    "R4 S13 ST7 full-text search after rows came, changed and went",
+    f"WITH {_CHANGED_SQL}, {bm25_sql('changed', 'body', ['th', 'ing'])} SELECT id, round(bm25, 6) AS bm25 FROM bm",
+)
+def memory_index_changed(t: Tables):
+    body = F.concat_ws(" ", "title", "content", F.array_join("tags", " "))
+    rows = t.memories.select("id", body.alias("body"), "title")
+    store = text_index.IndexStore(t.spark, f"{shared_root(t.spark)}/quernstone/index-{uuid.uuid4().hex}")
+    store.create(rows)
+    store.apply(rows.where("id % 10 = 4").select("id", F.concat(F.lit("something about the "), "title").alias("body")), rows.where("id % 10 = 3"))
+    new = rows.where("id % 10 = 5").select((F.col("id") + 1_000_000_000).alias("id"), F.concat(F.lit("nothing else, "), "title").alias("body"))
+    store.apply(new, rows.where("false"))
+    return R.indexed_bm25(store.index(), ("th", "ing")).select("id", F.round("bm25", 6).alias("bm25"))
+
+
 @query(
     "P13 time window, F23 relative dates",
     f"SELECT id, {stamp_sql('created_at')} AS created FROM memories WHERE created_at >= TIMESTAMP '2024-02-01 00:00:00' AND created_at < TIMESTAMP '2024-02-29 23:59:59.999'",

@@ -43,10 +43,52 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def staged_by(df: DataFrame, name: str, column: str) -> DataFrame:
+    """As ``staged``, in one folder a value of a column, each written by one task: a reader of some values skips the rest."""
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/quernstone/{name}-{uuid.uuid4().hex}"
+    atexit.register(_removed, spark, path)
+    df.repartition(column).write.option("compression", "zstd").partitionBy(column).parquet(path)
+    last = [c for c in df.columns if c != column] + [column]
+    return spark.read.schema(df.select(*last).schema).parquet(path).select(*df.columns)
+
+
+def _at(spark: SparkSession, path: str):
+    """A Hadoop path and its file system."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    target, system = _at(spark, path)
+    return system.exists(target)
+
+
+def dropped(spark: SparkSession, path: str) -> None:
+    target, system = _at(spark, path)
+    system.delete(target, True)
+
+
+def child_folders(spark: SparkSession, path: str) -> list[str]:
+    target, system = _at(spark, path)
+    return [x.getPath().getName() for x in system.listStatus(target) if x.isDirectory()] if system.exists(target) else []
+
+
+def file_marks(spark: SparkSession, path: str) -> tuple:
+    """Path, size and time of each file of a table: what tells whether it was written anew."""
+    target, system = _at(spark, path)
+    found, files = [], system.listFiles(target, True)
+    while files.hasNext():
+        x = files.next()
+        found.append((x.getPath().toString(), x.getLen(), x.getModificationTime()))
+    return tuple(sorted(found))
+
+
 def stored(spark: SparkSession, key: tuple, make: Callable[[], DataFrame]) -> DataFrame:
     """The table of ``make``, written at the first call for a key in an application and read from then on.
 
-    A key names the source and the columns that it is made of; a source that changes needs another key.
+    A key names the columns that it is made of and the source with ``file_marks``, so that of a source
+    that was written anew nothing old is read.
     """
     full = (spark.sparkContext.applicationId, *key)
     if full not in _kept:

@@ -406,3 +406,131 @@ def test_vector_index_of_awkward_rows(spark):
     assert [(r["query"], r["id"]) for r in got] == [(1, 2), (1, 8), (2, 1), (2, 8), (3, 1), (3, 2), (8, 1), (8, 2)]
     none = v.where("false")
     assert vector_index.search(vector_index.build(none), v, 2).collect() == []
+
+
+def test_trigrams_prune_parts_and_find_what_a_scan_finds(spark):
+    from quernstone.operators import text_index
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").selectExpr("doc_id AS id", "text AS content", "source AS title")
+    odd = spark.createDataFrame([(10**6, "a%b_c ÄÖÜ straße", None), (10**6 + 1, None, "xyzzy 漢字 here"), (10**6 + 2, "", ""), (10**6 + 3, "ab", "İstanbul XYZZY")], "id long, content string, title string")
+    both = docs.unionByName(odd)
+    index = text_index.trigram_index(both, ["content", "title"], rows=50)
+    parts = index.texts.select("part").distinct().count()
+    assert parts > 15
+    for query in ("xyzzy", "XyZzY", "token = ", "äöü", "漢字 h", "a%c", "ab", "", "zzzqq", "src3", "tra_h", "straße", "General Public"):
+        wanted = sorted(r["id"] for r in both.where(retrieval.substring(query, "content", "title")).select("id").collect())
+        assert sorted(r["id"] for r in text_index.substring_search(index, query).select("id").collect()) == wanted, query
+    read = text_index.may_hold(index, "xyzzy")
+    assert read.count() == 2  # rows read in full, of over a thousand
+    assert read.select("part").distinct().count() <= 2 and "PartitionFilters: [part#" in read._jdf.queryExecution().toString()  # and parts
+
+
+def test_index_follows_changes(spark, tmp_path):
+    """After rows came, changed, went and came again, compacted or not, the index is the one built anew."""
+    from quernstone.operators import text_index
+
+    def state(index):
+        return sorted(map(tuple, index.postings.select("term", "id", "tf").collect())), sorted(map(tuple, index.lengths.select("id", "length").collect()))
+
+    def frame(items):
+        return spark.createDataFrame(items, "id long, body string")
+
+    now = {i: f"word{i % 3} and th{i} more{'' if i % 2 else ' words'}" for i in range(20)}
+    store = text_index.IndexStore(spark, f"file://{tmp_path}/index")
+    store.create(frame(list(now.items())))
+    steps = [({3: "changed text", 40: "new text"}, [5]), ({5: "back again"}, [3, 40]), ({3: None, 6: ""}, [99]), ({}, [0, 1]), ({1: "one more"}, [])]
+    for i, (changed, gone) in enumerate(steps):
+        number = store.apply(frame(list(changed.items())), frame([(g, None) for g in gone]))
+        store.apply(frame(list(changed.items())), frame([(g, None) for g in gone]), number)  # a repeated step changes nothing
+        now = {k: v for k, v in {**now, **changed}.items() if k not in gone}
+        rows_ = frame(list(now.items()))
+        anew = retrieval.Index(retrieval.postings(rows_), retrieval.lengths(rows_))
+        assert state(store.index()) == state(anew)
+        if i == 2:
+            store.compact()
+            assert [kind for _, kind in store.generations()] == ["base"] and state(store.index()) == state(anew)
+    got = retrieval.indexed_bm25(store.index(), ("th",)).collect()
+    assert {r["id"]: round(r["bm25"], 9) for r in got} == {r["id"]: round(r["bm25"], 9) for r in retrieval.indexed_bm25(anew, ("th",)).collect()}
+    # a generation without its marker doesn't count
+    (tmp_path / "index" / "000000000099-delta").mkdir()
+    assert state(store.index()) == state(anew)
+
+
+def test_index_follows_a_stream(spark, tmp_path):
+    from quernstone.operators import text_index
+
+    kind = "id long, body string, deleted boolean, version long"
+    store = text_index.IndexStore(spark, f"file://{tmp_path}/index")
+    store.create(spark.createDataFrame([(1, "one"), (2, "two")], "id long, body string"))
+    for n, items in enumerate([[(1, "uno", False, 1), (1, "eins", False, 2)], [(2, None, True, 3), (3, "drei", False, 4)], [(3, "tres", False, 5)]]):
+        spark.createDataFrame(items, kind).coalesce(1).write.parquet(f"{tmp_path}/in/{n}")
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        text_index.follow(store, stream, compact_after=2).option("checkpointLocation", f"{tmp_path}/state").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(tuple(r) for r in store.index().postings.collect()) == [("eins", 1, 1), ("tres", 3, 1)]
+
+
+def test_a_rewritten_table_is_not_answered_from_the_old_index(spark, sf, tmp_path):
+    import shutil
+
+    from quernstone.plans import QUERIES
+
+    shutil.copytree(sf, tmp_path / "sf")
+    assert QUERIES["memory_search_bm25"](spark, str(tmp_path / "sf")).count() > 0
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("text", F.lit("quite other words"))
+    (tmp_path / "sf" / "documents.parquet").unlink()
+    docs.coalesce(1).write.parquet(str(tmp_path / "sf" / "documents.parquet"))
+    assert QUERIES["memory_search_bm25"](spark, str(tmp_path / "sf")).count() == 0
+    assert QUERIES["memory_search_like"](spark, str(tmp_path / "sf")).count() == 0
+
+
+def test_numbers_of_one_group_over_many_tasks(spark):
+    """Rows of one group, and of a null one, get their numbers from several ranges, none of which holds the group."""
+    from quernstone.operators import prefix
+
+    df = spark.range(5000).select("id", F.when(F.col("id") % 10 == 0, None).otherwise("one").alias("repo"), (F.col("id") * 7919 % 5000).alias("at"))
+    spark.conf.set("spark.sql.shuffle.partitions", "16")
+    try:
+        cut = prefix.ranged(df, ["repo"], ["at", "id"])
+        sizes = [r["count"] for r in cut.groupBy("_range").count().collect()]
+        assert len(sizes) >= 12 and max(sizes) < 1000
+        got = sorted((r["repo"] or "", r["_n"], r["at"]) for r in prefix.numbered(df, ["repo"], ["at", "id"]).collect())
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
+    wanted = []
+    for repo in ("", "one"):
+        own = sorted(i * 7919 % 5000 for i in range(5000) if (i % 10 == 0) == (repo == ""))
+        wanted += [(repo, n, at) for n, at in enumerate(own, 1)]
+    assert got == wanted
+    assert prefix.numbered(df.where("false"), ["repo"], ["id"]).collect() == []
+
+
+def test_bursts_over_many_ranges(spark):
+    """A run goes on over the border of a range."""
+    df = spark.range(4000).selectExpr("id", "'r' AS repo", "IF(id < 3000, 'a', 'b') AS action", "CAST(NULL AS STRING) AS query", "1L AS memory_id", "timestampadd(SECOND, CAST(id AS INT), TIMESTAMP_NTZ '2024-01-01 00:00:00') AS created_at")
+    got = sorted((r["id"], r["burst"]) for r in analytics.bursts(df, 1, ["repo"]).collect())
+    assert got == [(0, 3000), (3000, 1000)]
+
+
+def test_interval_sweep_matches_brute_force(spark):
+    import random
+    import time
+
+    from quernstone.operators import intervals
+
+    rng = random.Random(2)
+    spans = [(i, rng.choice("pq"), s, s + rng.choice([0, 3, 20, 200])) for i, s in enumerate(rng.randrange(1, 300) for _ in range(200))]
+    points = [(i, rng.choice("pqr"), rng.randrange(1, 320)) for i in range(300)]
+    symbols = spark.createDataFrame([(i, f, f"s{i}", "class" if i % 2 else "function", a, b, f) for i, f, a, b in spans], "id long, file_path string, name string, kind string, start_line int, end_line int, repo string")
+    asked = spark.createDataFrame([*points, (900, None, 5), (901, "p", None)], "k long, file_path string, line int")
+    wanted = {k: min(((b - a, a, i) for i, g, a, b in spans if g == f and a <= x <= b), default=(0, 0, None))[2] for k, f, x in points} | {900: None, 901: None}
+    assert {r["k"]: r["symbol_id"] for r in code_index.enclosing(asked, symbols, ["file_path"], "line", "k").collect()} == wanted
+    around = {i: max(((c, -d, j) for j, h, c, d in spans if j % 2 and h == f and j != i and c <= a and d >= b), default=(0, 0, None))[2] for i, f, a, b in spans}
+    assert dict(rows(code_index.parents(symbols, ["class"]))) == around
+    # one file of 100,000 lines and symbols, nested and side by side
+    n = 100_000
+    large = spark.range(n).selectExpr("id", "'f' AS file_path", "concat('s', id) AS name", "CAST(id + 1 AS INT) AS start_line", "CAST(IF(id % 1000 = 0, id + 1000, id + 2) AS INT) AS end_line")
+    lines = spark.range(n).selectExpr("id AS k", "'f' AS file_path", "CAST(id + 1 AS INT) AS line")
+    began = time.time()
+    assert code_index.enclosing(lines, large, ["file_path"], "line", "k").where("symbol_id IS NOT NULL").count() == n
+    assert time.time() - began < 60
+    assert intervals.BIN < n  # swept by several tasks
