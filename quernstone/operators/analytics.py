@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .prefix import runs
+
 STATUSES = ("backlog", "pending", "in_progress", "completed", "canceled", "blocked")
 DAY = 86_400_000_000
 
@@ -93,14 +95,16 @@ def bursts(actions: DataFrame, minutes: int, within: list[str]) -> DataFrame:
     one value of the columns ``within``, whose rows are put in order.
     """
     same = ["action", "query", "memory_id"]
-    order = Window.partitionBy(*within).orderBy("created_at", "id")
-    changed = F.lit(False)
-    for c in same:
-        changed = changed | ~F.col(c).eqNullSafe(F.lag(c).over(order))
-    gap = F.unix_micros(F.col("created_at").cast("timestamp")) - F.unix_micros(F.lag("created_at").over(order).cast("timestamp"))
-    start = F.coalesce(changed | (gap > minutes * 60_000_000), F.lit(True)) | F.lag("id").over(order).isNull()
-    runs = actions.withColumn("_new", start.cast("int")).withColumn("_run", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.groupBy(*within, "_run", *same).agg(F.min("id").alias("id"), F.max("created_at").alias("created_at"), F.count("*").alias("burst")).drop("_run")
+
+    def starts(now: Column, last: Column) -> Column:
+        changed = F.lit(False)
+        for c in same:
+            changed = changed | ~now[c].eqNullSafe(last[c])
+        micros = lambda x: F.unix_micros(x["created_at"].cast("timestamp"))
+        return changed | (micros(now) - micros(last) > minutes * 60_000_000)
+
+    found = runs(actions, within, ["created_at", "id"], starts, [*same, "created_at"])
+    return found.groupBy(*within, "_run", *same).agg(F.min("id").alias("id"), F.max("created_at").alias("created_at"), F.count("*").alias("burst")).drop("_run")
 
 
 def nearest_rank(df: DataFrame, by: list[str], value: str, shares: dict[str, float], ranges: int = 64) -> DataFrame:

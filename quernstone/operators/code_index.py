@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
-
+from . import intervals
 
 def filtered_symbols(symbols: DataFrame, kinds: list[str] | None = None, repos: list[str] | None = None, path: str | None = None, exported: bool = False) -> DataFrame:
     """Conjunctive filters; absent ones hold."""
@@ -120,16 +120,13 @@ def grep(files: DataFrame, query: str, regex: bool = False) -> DataFrame:
 def enclosing(points: DataFrame, symbols: DataFrame, keys: list[str], line: str, point_id: str) -> DataFrame:
     """Each point with the innermost symbol around its line: smallest span, then earliest start, then id.
 
-    An equi-join on the file bounds the range comparison; points without a symbol keep nulls.
+    Points and spans of a file are swept in order of line; points without a symbol keep nulls.
     """
-    spans = symbols.select(*keys, F.col("id").alias("symbol_id"), F.col("name").alias("symbol"), "start_line", "end_line")
-    inside = (points[line] >= spans["start_line"]) & (points[line] <= spans["end_line"])
-    same = inside
-    for k in keys:
-        same = same & (points[k] == spans[k])
-    met = points.join(spans, same, "left").drop(*[spans[k] for k in keys])
-    order = Window.partitionBy(point_id).orderBy((F.col("end_line") - F.col("start_line")).asc_nulls_last(), "start_line", "symbol_id")
-    return met.withColumn("_n", F.row_number().over(order)).where("_n = 1").drop("_n", "start_line", "end_line")
+    spans = symbols.select(*keys, F.col("id").alias("_span"), F.col("start_line").alias("_start"), F.col("end_line").alias("_end"))
+    asked = points.select(*keys, F.col(point_id).alias("_point"), F.col(line).alias("_line"), F.col(line).alias("_until"), F.lit(None).cast("long").alias("_own"))
+    found = intervals.stabbed(asked, spans, keys).where("_span IS NOT NULL").withColumnRenamed("_span", "symbol_id")
+    names = symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("symbol"))
+    return points.join(found, F.col(point_id) == F.col("_point"), "left").drop("_point").join(names, "symbol_id", "left").select(*points.columns, "symbol_id", "symbol")
 
 
 def parents(symbols: DataFrame, containers: list[str]) -> DataFrame:
@@ -137,11 +134,11 @@ def parents(symbols: DataFrame, containers: list[str]) -> DataFrame:
 
     Of containers that enclose it, the last by start ascending and end descending.
     """
-    outer = symbols.where(F.col("kind").isin(containers)).select(F.col("repo").alias("r"), F.col("file_path").alias("f"), F.col("id").alias("parent_id"), F.col("start_line").alias("s"), F.col("end_line").alias("e"))
-    around = (F.col("repo") == F.col("r")) & (F.col("file_path") == F.col("f")) & (F.col("s") <= F.col("start_line")) & (F.col("e") >= F.col("end_line")) & (F.col("parent_id") != F.col("id"))
-    met = symbols.join(outer, around, "left")
-    last = F.max_by("parent_id", F.struct("s", -F.col("e"), "parent_id"))
-    return met.groupBy("id").agg(last.alias("parent_id"))
+    keys = ["repo", "file_path"]
+    spans = symbols.where(F.col("kind").isin(containers)).select(*keys, F.col("id").alias("_span"), F.col("start_line").alias("_start"), F.col("end_line").alias("_end"))
+    asked = symbols.select(*keys, F.col("id").alias("_point"), F.col("start_line").alias("_line"), F.col("end_line").alias("_until"), F.col("id").alias("_own"))
+    found = intervals.stabbed(asked, spans, keys, intervals.Closest)
+    return symbols.select("id").join(found, F.col("id") == F.col("_point"), "left").select("id", F.col("_span").alias("parent_id"))
 
 
 def dead_code(symbols: DataFrame, refs: DataFrame, entry_points: Column | None = None) -> DataFrame:

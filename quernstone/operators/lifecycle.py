@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .prefix import numbered
 
 # Statuses a task may not go straight from to completed, and those it may start in.
 NOT_COMPLETABLE = ("backlog", "pending", "blocked")
@@ -96,16 +97,14 @@ def task_archive(tasks: DataFrame, comments: DataFrame | None = None) -> DataFra
 def overflow(new: DataFrame, existing: DataFrame, most: int = 10) -> DataFrame:
     """New pending tasks beyond ``most`` a repository, those there are counted in, become backlog."""
     held = existing.where("status = 'pending'").groupBy("repo").agg(F.count("*").alias("_held"))
-    order = Window.partitionBy("repo", "status").orderBy("created_at", "id")
-    met = new.withColumn("_n", F.row_number().over(order)).join(held, "repo", "left")
+    met = numbered(new, ["repo", "status"], ["created_at", "id"]).join(held, "repo", "left")
     over = (F.col("status") == "pending") & (F.col("_n") + F.coalesce("_held", F.lit(0)) > most)
     return met.withColumn("status", F.when(over, "backlog").otherwise(F.col("status"))).drop("_n", "_held")
 
 
 def unique_codes(df: DataFrame, code: str, by: list[str], order: list[str]) -> DataFrame:
     """Repeated codes get -2, -3, ... in order."""
-    n = F.row_number().over(Window.partitionBy(*by, code).orderBy(*order))
-    return df.withColumn("_n", n).withColumn(code, F.when(F.col("_n") > 1, F.concat(F.col(code), F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col(code))).drop("_n")
+    return numbered(df, [*by, code], order).withColumn(code, F.when(F.col("_n") > 1, F.concat(F.col(code), F.lit("-"), F.col("_n").cast("string"))).otherwise(F.col(code))).drop("_n")
 
 
 def first_observations(observations: DataFrame) -> DataFrame:
@@ -117,7 +116,7 @@ def next_codes(existing: DataFrame, new: DataFrame, prefix: str, by: list[str],
     """``new`` with codes that go on from the largest number of each group, at least three digits."""
     number = lambda c: F.regexp_extract(c, rf"^{prefix}-(\d+)$", 1)
     last = existing.select(*by, F.nullif(number(F.col(code)), F.lit("")).cast("long").alias("_k")).groupBy(*by).agg(F.max("_k").alias("_last"))
-    met = new.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).join(last, by, "left")
+    met = numbered(new, by, order).join(last, by, "left")
     k = F.coalesce("_last", F.lit(0)) + F.col("_n")
     digits = F.when(F.length(k.cast("string")) >= 3, k.cast("string")).otherwise(F.lpad(k.cast("string"), 3, "0"))
     return met.withColumn(code, F.concat(F.lit(f"{prefix}-"), digits)).drop("_n", "_last")
