@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text
+from ..sources.manifests import entry_kind
 from . import intervals
 
 def filtered_symbols(symbols: DataFrame, kinds: list[str] | None = None, repos: list[str] | None = None, path: str | None = None, exported: bool = False) -> DataFrame:
@@ -152,12 +153,13 @@ def dead_code(symbols: DataFrame, refs: DataFrame, entry_points: Column | None =
 REFERRING = "typescript typescriptreact javascript javascriptreact svelte astro c cpp dart go java kotlin php python ruby rust swift vue".split()
 
 
-def dead_code_report(symbols: DataFrame, refs: DataFrame, manifests: DataFrame, scan: int = 500, most: int = 20) -> DataFrame:
+def dead_code_report(symbols: DataFrame, refs: DataFrame, manifests: DataFrame, files: DataFrame, scan: int = 500, most: int = 20) -> DataFrame:
     """Unreferenced top-level symbols of each repository, dead ones before entry points, at most ``most``.
 
     Only languages count that references are extracted from and that have some in the repository; the
     first ``scan`` symbols by file and line are looked at. ``entry``: public-api if exported, else the
-    kind of the manifest (``file_path, manifest``) that names the file, else null. ``scanned``, ``dead``
+    kind under which a manifest of the repository (``repo, file_path, kind``) names the file, else
+    shebang where the file (``repo, file_path, content``) starts with one, else null. ``scanned``, ``dead``
     and ``excluded`` are whole counts; ``truncated``: a limit was met.
     """
     lang = lambda c: text.language_of(F.col(c))
@@ -166,22 +168,22 @@ def dead_code_report(symbols: DataFrame, refs: DataFrame, manifests: DataFrame,
     head = symbols.where("parent_symbol_id IS NULL").withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= scan).withColumn("lang", lang("file_path"))
     used = refs.select("repo", F.col("symbol_name").alias("name")).distinct()
     found = head.join(reliable, ["repo", "lang"], "left_semi").join(used, ["repo", "name"], "left_anti")
-    named = manifests.groupBy("file_path").agg(F.min("manifest").alias("_manifest"))
-    found = found.join(named, "file_path", "left").withColumn("entry", F.when(F.col("exported"), "public-api").otherwise(F.col("_manifest")))
+    found = entry_kind(found, manifests, files).withColumnRenamed("entry_kind", "entry")
     totals = found.groupBy("repo").agg(F.count("*").alias("scanned"), F.count_if(F.col("entry").isNull()).alias("dead"), F.count_if(F.col("entry").isNotNull()).alias("excluded"))
     sizes = head.groupBy("repo").agg(F.count("*").alias("_looked"))
     place = Window.partitionBy("repo").orderBy(F.col("entry").isNotNull(), "file_path", "start_line", "id")
     listed = found.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most)
     met = listed.join(totals, "repo").join(sizes, "repo")
-    return met.withColumn("truncated", (F.col("_looked") >= scan) | (F.col("scanned") > most)).drop("_n", "_looked", "_manifest")
+    return met.withColumn("truncated", (F.col("_looked") >= scan) | (F.col("scanned") > most)).drop("_n", "_looked")
 
 
 def hotspots(symbols: DataFrame, refs: DataFrame, most: int = 20) -> DataFrame:
-    """The most referenced names with the first symbol of that name (by file and line); names without one go."""
-    first = symbols.groupBy("name").agg(F.min_by(F.struct("file_path", "start_line", "kind", "id"), F.struct("file_path", "start_line", "id")).alias("_s"))
-    counted = refs.groupBy("symbol_name").agg(F.count("*").alias("total"))
-    met = counted.join(first, counted["symbol_name"] == first["name"]).select("name", "total", F.col("_s.file_path"), F.col("_s.start_line"), F.col("_s.kind"))
-    return met.orderBy(F.col("total").desc(), "name").limit(most)
+    """Each repository's most referenced names with its first symbol of that name (by file and line); names without one go."""
+    first = symbols.groupBy("repo", "name").agg(F.min_by(F.struct("file_path", "start_line", "kind", "id"), F.struct("file_path", "start_line", "id")).alias("_s"))
+    counted = refs.groupBy("repo", F.col("symbol_name").alias("name")).agg(F.count("*").alias("total"))
+    met = counted.join(first, ["repo", "name"]).select("repo", "name", "total", F.col("_s.file_path"), F.col("_s.start_line"), F.col("_s.kind"))
+    place = Window.partitionBy("repo").orderBy(F.col("total").desc(), "name")
+    return met.withColumn("_n", F.row_number().over(place)).where(F.col("_n") <= most).drop("_n")
 
 
 def directory_rollup(symbols: DataFrame, depth: int) -> DataFrame:

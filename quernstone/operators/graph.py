@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from ..sources.stored import staged
 
 
 def degrees(relations: DataFrame) -> DataFrame:
@@ -29,32 +35,43 @@ def ranked_edges(entities: DataFrame, relations: DataFrame) -> DataFrame:
 
 
 def subgraph(relations: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Edges with both ends among the nodes (column ``name``)."""
-    ends = nodes.select("name").distinct()
+    """Edges with both ends among the nodes (``repo, name``) of their repository."""
+    ends = nodes.select("repo", "name").distinct()
     for end in ("from_entity", "to_entity"):
-        relations = relations.join(ends.withColumnRenamed("name", end), end, "left_semi")
+        relations = relations.join(ends.withColumnRenamed("name", end), ["repo", end], "left_semi")
     return relations
 
 
 def neighbours(relations: DataFrame, names: DataFrame) -> DataFrame:
-    """Edges with either end among the names: two semi joins and a union, no disjunctive join."""
-    ends = names.select("name").distinct()
-    one = relations.join(ends.withColumnRenamed("name", "from_entity"), "from_entity", "left_semi")
-    two = relations.join(ends.withColumnRenamed("name", "to_entity"), "to_entity", "left_semi")
+    """Edges with either end among the names (``repo, name``) of their repository: two semi joins and a union, no disjunctive join."""
+    ends = names.select("repo", "name").distinct()
+    one = relations.join(ends.withColumnRenamed("name", "from_entity"), ["repo", "from_entity"], "left_semi")
+    two = relations.join(ends.withColumnRenamed("name", "to_entity"), ["repo", "to_entity"], "left_semi")
     return one.unionByName(two).distinct()
 
 
 def capped(df: DataFrame, order: list, cap: int) -> DataFrame:
-    """The first ``cap`` rows, with ``truncated``: whether there was one more."""
-    probe = df.orderBy(*order).limit(cap + 1)
-    size = probe.agg((F.count("*") > cap).alias("truncated"))
-    return probe.orderBy(*order).limit(cap).join(F.broadcast(size))
+    """The first ``cap`` rows, with ``truncated``: whether there was one more. The windows are over ``cap`` + 1 rows."""
+    whole = Window.partitionBy()
+    probe = df.orderBy(*order).limit(cap + 1).withColumn("truncated", F.count("*").over(whole) > cap)
+    return probe.withColumn("_n", F.row_number().over(whole.orderBy(*order))).where(F.col("_n") <= cap).drop("_n")
 
 
 def orphans(entities: DataFrame, relations: DataFrame, observations: DataFrame) -> DataFrame:
-    """Entities without an observation or a relation."""
-    used = observations.select(F.col("entity_name").alias("name")).union(relations.select("from_entity")).union(relations.select("to_entity"))
-    return entities.join(used.where("name IS NOT NULL").distinct(), "name", "left_anti")
+    """Entities without an observation or a relation in their repository."""
+    used = observations.select("repo", F.col("entity_name").alias("name")).union(relations.select("repo", "from_entity")).union(relations.select("repo", "to_entity"))
+    return entities.join(used.where("name IS NOT NULL").distinct(), ["repo", "name"], "left_anti")
+
+
+def degree_changes(added: DataFrame, removed: DataFrame) -> DataFrame:
+    """``repo, node, degree``: signed changes of degrees by relations that came and went. Changes add up, in any order."""
+    one = lambda df, sign: degrees(df).withColumn("degree", F.col("degree") * sign)
+    return one(added, 1).unionByName(one(removed, -1)).groupBy("repo", "node").agg(F.sum("degree").alias("degree")).where("degree != 0")
+
+
+def summed_degrees(changes: DataFrame) -> DataFrame:
+    """The degrees that a table's changes add up to; nodes without a relation are none."""
+    return changes.groupBy("repo", "node").agg(F.sum("degree").alias("degree")).where("degree > 0")
 
 
 def co_mentions(mentions: DataFrame, confidence: float = 0.55) -> DataFrame:
@@ -76,27 +93,99 @@ def parent_pairs(tasks: DataFrame, names: DataFrame) -> DataFrame:
     return met.where("source != target").select("task", "source", "target")
 
 
-def entity_detail(relations: DataFrame, observations: DataFrame, name: str) -> DataFrame:
-    """``part, kind, value``: the relations of an entity both ways, and its observations."""
-    one = lambda df, part, mine, kind, value: df.where(F.col(mine) == name).select(F.lit(part).alias("part"), F.col(kind).cast("string").alias("kind"), F.col(value).alias("value"))
+def entity_detail(relations: DataFrame, observations: DataFrame, repo: str, name: str) -> DataFrame:
+    """``part, kind, value``: the relations of a repository's entity both ways, and its observations."""
+    one = lambda df, part, mine, kind, value: df.where((F.col("repo") == repo) & (F.col(mine) == name)).select(F.lit(part).alias("part"), F.col(kind).cast("string").alias("kind"), F.col(value).alias("value"))
     both = one(relations, "out", "from_entity", "relation_type", "to_entity").unionByName(one(relations, "in", "to_entity", "relation_type", "from_entity"))
     return both.unionByName(one(observations, "observation", "entity_name", "id", "observation"))
 
 
-def context(relations: DataFrame, observations: DataFrame, noted: DataFrame, most: int = 50) -> DataFrame:
-    """Relations of the entities that carry one of some observations (``noted``), the first ``most`` entities by name."""
-    named = observations.join(noted, "observation", "left_semi").select(F.col("entity_name").alias("name")).distinct()
+def context(relations: DataFrame, observations: DataFrame, repo: str, noted: DataFrame, most: int = 50) -> DataFrame:
+    """Relations of a repository's entities that carry one of some observations (``noted``), the first ``most`` entities by name."""
+    own = observations.where(F.col("repo") == repo)
+    named = own.join(noted, "observation", "left_semi").select("repo", F.col("entity_name").alias("name")).distinct()
     return neighbours(relations, named.orderBy("name").limit(most))
 
 
-def matching_entities(entities: DataFrame, relations: DataFrame, query: str, most: int = 50) -> DataFrame:
-    """Entities that share a token with the query, those with more of them first; ``most`` rows."""
+def matching_entities(entities: DataFrame, repo: str, query: str, most: int = 50) -> DataFrame:
+    """A repository's entities that share a token with the query, those with more of them first; ``most`` rows."""
     import re
 
     wanted = list(dict.fromkeys(re.findall(r"[a-z0-9]+", query.lower())))[:40]
     tokens = F.regexp_extract_all(F.lower("name"), F.lit("[a-z0-9]+"), F.lit(0))
     hits = F.size(F.array_intersect(tokens, F.array(*map(F.lit, wanted)).cast("array<string>")))
-    return entities.withColumn("hits", hits).where("hits > 0").orderBy(F.col("hits").desc(), "name").limit(most)
+    return entities.where(F.col("repo") == repo).withColumn("hits", hits).where("hits > 0").orderBy(F.col("hits").desc(), "name").limit(most)
+
+
+NAMES_BYTES = 32 << 20  # of names that a task's automaton holds at once
+
+
+def contained_names(texts: DataFrame, names: DataFrame, limit: int = NAMES_BYTES) -> DataFrame:
+    """``id, name``: the names (``name``) that stand anywhere in a text (``id, content``), case and all; empty and null names in none.
+
+    Dictionary matching: an automaton over all names reads each text once, however many names there are.
+    A table of names of more than ``limit`` bytes is cut by hash into as many as keep within it, and the
+    texts are read once for each.
+    """
+    known = names.where("name IS NOT NULL AND name != ''").select("name").distinct()
+    size = known.agg(F.sum(F.octet_length("name") + 64)).first()[0] or 0
+    shares, kind = max(1, -(-size // limit)), texts.schema["id"].dataType
+    out = None
+    for i in range(shares):
+        some = [r["name"] for r in known.where(F.pmod(F.xxhash64("name"), F.lit(shares)) == i).collect()]  # about ``limit`` bytes
+        found = _contained(texts, some, kind)
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+def _contained(texts: DataFrame, names: list[str], kind) -> DataFrame:
+    shared = texts.sparkSession.sparkContext.broadcast(names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import ahocorasick
+
+        automaton = ahocorasick.Automaton()
+        for name in shared.value:
+            automaton.add_word(name, name)
+        automaton.make_automaton()
+        for batch in batches:
+            ids, found = [], []
+            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                for name in {name for _, name in automaton.iter(text)} if text and shared.value else ():
+                    ids.append(key)
+                    found.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(found, pa.string())], ["id", "name"])
+
+    return texts.select("id", "content").mapInArrow(run, f"id {kind.simpleString()}, name string")
+
+
+#: Confidence of relations that a record states.
+SEMANTIC = 0.8
+
+
+def semantic_edges(docs: DataFrame, mentions: DataFrame, links: DataFrame, named: DataFrame | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Entities, relations and observations that records state, from one extraction.
+
+    ``docs`` (doc, repo, title); ``mentions`` (doc, name, type) of them; ``links`` (doc, target, relation_type)
+    between them: every name of a record is related to every name of its target. ``named`` (doc, name,
+    type, relation_type): links to an entity that the record names itself, such as a decision. Both
+    ends of each relation are among the entities (a name's first type counts), and each name notes the
+    link once. ``mark`` between both titles is an arrow, of ``related_to`` a tilde.
+    """
+    own = mentions.select("doc", F.col("name").alias("from_entity"), F.col("type").alias("from_type")).distinct()
+    other = mentions.select(F.col("doc").alias("target"), F.col("name").alias("to_entity"), F.col("type").alias("to_type")).distinct()
+    titles = docs.select(F.col("doc").alias("target"), F.col("title").alias("to_title"))
+    edges = links.join(own, "doc").join(other, "target").join(titles, "target").select("doc", "relation_type", "from_entity", "from_type", "to_entity", "to_type", "to_title")
+    if named is not None:
+        one = named.select("doc", "relation_type", F.trim("name").alias("to_entity"), F.col("type").alias("to_type"), F.trim("name").alias("to_title")).where("to_entity != ''")
+        edges = edges.unionByName(one.join(own, "doc").select(*edges.columns))
+    edges = staged(edges.join(docs.select("doc", "repo", "title"), "doc"), "edges")
+    ends = edges.select("repo", F.col("from_entity").alias("name"), F.col("from_type").alias("type"), F.lit(0).alias("n")).unionByName(edges.select("repo", F.col("to_entity").alias("name"), F.col("to_type").alias("type"), F.lit(1).alias("n")))
+    entities = ends.groupBy("repo", "name").agg(F.min(F.struct("n", "type"))["type"].alias("type"))
+    relations = edges.select("repo", "from_entity", "to_entity", "relation_type", F.lit(SEMANTIC).alias("confidence")).distinct()
+    mark = F.when(F.col("relation_type") == "related_to", " \u223c ").otherwise(" \u2192 ")
+    noted = edges.select("repo", F.col("from_entity").alias("entity_name"), F.concat("relation_type", F.lit(" relation: "), "title", mark, "to_title").alias("observation")).distinct()
+    return entities, relations, noted
 
 
 def united(parts: dict[str, tuple[DataFrame, str, Column]]) -> DataFrame:
@@ -133,8 +222,6 @@ def observed(mentions: DataFrame, titles: DataFrame, domain: str) -> DataFrame:
 
 def code_relations(symbols: DataFrame, refs: DataFrame, most_symbols: int = 50, most_refs: int = 4000, confidence: float = 0.9) -> tuple[DataFrame, DataFrame]:
     """Entities and relations of code: the first symbols of each file, and its references by caller (else the file)."""
-    from pyspark.sql.window import Window
-
     order = Window.partitionBy("repo", "file_path").orderBy("start_line", "id")
     entities = symbols.withColumn("_n", F.row_number().over(order)).where(F.col("_n") <= most_symbols).groupBy("repo", "name").agg(F.min_by("kind", "id").alias("type"))
     place = Window.partitionBy("repo", "caller_file").orderBy("caller_line", "id")

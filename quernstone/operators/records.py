@@ -68,18 +68,26 @@ def claimed(claims: DataFrame, new: DataFrame, at: Column) -> DataFrame:
 
 
 def without_entities(names: DataFrame, entities: DataFrame, relations: DataFrame, observations: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Entities, relations and observations after the entities of some names are deleted."""
-    gone = names.select(F.col("name").alias("_gone")).distinct()
+    """Entities, relations and observations after some entities (``repo, name``) are deleted; other repositories keep theirs."""
+    gone = names.select("repo", "name").distinct()
     less = lambda df, *columns: _without(df, gone, columns)
     return less(entities, "name"), less(relations, "from_entity", "to_entity"), less(observations, "entity_name")
 
 
 def _without(df: DataFrame, gone: DataFrame, columns: tuple[str, ...]) -> DataFrame:
     for c in columns:
-        df = df.join(gone, F.col(c) == F.col("_gone"), "left_anti")
+        df = df.join(gone.withColumnRenamed("name", c), ["repo", c], "left_anti")
     return df
 
 
+def commented(comments: DataFrame, new: DataFrame, changed: DataFrame, gone: DataFrame) -> DataFrame:
+    """The comments after new ones, changed texts (``id, comment``) and deletions (``id``)."""
+    from ..sources.tables import updated
+
+    left = comments.join(gone.select("id").distinct(), "id", "left_anti")
+    return updated(left, changed, "id", ["comment"]).unionByName(new, allowMissingColumns=True)
+
+
 def saved_batch(entities: DataFrame, relations: DataFrame, new: DataFrame) -> DataFrame:
     """``relations`` rows of a batch with ``outcome``: saved, or why a row alone is skipped.
 

@@ -106,22 +106,26 @@ def _vectors(d: dict) -> str:
     return f"SELECT vec_id AS id, embedding AS vector, 'repo' || {d['text']('label')} AS repo, {d['later'](d['epoch'], 'vec_id % 600', 'HOUR')} AS updated_at FROM embeddings"
 
 
+#: The graph has two repositories: suppliers stand in one of them, nations, regions and brands in both, so names are shared.
+GRAPHS = "CROSS JOIN (SELECT 'kg0' AS repo UNION ALL SELECT 'kg1' AS repo) g"
+
+
 def _entities(d: dict) -> str:
-    return f"""SELECT 'supplier ' || {d["text"]("s_suppkey")} AS name, 'supplier' AS type, s_name AS description, 'kg' AS repo, {d["later"](d["epoch"], "s_suppkey", "HOUR")} AS created_at FROM supplier
-UNION ALL SELECT 'nation ' || n_name, 'nation', n_name, 'kg', {d["later"](d["epoch"], "n_nationkey", "DAY")} FROM nation
-UNION ALL SELECT 'region ' || r_name, 'region', r_name, 'kg', {d["epoch"]} FROM region
-UNION ALL SELECT 'brand ' || p_brand, 'brand', min(p_name), 'kg', {d["epoch"]} FROM part GROUP BY p_brand"""
+    return f"""SELECT 'supplier ' || {d["text"]("s_suppkey")} AS name, 'supplier' AS type, s_name AS description, 'kg' || {d["text"]("s_suppkey % 2")} AS repo, {d["later"](d["epoch"], "s_suppkey", "HOUR")} AS created_at FROM supplier
+UNION ALL SELECT 'nation ' || n_name, 'nation', n_name, g.repo, {d["later"](d["epoch"], "n_nationkey", "DAY")} FROM nation {GRAPHS}
+UNION ALL SELECT 'region ' || r_name, 'region', r_name, g.repo, {d["epoch"]} FROM region {GRAPHS}
+UNION ALL SELECT 'brand ' || p_brand, 'brand', min(p_name), g.repo, {d["epoch"]} FROM part {GRAPHS} GROUP BY p_brand, g.repo"""
 
 
 def _relations(d: dict) -> str:
-    return f"""SELECT DISTINCT 'supplier ' || {d["text"]("l.l_suppkey")} AS from_entity, 'brand ' || p.p_brand AS to_entity, CASE l.l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'supplied' ELSE 'supplies' END AS relation_type, 'kg' AS repo,
+    return f"""SELECT DISTINCT 'supplier ' || {d["text"]("l.l_suppkey")} AS from_entity, 'brand ' || p.p_brand AS to_entity, CASE l.l_returnflag WHEN 'R' THEN 'returned' WHEN 'A' THEN 'supplied' ELSE 'supplies' END AS relation_type, 'kg' || {d["text"]("l.l_suppkey % 2")} AS repo,
   CASE l.l_returnflag WHEN 'R' THEN 0.55 WHEN 'A' THEN 0.8 ELSE 1.0 END AS confidence FROM lineitem l JOIN part p ON l.l_partkey = p.p_partkey
-UNION ALL SELECT 'supplier ' || {d["text"]("s_suppkey")}, 'nation ' || n_name, 'located_in', 'kg', 1.0 FROM supplier JOIN nation ON s_nationkey = n_nationkey
-UNION ALL SELECT 'nation ' || n_name, 'region ' || r_name, 'part_of', 'kg', 1.0 FROM nation JOIN region ON n_regionkey = r_regionkey"""
+UNION ALL SELECT 'supplier ' || {d["text"]("s_suppkey")}, 'nation ' || n_name, 'located_in', 'kg' || {d["text"]("s_suppkey % 2")}, 1.0 FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT 'nation ' || n_name, 'region ' || r_name, 'part_of', g.repo, 1.0 FROM nation JOIN region ON n_regionkey = r_regionkey {GRAPHS}"""
 
 
 def _observations(d: dict) -> str:
-    return f"""SELECT event_id AS id, 'supplier ' || {d["text"]("user_id % 60 + 1")} AS entity_name, event_type || ' ' || {d["text"]("event_id % 7")} AS observation, 'kg' AS repo, ts AS created_at FROM events"""
+    return f"""SELECT event_id AS id, 'supplier ' || {d["text"]("user_id % 60 + 1")} AS entity_name, event_type || ' ' || {d["text"]("event_id % 7")} AS observation, 'kg' || {d["text"]("(user_id % 60 + 1) % 2")} AS repo, ts AS created_at FROM events"""
 
 
 def _files(d: dict) -> str:

@@ -106,7 +106,11 @@ def dead_code_totals(t: Tables):
     return scanned.join(F.broadcast(found))
 
 
-@query("J14 W4 hotspots", "WITH f AS (SELECT * FROM symbols QUALIFY row_number() OVER (PARTITION BY name ORDER BY file_path, start_line, id) = 1), r AS (SELECT symbol_name, count(*) AS total FROM refs GROUP BY symbol_name) SELECT name, total, file_path, start_line, kind FROM r JOIN f ON name = symbol_name ORDER BY total DESC, name LIMIT 20")
+@query(
+    "J14 W4 hotspots of each repository",
+    """WITH f AS (SELECT * FROM symbols QUALIFY row_number() OVER (PARTITION BY repo, name ORDER BY file_path, start_line, id) = 1), r AS (SELECT repo, symbol_name, count(*) AS total FROM refs GROUP BY repo, symbol_name)
+SELECT r.repo, name, total, file_path, start_line, kind FROM r JOIN f ON f.repo = r.repo AND name = symbol_name QUALIFY row_number() OVER (PARTITION BY r.repo ORDER BY total DESC, name) <= 20""",
+)
 def hotspots(t: Tables):
     return C.hotspots(t.symbols, t.refs)
 

@@ -56,6 +56,17 @@ def comments_of_repo(t: Tables):
     return R.newest_comments(t.claims.withColumnRenamed("claimed_at", "created_at"), "repo2", 25).select("id", stamp("created_at").alias("created"))
 
 
+@query(
+    "X5 comments after new ones, changes and deletions",
+    f"""SELECT id, task_id, CASE WHEN id % 7 = 1 THEN 'changed' ELSE agent END AS comment FROM claims WHERE id % 7 <> 2 UNION ALL SELECT -id, task_id, 'new by ' || agent FROM claims WHERE id % 7 = 3""",
+)
+def comments_changed(t: Tables):
+    notes = t.claims.select("id", "task_id", F.col("agent").alias("comment"))
+    new = notes.where("id % 7 = 3").select((-F.col("id")).alias("id"), "task_id", F.concat(F.lit("new by "), "comment").alias("comment"))
+    changed = notes.where("id % 7 = 1").select("id", F.lit("changed").alias("comment")).distinct()
+    return R.commented(notes, new, changed, notes.where("id % 7 = 2"))
+
+
 @query("X6 handoffs expired with their tasks, counts by status", "SELECT CASE WHEN h.status = 'pending' AND t.id IS NOT NULL THEN 'expired' ELSE h.status END AS status, count(*) AS n FROM handoffs h LEFT JOIN (SELECT id FROM tasks WHERE status IN ('completed', 'canceled')) t ON t.id = h.task_id GROUP BY 1")
 def handoffs_expire(t: Tables):
     done = t.tasks.where("status IN ('completed', 'canceled')")
@@ -105,14 +116,14 @@ def files_by_status(t: Tables):
 
 
 @query(
-    "X12 deletion of entities with what hangs on them",
-    """WITH gone AS (SELECT name FROM entities WHERE type = 'supplier' AND name LIKE '%1') SELECT 'entities' AS part, count(*) AS n FROM entities WHERE name NOT IN (SELECT name FROM gone)
-UNION ALL SELECT 'relations', count(*) FROM relations WHERE from_entity NOT IN (SELECT name FROM gone) AND to_entity NOT IN (SELECT name FROM gone) UNION ALL SELECT 'observations', count(*) FROM observations WHERE entity_name NOT IN (SELECT name FROM gone)""",
+    "X12 deletion of entities with what hangs on them, in their repository",
+    """WITH gone AS (SELECT repo, name FROM entities WHERE (type = 'supplier' AND name LIKE '%1') OR (repo = 'kg0' AND name LIKE 'nation%1')) SELECT 'entities' AS part, repo, count(*) AS n FROM entities WHERE (repo, name) NOT IN (SELECT * FROM gone) GROUP BY repo
+UNION ALL SELECT 'relations', repo, count(*) FROM relations WHERE (repo, from_entity) NOT IN (SELECT * FROM gone) AND (repo, to_entity) NOT IN (SELECT * FROM gone) GROUP BY repo UNION ALL SELECT 'observations', repo, count(*) FROM observations WHERE (repo, entity_name) NOT IN (SELECT * FROM gone) GROUP BY repo""",
 )
 def kg_delete(t: Tables):
-    gone = t.entities.where("type = 'supplier' AND name LIKE '%1'")
+    gone = t.entities.where("(type = 'supplier' AND name LIKE '%1') OR (repo = 'kg0' AND name LIKE 'nation%1')")
     parts = zip(("entities", "relations", "observations"), R.without_entities(gone, t.entities, t.relations, t.observations), strict=True)
-    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "n") for name, df in parts]
+    counts = [df.groupBy("repo").agg(F.count("*").alias("n")).select(F.lit(name).alias("part"), "repo", "n") for name, df in parts]
     return counts[0].unionByName(counts[1]).unionByName(counts[2])
 
 
@@ -124,13 +135,13 @@ def kg_create(t: Tables):
 
 @query(
     "X13 batch of relations, rows failing alone",
-    """WITH batch AS (SELECT id, 'kg' AS repo, entity_name AS from_entity, CASE WHEN id % 5 = 0 THEN 'no one' ELSE 'nation NATION_' || (id % 25) END AS to_entity, CASE WHEN id % 11 = 0 THEN ' ' ELSE 'located_in' END AS relation_type FROM observations),
-o AS (SELECT b.*, CASE WHEN trim(relation_type) = '' THEN 'invalid' WHEN from_entity NOT IN (SELECT name FROM entities) OR to_entity NOT IN (SELECT name FROM entities) THEN 'no entity' WHEN EXISTS (SELECT 1 FROM relations r WHERE r.from_entity = b.from_entity AND r.to_entity = b.to_entity AND r.relation_type = b.relation_type) OR row_number() OVER (PARTITION BY from_entity, to_entity, relation_type ORDER BY id) > 1 THEN 'ignored' ELSE 'saved' END AS outcome FROM batch b)
+    """WITH batch AS (SELECT id, repo, entity_name AS from_entity, CASE WHEN id % 5 = 0 THEN 'no one' ELSE 'nation NATION_' || (id % 25) END AS to_entity, CASE WHEN id % 11 = 0 THEN ' ' ELSE 'located_in' END AS relation_type FROM observations),
+o AS (SELECT b.*, CASE WHEN trim(relation_type) = '' THEN 'invalid' WHEN (repo, from_entity) NOT IN (SELECT repo, name FROM entities) OR (repo, to_entity) NOT IN (SELECT repo, name FROM entities) THEN 'no entity' WHEN EXISTS (SELECT 1 FROM relations r WHERE r.repo = b.repo AND r.from_entity = b.from_entity AND r.to_entity = b.to_entity AND r.relation_type = b.relation_type) OR row_number() OVER (PARTITION BY repo, from_entity, to_entity, relation_type ORDER BY id) > 1 THEN 'ignored' ELSE 'saved' END AS outcome FROM batch b)
 SELECT outcome, count(*) AS n, min(id) AS first FROM o GROUP BY outcome""",
 )
 def kg_batch(t: Tables):
     to = F.when(F.col("id") % 5 == 0, "no one").otherwise(F.concat(F.lit("nation NATION_"), (F.col("id") % 25).cast("string")))
-    batch = t.observations.select("id", F.lit("kg").alias("repo"), F.col("entity_name").alias("from_entity"), to.alias("to_entity"), F.when(F.col("id") % 11 == 0, " ").otherwise("located_in").alias("relation_type"))
+    batch = t.observations.select("id", "repo", F.col("entity_name").alias("from_entity"), to.alias("to_entity"), F.when(F.col("id") % 11 == 0, " ").otherwise("located_in").alias("relation_type"))
     return R.saved_batch(t.entities, t.relations, batch).groupBy("outcome").agg(F.count("*").alias("n"), F.min("id").alias("first"))
 
 
@@ -178,15 +189,21 @@ _LANG_SQL = "CASE WHEN {c} LIKE '%.ts' THEN 'typescript' WHEN {c} LIKE '%.py' TH
     f"""WITH s AS (SELECT *, {_LANG_SQL.replace("{c}", "file_path")} AS lang FROM symbols), r AS (SELECT *, {_LANG_SQL.replace("{c}", "caller_file")} AS lang FROM refs),
 reliable AS (SELECT DISTINCT repo, lang FROM r WHERE lang IN ('typescript', 'python')),
 head AS (SELECT * FROM s WHERE parent_symbol_id IS NULL QUALIFY row_number() OVER (PARTITION BY repo ORDER BY file_path, start_line, id) <= 500),
-dead AS (SELECT h.*, CASE WHEN exported THEN 'public-api' WHEN file_path IN ('p1/q1/f1.ts', 'p2/q2/f2.ts') THEN 'bin' END AS entry FROM head h SEMI JOIN reliable l ON l.repo = h.repo AND l.lang = h.lang WHERE NOT EXISTS (SELECT 1 FROM refs f WHERE f.repo = h.repo AND f.symbol_name = h.name)),
+named AS (SELECT repo, 'p' || (id % 7) || '/q' || (id % 3) || '/f' || (id % 50) || '.ts' AS file_path, CASE WHEN bool_or(id % 2 = 0) THEN 'bin' ELSE 'manifest' END AS kind FROM files GROUP BY ALL),
+banged AS (SELECT DISTINCT repo, 'p' || (id % 7) || '/q' || (id % 3) || '/f' || (id % 50 + 1) || '.ts' AS file_path FROM files WHERE id % 5 = 0),
+dead AS (SELECT h.*, CASE WHEN exported THEN 'public-api' WHEN n.kind IS NOT NULL THEN n.kind WHEN b.repo IS NOT NULL THEN 'shebang' END AS entry FROM head h LEFT JOIN named n ON n.repo = h.repo AND n.file_path = h.file_path LEFT JOIN banged b ON b.repo = h.repo AND b.file_path = h.file_path SEMI JOIN reliable l ON l.repo = h.repo AND l.lang = h.lang WHERE NOT EXISTS (SELECT 1 FROM refs f WHERE f.repo = h.repo AND f.symbol_name = h.name)),
 totals AS (SELECT repo, count(*) AS scanned, count(*) FILTER (WHERE entry IS NULL) AS dead, count(*) FILTER (WHERE entry IS NOT NULL) AS excluded FROM dead GROUP BY repo),
 scanned AS (SELECT repo, count(*) AS n FROM head GROUP BY repo)
 SELECT d.repo, name, file_path, entry, t.scanned, t.dead, t.excluded, c.n >= 500 OR t.scanned > 20 AS truncated FROM dead d JOIN totals t ON t.repo = d.repo JOIN scanned c ON c.repo = d.repo
 QUALIFY row_number() OVER (PARTITION BY d.repo ORDER BY entry IS NOT NULL, file_path, start_line, id) <= 20""",
 )
 def dead_code_report(t: Tables):
-    named = t.spark.createDataFrame([("p1/q1/f1.ts", "bin"), ("p2/q2/f2.ts", "bin")], "file_path string, manifest string")
-    found = C.dead_code_report(t.symbols, t.refs, named)
+    path = lambda n: F.concat(F.lit("p"), (F.col("id") % 7).cast("string"), F.lit("/q"), (F.col("id") % 3).cast("string"), F.lit("/f"), n.cast("string"), F.lit(".ts"))
+    member = F.when(F.col("id") % 2 == 0, '"bin": {"x": "./').otherwise('"main": "')
+    close = F.when(F.col("id") % 2 == 0, '"}').otherwise('"')
+    packages = t.files.select("repo", F.lit("package.json").alias("file_path"), F.concat(F.lit("{"), member, path(F.col("id") % 50), close, F.lit("}")).alias("content"))
+    scripts = t.files.where("id % 5 = 0").select("repo", path(F.col("id") % 50 + 1).alias("file_path"), F.concat(F.lit("#!/usr/bin/env node\n"), "content").alias("content")).dropDuplicates(["repo", "file_path"])
+    found = C.dead_code_report(t.symbols, t.refs, manifests.manifest_entries(packages), scripts)
     return found.select("repo", "name", "file_path", "entry", "scanned", "dead", "excluded", "truncated")
 
 

@@ -36,9 +36,42 @@ def test_graph(spark):
     assert graph.neighbours(edges, pick("D")).count() == 2
     loop = spark.createDataFrame([("r", "A", "A")], "repo string, from_entity string, to_entity string")
     assert rows(graph.degrees(loop)) == [("r", "A", 2)]
-    seen = spark.createDataFrame([("E",), (None,)], "entity_name string")
+    seen = spark.createDataFrame([("r", "E"), ("r", None), ("q", "F")], "repo string, entity_name string")
     more = nodes.unionByName(spark.createDataFrame([("E", "r"), ("F", "r")], "name string, repo string"))
-    assert [r[0] for r in rows(graph.orphans(more, edges, seen))] == ["F"]
+    assert [r["name"] for r in graph.orphans(more, edges, seen).collect()] == ["F"]
+
+
+def test_repositories_that_share_names_stay_apart(spark):
+    """Windows, neighbours, detail, context, orphans and deletions of one repository leave the other's rows alone."""
+    from quernstone.operators import records
+
+    both = lambda items, kind: spark.createDataFrame([(r, *i) for r in "ab" for i in items], kind)
+    entities = both([("x",), ("y",)], "repo string, name string")
+    relations = both([("x", "y", "t")], "repo string, from_entity string, to_entity string, relation_type string")
+    observations = both([("x", "seen", 1)], "repo string, entity_name string, observation string, id int")
+    own = entities.where("repo = 'a'")
+    assert graph.subgraph(relations, own).count() == 1 and graph.neighbours(relations, own).count() == 1
+    assert graph.entity_detail(relations, observations, "a", "x").count() == 2
+    assert graph.context(relations, observations, "a", observations.select("observation")).count() == 1
+    assert graph.orphans(entities, relations.where("repo = 'b'"), observations.where("repo = 'b'")).count() == 2
+    left = records.without_entities(own.where("name = 'x'"), entities, relations, observations)
+    assert [df.count() for df in left] == [3, 1, 1]
+
+
+def test_degrees_by_changes(spark):
+    kind = "repo string, from_entity string, to_entity string"
+    first, more, gone = ([("r", "a", "b"), ("r", "a", "a"), ("q", "a", "b")], [("r", "b", "c")], [("r", "a", "a"), ("q", "a", "b")])
+    df = lambda items: spark.createDataFrame(items, kind)
+    changes = graph.degree_changes(df(first), df(first).where("false")).unionByName(graph.degree_changes(df(more), df(gone)))
+    assert sorted(rows(graph.summed_degrees(changes))) == sorted(rows(graph.degrees(df([x for x in first + more if x not in gone]))))
+
+
+def test_contained_names(spark):
+    texts = spark.createDataFrame([(1, "Café ABC-abc"), (2, None), (3, ""), (None, "xABCy")], "id int, content string")
+    names = spark.createDataFrame([("ABC",), ("abc",), ("Caf",), ("é A",), ("",), (None,), ("ABC",)], "name string")
+    for limit in (1 << 20, 70):  # in one automaton, and in several
+        assert sorted(rows(graph.contained_names(texts, names, limit)), key=str) == sorted([(1, "ABC"), (1, "abc"), (1, "Caf"), (1, "é A"), (None, "ABC")], key=str)
+    assert rows(graph.contained_names(texts, names.where("false"))) == []
 
 
 def test_bursts(spark):
