@@ -567,3 +567,23 @@ def test_interval_sweep_matches_brute_force(spark):
     assert code_index.enclosing(lines, large, ["file_path"], "line", "k").where("symbol_id IS NOT NULL").count() == n
     assert time.time() - began < 60
     assert intervals.BIN < n  # swept by several tasks
+
+
+def test_queue_state_survives_a_restart(spark, tmp_path):
+    """Commands in several runs of one stream; each goes on from the checkpoint, leases end by timers."""
+    from quernstone.streaming import queue_state
+
+    kind = "entity_kind string, entity_id string, command string, id long, at timestamp_ntz"
+    steps = [
+        [("k", "a", "enqueue", 1, "2024-01-01 10:00:00"), ("k", "a", "claim", 2, "2024-01-01 10:00:10"), ("k", "b", "enqueue", 3, "2024-01-01 10:00:00"), ("k", "b", "claim", 4, "2024-01-01 10:00:01"), ("k", "c", "fail", 5, "2024-01-01 10:00:00")],
+        [("k", "b", "fail", 6, "2024-01-01 10:00:30"), ("k", "z", "enqueue", 7, "2024-01-01 18:00:00")],
+        [("k", "z", "claim", 8, "2024-01-02 18:00:00"), ("k", "b", "claim", 9, "2024-01-02 18:00:00"), ("k", "b", "complete", 10, "2024-01-02 18:00:05")],
+    ]
+    wanted = [{"a": ("claimed", 0), "b": ("claimed", 0)}, {"a": ("pending", 0), "b": ("pending", 1), "z": ("pending", 0)}, {"a": ("pending", 0), "b": ("done", 1), "z": ("claimed", 0)}]
+    for i, items in enumerate(steps):
+        df = spark.createDataFrame([(*r[:4], at(r[4])) for r in items], kind)
+        df.coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+        stream = spark.readStream.schema(kind).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+        queue_state.run_jobs(queue_state.job_states(stream, 60, "1 minute"), f"{tmp_path}/q").awaitTermination()
+        got = {r["entity_id"]: (r["status"], r["attempts"]) for r in queue_state.current_jobs(spark, f"{tmp_path}/q").collect()}
+        assert got == wanted[i], i
