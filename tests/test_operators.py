@@ -244,6 +244,25 @@ def test_discovery(spark, tmp_path):
     assert got == {"src/a.py": ("python", 2), ".agents/c.md": ("markdown", 1), "src/keep.log.ts": ("typescript", 1), "src/__init__.py": ("python", 0)}
 
 
+def test_walk_with_nested_rules(spark, tmp_path):
+    """The walk in rounds finds what a walk of the whole tree on the driver finds; rules of a folder hold below it."""
+    import os
+
+    tree = {"a/b/c/d/e.py": "1", "a/b/keep.py": "", "a/b/drop.py": "", "a/x.py": "", "a/gen/y.py": "", "z.py": "", "node_modules/q.js": "", ".git/h.py": "", "b/gen/y.py": "", "a/b/.gitignore": "drop.py\n# a comment\n", "a/.gitignore": "gen/\n*.log.py\n", "a/b/n.log.py": "", "b/n.log.py": "", "a/b/c/.gitignore": "!n.log.py\n", "a/b/c/n.log.py": ""}
+    for p, body in tree.items():
+        (tmp_path / p).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / p).write_text(body)
+    (tmp_path / "empty").mkdir()
+    rules = [(os.path.dirname(p), line) for p in sorted((p for p in tree if p.endswith(".gitignore")), key=lambda p: p.count("/")) for line in tree[p].split("\n")]
+    hidden = lambda p: any(x in code_files.EXCLUDED or (x.startswith(".") and x not in code_files.DOT_FOLDERS) for x in p.split("/")[:-1])
+    wanted = sorted(p for p in tree if not hidden(p) and not code_files.ignored(p, rules))
+    for folder in (str(tmp_path), f"file://{tmp_path}"):
+        assert sorted(r["file_path"] for r in code_files.walked(spark, folder).collect()) == wanted
+    assert "a/b/c/n.log.py" in wanted and "a/b/n.log.py" not in wanted and "b/gen/y.py" in wanted
+    assert sorted(r["file_path"] for r in code_files.discovered(spark, str(tmp_path)).collect()) == [p for p in wanted if p.endswith(".py")]
+    assert code_files.walked(spark, str(tmp_path / "empty")).collect() == []
+
+
 def test_tables(spark):
     base = spark.createDataFrame([(1, "a", 10, {"k": "1"}), (2, "b", 10, None)], "id int, v string, t int, m map<string,string>")
     new = spark.createDataFrame([(1, "z", 10, {"j": "2"}), (3, "c", 5, None), (2, "old", 1, None)], "id int, v string, t int, m map<string,string>")
