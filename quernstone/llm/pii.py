@@ -58,7 +58,7 @@ WIDE = {
     "email": [rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}+{_AT}[A-Za-z0-9-]{{1,63}}+(?:{_DOT}[A-Za-z0-9-]{{1,63}}+)++"],
     "ip": [r"(?<![0-9A-Za-z.])[0-9]{1,3}+(?:(?:\.|\[\.\])[0-9]{1,3}+){3}+(?![0-9A-Za-z])"],
     "card": [r"(?<![0-9A-Za-z])[0-9]{13,19}+(?![0-9A-Za-z])", r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20.-][0-9]{4}){3}(?![0-9A-Za-z])"],
-    "phone": [r"(?<![0-9A-Za-z.+])(?:(?:\+|00\x20?)[0-9]{1,3}+[\x20.-])?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![0-9A-Za-z])"],
+    "phone": [r"(?<![0-9A-Za-z.+])(?:(?:\+|00\x20?)[0-9]{1,3}+[\x20.-])?(?:\([0-9]{2,4}\)|[0-9]{2,4})[\x20.-][0-9]{3,4}[\x20.-][0-9]{3,4}(?![.-]?[0-9A-Za-z])"],
     "secret": [r"(?<![A-Za-z0-9_+/=-])(?=[A-Za-z_+/=-]*+[0-9])[A-Za-z0-9_+/=-]{20,}+"],
 }
 #: What a text must hold for a pattern to be tried.
@@ -330,10 +330,10 @@ def fitted(counts: dict[int, int], how: Boosting = Boosting()) -> Model:
     weight = np.log1p(n[0]) / np.maximum(n[0], 1)
     score = np.round(boosted(features_of(cells), n[0] * weight, hits[0] * weight, how), 9)
     thresholds = {}
-    least = (2 * how.share - 1) / (1 - how.share)  # rows of a kind with which its share can be shown, were all good
+    least = (2 * how.share - 1) / (1 - how.share)  # good rows of a kind that its share can't be shown without
     for k in range(len(ALL)):
         mine = cells >> BITS == k
-        if n[1][mine].sum() < least:
+        if hits[1][mine].sum() < least:
             mine = np.ones(len(cells), bool)
         for s, rows, good in calibrated(score[mine], n[1][mine], hits[1][mine]):
             if (good + 1) / (rows + 2) >= how.share:
