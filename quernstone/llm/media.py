@@ -221,7 +221,7 @@ def with_payload_features(index: DataFrame) -> DataFrame:
 
 
 def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
+    return ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in df.schema)
 
 
 def media_columns(df: DataFrame, how: Shards = Shards(), key: str = "doc_id", text: str = "text", folder: str | None = None) -> DataFrame:
