@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import text
 from ..sources.manifests import entry_kind
+from ..sources.stored import staged
 from . import intervals
 
 def filtered_symbols(symbols: DataFrame, kinds: list[str] | None = None, repos: list[str] | None = None, path: str | None = None, exported: bool = False) -> DataFrame:
@@ -71,10 +72,9 @@ def grep_with_symbols(files: DataFrame, symbols: DataFrame, query: str, limit: i
     matched = lines_of(files.where(F.lower("content").contains(query.lower()))).where(F.lower("line").contains(query.lower()))
     order = ["repo", "file_path", "line_no"]
     head = matched.select(*order).orderBy(*order).offset(offset).limit(limit + 1)  # one more tells whether it ends
-    rank = F.row_number().over(Window.partitionBy().orderBy(*order))  # of the bounded page
-    page = head.withColumn("rank", rank)
-    more = page.agg((F.count("*") > limit).alias("more"))
-    return enclosing(page.where(F.col("rank") <= limit), symbols, ["repo", "file_path"], "line_no", "rank").join(F.broadcast(more))
+    whole = Window.partitionBy()  # of the bounded page
+    page = staged(head.withColumn("rank", F.row_number().over(whole.orderBy(*order))).withColumn("more", F.count("*").over(whole) > limit), "page")
+    return enclosing(page.where(F.col("rank") <= limit), symbols, ["repo", "file_path"], "line_no", "rank")
 
 
 def blended_with_vectors(ranked: DataFrame, similarity: DataFrame) -> DataFrame:
@@ -220,11 +220,12 @@ def code_graph(symbols: DataFrame, refs: DataFrame, nodes: int = 120, edges: int
     points = resolved.select("repo", F.col("caller_file").alias("file_path"), "caller_line", "_row", "target", "kind")
     placed = enclosing(points, symbols, ["repo", "file_path"], "caller_line", "_row")
     calls = placed.where("symbol_id IS NOT NULL AND symbol_id != target").select(F.col("symbol_id").alias("source"), "target", "kind")
-    every = calls.unionByName(defined_together(symbols))
+    every = staged(calls.unionByName(defined_together(symbols)), "edges")
     degree = every.select(F.explode(F.array("source", "target")).alias("node")).groupBy("node").agg(F.count("*").alias("degree"))
     top = degree.orderBy(F.col("degree").desc(), "node").limit(nodes)
-    kept = every.distinct().join(F.broadcast(top.select(F.col("node").alias("source"))), "source", "left_semi").join(F.broadcast(top.select(F.col("node").alias("target"))), "target", "left_semi")
-    return kept.select("source", "target", "kind").orderBy("source", "target", "kind").limit(edges)
+    top = staged(top, "nodes")  # ``nodes`` rows
+    kept = every.join(F.broadcast(top.select(F.col("node").alias("source"))), "source", "left_semi").join(F.broadcast(top.select(F.col("node").alias("target"))), "target", "left_semi")
+    return kept.select("source", "target", "kind").distinct().orderBy("source", "target", "kind").limit(edges)
 
 
 def callers(refs: DataFrame, symbols: DataFrame, name: str) -> DataFrame:

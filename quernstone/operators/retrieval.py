@@ -17,6 +17,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scoring, text
 from ..functions.querytext import Match, expanded, full_text, tagged, time_window
+from ..sources.stored import staged
 
 
 def scoped(df: DataFrame, repo: str, owner: str | None = None, rule: str = "strict", tags: list[str] | None = None) -> DataFrame:
@@ -151,15 +152,17 @@ def bm25(df: DataFrame, query: str, columns: list[str], scope: Column | None = N
     return kept.select(*df.columns, score.alias("bm25"))
 
 
-def with_min_max(df: DataFrame, score: str, out: str, best_low: bool = True) -> DataFrame:
+def with_min_max(df: DataFrame, score: str, out: str, best_low: bool = True, bounded: bool = False) -> DataFrame:
     """``df`` with the score scaled to 0..1 over all its rows, the best 1; all 1 if they are equal.
 
-    The bounds are one aggregated row; no window over everything.
+    The bounds are one aggregated row; of a ``bounded`` list, whose plan then runs once, a window gives them.
     """
-    bounds = df.agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
     scaled = (F.col("_high") - F.col(score)) if best_low else (F.col(score) - F.col("_low"))
     value = F.when(F.col("_high") == F.col("_low"), 1.0).otherwise(scaled / F.nullif(F.col("_high") - F.col("_low"), F.lit(0.0)))
-    return df.join(F.broadcast(bounds)).withColumn(out, value).drop("_low", "_high")
+    whole = Window.partitionBy()
+    bounds = None if bounded else df.agg(F.min(score).alias("_low"), F.max(score).alias("_high"))
+    met = df.withColumn("_low", F.min(score).over(whole)).withColumn("_high", F.max(score).over(whole)) if bounded else df.join(F.broadcast(bounds))
+    return met.withColumn(out, value).drop("_low", "_high")
 
 
 def tf_cosine(column: str, query: str, stopwords=text.STOPWORDS) -> Column:
@@ -200,17 +203,23 @@ def candidates(memories: DataFrame, repo: str, query: str, as_of: Column, limit:
     return pool.withColumn("similarity", base + F.when(F.col("repo") == repo, scoring.SAME_REPO).otherwise(0.0))
 
 
-def hybrid(pool: DataFrame, kind: str, offset: int = 0, limit: int = 10, post: Column | None = None, small: float | None = None, large: float | None = None) -> DataFrame:
+def hybrid(pool: DataFrame, kind: str, offset: int = 0, limit: int = 10, post: Column | None = None, small: float | None = None, large: float | None = None, bounded: bool = False) -> DataFrame:
     """Blend, adaptive threshold over the whole pool, at least the best row, later filters, page.
 
     Takes ``id, similarity, keyword, recency, domain``; adds ``score``, ``eligible`` (pool size) and ``rank``.
-    Scores equal to nine places are ordered by id.
+    Scores equal to nine places are ordered by id. The pool's plan runs once: of a ``bounded`` list of
+    candidates its size and best row come from windows, a pool of any size is stored first.
     """
     scored = pool.withColumn("score", scoring.blend(*(F.col(c) for c in ("similarity", "keyword", "recency", "domain"))))
     order = F.struct((-F.round("score", 9)).alias("s"), "id")
-    whole = scored.agg(F.count("*").alias("eligible"), F.min(order)["id"].alias("_best"))  # one row
+    if bounded:
+        whole = Window.partitionBy()
+        sized = scored.withColumn("eligible", F.count("*").over(whole)).withColumn("_best", F.min(order).over(whole)["id"])
+    else:
+        scored = staged(scored, "pool")
+        sized = scored.join(F.broadcast(scored.agg(F.count("*").alias("eligible"), F.min(order)["id"].alias("_best"))))  # one row
     least = scoring.threshold(F.col("eligible"), kind) if small is None else F.when(F.col("eligible") <= scoring.SMALL_POOL, small).otherwise(large)
-    kept = scored.join(F.broadcast(whole)).where((F.col("score") >= least) | (F.col("id") == F.col("_best"))).drop("_best")
+    kept = sized.where((F.col("score") >= least) | (F.col("id") == F.col("_best"))).drop("_best")
     if post is not None:
         kept = kept.where(post)
     place = [F.round("score", 9).desc(), F.col("id")]
@@ -237,7 +246,7 @@ def memory_search(memories: DataFrame, index: Index, raw: str, repo: str, now: d
     reach = ((F.col("repo") == repo) | F.col("is_global")) & live(as_of)
     best = bm25(memories, plain, [], reach, index).select("id", "bm25", "importance", "created_at")
     best = best.orderBy(F.round("bm25", 9), F.col("importance").desc(), F.col("created_at").desc(), "id").limit(FTS_CANDIDATES)
-    keyed = with_min_max(best, "bm25", "keyword").select("id", "keyword")
+    keyed = with_min_max(best, "bm25", "keyword", bounded=True).select("id", "keyword")
     both = pool.join(keyed, "id", "full").select("id", F.coalesce("similarity", F.lit(0.0)).alias("similarity"), F.coalesce("keyword", F.lit(0.0)).alias("keyword"))
     rows = memories.join(F.broadcast(both), "id")  # two bounded lists
     wanted = {"branch": scope.get("branch"), "path": path, "folder": scope.get("folder"), "language": scope.get("language"), "tags": tags}
@@ -249,7 +258,7 @@ def memory_search(memories: DataFrame, index: Index, raw: str, repo: str, now: d
         at = F.col("created_at")
         post = at >= F.lit(window.since).cast("timestamp_ntz")
         post = post if window.until is None else post & (at < F.lit(window.until).cast("timestamp_ntz"))
-    return hybrid(found, "memory", offset, limit, post).select("id", "score", "keyword", "similarity", "eligible", "rank")
+    return hybrid(found, "memory", offset, limit, post, bounded=True).select("id", "score", "keyword", "similarity", "eligible", "rank")
 
 
 def task_search(tasks: DataFrame, vectors: DataFrame, query: str, target: list[float], as_of: Column, offset: int = 0, limit: int = 10, post: Column | None = None) -> DataFrame:
@@ -267,6 +276,7 @@ def task_search(tasks: DataFrame, vectors: DataFrame, query: str, target: list[f
     domain = scoring.coverage(words, text.strings(query.lower().split()))
     pool = met.withColumn("keyword", F.when(holds, 1.0).otherwise(0.0)).withColumn("similarity", F.coalesce("_similarity", F.lit(0.0)))
     pool = pool.withColumn("score", scoring.blend(F.col("similarity"), F.col("keyword"), scoring.recency(F.col("created_at"), as_of, "task"), domain)).drop("_near", "_similarity")
+    pool = staged(pool, "pool")  # used four times
     whole = pool.agg(F.count("*").alias("eligible"), F.min(F.struct((-F.round("score", 9)).alias("s"), "id"))["id"].alias("_best"))  # one row
     marked = pool.join(F.broadcast(whole)).withColumn("_in", (F.col("score") >= scoring.threshold(F.col("eligible"), "task")) | (F.col("id") == F.col("_best")))
     place = [F.round("score", 9).desc(), F.col("id")]

@@ -115,7 +115,7 @@ def memory_search_hybrid(t: Tables):
     pool = R.candidates(t.memories, REPO, "heth ing onth ing", t.as_of, 60, ["tag3"])
     domain = scoring.overlap(F.col("tags"), text.strings(["en", "ing"]))
     pool = pool.select("id", "similarity", F.when(F.col("content").contains("ing"), 1.0).otherwise(0.0).alias("keyword"), scoring.recency(F.col("created_at"), t.as_of).alias("recency"), scoring.domain_adjusted(domain, F.col("recall_count") > 0, F.col("type")).alias("domain"))
-    found = R.hybrid(pool, "memory", offset=2, limit=15)
+    found = R.hybrid(pool, "memory", offset=2, limit=15, bounded=True)
     return found.select("id", F.round("score", 6).alias("score"), "eligible", "rank", scoring.confidence(F.col("score")).alias("confidence"))
 
 
