@@ -20,6 +20,7 @@ ignored; ids are not read.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -216,15 +217,13 @@ class Pass:
         self.clear()
 
     def buckets(self) -> Iterator[pa.RecordBatch]:
-        """A row a range of buckets that the task has met: all counts, or places and counts where that is less."""
+        """A row a range of buckets that the task has met: the counts, compressed, as most are none or one."""
         if self.counts is None:
             return
         for at in range(0, len(self.counts), SPLIT):
             own = self.counts[at : at + SPLIT]
-            some = np.nonzero(own)[0]
-            if len(some):
-                packed = some.astype("<u2").tobytes() + own[some].tobytes() if 3 * len(some) < len(own) else own.tobytes()
-                yield self.rows(None, None, None, [at // SPLIT], [packed])
+            if own.any():
+                yield self.rows(None, None, None, [at // SPLIT], [zlib.compress(own.tobytes(), 1)])
 
     @staticmethod
     def rows(langs, phrases, times, chunk, packed) -> pa.RecordBatch:
@@ -234,14 +233,6 @@ class Pass:
         return pa.RecordBatch.from_arrays([of(langs, pa.string()), text, of(times, pa.int64()), of(chunk, pa.int32()), of(packed, pa.binary())], ["lang", "phrase", "n", "chunk", "packed"])
 
 
-def unpacked(packed: bytes, width: int) -> np.ndarray:
-    if len(packed) == width:
-        return np.frombuffer(packed, np.uint8)
-    n, out = len(packed) // 3, np.zeros(width, np.uint8)
-    out[np.frombuffer(packed, "<u2", n)] = np.frombuffer(packed, np.uint8, offset=2 * n)
-    return out
-
-
 def counted(docs: DataFrame, length: int, how: Mining, shorter, bucketed) -> DataFrame:
     """One pass: ``lang, phrase, n`` of each task's phrases and ``chunk, packed`` of its buckets, staged."""
     tune(docs.sparkSession)
@@ -269,13 +260,11 @@ def _packed_bits(chunks: DataFrame, how: Mining) -> bytes:
 
 def bucket_bitmap(found: DataFrame, how: Mining) -> bytes:
     """Which buckets reach the least count: each task sums some ranges of buckets."""
-    width = min(SPLIT, how.buckets)
-
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                more = unpacked(packed, width)
+                more = np.frombuffer(zlib.decompress(packed), np.uint8)
                 before = totals.get(chunk)
                 totals[chunk] = more if before is None else np.minimum(before.astype(np.uint16) + more, how.least).astype(np.uint8)
         for chunk, total in totals.items():
