@@ -134,12 +134,12 @@ parts AS (SELECT id, created_at, keyword, CAST(least(1.0, base + CASE WHEN branc
 scored AS (SELECT *, 0.4 * similarity + 0.3 * keyword + 0.15 * recency + 0.15 * domain AS score, count(*) OVER () AS eligible FROM parts),
 kept AS (SELECT * FROM scored WHERE (score >= CASE WHEN eligible <= 5 THEN 0.1 ELSE 0.4 END) OR id = (SELECT id FROM scored ORDER BY round(score, 9) DESC, id LIMIT 1)),
 placed AS (SELECT *, row_number() OVER (ORDER BY round(score, 9) DESC, id) AS rank FROM kept WHERE created_at >= TIMESTAMP '2024-02-01 00:00:00' AND created_at < TIMESTAMP '2024-02-29 23:59:59.999')
-SELECT id, round(score, 6) AS score, round(keyword, 6) AS keyword, round(similarity, 6) AS similarity, eligible, CAST(rank AS INTEGER) AS rank FROM placed WHERE rank > 5 AND rank <= 30""".replace("{similar}", SIMILAR_SQL.replace("{norm}", f"sqrt({float(len(wide))})"))
+SELECT id, round(score, 6) AS score, round(keyword, 6) AS keyword, round(similarity, 6) AS similarity, eligible, CAST(rank AS INTEGER) AS rank FROM placed WHERE rank <= 30""".replace("{similar}", SIMILAR_SQL.replace("{norm}", f"sqrt({float(len(wide))})"))
 
 
 def _search(t: Tables, words: str):
     raw = f"lang:fr tags:tag3,Tag1 branch:main {words} last month"
-    found = R.memory_search(t.memories, t.index("memories", "title", "content", "tags[]"), raw, REPO, AS_OF, t.as_of, 5, 25)
+    found = R.memory_search(t.memories, t.index("memories", "title", "content", "tags[]"), raw, REPO, AS_OF, t.as_of, 0, 30)
     return found.select("id", F.round("score", 6).alias("score"), F.round("keyword", 6).alias("keyword"), F.round("similarity", 6).alias("similarity"), "eligible", "rank")
 
 
