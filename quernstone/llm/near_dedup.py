@@ -344,44 +344,11 @@ def dealt_members(inside: DataFrame, how: Sketching) -> DataFrame:
     return dealt.select("band", "number", F.least("mine", "other").alias("x"), F.greatest("mine", "other").alias("y"), "mine", "cid", "root")
 
 
-def remaining_links(inside: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
-    """``a, b``: links between members of one bucket and different components, as many as join what is linked."""
-    dealt = dealt_members(inside.join(sets.select("cid", "n_shingles"), "cid"), how)
-    full = dealt.join(sets.select("cid", "n_shingles", "registers", "hashes"), "cid")
-
-    def compare(group: list[tuple]) -> pa.RecordBatch:
-        """Links of one group: rows (number, x, y, mine, cid, root, n_shingles, registers, hashes)."""
-        number, x, y = group[0][:3]
-        group.sort(key=lambda r: r[4])
-        left, right = [r for r in group if r[3] == x], [r for r in group if r[3] == y]
-        first, second, above = [], [], {}
-
-        def top(root: int) -> int:
-            while root in above:
-                root = above[root]
-            return root
+def in_blocks(rows: DataFrame, handle, kind: str) -> DataFrame:
+    """``handle`` of the rows of each two blocks that meet: a group has at most two blocks, a task holds one at a time.
 
-        if left and right:
-            table = np.frombuffer(b"".join(r[7] for r in right), np.uint16).reshape(len(right), -1)
-            ids, n, tops = (np.array([r[i] for r in right], np.int64) for i in (4, 6, 5))
-            for _, _, _, _, cid, root, size, sketch, hashes in left:
-                mine = top(root)
-                some = np.nonzero((tops != mine) & ((ids > cid) if x == y else True))[0]
-                if not len(some):
-                    continue
-                one = np.frombuffer(sketch, np.uint16)
-                near = some[may_link(np.broadcast_to(one, (len(some), len(one))), table[some], np.full(len(some), size), n[some], how, how.fine_slack)]
-                shared = (table[near, : how.registers] == one[: how.registers]).reshape(len(near), how.bands, how.rows).all(axis=2)
-                own = np.frombuffer(hashes, np.uint64)
-                for at in near[shared.argmax(axis=1) == number].tolist():
-                    other = tops[at]
-                    if other != mine and linked_sets(own, np.frombuffer(right[at][8], np.uint64), how):
-                        first.append(cid)
-                        second.append(right[at][4])
-                        above[mine] = int(other)
-                        tops[tops == mine] = other
-                        mine = int(other)
-        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
+    Rows are ``band, number, x, y, mine, ..``; ``handle`` gets them without the band, with the band apart.
+    """
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, group = None, []
@@ -389,17 +356,83 @@ def remaining_links(inside: DataFrame, sets: DataFrame, how: Sketching) -> DataF
             for band, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 key = (band, row[1], row[2])
                 if key != at and group:
-                    yield compare(group)
+                    yield handle(at[0], group)
                     group = []
                 at = key
                 group.append(tuple(row))
         if group:
-            yield compare(group)
+            yield handle(at[0], group)
+
+    dealt = rows.repartition(n_partitions(rows.sparkSession), "band", "x", "y").sortWithinPartitions("band", "x", "y")
+    return dealt.mapInArrow(walk, kind)
+
+
+def sides(group: list[tuple]) -> tuple[list[tuple], list[tuple]]:
+    """The members of both blocks, in order of class."""
+    group.sort(key=lambda r: r[4])
+    return [r for r in group if r[3] == r[1]], [r for r in group if r[3] == r[2]]
+
+
+def likely_in_block(left: list[tuple], right: list[tuple], how: Sketching) -> Iterator[tuple[tuple, np.ndarray]]:
+    """Each member with the places of those of another component that it may be linked to and first meets in this bucket."""
+    if not left or not right:
+        return
+    number, x, y = left[0][:3]
+    table = np.frombuffer(b"".join(r[7] for r in right), np.uint16).reshape(len(right), -1)
+    ids, n, roots = (np.array([r[i] for r in right], np.int64) for i in (4, 6, 5))
+    for row in left:
+        cid, root, size, sketch = row[4:8]
+        some = np.nonzero((roots != root) & ((ids > cid) if x == y else True))[0]
+        if len(some):
+            one = np.frombuffer(sketch, np.uint16)
+            near = some[may_link(np.broadcast_to(one, (len(some), len(one))), table[some], np.full(len(some), size), n[some], how, how.fine_slack)]
+            shared = (table[near, : how.registers] == one[: how.registers]).reshape(len(near), how.bands, how.rows).all(axis=2)
+            if (first := near[shared.argmax(axis=1) == number]).size:
+                yield row, first
+
+
+def remaining_links(inside: DataFrame, sets: DataFrame, how: Sketching) -> DataFrame:
+    """``a, b``: links between members of one bucket and different components, as many as join what is linked.
+
+    Sketches are dealt first, and say which members of a block have a likely pair there; only these
+    meet again in it with their full sets.
+    """
+    dealt = staged(dealt_members(inside.join(sets.select("cid", "n_shingles"), "cid"), how), "dealt")
+    sketched = ["band", "number", "x", "y", "mine", "cid", "root", "n_shingles", "registers"]
+
+    def marked(band: int, group: list[tuple]) -> pa.RecordBatch:
+        left, right = sides(group)
+        found = set()
+        for row, others in likely_in_block(left, right, how):
+            found.add(row[4])
+            found.update(right[at][4] for at in others.tolist())
+        number, x, y = group[0][:3]
+        n = len(found)
+        return pa.RecordBatch.from_arrays([pa.array([v] * n, pa.int64()) for v in (band, x, y)] + [pa.array(sorted(found), pa.int64())], ["band", "x", "y", "cid"])
+
+    def linked(band: int, group: list[tuple]) -> pa.RecordBatch:
+        left, right = sides(group)
+        first, second, above = [], [], {}
+
+        def top(root: int) -> int:
+            while root in above:
+                root = above[root]
+            return root
+
+        for row, others in likely_in_block(left, right, how):
+            own = np.frombuffer(row[8], np.uint64)
+            for other in (right[at] for at in others.tolist()):
+                one, two = top(row[5]), top(other[5])
+                if one != two and linked_sets(own, np.frombuffer(other[8], np.uint64), how):
+                    first.append(row[4])
+                    second.append(other[4])
+                    above[one] = two
+        return pa.RecordBatch.from_arrays([pa.array(first, pa.int64()), pa.array(second, pa.int64())], ["a", "b"])
 
-    # a group has at most two blocks; a task holds one group at a time
-    rows = full.select("band", "number", "x", "y", "mine", "cid", "root", "n_shingles", "registers", "hashes")
-    dealt = rows.repartition(n_partitions(inside.sparkSession), "band", "x", "y").sortWithinPartitions("band", "x", "y")
-    return dealt.mapInArrow(walk, "a bigint, b bigint")
+    with_sketches = dealt.join(sets.select("cid", "n_shingles", "registers"), "cid").select(*sketched)
+    chosen = staged(in_blocks(with_sketches, marked, "band bigint, x bigint, y bigint, cid bigint"), "chosen")
+    again = dealt.join(chosen, ["band", "x", "y", "cid"], "left_semi").join(sets.select("cid", "n_shingles", "registers", "hashes"), "cid").select(*sketched, "hashes")
+    return in_blocks(again, linked, "a bigint, b bigint")
 
 
 def _components(df: DataFrame, how: Sketching, key: str, text: str) -> tuple[DataFrame, DataFrame]:
