@@ -88,7 +88,10 @@ class Jobs(StatefulProcessor):
 
 
 def job_states(commands: DataFrame, lease_seconds: int = 60, late: str = "1 hour") -> DataFrame:
-    """The stream of jobs as they change, with a rising ``version`` a key. ``at`` is a timestamp in UTC."""
+    """The stream of jobs as they change, with a rising ``version`` a key. ``at`` is a timestamp in UTC.
+
+    Timers need the RocksDB state store, to which the session's streams are set.
+    """
     commands.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     timed = commands.select(*KEY, "command", "id", F.col("at").cast("timestamp").alias("at")).withWatermark("at", late)
     return timed.groupBy(*KEY).transformWithStateInPandas(statefulProcessor=Jobs(lease_seconds), outputStructType=OUT, outputMode="Update", timeMode="EventTime")
