@@ -126,8 +126,9 @@ def enclosing(points: DataFrame, symbols: DataFrame, keys: list[str], line: str,
     spans = symbols.select(*keys, F.col("id").alias("_span"), F.col("start_line").alias("_start"), F.col("end_line").alias("_end"))
     asked = points.select(*keys, F.col(point_id).alias("_point"), F.col(line).alias("_line"), F.col(line).alias("_until"), F.lit(None).cast("long").alias("_own"))
     found = intervals.stabbed(asked, spans, keys).where("_span IS NOT NULL").withColumnRenamed("_span", "symbol_id")
-    names = symbols.select(F.col("id").alias("symbol_id"), F.col("name").alias("symbol"))
-    return points.join(found, F.col(point_id) == F.col("_point"), "left").drop("_point").join(names, "symbol_id", "left").select(*points.columns, "symbol_id", "symbol")
+    size = F.struct(F.col("end_line") - F.col("start_line"), "start_line")
+    names = symbols.groupBy(*keys, F.col("id").alias("symbol_id")).agg(F.min_by("name", size).alias("symbol"))  # ids may repeat in other files
+    return points.join(found, F.col(point_id) == F.col("_point"), "left").drop("_point").join(names, [*keys, "symbol_id"], "left").select(*points.columns, "symbol_id", "symbol")
 
 
 def parents(symbols: DataFrame, containers: list[str]) -> DataFrame:

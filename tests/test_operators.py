@@ -184,6 +184,13 @@ def test_code(spark):
     assert sorted(rows(code_index.directory_rollup(symbols.withColumn("file_path", F.concat(F.lit("d/"), "file_path")), 1).where("kind = 'class'"))) == [("", "class", 2), ("d", "class", 2)]
 
 
+def test_ids_that_repeat_in_other_files_name_no_further_symbols(spark):
+    symbols = spark.createDataFrame([(1, "r", "a.ts", "one", 1, 20), (1, "r", "b.ts", "other", 1, 20), (1, "q", "a.ts", "third", 1, 20)], "id int, repo string, file_path string, name string, start_line int, end_line int")
+    points = spark.createDataFrame([("r", "a.ts", 7, 1), ("r", "b.ts", 7, 2), ("r", "c.ts", 7, 3)], "repo string, file_path string, line int, k int")
+    got = code_index.enclosing(points, symbols, ["repo", "file_path"], "line", "k").select("k", "symbol_id", "symbol")
+    assert sorted(rows(got)) == [(1, 1, "one"), (2, 1, "other"), (3, None, None)]
+
+
 def test_extraction(spark):
     body = "// adds\n// numbers\nfunction add(a) {\n}\n\n/* block\n   more */\nclass Foo extends Bar {\nconst k = 1\nlet f = async (x) => x\nimport y\nget /users list\ninterface I {\nx := 5\nname: \"v\"\n.cls {\n<div class='a'>\ntype T = int\n"
     got = [(n, k, line) for n, k, line, *_ in code_files.generic_symbols(body)]
