@@ -74,8 +74,11 @@ def board_order() -> list[Column]:
 
 
 def latest(df: DataFrame, by: str, at: str, columns: list[str], tie: str = "id") -> DataFrame:
-    """The newest row of each key: one grouped pass instead of correlated subqueries."""
-    return df.groupBy(by).agg(F.max_by(F.struct(*columns), F.struct(at, tie)).alias("_r")).select(by, *[F.col(f"_r.{c}") for c in columns])
+    """The newest row of each key: one grouped pass instead of correlated subqueries.
+
+    Rows of equal time and tie are told apart by the columns themselves, so that runs agree.
+    """
+    return df.groupBy(by).agg(F.max_by(F.struct(*columns), F.struct(at, tie, *(c for c in columns if c not in (at, tie)))).alias("_r")).select(by, *[F.col(f"_r.{c}") for c in columns])
 
 
 def active_claims(claims: DataFrame) -> DataFrame:

@@ -184,6 +184,13 @@ def test_code(spark):
     assert sorted(rows(code_index.directory_rollup(symbols.withColumn("file_path", F.concat(F.lit("d/"), "file_path")), 1).where("kind = 'class'"))) == [("", "class", 2), ("d", "class", 2)]
 
 
+def test_the_latest_row_does_not_depend_on_the_order_of_ties(spark):
+    table = [(1, 7, "2024-01-01", f"agent{i}") for i in range(9)]
+    for items in (table, table[::-1]):
+        df = spark.createDataFrame(items, "task_id int, id int, claimed_at string, agent string").coalesce(1).withColumn("released_at", F.lit(None).cast("string"))
+        assert rows(analytics.active_claims(df)) == [(1, "agent8", "2024-01-01")]
+
+
 def test_ids_that_repeat_in_other_files_name_no_further_symbols(spark):
     symbols = spark.createDataFrame([(1, "r", "a.ts", "one", 1, 20), (1, "r", "b.ts", "other", 1, 20), (1, "q", "a.ts", "third", 1, 20)], "id int, repo string, file_path string, name string, start_line int, end_line int")
     points = spark.createDataFrame([("r", "a.ts", 7, 1), ("r", "b.ts", 7, 2), ("r", "c.ts", 7, 3)], "repo string, file_path string, line int, k int")
