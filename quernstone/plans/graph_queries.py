@@ -50,12 +50,12 @@ def kg_nodes_ranked(t: Tables):
 
 @query(
     "G2 J7 edges by degree, T6 cap",
-    f"""WITH {DEGREE_SQL}, {OWN_SQL}, e AS (SELECT r.*, f.degree + d.degree AS degree_sum FROM own r JOIN deg f ON f.node = from_entity AND f.repo = r.repo JOIN deg d ON d.node = to_entity AND d.repo = r.repo WHERE from_entity IN (SELECT name FROM names) AND to_entity IN (SELECT name FROM names))
+    f"""WITH {DEGREE_SQL}, e AS (SELECT r.*, f.degree + d.degree AS degree_sum FROM relations r JOIN deg f ON f.node = from_entity AND f.repo = r.repo JOIN deg d ON d.node = to_entity AND d.repo = r.repo WHERE (r.repo, from_entity) IN (SELECT repo, name FROM entities) AND (r.repo, to_entity) IN (SELECT repo, name FROM entities))
 SELECT from_entity, to_entity, relation_type, degree_sum, (SELECT count(*) FROM e) > 300 AS truncated FROM e ORDER BY degree_sum DESC, from_entity, to_entity, relation_type LIMIT 300""",
 )
 def kg_edges_ranked(t: Tables):
     order = [F.col("degree_sum").desc(), "from_entity", "to_entity", "relation_type"]
-    return G.capped(G.ranked_edges(_own(t.entities), _own(t.relations)), order, 300).select("from_entity", "to_entity", "relation_type", "degree_sum", "truncated")
+    return G.capped(G.ranked_edges(t.entities, t.relations), order, 300).select("from_entity", "to_entity", "relation_type", "degree_sum", "truncated")
 
 
 @query(
