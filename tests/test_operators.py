@@ -200,6 +200,13 @@ def test_ranked_edges_are_of_all_repositories(spark, sf):
     assert {known.get(r["from_entity"]) for r in QUERIES["kg_edges_ranked"](spark, sf).collect()} >= {"kg0", "kg1"}
 
 
+def test_the_unified_graph_has_the_entities_of_all_repositories(spark, sf):
+    from quernstone.plans import QUERIES
+    from quernstone.plans.bindings import Tables
+
+    assert QUERIES["unified_graph"](spark, sf).where("domain = 'kg'").count() == Tables(spark, sf).entities.count()
+
+
 def test_ids_that_repeat_in_other_files_name_no_further_symbols(spark):
     symbols = spark.createDataFrame([(1, "r", "a.ts", "one", 1, 20), (1, "r", "b.ts", "other", 1, 20), (1, "q", "a.ts", "third", 1, 20)], "id int, repo string, file_path string, name string, start_line int, end_line int")
     points = spark.createDataFrame([("r", "a.ts", 7, 1), ("r", "b.ts", 7, 2), ("r", "c.ts", 7, 3)], "repo string, file_path string, line int, k int")
