@@ -207,6 +207,21 @@ def test_the_unified_graph_has_the_entities_of_all_repositories(spark, sf):
     assert QUERIES["unified_graph"](spark, sf).where("domain = 'kg'").count() == Tables(spark, sf).entities.count()
 
 
+def test_postings_are_stored_without_a_shuffle_and_their_filters_reach_the_files(spark, tmp_path):
+    from quernstone.operators import text_index
+
+    df = spark.createDataFrame([(i, "thing an" + " of" * (i % 3)) for i in range(50)] + [(50, None), (51, "")], "id int, body string").repartition(3)
+    made = retrieval.packed_postings(df)
+    assert "Exchange hashpartitioning" not in (plan := made._jdf.queryExecution().toString()) and "rangepartitioning" not in plan
+    made.write.parquet(f"file://{tmp_path}/p")
+    back = retrieval.unpacked(spark.read.parquet(f"file://{tmp_path}/p"))
+    assert sorted(rows(back.where("term = 'of'"))) == [("of", i, i % 3) for i in range(50) if i % 3]
+    assert "StringStartsWith(term,th)" in back.where(F.col("term").startswith("th"))._jdf.queryExecution().toString()
+    assert sorted(rows(retrieval.unpacked(retrieval.repacked(back)))) == sorted(rows(back))
+    grams = text_index.trigram_index(df.withColumnRenamed("body", "content"), ["content"], rows=20).grams
+    assert grams.where("gram = 'thi'").count() == 50 and grams.where("gram = 'thi'").select("part").distinct().count() > 1
+
+
 def test_ids_that_repeat_in_other_files_name_no_further_symbols(spark):
     symbols = spark.createDataFrame([(1, "r", "a.ts", "one", 1, 20), (1, "r", "b.ts", "other", 1, 20), (1, "q", "a.ts", "third", 1, 20)], "id int, repo string, file_path string, name string, start_line int, end_line int")
     points = spark.createDataFrame([("r", "a.ts", 7, 1), ("r", "b.ts", 7, 2), ("r", "c.ts", 7, 3)], "repo string, file_path string, line int, k int")
