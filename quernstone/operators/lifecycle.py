@@ -122,16 +122,20 @@ def next_codes(existing: DataFrame, new: DataFrame, prefix: str, by: list[str],
     return met.withColumn(code, F.concat(F.lit(f"{prefix}-"), digits)).drop("_n", "_last")
 
 
+def gone_ids(gone: DataFrame, key: str = "id") -> DataFrame:
+    """``_gone``: the keys once each, which a task holds as a hash table of its share, so that the rows they are sought in need no sort."""
+    return gone.select(F.col(key).alias("_gone")).where("_gone IS NOT NULL").distinct().hint("shuffle_hash")
+
+
 def purged(df: DataFrame, gone: DataFrame, key: str = "id") -> DataFrame:
     """Rows whose key is not among those gone; a null key stays."""
-    ids = gone.select(F.col(key).alias("_gone")).where("_gone IS NOT NULL").distinct()
+    ids = gone_ids(gone, key)
     return df.join(ids, F.col(key) == F.col("_gone"), "left_anti")
 
 
 def detached(tasks: DataFrame, gone: DataFrame) -> DataFrame:
     """Tasks without those gone; children of these lose their parent."""
-    ids = gone.select(F.col("id").alias("_gone")).distinct()
-    left = purged(tasks, gone).join(ids, F.col("parent_id") == F.col("_gone"), "left")
+    left = purged(tasks, gone).join(gone_ids(gone), F.col("parent_id") == F.col("_gone"), "left")
     return left.withColumn("parent_id", F.when(F.col("_gone").isNull(), F.col("parent_id"))).drop("_gone")
 
 

@@ -128,5 +128,4 @@ def coordination(handoffs: DataFrame, claims: DataFrame, tasks: DataFrame, agent
 def deleted_tasks(tasks: DataFrame, comments: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tasks and comments after some tasks are deleted: children lose their parent, comments go too."""
     left = lifecycle.detached(tasks, gone)
-    ids = gone.select(F.col("id").alias("_gone")).distinct()
-    return left, comments.join(ids, F.col("task_id") == F.col("_gone"), "left_anti")
+    return left, comments.join(lifecycle.gone_ids(gone), F.col("task_id") == F.col("_gone"), "left_anti")

@@ -222,6 +222,19 @@ def test_postings_are_stored_without_a_shuffle_and_their_filters_reach_the_files
     assert grams.where("gram = 'thi'").count() == 50 and grams.where("gram = 'thi'").select("part").distinct().count() > 1
 
 
+def test_deletion_of_tasks_sorts_no_rows(spark):
+    from quernstone.operators import records
+
+    tasks = spark.createDataFrame([(1, None), (2, 1), (3, 2), (4, 9)], "id int, parent_id int")
+    notes = spark.createDataFrame([(1, 1), (2, 3), (3, None), (4, 9)], "id int, task_id int")
+    left, comments = records.deleted_tasks(tasks, notes, spark.createDataFrame([(1,), (1,), (9,), (None,)], "id int"))
+    assert sorted(rows(left.select("id", "parent_id"))) == [(2, None), (3, 2), (4, None)]
+    assert sorted(rows(comments), key=str) == [(2, 3), (3, None)]
+    for df in (left, comments):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "ShuffledHashJoin" in plan and "Sort" not in plan
+
+
 def test_ids_that_repeat_in_other_files_name_no_further_symbols(spark):
     symbols = spark.createDataFrame([(1, "r", "a.ts", "one", 1, 20), (1, "r", "b.ts", "other", 1, 20), (1, "q", "a.ts", "third", 1, 20)], "id int, repo string, file_path string, name string, start_line int, end_line int")
     points = spark.createDataFrame([("r", "a.ts", 7, 1), ("r", "b.ts", 7, 2), ("r", "c.ts", 7, 3)], "repo string, file_path string, line int, k int")
