@@ -117,7 +117,8 @@ def matching_entities(entities: DataFrame, repo: str, query: str, most: int = 50
     return entities.where(F.col("repo") == repo).withColumn("hits", hits).where("hits > 0").orderBy(F.col("hits").desc(), "name").limit(most)
 
 
-NAMES_BYTES = 32 << 20  # of names that a task's automaton holds at once
+NAMES_BYTES = 16 << 20  # of names (64 more each) that a task's automaton holds at once: about 80 MB of its nodes
+TEXTS = 512  # that a task holds as Python strings at once
 
 
 def contained_names(texts: DataFrame, names: DataFrame, limit: int = NAMES_BYTES) -> DataFrame:
@@ -132,29 +133,31 @@ def contained_names(texts: DataFrame, names: DataFrame, limit: int = NAMES_BYTES
     shares, kind = max(1, -(-size // limit)), texts.schema["id"].dataType
     out = None
     for i in range(shares):
-        some = [r["name"] for r in known.where(F.pmod(F.xxhash64("name"), F.lit(shares)) == i).collect()]  # about ``limit`` bytes
+        some = known.where(F.pmod(F.xxhash64("name"), F.lit(shares)) == i).toArrow().column(0).combine_chunks()  # about ``limit`` bytes
         found = _contained(texts, some, kind)
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def _contained(texts: DataFrame, names: list[str], kind) -> DataFrame:
+def _contained(texts: DataFrame, names: pa.Array, kind) -> DataFrame:
     shared = texts.sparkSession.sparkContext.broadcast(names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import ahocorasick
 
-        automaton = ahocorasick.Automaton()
+        automaton = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)  # a name is cut from the text that holds it
         for name in shared.value:
-            automaton.add_word(name, name)
+            automaton.add_word(name.as_py())
         automaton.make_automaton()
+        some = len(shared.value) > 0
         for batch in batches:
-            ids, found = [], []
-            for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for name in {name for _, name in automaton.iter(text)} if text and shared.value else ():
-                    ids.append(key)
-                    found.append(name)
-            yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(found, pa.string())], ["id", "name"])
+            for start in range(0, batch.num_rows, TEXTS):
+                part, ids, found = batch.slice(start, TEXTS), [], []
+                for key, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    for name in {text[end + 1 - n : end + 1] for end, n in automaton.iter(text)} if text and some else ():
+                        ids.append(key)
+                        found.append(name)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, batch.schema.types[0]), pa.array(found, pa.string())], ["id", "name"])
 
     return texts.select("id", "content").mapInArrow(run, f"id {kind.simpleString()}, name string")
 

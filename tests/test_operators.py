@@ -74,6 +74,21 @@ def test_contained_names(spark):
     assert rows(graph.contained_names(texts, names.where("false"))) == []
 
 
+def test_names_are_shipped_and_searched_in_bounded_pieces(spark):
+    import pyarrow as pa
+
+    seen = []
+    contained = graph._contained
+    graph._contained = lambda texts, some, kind: seen.append(some) or contained(texts, some, kind)
+    try:
+        texts = spark.createDataFrame([(i, f"a name{i}\U0001f600 b" * 3) for i in range(1500)], "id int, content string").coalesce(1)
+        names = spark.createDataFrame([(f"name{i}\U0001f600",) for i in range(1500)], "name string")
+        assert sorted(rows(graph.contained_names(texts, names, 50_000))) == [(i, f"name{i}\U0001f600") for i in range(1500)]
+    finally:
+        graph._contained = contained
+    assert len(seen) > 1 and all(isinstance(s, pa.Array) and s.nbytes < 50_000 for s in seen)  # no list of Python strings
+
+
 def test_bursts(spark):
     log = [(1, "s", "q", 5, at("2024-01-01T10:00")), (2, "s", "q", 5, at("2024-01-01T10:05")), (3, "s", "q", 5, at("2024-01-01T10:09")), (4, "s", None, 5, at("2024-01-01T10:10")), (5, "s", None, 5, at("2024-01-01T10:21"))]
     df = spark.createDataFrame(log, "id long, action string, query string, memory_id long, created_at timestamp_ntz")
