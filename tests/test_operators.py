@@ -164,6 +164,30 @@ def test_similar_pairs_match_brute_force(spark):
         assert sorted((r["a"], r["b"]) for r in similarity.similar_pairs(scoped, "content", 0.7, 3, "repo", "open", block, common).collect()) == some
 
 
+def test_similar_pairs_ship_a_unit_once_a_share(spark):
+    """The number of cells, and of units shipped to them, hangs on the shares that a task holds, not on the blocks that meet."""
+    rows = [(i, " ".join(f"w{(i * k) % 97} v{i % 7}" for k in range(1, 4)), None if i % 10 == 3 else f"r{i % 2}", i % 4 == 0) for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, content string, repo string, open boolean")
+    found, work = similarity.pairs_with_work(df, "content", 0.6, 3, "repo", "open", 8, 16)
+    assert work.count() == 3
+    again, more = similarity.pairs_with_work(df, "content", 0.6, 3, "repo", "open", 8, 16, held=400)
+    cells, units = more.agg(F.count("*"), F.sum("units")).first()
+    assert cells > 3 and units < 8 * 400
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, again.collect()))
+    # a row without a scope agrees with no other
+    scope, free = {r[0]: r[2] for r in rows}, {r[0]: r[3] for r in rows}
+    assert found.count() > 400 and all(free[r["b"]] or scope[r["a"]] is not None and scope[r["a"]] == scope[r["b"]] for r in found.collect())
+
+
+def test_similar_pairs_of_named_rows(spark):
+    """Ties among ids that are text, of different lengths, and among many equal similarities."""
+    names = [f"n{i}" for i in range(30)]
+    df = spark.createDataFrame([(n, f"kappa lam w{i}") for i, n in enumerate(names)], "id string, content string")
+    for block in (4, 1024):
+        found = similarity.pairs_with_work(df, "content", 0.6, 3, None, None, block, 2, held=24)[0]
+        assert sorted((r["a"], r["b"]) for r in found.collect()) == sorted((n, m) for n in names for m in sorted(x for x in names if x != n)[:3])
+
+
 def test_similar_pairs_rule_most_pairs_out(spark):
     """Of all pairs of the larger table, less than a tenth are added up in full."""
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").where("lang IN ('de', 'fr')").selectExpr("doc_id AS id", "text AS content", "source AS repo", "doc_id % 5 = 0 AS open")
