@@ -179,6 +179,42 @@ def test_similar_pairs_ship_a_unit_once_a_share(spark):
     assert found.count() > 400 and all(free[r["b"]] or scope[r["a"]] is not None and scope[r["a"]] == scope[r["b"]] for r in found.collect())
 
 
+def test_similar_pairs_shuffle_no_more_when_shares_are_many(spark):
+    """Shares meet where they were written: forty times as many of them write no copies of units."""
+    rows = [(i, " ".join(f"w{(i * k * k + k) % 1500}" for k in range(1, 60)), f"r{i % 2}", i % 5 == 0) for i in range(2000)]
+    df = spark.createDataFrame(rows, "id int, content string, repo string, open boolean")
+    context = spark.sparkContext._jsc.sc()
+
+    def written(held):
+        def total():
+            context.listenerBus().waitUntilEmpty()
+            return context.statusStore().executorSummary("driver").totalShuffleWrite()
+
+        before = total()
+        found, _ = similarity.pairs_with_work(df, "content", 0.3, 3, "repo", "open", 1024, 64, held=held)
+        return total() - before, sorted(map(tuple, found.collect()))
+
+    (few, one), (many, other) = written(similarity.HELD), written(3000)
+    assert one == other and len(one) > 2000 and many < 2 * few
+
+
+def test_similar_pairs_of_large_counts(spark, monkeypatch):
+    """Counts above 127, of common terms and others, and an id in two rows, whose terms are put together."""
+    from math import sqrt
+
+    bodies = {1: {"kappa": 300, "lam": 128, "rho": 5}, 2: {"kappa": 127, "lam": 300, "xi": 200}, 3: {"xi": 1000, "rho": 129}, 4: {"lam": 1, "xi": 1}, 5: {"tau": 260, "kappa": 1}}
+    texts = [(i, " ".join(" ".join([w] * n) for w, n in v.items())) for i, v in bodies.items()]
+    texts += [(6, "lam xi xi"), (6, "kappa xi")]
+    bodies[6] = {"lam": 1, "xi": 3, "kappa": 1}
+    df = spark.createDataFrame(texts, "id int, content string")
+    cosine = lambda v, w: sum(n * w.get(t, 0) for t, n in v.items()) / sqrt(sum(n * n for n in v.values()) * sum(n * n for n in w.values()))
+    wanted = sorted((a, b, round(cosine(v, w), 6)) for a, v in bodies.items() for b, w in bodies.items() if a != b and cosine(v, w) >= 0.01)
+    for common, named in ((1, 1), (1, 3), (2048, similarity.NAMED)):
+        monkeypatch.setattr(similarity, "NAMED", named)
+        found = similarity.similar_pairs(df, "content", 0.01, 9, common=common)
+        assert sorted((a, b, round(x, 6)) for a, b, x in found.collect()) == wanted
+
+
 def test_similar_pairs_of_named_rows(spark):
     """Ties among ids that are text, of different lengths, and among many equal similarities."""
     names = [f"n{i}" for i in range(30)]
